@@ -36,6 +36,12 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import removed_words
 
@@ -60,7 +66,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_table(spark, sf_dir, "documents"), digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_quality_classifier, op4_suffix_array_dedup, op5_exact_top_k, op7_substring_dedup, op9_chat_formatting, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_quality_classifier, op4_suffix_array_dedup, op5_exact_top_k, op6_ngram_jaccard_join, op7_substring_dedup, op9_chat_formatting, op10_secret_scans)}
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_top_k": """
         WITH v AS (

@@ -51,3 +51,35 @@ def repeated_bytes(rows, length=100):
         runs = len(re.findall(rb"\x01+", bytes(gone)))
         out.append((d, len(t), sum(gone), runs, sha(bytes(b for b, g in zip(t, gone) if not g))))
     return out
+
+
+def jaccard(rows, width=4, percent=85):
+    sets = []
+    for d, t in rows:
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    lists = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            lists.setdefault(x, []).append(i)
+    for i, s in enumerate(sets):
+        count = {}
+        for x in s:
+            for j in lists[x]:
+                if j < i:
+                    count[j] = count.get(j, 0) + 1
+        for j, c in count.items():
+            if 100 * c >= percent * (len(s) + len(sets[j]) - c):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[root(i)] = min(least.get(root(i), BIG + 1), order(d))
+    return [(d, len(sets[i]), None if least[root(i)] == BIG else least[root(i)]) for i, (d, _) in enumerate(rows)]
