@@ -48,6 +48,12 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed_words(_table(spark, sf_dir, "documents"))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -66,7 +72,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_table(spark, sf_dir, "documents"), digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_quality_classifier, op4_suffix_array_dedup, op5_exact_top_k, op6_ngram_jaccard_join, op7_substring_dedup, op9_chat_formatting, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_quality_classifier, op4_suffix_array_dedup, op5_exact_top_k, op6_ngram_jaccard_join, op7_substring_dedup, op8_benchmark_decontamination, op9_chat_formatting, op10_secret_scans)}
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_top_k": """
         WITH v AS (
