@@ -18,6 +18,12 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, digest=True)
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import classify
 
@@ -72,7 +78,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_table(spark, sf_dir, "documents"), digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_quality_classifier, op4_suffix_array_dedup, op5_exact_top_k, op6_ngram_jaccard_join, op7_substring_dedup, op8_benchmark_decontamination, op9_chat_formatting, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_html_extraction, op3_quality_classifier, op4_suffix_array_dedup, op5_exact_top_k, op6_ngram_jaccard_join, op7_substring_dedup, op8_benchmark_decontamination, op9_chat_formatting, op10_secret_scans)}
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_top_k": """
         WITH v AS (
