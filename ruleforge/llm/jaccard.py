@@ -50,7 +50,7 @@ LARGEST_LIGHT, HEAVY_COST = 24, 8
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
-SETS = "doc_id long, key long, n_shingles long, set_a long, set_b long, prefix int, live binary"
+SETS = "doc_id long, row long, key long, n_shingles long, set_a long, set_b long, prefix int, live binary"
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,8 +140,8 @@ def _set_rows(width: int, percent: int):
         shingle, kind = shingle[by], kind[by]
         live = [shingle[e - n : e].astype("<u8").tobytes() if p else None for e, n, p in zip((at + size).tolist(), n_live.tolist(), prefix.tolist(), strict=True)]
         order = B.order_of(table.column("doc_id"))
-        columns = [table.column("doc_id"), pa.array(order), pa.array(size, pa.int64()), *(pa.array(x.view(np.int64)) for x in total), pa.array(prefix, pa.int32()), pa.array(live, pa.binary())]
-        return pa.table(columns, names=["doc_id", "key", "n_shingles", "set_a", "set_b", "prefix", "live"])
+        columns = [table.column("doc_id"), table.column("row"), pa.array(order), pa.array(size, pa.int64()), *(pa.array(x.view(np.int64)) for x in total), pa.array(prefix, pa.int32()), pa.array(live, pa.binary())]
+        return pa.table(columns, names=["doc_id", "row", "key", "n_shingles", "set_a", "set_b", "prefix", "live"])
 
     return run
 
@@ -149,7 +149,8 @@ def _set_rows(width: int, percent: int):
 def document_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """A row per document: its set's size and fingerprints, its live shingles (those that other documents
     have too, rarest first) unless none is in the prefix, and how many of them are."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
     n = B.n_blocks(source)
     by_block = B.blocked(source, n).groupBy("block")
 
@@ -292,21 +293,42 @@ def heavy_links(classes: DataFrame, least_size: int, percent: int, cell: int = C
 # ---------------------------------------------------------------- the operator
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id (the least doc_id that links reach) per document."""
+def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Per document: doc_id, row (a hash of the text), key (its order), n_shingles, the group of linked
+    documents (null where none can be) and the least key in it."""
     sets = written(document_sets(docs, width, percent))
     classes = sets.where("prefix > 0").groupBy("n_shingles", "set_a", "set_b").agg(F.min("key").alias("least"), F.first("prefix").alias("prefix"), F.first("live").alias("live"))
     # a class's own number: rows without id share the last key, so keys alone would not tell them apart
-    number = F.xxhash64("n_shingles", "set_a", "set_b")
-    classes = written(classes.withColumn("key", number))
+    classes = written(classes.withColumn("key", F.xxhash64("n_shingles", "set_a", "set_b")))
     sizes = {int(r[0]): int(r[1]) for r in classes.where(F.col("n_shingles") <= LARGEST_LIGHT).groupBy("n_shingles").count().collect()}
     limit = boundary(sizes, percent)
     links = light_links(classes, limit, percent).union(heavy_links(classes, ceil_share(limit + 1, percent), percent))
     group = components(links)
     least = group.join(classes.select("key", "least"), group.node == F.col("key")).groupBy("component").agg(F.min("least").alias("reach"))
-    reach = group.join(least, "component").select("node", "reach")
+    reach = group.join(least, "component").select("node", "component", "reach")
     own = classes.select("key", "n_shingles", "set_a", "set_b", "least").join(reach, F.col("key") == F.col("node"), "left")
-    own = own.select("n_shingles", "set_a", "set_b", F.coalesce("reach", "least").alias("reach"))
-    out = sets.select("doc_id", "key", "n_shingles", "set_a", "set_b").join(own, ["n_shingles", "set_a", "set_b"], "left")
-    component = F.coalesce("reach", "key")
-    return out.select("doc_id", "n_shingles", F.when(component != B.LAST, component).alias("component_id"))
+    own = own.select("n_shingles", "set_a", "set_b", F.coalesce("component", "key").alias("group"), F.coalesce("reach", "least").alias("reach"))
+    out = sets.select("doc_id", "row", "key", "n_shingles", "set_a", "set_b").join(own, ["n_shingles", "set_a", "set_b"], "left")
+    return out.select("doc_id", "row", "key", "n_shingles", "group", F.coalesce("reach", "key").alias("reach"))
+
+
+def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id (the least doc_id that links reach) per document."""
+    return _grouped(docs, width, percent).select("doc_id", "n_shingles", F.when(F.col("reach") != B.LAST, F.col("reach")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """docs with one document of each group of linked ones: that with the least doc_id, among equal ids
+    that with the least hash of its text; of rows alike in both, one.  Documents with empty sets all stay."""
+    grouped = written(_grouped(docs, width, percent).where("group is not null").select("doc_id", "row", "key", "group"))
+    best = grouped.groupBy("group").agg(F.min(F.struct("key", "row")).alias("best"))
+    lost = grouped.join(best, "group").where((F.col("key") != F.col("best.key")) | (F.col("row") != F.col("best.row"))).select(F.col("doc_id").alias("lost_id"), F.col("row").alias("lost_row")).distinct()
+    row = F.xxhash64(docs["text"].cast("string"))
+    doc_id = docs["doc_id"].cast("long")
+    left = docs.join(lost, doc_id.eqNullSafe(lost.lost_id) & (row == lost.lost_row), "left_anti")
+    # a group's best may stand in several rows that are alike; that is rare, so it is looked for first
+    twice = grouped.join(best, "group").where((F.col("key") == F.col("best.key")) & (F.col("row") == F.col("best.row"))).groupBy("doc_id", "row").count().where("count > 1").select(F.col("doc_id").alias("twice_id"), F.col("row").alias("twice_row"))
+    if twice.isEmpty():
+        return left
+    alike = doc_id.eqNullSafe(twice.twice_id) & (row == twice.twice_row)
+    return left.join(twice, alike, "left_anti").unionByName(left.join(twice, alike, "left_semi").dropDuplicates(["doc_id", "text"]))
