@@ -14,7 +14,7 @@ bytes).  It is found in three steps:
    ``recall()`` gives the recall of one window for a number of edits; the defaults give 0.9 for a copy
    with edits up to SHARE (measured in the tests).
 3. *Verification.*  Candidates whose whole walks are far apart in Hamming distance go, and those with
-   fewer trigrams in common than k edits can leave (a lossless filter); for the others the item's exact
+   fewer grams of five bytes in common than k edits can leave (a lossless filter); for the others the item's exact
    edit distance to the best part of the document's text around the window decides.
 
 Items under ``SHORT`` bytes are looked up exactly, as whole word sequences.  Documents are read once and
@@ -120,14 +120,23 @@ class Walk:
             np.add(at, v.view(np.int64), out=at)
         return out
 
-    def strings(self, text: np.ndarray, start: np.ndarray, steps: int) -> np.ndarray:
-        """The first steps of the embedded strings (windows x steps)."""
-        out, at = np.empty((len(start), steps), np.uint8), start.astype(np.int64)
-        for j in range(steps):
-            out[:, j] = text[at]
-            at += ((self.code[out[:, j]] * self.factor[j]) >> np.uint64(63)).astype(np.int64)
+    def strings(self, text: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """The whole embedded strings (steps x windows)."""
+        out, at = np.empty((self.steps, len(start)), np.uint8), start.astype(np.int64)
+        for j in range(self.steps):
+            out[j] = text[at]
+            at += ((self.code[out[j]] * self.factor[j]) >> np.uint64(63)).astype(np.int64)
         return out
 
+    def apart(self, text: np.ndarray, start: np.ndarray, other: np.ndarray, which: np.ndarray, steps: int) -> np.ndarray:
+        """Share of the first steps in which windows differ from the embedded strings other[:, which]."""
+        at, n = start.astype(np.int64), np.zeros(len(start), np.int32)
+        for j in range(steps):
+            c = text[at]
+            n += c != other[j][which]
+            at += ((self.code[c] * self.factor[j]) >> np.uint64(63)).astype(np.int64)
+        return n / steps
+
 
 def recall(far: float, samples: int = WALKS * SAMPLES, sampled: int = SAMPLED) -> float:
     """Chance that two windows agree on some sample if their walks differ in a share `far` of the steps."""
@@ -155,6 +164,7 @@ class SizeClass:
         keep = np.isin(item, items) & (left >= size // 2)
         self.start, self.item = start[keep], item[keep]
         self.offset = self.start - begins[self.item]
+        self.strings = [walk.strings(text, self.start) for walk in self.walks]
         self.tables = []
         for walk in self.walks:
             for key in walk.keys(text, self.start):
@@ -176,24 +186,33 @@ class SizeClass:
                 end = np.cumsum(n)
                 own = by[np.repeat(low - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
                 found.append(np.stack([np.repeat(some, n), own]))
-        if not found or not (pairs := np.concatenate(found, 1)).shape[1]:
-            return np.zeros((0, 3), np.int64)
-        pairs = np.unique(pairs, axis=1)
-        apart = lambda w, p, n: (w.strings(text, start[p[0]], n) != w.strings(self.text, self.start[p[1]], n)).mean(1)
+        n = max(len(self.start), 1)
+        pairs = np.unique(np.concatenate([i * n + j for i, j in found]))
         kept = []
-        for a in range(0, pairs.shape[1], 20_000):
-            part = pairs[:, a : a + 20_000]
+        for a in range(0, len(pairs), 20_000):
+            i, j = np.divmod(pairs[a : a + 20_000], n)
             # a look at the first steps spares most of the others the rest
-            part = part[:, np.minimum.reduce([*(apart(w, part, min(40, w.steps)) for w in self.walks)]) <= FAR + 0.08]
-            kept.append(part[:, np.minimum.reduce([*(apart(w, part, w.steps) for w in self.walks)]) <= FAR])
+            for steps, far in ((24, FAR + 0.1), (2 * (self.size // 2), FAR)):
+                near = np.minimum.reduce([w.apart(text, start[i], s, j, steps) for w, s in zip(self.walks, self.strings, strict=True)]) <= far
+                i, j = i[near], j[near]
+            kept.append(np.stack([i, j]))
+        if not kept:
+            return np.zeros((0, 3), np.int64)
         i, j = np.concatenate(kept, 1)
         return np.unique(np.stack([doc[i], start[i] - self.offset[j], self.item[j]], 1), axis=0)
 
 
-def trigrams(text: np.ndarray) -> np.ndarray:
-    """A 13-bit code for every three bytes."""
-    x = text.astype(np.uint32)
-    return ((x[:-2] * np.uint32(0x9E3779B1) + x[1:-1] * np.uint32(0x85EBCA6B) + x[2:] * np.uint32(0xC2B2AE35)) >> np.uint32(19)) if len(x) > 2 else np.zeros(0, np.uint32)
+#: Length of the grams whose number in common is a lossless filter, and the bits of their codes.
+GRAM, GRAM_BITS = 5, 14
+
+
+def grams_of(text: np.ndarray) -> np.ndarray:
+    """A code for every GRAM bytes."""
+    n = len(text) - GRAM + 1
+    code, x = np.zeros(max(n, 0), np.uint32), text.astype(np.uint32)
+    for i in range(GRAM if n > 0 else 0):
+        code = code * np.uint32(0x01000193) + x[i : i + n]
+    return (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - GRAM_BITS)
 
 
 def best_distance(item: bytes, text: bytes) -> int:
@@ -255,7 +274,7 @@ class Matcher:
         return out
 
     def _piece(self, text, begins):
-        data, best, grams = text.tobytes(), {}, trigrams(text)
+        data, best, grams = text.tobytes(), {}, grams_of(text)
         for c in self.classes:
             for doc, at, item in c.candidates(text, begins).tolist():
                 want = self.items[item]
@@ -264,9 +283,9 @@ class Matcher:
                     continue
                 low, high = max(int(begins[doc]), at - k), min(int(begins[doc + 1]) - 1, at + len(want) + k)
                 if (own := self.grams.get(item)) is None:
-                    self.grams[item] = own = np.zeros(1 << 13, bool)
-                    own[trigrams(np.frombuffer(want, np.uint8))] = True
-                if np.count_nonzero(own[grams[low : high - 2]]) < len(want) - 2 - 3 * k:
+                    self.grams[item] = own = np.zeros(1 << GRAM_BITS, bool)
+                    own[grams_of(np.frombuffer(want, np.uint8))] = True
+                if np.count_nonzero(own[grams[low : high - GRAM + 1]]) < len(want) - GRAM + 1 - GRAM * k:
                     continue
                 d = best_distance(want, data[low:high])
                 if d <= k:
