@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .graph import components, written
+from .graph import checkpoint, components, written
 from .substring_dedup import words
 
 WIDTH, PERCENT = 4, 85
@@ -46,6 +46,8 @@ WIDTH, PERCENT = 4, 85
 CELL = 2_000_000
 #: Sizes among which the boundary is sought, and the cost of a heavy shingle against a light subset.
 LARGEST_LIGHT, HEAVY_COST = 24, 8
+#: Up to so many pairs of numbers (some 40 MB) are broadcast to find documents; more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -325,6 +327,9 @@ def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Dat
     lost = grouped.join(best, "group").where((F.col("key") != F.col("best.key")) | (F.col("row") != F.col("best.row"))).select(F.col("doc_id").alias("lost_id"), F.col("row").alias("lost_row")).distinct()
     row = F.xxhash64(docs["text"].cast("string"))
     doc_id = docs["doc_id"].cast("long")
+    lost = checkpoint(lost)
+    if lost.count() <= BROADCAST_ROWS:  # spares the texts a shuffle
+        lost = F.broadcast(lost)
     left = docs.join(lost, doc_id.eqNullSafe(lost.lost_id) & (row == lost.lost_row), "left_anti")
     # a group's best may stand in several rows that are alike; that is rare, so it is looked for first
     twice = grouped.join(best, "group").where((F.col("key") == F.col("best.key")) & (F.col("row") == F.col("best.row"))).groupBy("doc_id", "row").count().where("count > 1").select(F.col("doc_id").alias("twice_id"), F.col("row").alias("twice_row"))
