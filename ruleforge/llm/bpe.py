@@ -34,7 +34,7 @@ from . import blocks as B
 
 #: The pattern that splits a text before the merges; a fixed value of these vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 2_000_000
 #: Texts of more characters are split lazily, so that their pre-tokens never stand in memory together.
 LONG = 4_000_000
 

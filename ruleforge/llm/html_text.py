@@ -187,15 +187,24 @@ class Forest:
         full = np.maximum(size, 1)
         is_leaf = (kind == LEAF).astype(float)
         measures = np.stack([np.ones(self.n), np.log1p(size) / 5, linked / full, 10 * marks / full, np.minimum(sign, 1), size / total, (ahead - ahead[root]) / total, np.log1p(leaves) / 2, is_leaf * linked / full, is_leaf * np.log1p(size) / 5, is_leaf * np.minimum(sign, 1), (size == 0).astype(float)], 1)
-        self.x = np.concatenate([one_hot, hint, measures], 1)
-        # edges by their child: a leaf, an element that says what it is, another element
-        said = (hint[:, 1:-1].any(1) | np.isin(kind, [KIND_OF[t] for t in ("nav", "header", "footer", "aside", "form")])).astype(int)
-        self.edge = np.where(kind == LEAF, 0, 1 + said)
+        # edges by their child: a leaf, an element of no claim, one that names itself a frame or insert, one
+        # that names itself content
+        apart = hint[:, 1:-1].any(1) | np.isin(kind, [KIND_OF[t] for t in ("nav", "header", "footer", "aside", "form")])
+        claims = (kind == KIND_OF["article"]) | (hint[:, 0] > 0)
+        # below an element that names itself content, with none between that names itself apart
+        inside = claims & ~apart
+        for level in self.levels[1:]:
+            inside[level] |= inside[self.parent[level]] & ~apart[level]
+        claimed = np.zeros(self.n, bool)
+        np.logical_or.at(claimed, root, inside)
+        outside = claimed[root] & ~inside
+        self.x = np.concatenate([one_hot, hint, measures, np.stack([inside, outside], 1)], 1)
+        self.edge = np.where(kind == LEAF, 0, np.where(apart, 2, np.where(claims, 3, 1)))
         self.leaf = np.flatnonzero(kind == LEAF)
 
 
-N_FEATURES = LEAF + 1 + len(HINTS) + 1 + 12
-EDGES = 3
+N_FEATURES = LEAF + 1 + len(HINTS) + 1 + 14
+EDGES = 4
 
 
 def _log_add(a: np.ndarray, axis: int) -> np.ndarray:
@@ -286,6 +295,8 @@ def training_page(r: random.Random) -> str:
         body.append(block())
         if some(0.06):
             body.append(junk())
+    if some(0.25):  # a few words are an article too
+        body = [pick((lambda: f"<h1>{content(1, 4)}</h1>", lambda: f"<p>{content(1, 12)}</p>", lambda: f"<h1>{content(1, 4)}</h1><p>{content(1, 12)}</p>"))()]
     inside = "".join(body) + (comments() if some(0.12) else "")
     tag, attribute = pick((("article", ""), ("article", ""), ("article", name("post", "entry", "story")), ("main", ""), ("div", name("content", "article", "post-content", "entry-content", "main")), ("section", name("content", "article-body", "story"))))
     main = f"<{tag}{attribute}>{inside}</{tag}>"
@@ -299,6 +310,10 @@ def training_page(r: random.Random) -> str:
     after = [junk() for _ in range(r.randrange(0, 2))] + ([comments()] if some(0.35) else [])
     r.shuffle(after)
     foot = pick((lambda: f"<footer>&copy; {link()} &middot; {prose(1, 20)}</footer>", lambda: f"<footer><p>{prose(1, 20)}</p></footer>", lambda: f"<div{name('footer', 'copyright', 'legal')}>Copyright {prose(1, 10)}</div>", lambda: ""))()
+    if some(0.25):  # next to nothing but the article
+        before, after = before[: r.randrange(2)], after[: r.randrange(2)]
+        if some(0.5):
+            return f"{''.join(before)}{main}{''.join(after)}"
     head = f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{prose(1, 9)}</title><style>p{{margin:0}}</style><script>var t=\"</p>\";</script></head>"
     return f"{head}<body>{''.join(before)}<!-- x -->{main}{''.join(after)}{foot}{pick(('', '</body></html>'))}"
 
@@ -322,7 +337,7 @@ def labelled(pages: list[Page]) -> np.ndarray:
 
 
 @functools.lru_cache(2)
-def train(n: int = 400, seed: int = 23, steps: int = 120, l2: float = 1e-4):
+def train(n: int = 500, seed: int = 23, steps: int = 150, l2: float = 1e-4):
     """Node weights and edge potentials from n generated pages."""
     r = random.Random(seed)
     pages = [Page(training_page(r)) for _ in range(n)]
