@@ -185,6 +185,29 @@ def count_many(df: DataFrame, candidates: dict[tuple[Predicate, ...], list[Predi
     return out
 
 
+def order_support(left: DataFrame, a: str, right: DataFrame, b: str) -> DataFrame:
+    """op, n for all six comparisons of t0.a with t1.b, over all pairs (self-pairs included).
+
+    No pairs are built: both histograms are laid over one range-partitioned order, and the rows of each
+    side before a value are sums over earlier partitions and within its own.
+    """
+    from pyspark.sql import Window
+
+    sides = histogram(left, a).select("value", F.col("n").alias("n0"), F.lit(0).alias("n1")).unionByName(histogram(right, b).select("value", F.lit(0).alias("n0"), F.col("n").alias("n1")))
+    both = sides.groupBy("value").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = both.repartitionByRange(parts, "value").withColumn("part", F.spark_partition_id())
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    before = ranged.groupBy("part").agg(F.sum("n1").alias("s1")).select("part", F.coalesce(F.sum("s1").over(earlier), F.lit(0)).alias("before"), F.sum("s1").over(Window.orderBy(F.lit(0))).alias("total"))
+    within = F.coalesce(F.sum("n1").over(Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = ranged.withColumn("less", within).join(F.broadcast(before), "part").withColumn("less", F.col("less") + F.col("before"))
+    n0, n1, less, total = (F.col(c).cast(BIG) for c in ("n0", "n1", "less", "total"))
+    more = total - less - n1
+    counts = {"==": n1, "<>": total - n1, "<": more, "<=": more + n1, ">": less, ">=": less + n1}  # t0's value against t1's
+    sums = rows.agg(*[F.coalesce(F.sum(n0 * c), F.lit(0)).cast("long").alias(f"c{i}") for i, c in enumerate(counts.values())])
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(op).alias("op"), F.col(f"c{i}").alias("n")) for i, op in enumerate(counts)])).alias("e")).select("e.*")
+
+
 def scored_support(pairs: DataFrame) -> DataFrame:
     """Support of a scored predicate: the number of its pairs."""
     return pairs.distinct().agg(F.count("*").alias("support"))

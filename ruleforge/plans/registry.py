@@ -82,11 +82,7 @@ def _(t):
     CASE WHEN a.n_regionkey <= b.n_regionkey THEN '<=' END, CASE WHEN a.n_regionkey > b.n_regionkey THEN '>' END, CASE WHEN a.n_regionkey >= b.n_regionkey THEN '>=' END]) AS op
   FROM nation a, nation b) WHERE op IS NOT NULL GROUP BY op""")
 def _(t):
-    # both sides through their histograms: 25 rows at most meet each other
-    h = C.histogram(t.nation, "n_regionkey")
-    pairs = F.broadcast(h.select(F.struct(F.col("value").alias("k"), "n").alias("t0"))).join(h.select(F.struct(F.col("value").alias("k"), "n").alias("t1")), F.lit(True))
-    ops = [F.when(P.holds(P.Predicate(P.Operand("nation", 0, "k"), op, P.Operand("nation", 1, "k"))), F.lit(op)) for op in P.OPERATORS]
-    return pairs.select(F.explode(F.array_compact(F.array(*ops))).alias("op"), (F.col("t0.n") * F.col("t1.n")).alias("n")).groupBy("op").agg(F.sum("n").alias("n"))
+    return C.order_support(t.nation, "n_regionkey", t.nation, "n_regionkey")
 
 
 @query("OP021_constant_predicates", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice >= 300000")
