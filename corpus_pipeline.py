@@ -11,6 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ruleforge.deploy import shipped
 from ruleforge.llm import bpe, decontaminate, jaccard, quality, secrets
 from ruleforge.llm.graph import written
 
@@ -47,7 +48,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
 
 
-STAGES = [("quality", good_quality), ("near_duplicates", near_duplicates), ("decontamination", decontaminated), ("secrets", without_secrets), ("tokens", tokens)]
+STAGES = [(name, shipped(f)) for name, f in (("quality", good_quality), ("near_duplicates", near_duplicates), ("decontamination", decontaminated), ("secrets", without_secrets), ("tokens", tokens))]
 
 #: SQL can express neither the trained stages nor the embedding; the tests hold each stage against brute force.
 ORACLE_SQL = None
