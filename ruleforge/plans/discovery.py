@@ -257,10 +257,10 @@ def recover_head(df: DataFrame, keys: Iterable[str], fixed: Iterable[str], rhs:
 def recover_rules(df: DataFrame, relation: str, rules: list[Rule], support: int, confidence: float) -> DataFrame:
     """For rules found on a sample: each distinct template with its bindings on the full table."""
     out = None
-    for keys, f0, f1, rhs in dict.fromkeys(template(r) for r in rules if r.rhs.right):
+    for keys, f0, f1, rhs in dict.fromkeys(template(r) for r in rules if r.rhs.right and any(p.is_constant for p in r.lhs)):
         part = recover(df, keys, f0, f1, rhs.left.column, support, confidence)
         text = lambda cs, v: [F.concat(F.lit(f"{relation}.t{v}.{c} == "), F.col(f"c{v}_{c}").cast("string")) for c in cs]
         lhs = F.array(*[F.lit(f"{relation}.t0.{k} == {relation}.t1.{k}") for k in keys], *text(f0, 0), *text(f1, 1))
         part = part.select(lhs.alias("lhs"), F.lit(str(rhs)).alias("rhs"), "support", "confidence")
         out = part if out is None else out.unionByName(part)
-    return out
+    return df.sparkSession.createDataFrame([], "lhs array<string>, rhs string, support long, confidence double") if out is None else out

@@ -46,10 +46,13 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict:
+    from . import registry_files  # noqa: F401  adds its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(ORACLE)
 
 
