@@ -13,6 +13,7 @@ comes back to the block, which recomputes its entries from the text and so knows
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import math
 
@@ -55,6 +56,15 @@ def blocked(df: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
     return df.withColumn("block", block).repartition(n, "block")
 
 
+def trim() -> None:
+    """Gives memory that earlier groups have freed back to the system: Python workers live on, and what
+    each has held at most would otherwise stay with it."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)
+
+
 # ---------------------------------------------------------------- numpy on Arrow text
 
 
@@ -177,6 +187,7 @@ def resolver(kinds: tuple, decide, part: int):
     """
 
     def run(table: pa.Table) -> pa.Table:
+        trim()
         keys, rows, columns = [], [], [[] for _ in kinds]
         for i, blob in enumerate(table.column("payload")):
             head, *rest = unframe(blob.as_py())

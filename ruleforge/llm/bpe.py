@@ -125,6 +125,7 @@ def _splitter(pattern: str, buckets: int):
                     yield _block_rows((part << 32) + n_block, buckets, doc_ids, sizes, numbers, words)
                     doc_ids, sizes, numbers, words, held = [], [], [], _Numbers(), 0
                     n_block += 1
+                    B.trim()
         if doc_ids:
             yield _block_rows((part << 32) + n_block, buckets, doc_ids, sizes, numbers, words)
 
@@ -133,6 +134,7 @@ def _splitter(pattern: str, buckets: int):
 
 def _encode_words(ranks, pattern: str):
     def run(key: tuple, table: pa.Table) -> pa.Table:
+        B.trim()
         blocks, payloads = [], []
         if key[0].as_py() < 0:
             known: dict[bytes, list[int]] = {}
@@ -156,6 +158,7 @@ def _encode_words(ranks, pattern: str):
 
 def _assemble(ranks, digest: bool):
     def run(key, table: pa.Table, encoded: pa.Table) -> pa.Table:
+        B.trim()
         doc_ids, counts, ids_out, decoded_out = [], [], [], []
         if key[0].as_py() >= 0:
             ids, none, sizes, local = B.unframe(table.column("payload")[0].as_py())

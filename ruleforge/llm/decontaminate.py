@@ -266,6 +266,7 @@ class Matcher:
 
     def matches(self, column) -> list[tuple[int, int, int]]:
         """(row, item, distance) for every item that a row's text holds."""
+        B.trim()
         raw, offsets = B.flat(column)
         out: list[tuple] = []
         for a, b in B.pieces(offsets, PIECE):

@@ -81,6 +81,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.n
 
 
 def _block_sets(table: pa.Table, width: int):
+    B.trim()
     raw, offsets = B.flat(table.column("text"))
     docs, keys = [], []
     for a, b in B.pieces(offsets):
@@ -258,6 +259,7 @@ def cell_links(left, right, percent: int) -> list[tuple[int, int]]:
 
 def _cells(percent: int):
     def run(table: pa.Table) -> pa.Table:
+        B.trim()
         rows: dict[tuple, dict[int, list]] = {}
         for group, i, j, mine, key, size, live in zip(*(table.column(c).to_pylist() for c in ("group", "i", "j", "mine", "key", "n_shingles", "live")), strict=True):
             rows.setdefault((group, i, j), {}).setdefault(mine, []).append((key, size, np.frombuffer(live, "<i8")))

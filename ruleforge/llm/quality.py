@@ -87,6 +87,7 @@ def encode_passages(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
 
 
 def _features(table) -> tuple[np.ndarray, np.ndarray]:
+    B.trim()
     raw, offsets = B.flat(table)
     found = []
     for a, b in B.pieces(offsets):

@@ -64,6 +64,7 @@ def window_keys(raw: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.nda
 
 def _block_windows(table: pa.Table, width: int):
     """Everything a block needs: piece-wise words and, over the block, windows with two fingerprints."""
+    B.trim()
     raw, offsets = B.flat(table.column("text"))
     found, one, two, doc_of, base = [], [], [], [], 0
     for a, b in B.pieces(offsets):

@@ -206,6 +206,7 @@ def removed_bytes(docs: DataFrame, length: int = LENGTH, reach: int = REACH, wit
     schema = SPANS if with_text else OUT
 
     def own(table: pa.Table):
+        B.trim()
         raw, offsets = B.flat(table.column("text"))
         order = B.order_of(table.column("doc_id"))
         trigger, low, high, doc, key, head = block_contexts(raw, offsets, length, reach)
