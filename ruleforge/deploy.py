@@ -11,10 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Arrow batches that go to Python hold at most this much, however long the texts; Spark's default is 64 MB.
+BATCH_BYTES = "16m"
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives the executors' Python this package, once for each application, wherever they run."""
+    """Gives the executors' Python this package, once for each application, wherever they run, and bounds
+    the batches that reach it."""
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
@@ -27,6 +30,7 @@ def ship(spark: SparkSession) -> None:
                     full = os.path.join(folder, n)
                     z.write(full, os.path.join("ruleforge", os.path.relpath(full, root)))
     sc.addPyFile(path)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     _shipped.add(sc.applicationId)
 
 
