@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.counting import BIG, Body, _present, count_many, count_rules, with_confidence
-from ..operators.predicates import Predicate, column_predicates, constant_predicates
+from ..operators.joins import chain
+from ..operators.predicates import Predicate, column_predicates, compare, constant_predicates
 from .rules import Rule, as_table
 
 #: Weights of support, confidence, diversity, shortness and a subjective score.
@@ -185,6 +186,37 @@ def evaluate(df: DataFrame, rules: list[tuple[list[Predicate], Predicate]]) -> D
     return out
 
 
+def evaluate_chain(tables: list[DataFrame], tids: list[str], lhs: list[Predicate], rhs: Predicate) -> DataFrame:
+    """support_x, support, confidence of a rule over three or more tuple variables: pairs (t0, t1) for which
+    rows of the other variables exist, and those of them that satisfy the right-hand side."""
+    pairs = chain(tables, tids, lhs)
+    side = lambda v, c: tables[v].select(F.col(tids[v]).alias(f"tid{v}"), F.when(_present(tables[v], [c]), F.col(c)).alias(f"y{v}"))
+    rows = pairs.join(side(0, rhs.left.column), "tid0")
+    if rhs.right:
+        rows = rows.join(side(1, rhs.right.column), "tid1")
+        ok = compare(F.col("y0"), rhs.op, F.col("y1"))
+    else:
+        rows = rows.dropDuplicates(["tid0"])
+        ok = compare(F.col("y0"), rhs.op, F.lit(rhs.constant))
+    out = rows.agg(F.count("*").alias("support_x"), F.count(F.when(ok, 1)).alias("support"))
+    return out.withColumn("confidence", F.coalesce(F.round(F.try_divide("support", "support_x"), 9), F.lit(0.0)))
+
+
+def with_new_variable(lhs: frozenset, edges: Iterable[Predicate], most: int) -> list[frozenset]:
+    """X with an edge from one of its tuple variables to a new one, if `most` variables allow it."""
+    used = sorted({v for p in lhs for v in p.variables})
+    new = max(used) + 1
+    return [] if new >= most else [lhs | {p.at(v, new)} for p in edges if p.right for v in used]
+
+
+def shared_heads(vertices: Iterable[tuple[frozenset, frozenset]]) -> dict[frozenset, frozenset]:
+    """Candidate sets with their right-hand sides; a set met twice keeps those that both allow."""
+    out: dict[frozenset, frozenset] = {}
+    for lhs, heads in vertices:
+        out[lhs] = out[lhs] & heads if lhs in out else heads
+    return out
+
+
 def evaluate_ids(df: DataFrame, vocabulary: list[Predicate], text: str) -> DataFrame:
     """The same for rules given as predicate numbers: "5 25,2;3,1" has two rules, X numbers then the right-hand side's."""
     rules = []

@@ -253,6 +253,48 @@ def _(t):
     return t.spark.createDataFrame([(" & ".join(sorted(map(str, s))), [str(p) for p in heads if D.countable(s, p) and p not in s]) for s in sets], "lhs string, heads array<string>")
 
 
+@query("OP154_new_tuple_variable", "SELECT 0 AS number, 'orders.t0.o_custkey == orders.t2.o_custkey' AS predicate UNION ALL SELECT 1, 'orders.t1.o_custkey == orders.t2.o_custkey'")
+def _(t):
+    edge = C.equal("orders", "o_custkey")
+    lhs = frozenset([C.equal("orders", "o_orderstatus")])
+    return _list(t, [next(iter(x - lhs)) for x in D.with_new_variable(lhs, [edge], 3)])
+
+
+@query("OP093_shared_heads", "SELECT 'orders.t0.o_orderpriority == orders.t1.o_orderpriority' AS heads")
+def _(t):
+    a, b, c = (C.equal("orders", x) for x in ("o_custkey", "o_orderstatus", "o_orderpriority"))
+    found = D.shared_heads([(frozenset([a]), frozenset([b, c])), (frozenset([a]), frozenset([c]))])
+    return t.spark.createDataFrame([(" ".join(sorted(map(str, h))),) for h in found.values()], "heads string")
+
+
+@query("OP164_three_variable_rule", """WITH p AS (SELECT DISTINCT a.o_orderkey x, b.o_orderkey y, a.o_orderpriority = b.o_orderpriority AS eq FROM orders a, orders b, customer c
+  WHERE a.o_custkey = b.o_custkey AND a.o_orderstatus = b.o_orderstatus AND a.o_orderkey <> b.o_orderkey AND b.o_custkey = c.c_custkey AND c.c_mktsegment = 'BUILDING')
+  SELECT CAST(count(*) AS BIGINT) AS support_x, CAST(count(*) FILTER (eq) AS BIGINT) AS support, round(count(*) FILTER (eq) / count(*), 9) AS confidence FROM p""")
+def _(t):
+    o = t.orders
+    third = P.Predicate(P.Operand("orders", 1, "o_custkey"), "==", P.Operand("customer", 2, "c_custkey"))
+    lhs = [C.equal("orders", "o_custkey"), C.equal("orders", "o_orderstatus"), third, C.is_value("customer", "c_mktsegment", "BUILDING", 2)]
+    return D.evaluate_chain([o, o, t.customer], ["o_orderkey", "o_orderkey", "c_custkey"], lhs, C.equal("orders", "o_orderpriority"))
+
+
+@query("OP166_full_search")
+def _(t):
+    return U.as_table(t.spark, D.discover(t.part, "part", ["p_brand", "p_type", "p_size"], support=1, confidence=0.01, levels=4))
+
+
+@query("OP168_constant_templates")
+def _(t):
+    rules = D.discover(t.orders, "orders", ["o_custkey", "o_orderpriority"], constants={"o_orderstatus": ["F", "O"]}, support=1, confidence=0.001, levels=2)
+    found = sorted({(" ".join(k), " ".join(a), " ".join(b), str(rhs)) for k, a, b, rhs in map(D.template, rules)})
+    return t.spark.createDataFrame(found, "keys string, fixed0 string, fixed1 string, rhs string")
+
+
+@query("OP081_ranked_in_clusters", """WITH u AS (SELECT vec_id, label, embedding AS e FROM embeddings), d AS (SELECT a.vec_id, a.label, round(sum(1 - list_cosine_similarity(CAST(a.e AS DOUBLE[]), CAST(b.e AS DOUBLE[]))), 6) AS s FROM u a JOIN u b ON a.label = b.label GROUP BY 1, 2)
+  SELECT vec_id, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) AS r FROM d) WHERE r <= 1""")
+def _(t):
+    return A.cluster_ranked(t.embeddings, "vec_id", "embedding", "label", 0.0).select("vec_id", "label")
+
+
 @query("OP155_one_constant_a_column", "SELECT true AS two_columns, false AS one_column")
 def _(t):
     f = lambda c, v: C.is_value("orders", c, v)
