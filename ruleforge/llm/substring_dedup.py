@@ -6,9 +6,10 @@ windows of a document merge into maximal intervals of words, which are removed.
 
 Two rounds of the packed exchange (see blocks.py):
 
-1. every distinct fingerprint of a block asks whether it occurs in another document at all;
+1. every distinct fingerprint of a block, cut to 48 bits, asks whether it occurs in another document at
+   all (windows that only share these bits are sorted out next);
 2. only those that do ask again, with a second, independent fingerprint and the block's smallest
-   doc_id, whether a smaller doc_id has the window.  So a window is removed on 128 agreeing bits.
+   doc_id, whether a smaller doc_id has the window.  So a window is removed on 112 agreeing bits.
 
 Defined cases: null text has no words; an empty text or one with fewer than ``width`` words loses
 nothing; a null doc_id comes after every other; rows with equal doc_id never remove each other's
@@ -32,6 +33,9 @@ WIDTH = 13
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+#: The bits of a fingerprint that the first round sends.
+COARSE = np.uint64(0xFFFFFFFFFFFF0000)
+
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:long,end:long>>, kept string"
 
 
@@ -72,7 +76,7 @@ def _block_windows(table: pa.Table, width: int):
         start, end, doc = words(part, off)
         at, key = window_keys(part, start, end, doc, width, 1)
         _, other = window_keys(part, start, end, doc, width, 2)
-        one.append(key)
+        one.append(key & COARSE)
         two.append(other)
         doc_of.append(doc[at] + a)
         found.append((start + offsets[a], end + offsets[a], doc + a, at + base))
