@@ -106,10 +106,14 @@ class Attention:
         self.p = {"A": r.normal(0, 0.3, (N_FEATURES, HIDDEN)), "b": np.zeros(HIDDEN), "V": r.normal(0, 0.3, (HIDDEN, GATE)), "U": r.normal(0, 0.3, (HIDDEN, GATE)), "w": r.normal(0, 0.3, GATE), "c": r.normal(0, 0.3, HIDDEN), "d": np.zeros(1)}
         self.mean, self.scale, self.constant = np.zeros(N_FEATURES), np.ones(N_FEATURES), None
 
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        """Standardised features, cut off where a very short passage would leave what was seen."""
+        return np.clip((x - self.mean) / self.scale, -3, 3)
+
     def forward(self, x, owner, n):
         """owner is sorted and names every bag."""
         p = self.p
-        h = np.tanh((x - self.mean) / self.scale @ p["A"] + p["b"])
+        h = np.tanh(self.scaled(x) @ p["A"] + p["b"])
         v, u = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-(h @ p["U"])))
         s = (v * u) @ p["w"]
         at = np.searchsorted(owner, np.arange(n))
@@ -136,7 +140,7 @@ class Attention:
             ds = a * (da - np.add.reduceat(a * da, at)[owner])
             dv, du = ds[:, None] * p["w"] * u * (1 - v * v), ds[:, None] * p["w"] * v * u * (1 - u)
             dh = (a[:, None] * dz + dv @ p["V"].T + du @ p["U"].T) * (1 - h * h)
-            g = {"A": ((x - self.mean) / self.scale).T @ dh, "b": dh.sum(0), "V": h.T @ dv, "U": h.T @ du, "w": (v * u).T @ ds, "c": z.T @ d, "d": np.array([d.sum()])}
+            g = {"A": self.scaled(x).T @ dh, "b": dh.sum(0), "V": h.T @ dv, "U": h.T @ du, "w": (v * u).T @ ds, "c": z.T @ d, "d": np.array([d.sum()])}
             for k in p:
                 grad = g[k] + DECAY * p[k]
                 first[k] = 0.9 * first[k] + 0.1 * grad
