@@ -216,7 +216,7 @@ def scored_support(pairs: DataFrame) -> DataFrame:
 def column_association(df: DataFrame, lhs: list[str], rhs: str) -> DataFrame:
     """Unordered pairs that agree on lhs, and on lhs and rhs, from group sizes."""
     ok = df.where(_present(df, [*lhs, rhs]))
-    half = lambda d, cols: d.groupBy(*cols).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n").cast(BIG) * (F.col("n") - 1) / 2), F.lit(0)).cast("long").alias("s"))
+    half = lambda d, cols: d.groupBy(*cols).agg(F.count("*").alias("_size")).agg(F.coalesce(F.sum(F.col("_size").cast(BIG) * (F.col("_size") - 1) / 2), F.lit(0)).cast("long").alias("s"))
     x, both = half(ok, lhs), half(ok, [*lhs, rhs])
     out = x.select(F.col("s").alias("support_x")).join(F.broadcast(both.select(F.col("s").alias("support"))))  # one row each
     return out.withColumn("confidence", F.when(F.col("support_x") > 0, F.round(F.col("support") / F.col("support_x"), 9)).otherwise(F.lit(0.0)))

@@ -192,8 +192,8 @@ def evidence(df: DataFrame, tid: str, columns: list[str], block: str) -> DataFra
     ok = df.where(_present(df, [block]))
     parts = []
     for s in sets:
-        group = ok.where(_present(df, s)).groupBy(block, *s).agg(F.count("*").alias("n"))
-        parts.append(group.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1)), F.lit(0)).alias("agree")).withColumn("mask", F.lit(sum(1 << others.index(c) for c in s))))
+        group = ok.where(_present(df, s)).groupBy(block, *s).agg(F.count("*").alias("_size"))
+        parts.append(group.agg(F.coalesce(F.sum(F.col("_size") * (F.col("_size") - 1)), F.lit(0)).alias("agree")).withColumn("mask", F.lit(sum(1 << others.index(c) for c in s))))
     at_least = reduce(DataFrame.unionByName, parts)  # a row for each set of columns
     upper = at_least.select(F.col("mask").alias("upper"), "agree")
     sign = F.when(F.bit_count(F.col("upper").bitwiseXOR(F.col("mask"))) % 2 == 0, 1).otherwise(-1)

@@ -126,8 +126,8 @@ def violating_groups(df: DataFrame, keys: list[str], rhs: str) -> DataFrame:
     """Groups of equal keys with several values of rhs: the keys, rows, values, and pairs in conflict.  Sizes
     come from two aggregates, so a hot group costs no pairs."""
     rows = df.where(_present(df, [*keys, rhs]))
-    by_value = rows.groupBy(*keys, rhs).agg(F.count("*").alias("m"))
-    n, same = F.sum("m"), F.sum(F.col("m") * (F.col("m") - 1))
+    by_value = rows.groupBy(*keys, rhs).agg(F.count("*").alias("_size"))
+    n, same = F.sum("_size"), F.sum(F.col("_size") * (F.col("_size") - 1))
     return by_value.groupBy(*keys).agg(n.alias("n_rows"), F.count("*").alias("n_values"), (n * (n - 1) - same).alias("conflicts")).where("n_values > 1")
 
 

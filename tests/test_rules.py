@@ -88,10 +88,11 @@ def test_recovery_against_pairs(table, rows, fixed0, fixed1):
 
 
 def test_recovered_rules_hold_on_all_rows(table):
-    rules = D.discover(A.uniform(table, 0.6, "id"), "t", COLUMNS, constants={"y": ["x", "y"]}, support=1, confidence=0.5, levels=2)
-    with_constants = [r for r in rules if any(p.is_constant for p in r.lhs)]
-    assert with_constants
-    for r in D.recover_rules(table, "t", with_constants, 1, 0.5).collect():
+    same = C.equal("t", "n")
+    with_constants = [U.Rule.of([same, C.is_value("t", "y", "x")], C.equal("t", "k")), U.Rule.of([same, C.is_value("t", "y", "x"), C.is_value("t", "k", "a", 1)], C.equal("t", "y"))]
+    assert D.recover_rules(table, "t", [], 1, 0.5).collect() == []
+    assert D.recover_rules(table, "t", with_constants, 1, 0.2).count() > 2
+    for r in D.recover_rules(table, "t", with_constants, 1, 0.2).collect():
         lhs = [P.parse(x) for x in r.lhs]
         lhs = [C.is_value("t", p.left.column, int(p.constant), p.left.variable) if p.is_constant and p.left.column == "n" else p for p in lhs]
         assert C.count_rules(table, C.Body.of(lhs), [P.parse(r.rhs)]).first().support == r.support

@@ -70,7 +70,7 @@ def test_cleaning(spark):
     df = spark.createDataFrame([("A - b,\tC(d)\n",), ("12-34 ab--cd 5",), ("x(aside)y 13800138000z",), ("楼12号ab3-45678901-c",)], "s string")
     s = F.col("s")
     get = lambda c: [r[0] for r in df.select(c).collect()]
-    assert get(T.clean_sentence(s))[0] == "a-b ,c ( d )"
+    assert get(T.clean_sentence(s))[0] == "a - b , c ( d )"
     assert get(T.remove_signs(s))[1] == "12-34abcd5"
     assert get(T.remove_asides(s))[2] == "xy z"
     assert get(T.letters_digits(s))[3] == "12ab345678901c" and get(T.short_codes(s))[3] == "12-ab3-c"
