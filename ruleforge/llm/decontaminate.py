@@ -9,15 +9,17 @@ bytes).  It is found in three steps:
 2. *Repeated bit sampling.*  Each of several walks is sampled at ``SAMPLED`` random places, ``SAMPLES``
    times; a window of a document and a window of an item that agree on all places of a sample are
    candidates.  Windows are sized by the items: items fall into classes by length, a class of length
-   L to 2 L has windows of L / 2 bytes, at every word of its items and at every (L / 16)th word of a
-   document, so that some two to eight windows of a document lie inside of each copy of an item.
+   L to 2 L has windows of L / 2 bytes.  They start at words, and inside of long words or text without
+   blanks at every character; all of these in items, the first one in every 3 L / 8 bytes in documents.
    ``recall()`` gives the recall of one window for a number of edits; the defaults give 0.9 for a copy
    with edits up to SHARE (measured in the tests).
 3. *Verification.*  Candidates whose whole walks are far apart in Hamming distance go, and those with
    fewer grams of five bytes in common than k edits can leave (a lossless filter); for the others the item's exact
    edit distance to the best part of the document's text around the window decides.
 
-Items under ``SHORT`` bytes are looked up exactly, as whole word sequences.  Documents are read once and
+Exact copies are all found, by the fingerprint of an item's first ``SHORT`` bytes at every byte.  Items
+under ``SHORT`` bytes are looked up exactly only, as whole word sequences (characters of scripts without
+blanks count as words).  Documents are read once and
 never shuffled.  Items are broadcast in chunks of at most ``CHUNK`` bytes; a larger benchmark takes
 several passes.
 
@@ -43,9 +45,13 @@ SHORT = 32
 CHUNK = 16 << 20
 #: Candidates whose walks differ in a greater share of their steps are dropped.
 FAR = 0.6
+#: Bytes of a word after which windows may start at every character.
+RUN = 16
 _BITS = 20
 #: Bytes of text embedded together, few enough to stay in a core's cache.
 PIECE = 1 << 18
+#: Windows of a chunk's items, each some 300 bytes of tables.
+WINDOWS = 2_000_000
 
 FOUND = "doc_id long, item_id long, distance int, item_bytes int"
 
@@ -143,23 +149,49 @@ def recall(far: float, samples: int = WALKS * SAMPLES, sampled: int = SAMPLED) -
     return 1 - (1 - (1 - far) ** sampled) ** samples
 
 
-def word_starts(text: np.ndarray, begins: np.ndarray, every: int):
-    """Starts of every `every`-th word of each text, and the number of the text."""
+def word_starts(text: np.ndarray, begins: np.ndarray):
+    """Starts of the words of each text, and the number of the text."""
     word = (text > 32) & np.concatenate([[True], text[:-1] <= 32]) if len(text) else np.zeros(0, bool)
     start = np.flatnonzero(word)
-    doc = np.searchsorted(begins, start, "right") - 1
-    number = np.arange(len(start)) - np.searchsorted(start, begins[:-1])[doc]
-    keep = number % every == 0
+    return start, np.searchsorted(begins, start, "right") - 1
+
+
+def anchors(text: np.ndarray, begins: np.ndarray, run: int, first: bool = False):
+    """Where windows may start, and the number of the text: at words, and inside of words at every character
+    from byte `run` on; `first`: at every character of a text's first word too, which other text may precede."""
+    at = np.arange(len(text))
+    word = np.maximum.accumulate(np.where(text <= 32, at + 1, 0))
+    open_ = at - word >= run
+    if first:
+        open_ |= word == begins[np.searchsorted(begins, word, "right") - 1]
+    start = np.flatnonzero((text > 32) & ((at == word) | open_ & (text & 0xC0 != 0x80)))
+    return start, np.searchsorted(begins, start, "right") - 1
+
+
+def one_in(start: np.ndarray, doc: np.ndarray, begins: np.ndarray, every: int):
+    """The first of the starts in every `every` bytes of each text."""
+    keep = B.first_of_runs(doc, (start - begins[doc]) // every)
     return start[keep], doc[keep]
 
 
+def edges(text: np.ndarray) -> np.ndarray:
+    """Places where a word may begin or end: blanks, ends of texts, and both sides of a character of a script
+    that sets no blanks (Chinese, Japanese, Thai, Lao, Khmer, Burmese)."""
+    second = np.append(text[1:], 0)
+    lead = (text >= 0xE3) & (text <= 0xE9) | (text == 0xEA) & (second < 0x93) | (text == 0xEF) & (second >= 0xBC) & (second <= 0xBE) | (text == 0xF0) & (second >= 0xA0) & (second < 0xC0)
+    lead |= (text == 0xE0) & (second >= 0xB8) & (second <= 0xBB) | (text == 0xE1) & np.isin(second, (0x80, 0x81, 0x82, 0x9E, 0x9F)) | (text == 0xE2) & (second >= 0xBA) & (second < 0xC0)
+    begins = text & 0xC0 != 0x80
+    own = lead[np.maximum.accumulate(np.where(begins, np.arange(len(text)), 0))]
+    return (text <= 32) | begins & (own | np.concatenate([[False], own[:-1]]))
+
+
 class SizeClass:
     """The hash tables of the items of size to 2 * size bytes."""
 
     def __init__(self, size: int, text: np.ndarray, begins: np.ndarray, items: np.ndarray):
-        self.size, self.every = size, max(1, size // 16)
+        self.size, self.every = size, 3 * size // 8
         self.text, self.walks = text, [Walk(size // 2, s) for s in range(WALKS)]
-        start, item = word_starts(text, begins, 1)
+        start, item = anchors(text, begins, RUN // 2, True)
         left = begins[item + 1] - 1 - start
         keep = np.isin(item, items) & (left >= size // 2)
         self.start, self.item = start[keep], item[keep]
@@ -173,9 +205,9 @@ class SizeClass:
                 hit[(B.mix(key) >> np.uint64(64 - _BITS)).astype(np.int64)] = True
                 self.tables.append((key[by], by, hit))
 
-    def candidates(self, text: np.ndarray, begins: np.ndarray):
-        """(document, place where the item would begin, item), each once."""
-        start, doc = word_starts(text, begins, self.every)
+    def candidates(self, text: np.ndarray, begins: np.ndarray, start: np.ndarray, doc: np.ndarray):
+        """(document, item, place where the item would begin), each once, from windows at some of the anchors."""
+        start, doc = one_in(start, doc, begins, self.every)
         found = []
         for w, walk in enumerate(self.walks):
             for b, key in enumerate(walk.keys(text, start)):
@@ -199,20 +231,22 @@ class SizeClass:
         if not kept:
             return np.zeros((0, 3), np.int64)
         i, j = np.concatenate(kept, 1)
-        return np.unique(np.stack([doc[i], start[i] - self.offset[j], self.item[j]], 1), axis=0)
+        return np.unique(np.stack([doc[i], self.item[j], start[i] - self.offset[j]], 1), axis=0)
 
 
 #: Length of the grams whose number in common is a lossless filter, and the bits of their codes.
 GRAM, GRAM_BITS = 5, 14
+#: Items of so many bytes have longer codes, so that few grams agree by chance.
+LONG, LONG_GRAM_BITS = 2048, 20
 
 
 def grams_of(text: np.ndarray) -> np.ndarray:
-    """A code for every GRAM bytes."""
+    """A 32-bit code for every GRAM bytes; its first bits are used."""
     n = len(text) - GRAM + 1
     code, x = np.zeros(max(n, 0), np.uint32), text.astype(np.uint32)
     for i in range(GRAM if n > 0 else 0):
         code = code * np.uint32(0x01000193) + x[i : i + n]
-    return (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - GRAM_BITS)
+    return code * np.uint32(0x9E3779B1)
 
 
 def best_distance(item: bytes, text: bytes) -> int:
@@ -260,6 +294,14 @@ class Matcher:
             if len(own):
                 self.classes.append(SizeClass(low, self.text, self.begins, own))
             low *= 2
+        #: Items that are not short by the fingerprint of their first SHORT bytes, for exact copies.
+        self.long: dict[int, list[int]] = {}
+        own = np.flatnonzero(size >= SHORT)
+        for i, key in zip(own.tolist(), B.Rolling(self.text, 21)(self.begins[own], self.begins[own] + SHORT).tolist(), strict=True):
+            self.long.setdefault(key, []).append(i)
+        self.heads = np.array(sorted(self.long), np.uint64)
+        self.head_hit = np.zeros(1 << _BITS, bool)
+        self.head_hit[(self.heads >> np.uint64(64 - _BITS)).astype(np.int64)] = True
         self.short: dict[int, dict[bytes, list[int]]] = {}
         for i in np.flatnonzero((size > 0) & (size < SHORT)).tolist():
             self.short.setdefault(len(self.items[i]), {}).setdefault(self.items[i], []).append(i)
@@ -276,28 +318,39 @@ class Matcher:
 
     def _piece(self, text, begins):
         data, best, grams = text.tobytes(), {}, grams_of(text)
+        roll = B.Rolling(text, 21)
+        if len(self.heads) and len(text) > SHORT:
+            n = len(text) - SHORT + 1
+            keys = roll(np.arange(n), np.arange(n) + SHORT)
+            some = np.flatnonzero(self.head_hit[(keys >> np.uint64(64 - _BITS)).astype(np.int64)])
+            some = some[np.isin(keys[some], self.heads)]
+            for at, key, doc in zip(some.tolist(), keys[some].tolist(), (np.searchsorted(begins, some, "right") - 1).tolist(), strict=True):
+                for item in self.long[key]:
+                    if data.startswith(self.items[item], at):
+                        best[doc, item] = 0
+        start, owner = anchors(text, begins, RUN) if self.classes else (None, None)
         for c in self.classes:
-            for doc, at, item in c.candidates(text, begins).tolist():
+            for doc, item, low, high in self._parts(c.candidates(text, begins, start, owner), begins):
                 want = self.items[item]
                 k = int(self.share * len(want))
                 if best.get((doc, item), k + 1) == 0:
                     continue
-                low, high = max(int(begins[doc]), at - k), min(int(begins[doc + 1]) - 1, at + len(want) + k)
+                bits = GRAM_BITS if len(want) < LONG else LONG_GRAM_BITS
                 if (own := self.grams.get(item)) is None:
-                    self.grams[item] = own = np.zeros(1 << GRAM_BITS, bool)
-                    own[grams_of(np.frombuffer(want, np.uint8))] = True
-                if np.count_nonzero(own[grams[low : high - GRAM + 1]]) < len(want) - GRAM + 1 - GRAM * k:
+                    self.grams[item] = own = np.zeros(1 << bits, bool)
+                    own[grams_of(np.frombuffer(want, np.uint8)) >> np.uint32(32 - bits)] = True
+                if np.count_nonzero(own[grams[low : high - GRAM + 1] >> np.uint32(32 - bits)]) < len(want) - GRAM + 1 - GRAM * k:
                     continue
                 d = best_distance(want, data[low:high])
                 if d <= k:
                     best[doc, item] = min(d, best.get((doc, item), d))
         if self.short:
-            start, doc = word_starts(text, begins, 1)
-            end_of_word = np.append(text[1:] <= 32, True) if len(text) else np.zeros(0, bool)
+            edge = edges(text)
+            start = np.flatnonzero((text > 32) & (edge | np.concatenate([[True], text[:-1] <= 32])))
+            doc = np.searchsorted(begins, start, "right") - 1
             for size, items in self.short.items():
                 fits = np.flatnonzero(start + size < begins[doc + 1])
-                fits = fits[end_of_word[start[fits] + size - 1]]
-                roll = B.Rolling(text, 21)
+                fits = fits[edge[start[fits] + size]]
                 keys = roll(start[fits], start[fits] + size)
                 own = b"".join(items)
                 known = B.Rolling(np.frombuffer(own, np.uint8), 21)(np.arange(len(items)) * size, (np.arange(len(items)) + 1) * size)
@@ -306,12 +359,35 @@ class Matcher:
                         best[int(doc[f]), item] = 0
         return [(d, i, k) for (d, i), k in sorted(best.items())]
 
+    def _parts(self, found: np.ndarray, begins: np.ndarray):
+        """(document, item, first byte, end) of the parts of documents to hold against items; parts less than
+        the allowed edits apart are one."""
+        last = None
+        for doc, item, at in found.tolist():
+            n = len(self.items[item])
+            k = int(self.share * n)
+            if last and last[:2] == (doc, item) and at - k <= last[4] + k:
+                last = (*last[:3], at + n + k, at)
+                continue
+            if last:
+                yield self._within(last, begins)
+            last = (doc, item, at - k, at + n + k, at)
+        if last:
+            yield self._within(last, begins)
+
+    @staticmethod
+    def _within(part: tuple, begins: np.ndarray) -> tuple[int, int, int, int]:
+        doc, item, low, high, _ = part
+        return doc, item, max(int(begins[doc]), low), min(int(begins[doc + 1]) - 1, high)
+
 
 def _chunks(benchmark: DataFrame) -> list[list[tuple]]:
     """The items in chunks of at most CHUNK bytes, each small enough to broadcast."""
     source = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    total = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = max(1, math.ceil(2 * total / CHUNK))
+    # at most one window for an ASCII word's last eight bytes and for every other character
+    windows = F.length(F.regexp_replace("text", "[!-~]{1,8}(?![!-~])", "."))
+    total, most = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum(windows), F.lit(0))).first()
+    n = max(1, math.ceil(2 * total / CHUNK), math.ceil(most / WINDOWS))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
     return [[(r.item_id, r.text) for r in source.where(part == i).orderBy("item_id", "text").collect()] for i in range(n)]
 

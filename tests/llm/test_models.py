@@ -141,6 +141,32 @@ def test_recall_against_brute_force(spark, sf_dir):
     assert decontaminate.recall(0.1) > 0.99
 
 
+def found_in(items, rows):
+    return {(d, i): k for d, i, k in decontaminate.Matcher(list(enumerate(items))).matches(pa.array(rows))}
+
+
+def test_exact_copies_and_texts_without_blanks():
+    r = random.Random(8)
+    scripts = ([chr(c) for c in range(0x4E00, 0x5200)], [chr(c) for c in range(0x0E01, 0x0E2F)], [chr(c) for c in range(0x3041, 0x3090)], list("acgt"))
+    for letters in scripts:
+        text = lambda n: "".join(r.choice(letters) for _ in range(n))  # noqa: B023, E731
+        items = [text(n) for n in (40, 70, 150, 400, 900)]
+        rows = [text(200) + t + text(300) for t in items]
+        assert found_in(items, rows) == {(i, i): 0 for i in range(5)}
+        near = [row.replace(t, t[: len(t) // 2] + letters[0] + t[len(t) // 2 :]) for row, t in zip(rows, items)]
+        assert set(found_in(items, near)) == {(i, i) for i in range(5)}
+    # words of many bytes: Cyrillic, Devanagari
+    for low, high, n in ((0x0430, 0x0450, 14), (0x0915, 0x0939, 10)):
+        text = lambda words: " ".join("".join(chr(r.randrange(low, high)) for _ in range(n)) for _ in range(words))  # noqa: B023, E731
+        items = [text(w) for w in (2, 3, 5, 9, 20, 40) for _ in range(10)]
+        rows = [text(30) + " " + t + " " + text(30) for t in items]
+        assert found_in(items, rows) == {(i, i): 0 for i in range(60)}
+        near = [row.replace(t, t[:-2] + t[-1]) for row, t in zip(rows, items)]
+        assert len(found_in(items, near)) >= 57
+    # a short item between characters of a script without blanks, but not inside of a word
+    assert found_in(["\u4e2d\u6587\u5b57", "cat"], ["\u65e5\u4e2d\u6587\u5b57\u672c", "concatenate", "\u65e5cat\u65e5"]) == {(0, 0): 0, (2, 1): 0}
+
+
 def test_decontamination_edges(spark, edge_docs, edge_rows, no_docs):
     shared = edge_rows[4][1].split("\n")[1]
     items = spark.createDataFrame([(1, shared), (1, shared), (2, None), (3, ""), (4, "..."), (None, "one two  THREE!"), (6, "absent words here")], "item_id long, text string").withColumn("doc_id", F.lit(0))
