@@ -9,10 +9,11 @@ bytes).  It is found in three steps:
 2. *Repeated bit sampling.*  Each of several walks is sampled at ``SAMPLED`` random places, ``SAMPLES``
    times; a window of a document and a window of an item that agree on all places of a sample are
    candidates.  Windows are sized by the items: items fall into classes by length, a class of length
-   L to 2 L has windows of L / 2 bytes.  They start at words, and inside of long words or text without
-   blanks at every character; all of these in items, the first one in every 3 L / 8 bytes in documents.
-   ``recall()`` gives the recall of one window for a number of edits; the defaults give 0.9 for a copy
-   with edits up to SHARE (measured in the tests).
+   L to 2 L has windows of L / 2 bytes, and all items of LARGEST bytes or more those of the class LARGEST,
+   so that longer items have more windows, not windows with more edits.  They start at words, and inside of long words or text without
+   blanks at every character; all of these in items, the first one in every L / 4 bytes in documents.
+   ``recall()`` gives the recall of one window for a number of edits; the defaults give over 0.9
+   for a copy with SHARE edits, in every class of length up to 4,095 bytes (asserted in the tests).
 3. *Verification.*  Candidates whose whole walks are far apart in Hamming distance go, and those with
    fewer grams of five bytes in common than k edits can leave (a lossless filter); for the others the item's exact
    edit distance to the best part of the document's text around the window decides.
@@ -40,11 +41,13 @@ from pyspark.sql import functions as F
 from . import blocks as B
 
 SHARE = 0.1
-WALKS, SAMPLES, SAMPLED = 2, 8, 6
+WALKS, SAMPLES, SAMPLED = 2, 8, 8
 SHORT = 32
+#: Windows do not grow beyond this class: a longer item has more of them, not longer ones with more edits.
+LARGEST = 64
 CHUNK = 16 << 20
 #: Candidates whose walks differ in a greater share of their steps are dropped.
-FAR = 0.6
+FAR = 0.5
 #: Bytes of a word after which windows may start at every character.
 RUN = 16
 _BITS = 20
@@ -186,10 +189,10 @@ def edges(text: np.ndarray) -> np.ndarray:
 
 
 class SizeClass:
-    """The hash tables of the items of size to 2 * size bytes."""
+    """The hash tables of the items of size to 2 * size bytes, or of all from size = LARGEST on."""
 
     def __init__(self, size: int, text: np.ndarray, begins: np.ndarray, items: np.ndarray):
-        self.size, self.every = size, 3 * size // 8
+        self.size, self.every = size, size // 4
         self.text, self.walks = text, [Walk(size // 2, s) for s in range(WALKS)]
         start, item = anchors(text, begins, RUN // 2, True)
         left = begins[item + 1] - 1 - start
@@ -289,8 +292,8 @@ class Matcher:
         self.grams: dict[int, np.ndarray] = {}
         self.classes = []
         low = SHORT
-        while len(size) and low <= size.max():
-            own = np.flatnonzero((size >= low) & (size < 2 * low))
+        while len(size) and low <= min(LARGEST, size.max()):
+            own = np.flatnonzero((size >= low) & (size < (2 * low if low < LARGEST else np.inf)))
             if len(own):
                 self.classes.append(SizeClass(low, self.text, self.begins, own))
             low *= 2

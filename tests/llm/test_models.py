@@ -167,6 +167,32 @@ def test_exact_copies_and_texts_without_blanks():
     assert found_in(["\u4e2d\u6587\u5b57", "cat"], ["\u65e5\u4e2d\u6587\u5b57\u672c", "concatenate", "\u65e5cat\u65e5"]) == {(0, 0): 0, (2, 1): 0}
 
 
+def at_distance(r, item, k):
+    """item with edits, at edit distance k exactly."""
+    s = item
+    while (d := decontaminate.best_distance(item, s)) != k:
+        if d > k:
+            s = item
+            continue
+        for _ in range(max(1, (k - d) // 2)):
+            i = r.randrange(len(s))
+            s = s[:i] + r.choice((b"", b"e", b"t", s[i : i + 1] + b"o")) + s[i + 1 :]
+        s = b" ".join(s.split())
+    return s
+
+
+def test_recall_at_the_largest_distance_by_size():
+    r = random.Random(15)
+    vocabulary = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(2, 10))) for _ in range(3000)]
+    text = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    for low, n in ((32, 150), (64, 150), (128, 100), (256, 60), (512, 40), (1024, 30), (2048, 30)):
+        items = [text(low)[: r.randrange(low, 2 * low)].strip() for _ in range(n)]
+        items = [t if len(t) >= low else t + "e" for t in items]
+        rows = [text(30) + " " + at_distance(r, t.encode(), int(decontaminate.SHARE * len(t))).decode() + " " + text(30) for t in items]
+        got = found_in(items, rows)
+        assert sum((i, i) in got for i in range(n)) >= 0.9 * n, low
+
+
 def test_decontamination_edges(spark, edge_docs, edge_rows, no_docs):
     shared = edge_rows[4][1].split("\n")[1]
     items = spark.createDataFrame([(1, shared), (1, shared), (2, None), (3, ""), (4, "..."), (None, "one two  THREE!"), (6, "absent words here")], "item_id long, text string").withColumn("doc_id", F.lit(0))
