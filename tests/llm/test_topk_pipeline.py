@@ -72,6 +72,18 @@ def test_pipeline(spark, sf_dir):
     assert decontaminate.SHARE < 1 and sizes == sorted(sizes, reverse=True)
 
 
+def test_near_duplicates_by_five_words(spark):
+    import brute
+    import corpus_pipeline as C
+
+    words = [f"w{i}" for i in range(100)]
+    near = words[:30] + ["x"] + words[31:60] + ["y"] + words[61:]  # 86 of 106 shingles of five words, 89 of 105 of four
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(words[::-1]))]
+    assert {d for d, n, c in brute.jaccard(rows) if c == d} == {1, 2, 3}
+    kept = {r.doc_id for r in C.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert kept == {d for d, n, c in brute.jaccard(rows, 5, 80) if c == d} == {1, 3}
+
+
 def test_every_query_runs(spark, sf_dir):
     from ruleforge.llm.queries import QUERIES
 
