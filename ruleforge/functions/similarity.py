@@ -13,6 +13,7 @@ import functools
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -256,59 +257,73 @@ def character_frequency(s: str) -> list[int]:
 TOKENIZERS = {"characters": list, "words": str.split, "frequency": character_frequency}
 
 
-def sift4(a: str, b: str, reach: int = 5, limit: float = 0, tokens="characters", match=lambda x, y: x == y, worth=lambda x, y: 1, length=lambda n: n, swap_cost=lambda i, j: 1, total=lambda common, swaps: common - swaps) -> int:
-    """Approximate distance: one pass over both token lists with a bounded look ahead.
+def _aligned(s: list, t: list, reach: int, same) -> Iterator[tuple[tuple[int, int] | None, int]]:
+    """Walks both token lists at once.  Yields, for each step, the pair of positions that matched (None where
+    a run of matches was broken off) and how far the walk has come; (None, 0) says that the shorter list ended.
 
-    A match opens a record of its two positions; a later match that crosses an open record is a swap.
+    Where tokens differ, the walk goes on from the nearest pair, at most `reach` ahead on one side, that matches.
     """
+    here = (0, 0)
+
+    def alive(place):
+        return place[0] < len(s) and place[1] < len(t)
+
+    while alive(here):
+        matched = here if same(s[here[0]], t[here[1]]) else None
+        if matched:
+            here = (here[0] + 1, here[1] + 1)
+        else:
+            start = min(here)
+            ahead = ((start + far * left, start + far * (1 - left)) for far in range(reach) for left in (1, 0))
+            here = next((p for p in ahead if alive(p) and same(s[p[0]], t[p[1]])), (start + 1, start + 1))
+        yield matched, max(here)
+        if not alive(here):
+            here = (min(here), min(here))
+            yield None, 0
+
+
+class _Crossings:
+    """Matches that a later one may cross.  A crossing is charged once, to the match that strays further from
+    the diagonal."""
+
+    def __init__(self):
+        self.places: list[tuple[int, int]] = []
+        self.charged: list[bool] = []
+
+    def add(self, i: int, j: int) -> tuple[int, int] | None:
+        """Takes a match in; the match that pays for a crossing, if there is one to pay for."""
+        across = next((n for n, (x, y) in enumerate(self.places) if i <= x or j <= y), None)
+        older = len(self.places) if across is None else across
+        open_ = [n for n, (x, y) in enumerate(self.places) if n >= older or i <= y or j <= x]
+        payer, own = None, False
+        if across is not None:
+            x, y = self.places[across]
+            own = abs(j - i) >= abs(y - x)
+            if own or not self.charged[across]:
+                payer = (i, j) if own else (x, y)
+            self.charged[across] = self.charged[across] or not own
+        self.places = [self.places[n] for n in open_] + [(i, j)]
+        self.charged = [self.charged[n] for n in open_] + [own]
+        return payer
+
+
+def sift4(a: str, b: str, reach: int = 5, limit: float = 0, tokens="characters", match=lambda x, y: x == y, worth=lambda x, y: 1, length=lambda n: n, swap_cost=lambda i, j: 1, total=lambda common, swaps: common - swaps) -> int:
+    """Approximate distance: the longer list's length less what one pass with a bounded look ahead finds in
+    common, runs of matches counted by `length`, crossings (swaps) by `swap_cost`.  limit: gives up there."""
     split = TOKENIZERS[tokens] if isinstance(tokens, str) else tokens
     s, t = split(a), split(b)
     if not s or not t:
         return len(s) or len(t)
-    i = j = 0
-    common = run = swaps = 0
-    open_records: list[list] = []  # [i, j, already counted as a swap]
-
-    def crosses(record) -> bool:
-        return i <= record[0] or j <= record[1]
-
-    while i < len(s) and j < len(t):
-        if match(s[i], t[j]):
-            run += worth(s[i], t[j])
-            swapped, n = False, 0
-            while n < len(open_records):
-                record = open_records[n]
-                if crosses(record):
-                    swapped = abs(j - i) >= abs(record[1] - record[0])
-                    if swapped:
-                        swaps += swap_cost(i, j)
-                    elif not record[2]:
-                        record[2] = True
-                        swaps += swap_cost(record[0], record[1])
-                    break
-                if i > record[1] and j > record[0]:
-                    del open_records[n]
-                else:
-                    n += 1
-            open_records.append([i, j, swapped])
+    crossings, common, run, swaps = _Crossings(), 0, 0, 0
+    for matched, reached in _aligned(s, t, reach, match):
+        if matched:
+            run += worth(s[matched[0]], t[matched[1]])
+            payer = crossings.add(*matched)
+            swaps += swap_cost(*payer) if payer else 0
         else:
-            common += length(run)
-            run = 0
-            i = j = min(i, j)
-            for ahead in range(reach):
-                if i + ahead < len(s) and match(s[i + ahead], t[j]):
-                    i, j = i + ahead - 1, j - 1
-                    break
-                if j + ahead < len(t) and match(s[i], t[j + ahead]):
-                    i, j = i - 1, j + ahead - 1
-                    break
-        i, j = i + 1, j + 1
-        if limit and (so_far := length(max(i, j)) - total(common, swaps)) >= limit:
+            common, run = common + length(run), 0
+        if limit and reached and (so_far := length(reached) - total(common, swaps)) >= limit:
             return round(so_far)
-        if i >= len(s) or j >= len(t):
-            common += length(run)
-            run = 0
-            i = j = min(i, j)
     return round(length(max(len(s), len(t))) - total(common + length(run), swaps))
 
 
