@@ -19,6 +19,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,26 +29,33 @@ BLOCK_BYTES = 4 << 20
 LEAST_BLOCKS, MOST_BLOCKS = 16, 4096
 #: Beyond MOST_BLOCKS blocks grow up to this size, then their number grows again.
 LARGEST_BLOCK = 64 << 20
-#: Texts are worked on in pieces of about this many bytes (a longer document is one piece).
+#: Bytes of text whose entries meet in a bucket, while there are few buckets, and at most.
+BUCKET_BYTES, LARGEST_BUCKET = 16 << 20, 1 << 30
+MOST_BUCKETS = 1024
+#: Texts are worked on in pieces of about this many bytes.
 PIECE = 1 << 20
+#: What separates words: fixed values, space and the five ASCII controls from tab to carriage return.
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 EXCHANGE_SCHEMA = "bucket int, block int, part int, payload binary"
 ANSWER_SCHEMA = "block int, bucket int, part int, answer binary"
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of a plan's size; only used to size blocks, never for a result."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > 1 << 50:  # no estimate: measure
-        text = F.sum(F.octet_length("text").cast("long"))
-        size = int(df.agg(F.coalesce(text, F.lit(0))).first()[0])
-    return max(size, 1)
+def text_bytes(df: DataFrame) -> int:
+    """Bytes of column text, counted: Catalyst's estimates multiply at joins and halve at files."""
+    return int(df.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0])
 
 
-def n_blocks(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
-    size = plan_bytes(df) * 2  # columnar files hold text at about half its size
-    n = min(max(math.ceil(size / block_bytes), LEAST_BLOCKS), MOST_BLOCKS)
-    return max(n, math.ceil(size / LARGEST_BLOCK))
+def n_blocks(size: int, block_bytes: int = BLOCK_BYTES) -> int:
+    """Number of blocks for a text of so many bytes."""
+    return max(min(max(math.ceil(size / block_bytes), LEAST_BLOCKS), MOST_BLOCKS), math.ceil(size / LARGEST_BLOCK))
+
+
+def n_buckets(size: int) -> int:
+    """Number of buckets that the entries of a text of so many bytes meet in.  A block sends a row to each, so
+    there are far fewer buckets than blocks: rows of the exchange stay few against the entries in them."""
+    return max(min(max(math.ceil(size / BUCKET_BYTES), LEAST_BLOCKS), MOST_BUCKETS), math.ceil(size / LARGEST_BUCKET))
 
 
 def blocked(df: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
@@ -94,6 +102,65 @@ def pieces(offsets: np.ndarray, size: int = PIECE):
         first = last
 
 
+def stretches(offsets: np.ndarray, overlap: int, size: int = PIECE):
+    """Runs (first, last, begin, end, stop) that cover all documents: whole documents of about ``size`` bytes, or
+    a part of a longer one.  Strings that start in [begin, end) are the run's own; it reads on up to stop, which
+    is ``overlap`` bytes further where the document goes on."""
+    for first, last in pieces(offsets, size):
+        begin, end = int(offsets[first]), int(offsets[last])
+        if last - first > 1 or end - begin <= 2 * size:
+            yield first, last, begin, end, end
+            continue
+        for at in range(begin, end, size):
+            yield first, last, at, min(at + size, end), min(at + size + overlap, end)
+
+
+def word_pieces(raw: np.ndarray, offsets: np.ndarray, size: int = PIECE):
+    """Byte ranges (begin, end) of about ``size`` bytes that cut no word: at ends of documents, or in a longer
+    document in front of a separator."""
+    at, n = 0, len(raw)
+    while at < n:
+        to = min(at + size, n)
+        if to < n:
+            whole = int(offsets[np.searchsorted(offsets, to, "right") - 1])
+            if whole > at:
+                to = whole
+            else:
+                end = int(offsets[np.searchsorted(offsets, to, "right")])
+                while to < end and not (found := SPACE[raw[to : min(to + 4096, end)]]).any():
+                    to = min(to + 4096, end)
+                to = to if to >= end else to + int(np.argmax(found))
+        yield at, to
+        at = to
+
+
+def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word and the number of its document."""
+    is_word = ~SPACE[raw]
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[offsets] = True
+    before = np.concatenate([[False], is_word[:-1]]) if len(raw) else is_word
+    after = np.concatenate([is_word[1:], [False]]) if len(raw) else is_word
+    start = np.flatnonzero(is_word & (~before | edge[:-1]))
+    end = np.flatnonzero(is_word & (~after | edge[1:])) + 1
+    doc = np.searchsorted(offsets, start, "right") - 1
+    return start, end, doc
+
+
+def coded_words(raw: np.ndarray, offsets: np.ndarray, seeds: tuple[int, ...], table: np.ndarray | None = None):
+    """Start, end and document of all words, and for each seed their codes; table maps bytes first (lower case)."""
+    found = []
+    for a, b in word_pieces(raw, offsets):
+        part = raw[a:b] if table is None else table[raw[a:b]]
+        low, high = np.searchsorted(offsets, a, "left"), np.searchsorted(offsets, b, "right")
+        inner = np.unique(np.concatenate([[0], offsets[low:high] - a, [b - a]]))
+        start, end, _ = words(part, inner)
+        found.append((start + a, end + a, *(word_codes(part, start, end, s) for s in seeds)))
+    cat = lambda i, t: np.concatenate([f[i] for f in found]) if found else np.zeros(0, t)
+    start, end = cat(0, np.int64), cat(1, np.int64)
+    return start, end, np.searchsorted(offsets, start, "right") - 1, [cat(2 + i, np.uint64) for i in range(len(seeds))]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser."""
     x = x ^ (x >> np.uint64(30))
@@ -103,28 +170,68 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_LANE = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 256
+
+
+def word_codes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit codes of words: eight bytes after eight are mixed into a state that the seed and the size begin.
+    Every step is a bijection of the state and no sum of bytes, so no pattern of repeated letters cancels out;
+    words of one size up to eight bytes never share a code."""
+    size = end - start
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(raw) + 1,), "<u8", padded.data, 0, (1,))
+    state = mix(size.astype(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF))
+    state = mix(state ^ (lanes[start] & _LANE[np.minimum(size, 8)]))
+    more, done = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+    while len(more):
+        left = size[more] - done
+        state[more] = mix(state[more] * np.uint64(0x9FB21C651E98DF25) ^ (lanes[start[more] + done] & _LANE[np.minimum(left, 8)]))
+        more, done = more[left > 8], done + 8
+    for w in np.flatnonzero(size > LONG_WORD).tolist():
+        state[w] = xxhash.xxh3_64_intdigest(raw[start[w] : end[w]].tobytes(), seed)
+    return state
+
+
+def window_keys(codes: np.ndarray, doc: np.ndarray, width: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rabin-Karp fingerprints of all windows of ``width`` words of one document (a polynomial of the words' codes
+    in an odd base), and the first word of each."""
+    n = len(codes) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    at = np.flatnonzero(doc[:n] == doc[width - 1 :])
+    key = np.zeros(n, np.uint64)
+    for i in range(width):
+        key *= np.uint64(base)
+        key += codes[i : i + n]
+    return at, mix(key[at])
+
+
 @functools.lru_cache(4)
 def _byte_codes(seed: int) -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
 
 
-_BASE = 0x5851F42D4C957F2D
-_powers: list[np.ndarray] = []
+#: Odd bases of rolling fingerprints; seeds take them in turn.
+_BASES = (0x5851F42D4C957F2D, 0xDA942042E4DD58B5)
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64."""
-    if not _powers or len(_powers[0]) < n:
+    if base not in _powers or len(_powers[base][0]) < n:
         m = max(n, PIECE + 4096)
-        _powers[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(m - 1, b, np.uint64)]), dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
-    return _powers[0], _powers[1]
+        _powers[base] = tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(m - 1, b, np.uint64)]), dtype=np.uint64) for b in (base, pow(base, -1, 1 << 64)))
+    return _powers[base]
 
 
 class Rolling:
-    """Rabin-Karp fingerprints of any span of a byte piece in constant time each."""
+    """Rabin-Karp fingerprints of any span of a byte piece in constant time each.  For spans of up to some
+    hundred bytes: words use word_codes()."""
 
     def __init__(self, raw: np.ndarray, seed: int = 0):
-        up, self.down = powers(len(raw) + 1)
+        up, self.down = powers(_BASES[seed % len(_BASES)], len(raw) + 1)
         self.sums = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum(_byte_codes(seed)[raw] * up[: len(raw)], dtype=np.uint64, out=self.sums[1:])
 
@@ -152,10 +259,14 @@ def deltas(sorted_values: np.ndarray) -> np.ndarray:
     return np.diff(sorted_values, prepend=np.uint64(0))
 
 
+@functools.lru_cache(4)
+def _edges(buckets: int) -> np.ndarray:
+    return np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
+
+
 def bucket_bounds(sorted_keys: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket begins among sorted 64-bit fingerprints; buckets are equal ranges of them."""
-    edges = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(sorted_keys, edges, "left"), [len(sorted_keys)]])
+    return np.concatenate([[0], np.searchsorted(sorted_keys, _edges(buckets), "left"), [len(sorted_keys)]])
 
 
 def frame(*blobs: bytes) -> bytes:
@@ -173,7 +284,7 @@ def unframe(data: bytes) -> list[bytes]:
 def entry_rows(block: int, part: int, buckets: int, keys: np.ndarray, *columns: np.ndarray) -> pa.Table:
     """Rows of EXCHANGE_SCHEMA for entries sorted by key, with a payload array for each of columns."""
     at = bucket_bounds(keys, buckets)
-    full = [b for b in range(buckets) if at[b] < at[b + 1]]
+    full = np.flatnonzero(np.diff(at))
     blobs = [frame(pack(deltas(keys[s])), *(pack(c[s]) for c in columns)) for s in (slice(at[b], at[b + 1]) for b in full)]
     n = len(full)
     return pa.table([pa.array(full, pa.int32()), pa.array([block] * n, pa.int32()), pa.array([part] * n, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "block", "part", "payload"])
@@ -210,9 +321,14 @@ def answers(table: pa.Table, part: int) -> np.ndarray:
     return np.concatenate([unpack(a, np.uint8) for _, a in rows]) if rows else np.zeros(0, np.uint8)
 
 
-def covered(first: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
-    """Of n places, those in any of the intervals [first, end)."""
-    return np.cumsum(np.bincount(first, minlength=n + 1) - np.bincount(end, minlength=n + 1))[:n] > 0
+def merged(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The intervals [first, end) as disjoint ones in order; those that touch or overlap are one."""
+    by = np.argsort(first, kind="stable")
+    first, reach = first[by], np.maximum.accumulate(end[by]) if len(by) else end
+    new = np.ones(len(first), bool)
+    new[1:] = first[1:] > reach[:-1]
+    last = np.append(np.flatnonzero(new)[1:] - 1, len(first) - 1) if len(first) else np.zeros(0, np.int64)
+    return first[new], reach[last]
 
 
 def first_of_runs(*sorted_arrays: np.ndarray) -> np.ndarray:

@@ -95,13 +95,12 @@ def _block_rows(block: int, buckets: int, doc_ids: list, sizes: list, numbers: l
     bucket = np.fromiter((zlib.crc32(w) % buckets for w in ordered), np.int64, len(ordered))
     by_bucket = np.argsort(bucket, kind="stable")
     at = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
-    for b in range(buckets):
+    for b in np.flatnonzero(np.diff(at)).tolist():
         mine = by_bucket[at[b] : at[b + 1]]
-        if len(mine):
-            own = [ordered[i] for i in mine.tolist()]
-            size = np.fromiter(map(len, own), np.uint32, len(own))
-            keys.append(-1 - b)
-            payloads.append(B.frame(B.pack(np.diff(mine, prepend=0).astype(np.uint32)), B.pack(size), zstandard.ZstdCompressor(level=1).compress(b"".join(own))))
+        own = [ordered[i] for i in mine.tolist()]
+        size = np.fromiter(map(len, own), np.uint32, len(own))
+        keys.append(-1 - b)
+        payloads.append(B.frame(B.pack(np.diff(mine, prepend=0).astype(np.uint32)), B.pack(size), zstandard.ZstdCompressor(level=1).compress(b"".join(own))))
     return pa.record_batch([pa.array(keys, pa.int64()), pa.array([block] * len(keys), pa.int64()), pa.array(payloads, pa.binary())], names=["key", "block", "payload"])
 
 
@@ -202,7 +201,7 @@ def encode(docs: DataFrame, path: str, pattern: str = PATTERN, digest: bool = Fa
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(vocabulary(path))
-    buckets = B.n_blocks(source, 16 << 20)
+    buckets = B.n_buckets(B.text_bytes(source))
     split = source.mapInArrow(_splitter(pattern, buckets), WORDS_SCHEMA).repartition(buckets * 2, "key")
     encoded = split.groupBy("key").applyInArrow(_encode_words(ranks, pattern), IDS_SCHEMA).repartition(buckets * 2, "block")
     return split.groupBy("key").cogroup(encoded.groupBy("block")).applyInArrow(_assemble(ranks, digest), DIGESTS if digest else IDS)

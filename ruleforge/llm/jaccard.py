@@ -39,9 +39,10 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from .graph import checkpoint, components, written
-from .substring_dedup import words
 
 WIDTH, PERCENT = 4, 85
+#: The odd base of the shingles' fingerprints.
+BASE = 0x5851F42D4C957F2D
 #: Shingles in a cell's block: 16 MB of fingerprints.
 CELL = 2_000_000
 #: Sizes among which the boundary is sought, and the cost of a heavy shingle against a light subset.
@@ -57,24 +58,19 @@ SETS = "doc_id long, row long, key long, n_shingles long, set_a long, set_b long
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles as (document, fingerprint), sorted."""
-    raw = _LOWER[raw]
-    start, end, doc = words(raw, offsets)
-    word = B.Rolling(raw, 9)(start, end) ^ (end - start).astype(np.uint64)
-    factor = B.mix(np.arange(1, width + 1, dtype=np.uint64) + np.uint64(4099)) | np.uint64(1)
+    start, _, doc, (word,) = B.coded_words(raw, offsets, (9,), _LOWER)
+    del start
+    at, key = B.window_keys(word, doc, width, BASE)
     count = np.bincount(doc, minlength=len(offsets) - 1)
-    first = np.searchsorted(doc, np.arange(len(offsets) - 1))
-    n = max(len(word) - width + 1, 0)
-    key = np.zeros(n, np.uint64)
-    for i in range(width):
-        key += word[i : i + n] * factor[i]
-    at = np.flatnonzero(doc[:n] == doc[width - 1 :]) if n else np.zeros(0, np.int64)
-    keys, docs = [B.mix(key[at])], [doc[at]]
-    for d in np.flatnonzero((count > 0) & (count < width)):  # the whole sequence is one shingle
-        own = word[first[d] : first[d] + count[d]]
-        with np.errstate(over="ignore"):
-            keys.append(B.mix(np.array([(own * factor[: len(own)]).sum(dtype=np.uint64) + np.uint64(len(own) * 7919)], np.uint64)))
-        docs.append(np.array([d]))
-    key, d = np.concatenate(keys), np.concatenate(docs)
+    short = np.flatnonzero((count > 0) & (count < width))  # the whole sequence is one shingle
+    if len(short):
+        first = np.searchsorted(doc, short)
+        own = np.zeros(len(short), np.uint64)
+        for i in range(width - 1):
+            has = count[short] > i
+            own[has] = own[has] * np.uint64(BASE) + word[first[has] + i]
+        key = np.concatenate([key, B.mix(own + B.mix(count[short].astype(np.uint64)))])
+    d = np.concatenate([doc[at], short])
     by = np.lexsort((key, d))
     by = by[B.first_of_runs(d[by], key[by])]
     return d[by], key[by]
@@ -82,13 +78,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.n
 
 def _block_sets(table: pa.Table, width: int):
     B.trim()
-    raw, offsets = B.flat(table.column("text"))
-    docs, keys = [], []
-    for a, b in B.pieces(offsets):
-        d, k = shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
-        docs.append(d + a)
-        keys.append(k)
-    return (np.concatenate(docs), np.concatenate(keys)) if docs else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    return shingle_sets(*B.flat(table.column("text")), width)
 
 
 #: Frequencies are asked for by the first 48 bits: two shingles that agree there count as one, which
@@ -154,14 +144,15 @@ def document_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -
     have too, rarest first) unless none is in the prefix, and how many of them are."""
     text = F.col("text").cast("string")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
-    n = B.n_blocks(source)
+    size = B.text_bytes(source)
+    n, buckets = B.n_blocks(size), B.n_buckets(size)
     by_block = B.blocked(source, n).groupBy("block")
 
     def ask(table: pa.Table) -> pa.Table:
         values, _, counts = _coarse_counts(_block_sets(table, width)[1])
-        return B.entry_rows(table.column("block")[0].as_py(), 1, n, values, counts)
+        return B.entry_rows(table.column("block")[0].as_py(), 1, buckets, values, counts)
 
-    said = by_block.applyInArrow(ask, B.EXCHANGE_SCHEMA).repartition(n, "bucket").groupBy("bucket").applyInArrow(B.resolver((np.uint32,), _frequency, 1), B.ANSWER_SCHEMA)
+    said = by_block.applyInArrow(ask, B.EXCHANGE_SCHEMA).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(B.resolver((np.uint32,), _frequency, 1), B.ANSWER_SCHEMA)
     return by_block.cogroup(said.repartition(n, "block").groupBy("block")).applyInArrow(_set_rows(width, percent), SETS)
 
 

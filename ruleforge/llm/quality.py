@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .substring_dedup import words
 
 SAMPLE, BAG = 3000, 32
 #: A passage ends with the first word after this many bytes.
@@ -49,7 +48,7 @@ _KIND = _table()
 def encode_passages(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Features of every passage and the number of its document; every document has one at least."""
     n_docs = len(offsets) - 1
-    start, end, doc = words(raw, offsets)
+    start, end, doc = B.words(raw, offsets)
     number = (start - offsets[doc]) // PASSAGE
     new = B.first_of_runs(doc, number)
     first = np.flatnonzero(new)
@@ -69,7 +68,7 @@ def encode_passages(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
         x[: len(first), :m] = counts / size[:, None]
         n_words = (last - first + 1).astype(float)
         length = (end - start).astype(float)
-        key = B.Rolling(raw, 5)(start, end)
+        key = B.word_codes(raw, start, end, 5)
         passage = np.cumsum(new) - 1
         again = (np.append(False, key[1:] == key[:-1]) & ~new).astype(float)
         by = np.lexsort((key, passage))

@@ -8,8 +8,9 @@ Two rounds of the packed exchange (see blocks.py):
 
 1. every distinct fingerprint of a block, cut to 48 bits, asks whether it occurs in another document at
    all (windows that only share these bits are sorted out next);
-2. only those that do ask again, with a second, independent fingerprint and the block's smallest
-   doc_id, whether a smaller doc_id has the window.  So a window is removed on 112 agreeing bits.
+2. only those that do ask again, with a second fingerprint (other codes of the words, another base) and the
+   block's smallest doc_id, whether a smaller doc_id has the window.  So a window is removed on 112 agreeing
+   bits; the words' codes are no sums of their letters (see blocks.word_codes).
 
 Defined cases: null text has no words; an empty text or one with fewer than ``width`` words loses
 nothing; a null doc_id comes after every other; rows with equal doc_id never remove each other's
@@ -29,61 +30,36 @@ from pyspark.sql import functions as F
 from . import blocks as B
 
 WIDTH = 13
-#: What separates words: fixed values, space and the five ASCII controls from tab to carriage return.
-SPACE = np.zeros(256, bool)
-SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-
+#: Seeds of the words' codes and odd bases of the two fingerprints.
+SEEDS, BASES = (1, 2), (0x5851F42D4C957F2D, 0xDA942042E4DD58B5)
 #: The bits of a fingerprint that the first round sends.
 COARSE = np.uint64(0xFFFFFFFFFFFF0000)
 
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:long,end:long>>, kept string"
 
 
-def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word and the number of its document."""
-    is_word = ~SPACE[raw]
-    edge = np.zeros(len(raw) + 1, bool)
-    edge[offsets] = True
-    before = np.concatenate([[False], is_word[:-1]]) if len(raw) else is_word
-    after = np.concatenate([is_word[1:], [False]]) if len(raw) else is_word
-    start = np.flatnonzero(is_word & (~before | edge[:-1]))
-    end = np.flatnonzero(is_word & (~after | edge[1:])) + 1
-    doc = np.searchsorted(offsets, start, "right") - 1
-    return start, end, doc
-
-
-def window_keys(raw: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray, width: int, seed: int):
-    """First word of each window inside one document, and the window's fingerprint."""
-    n = len(start) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    word = B.Rolling(raw, seed)(start, end) ^ (end - start).astype(np.uint64)
-    factor = B.mix(np.arange(1, width + 1, dtype=np.uint64) + np.uint64(977 * seed + 13)) | np.uint64(1)
-    key = np.zeros(n, np.uint64)
-    for i in range(width):
-        key += word[i : i + n] * factor[i]
-    at = np.flatnonzero(doc[:n] == doc[width - 1 :])
-    return at, B.mix(key[at])
-
-
 def _block_windows(table: pa.Table, width: int):
-    """Everything a block needs: piece-wise words and, over the block, windows with two fingerprints."""
+    """The words of a block, and its windows: first word, both fingerprints and document of each."""
     B.trim()
     raw, offsets = B.flat(table.column("text"))
-    found, one, two, doc_of, base = [], [], [], [], 0
-    for a, b in B.pieces(offsets):
-        part, off = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-        start, end, doc = words(part, off)
-        at, key = window_keys(part, start, end, doc, width, 1)
-        _, other = window_keys(part, start, end, doc, width, 2)
-        one.append(key & COARSE)
-        two.append(other)
-        doc_of.append(doc[at] + a)
-        found.append((start + offsets[a], end + offsets[a], doc + a, at + base))
-        base += len(start)
-    join = lambda k, t: np.concatenate([x[k] for x in found]) if found else np.zeros(0, t)
-    cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-    return raw, join(0, np.int64), join(1, np.int64), join(2, np.int64), join(3, np.int64), cat(one, np.uint64), cat(two, np.uint64), cat(doc_of, np.int64)
+    start, end, doc, codes = B.coded_words(raw, offsets, SEEDS)
+    at, one = B.window_keys(codes[0], doc, width, BASES[0])
+    two = B.window_keys(codes[1], doc, width, BASES[1])[1]
+    return raw, offsets, start, end, doc, at, one & COARSE, two, doc[at]
+
+
+def without(raw: np.ndarray, start: np.ndarray, end: np.ndarray, covered: np.ndarray) -> bytes:
+    """A document's words that are not covered, joined by one space; raw, start and end are its own."""
+    keep = np.flatnonzero(~covered)
+    if not len(keep):
+        return b""
+    first, last = start[keep], end[keep]
+    step = np.zeros(len(raw) + 2, np.int8)
+    step[first] += 1
+    step[last + 1] -= 1  # one separator goes with each word
+    out = raw.copy()
+    out[last[:-1]] = 0x20
+    return out[np.cumsum(step[: len(raw)], dtype=np.int8) > 0].tobytes()[: int((last - first).sum()) + len(keep) - 1]
 
 
 def _distinct(key: np.ndarray, order: np.ndarray):
@@ -132,41 +108,44 @@ def removed_words(docs: DataFrame, width: int = WIDTH, with_text: bool = False)
     """Per row of docs: doc_id, n_words, n_removed, kept_sha256, and with_text also the removed word
     intervals and the kept text (words joined by one space)."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n = B.n_blocks(source)
+    size = B.text_bytes(source)
+    n, buckets = B.n_blocks(size), B.n_buckets(size)
     text = B.blocked(source, n)
     schema = OUT if with_text else "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
     def ask_once(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
-        one = _block_windows(table, width)[5]
-        return B.entry_rows(block, 1, n, np.unique(one))
+        one = _block_windows(table, width)[6]
+        return B.entry_rows(block, 1, buckets, np.unique(one))
 
     def ask_again(key, table: pa.Table, said: pa.Table) -> pa.Table:
         order = B.order_of(table.column("doc_id"))
         *_, one, two, doc = _block_windows(table, width)
         _, (keys, low, _, _) = _round_two(one, two, order[doc], B.answers(said, 1))
-        return B.entry_rows(key[0].as_py(), 2, n, keys, low)
+        return B.entry_rows(key[0].as_py(), 2, buckets, keys, low)
 
     def finish(key, table: pa.Table, said: pa.Table) -> pa.Table:
         order = B.order_of(table.column("doc_id"))
-        raw, start, end, doc_of_word, at, one, two, doc = _block_windows(table, width)
+        raw, offsets, start, end, doc_of_word, at, one, two, doc = _block_windows(table, width)
         again, (keys, low, _, entry) = _round_two(one, two, order[doc], B.answers(said, 1))
         gone = (B.answers(said, 2) > 0)[entry] | (order[doc[again]] > low[entry]) if len(keys) else np.zeros(0, bool)
         first = at[again[gone]]
-        covered = B.covered(first, first + width, len(start))
-        data, m = raw.tobytes(), table.num_rows
+        covered = np.zeros(len(start), bool)
+        for a, b in zip(*(x.tolist() for x in B.merged(first, first + width)), strict=True):
+            covered[a:b] = True
+        m = table.num_rows
         bound = np.searchsorted(doc_of_word, np.arange(m + 1))
-        total = np.diff(bound)
-        lost = np.add.reduceat(np.append(covered, False).astype(np.int64), bound[:-1]) * (total > 0) if m else total
+        total, lost = np.diff(bound), []
         sha, kept_texts, spans = [], [], []
         for d in range(m):
             a, b = bound[d], bound[d + 1]
-            keep = np.flatnonzero(~covered[a:b]) + a
-            kept = b" ".join([data[s:e] for s, e in zip(start[keep].tolist(), end[keep].tolist(), strict=True)])
+            own = covered[a:b]
+            lost.append(int(np.count_nonzero(own)))
+            kept = without(raw[offsets[d] : offsets[d + 1]], start[a:b] - offsets[d], end[a:b] - offsets[d], own)
             sha.append(hashlib.sha256(kept).hexdigest())
             if with_text:
                 kept_texts.append(kept.decode("utf-8", "replace"))
-                c = np.diff(np.concatenate([[0], covered[a:b].astype(np.int8), [0]]))
+                c = np.diff(np.concatenate([[0], own.astype(np.int8), [0]]))
                 spans.append([{"start": int(s), "end": int(e)} for s, e in zip(np.flatnonzero(c > 0), np.flatnonzero(c < 0), strict=True)])
         out = [table.column("doc_id"), pa.array(total, pa.int64()), pa.array(lost, pa.int64()), pa.array(sha, pa.string())]
         names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
@@ -176,9 +155,9 @@ def removed_words(docs: DataFrame, width: int = WIDTH, with_text: bool = False)
         return pa.table(out, names=names)
 
     by_block = text.groupBy("block")
-    once = by_block.applyInArrow(ask_once, B.EXCHANGE_SCHEMA).repartition(n, "bucket").groupBy("bucket").applyInArrow(B.resolver((), _elsewhere, 1), B.ANSWER_SCHEMA)
+    once = by_block.applyInArrow(ask_once, B.EXCHANGE_SCHEMA).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(B.resolver((), _elsewhere, 1), B.ANSWER_SCHEMA)
     once = once.repartition(n, "block")
     again = by_block.cogroup(once.groupBy("block")).applyInArrow(ask_again, B.EXCHANGE_SCHEMA)
-    again = again.repartition(n, "bucket").groupBy("bucket").applyInArrow(B.resolver((np.int64,), _smaller, 2), B.ANSWER_SCHEMA)
+    again = again.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(B.resolver((np.int64,), _smaller, 2), B.ANSWER_SCHEMA)
     said = once.unionByName(again.repartition(n, "block"))
     return by_block.cogroup(said.groupBy("block")).applyInArrow(finish, schema)

@@ -92,3 +92,68 @@ def test_packing_round_trip():
     table = blocks.entry_rows(3, 1, 7, keys, keys.astype(np.int64))
     seen = [np.cumsum(blocks.unpack(blocks.unframe(b.as_py())[0], np.uint64), dtype=np.uint64) for b in table.column("payload")]
     assert (np.concatenate(seen) == keys).all() and max(table.column("bucket").to_pylist()) < 7
+
+
+def pattern(n, letters):
+    """The first n letters of the Thue-Morse word: it and its complement cancel out in sums of powers."""
+    return "".join(letters[i.bit_count() % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("size", [1024, 2048])
+def test_words_that_cancel_out(spark, size):
+    words = [f"w{i}" for i in range(12)]
+    rows = [(i, " ".join([*words, pattern(size, letters)])) for i, letters in enumerate(("ab", "ba"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for operator, expected in OPERATORS:
+        assert rows_of(operator(docs)) == sorted(expected(rows), key=key)
+
+
+def test_long_text_in_parts(monkeypatch):
+    """Parts of a long document give the same words and the same strings as the whole."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(9)
+    texts = [" ".join("ab"[r.randrange(2)] * r.randrange(1, 30) for _ in range(r.randrange(300))) for _ in range(30)] + ["x" * 900, "", " "]
+    raw, offsets = blocks.flat(pa.array(texts))
+    whole = blocks.words(raw, offsets)
+    for size in (50, 1000, 1 << 20):
+        parts = list(blocks.word_pieces(raw, offsets, size))
+        assert parts[0][0] == 0 and parts[-1][1] == len(raw) and all(a[1] == b[0] for a, b in zip(parts, parts[1:]))
+        found = [blocks.words(raw[a:b], np.unique(np.concatenate([[0], offsets[(offsets > a) & (offsets < b)] - a, [b - a]]))) for a, b in parts]
+        assert (np.concatenate([f[0] + a for f, (a, _) in zip(found, parts)]) == whole[0]).all()
+    want = suffix_dedup.block_contexts(raw, offsets, 100, 64)
+    monkeypatch.setattr(blocks.stretches, "__defaults__", (150,))
+    got = suffix_dedup.block_contexts(raw, offsets, 100, 64)
+    starts = lambda c: [(t, i) for t, a, b in zip(c[0].tolist(), c[1].tolist(), c[2].tolist()) for i in range(a, b + 1)]
+    assert starts(want) == starts(got)
+
+
+def test_corpus_order_gives_equal_strings_one_class():
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(10)
+    for letters in ("a", "ab", "abcdefgh "):
+        base = "".join(r.choice(letters) for _ in range(600))
+        raw, offsets = blocks.flat(pa.array([base[r.randrange(300) :] + base[: r.randrange(600)] for _ in range(10)] + [base, base]))
+        trigger, low, high, *_, triggers = suffix_dedup.block_contexts(raw, offsets, 100, 64)
+        some = np.arange(0, len(trigger), 2)
+        _, start, kind = suffix_dedup.corpus_order(raw, offsets, triggers, trigger[some], low[some], high[some], 100, 64)
+        data, by_class = raw.tobytes(), {}
+        for s, k in zip(start.tolist(), kind.tolist()):
+            assert by_class.setdefault(k, data[s : s + 100]) == data[s : s + 100]
+        assert len(set(by_class.values())) == len(by_class) and len(start) == int((high - low + 1)[some].sum())
+
+
+def test_buckets_grow_slower_than_blocks():
+    for size in (1, 10**9, 10**12, 10**14):
+        n, buckets = blocks.n_blocks(size), blocks.n_buckets(size)
+        assert 16 <= buckets <= n and size / n <= blocks.LARGEST_BLOCK
+        if n > 10**5:  # entries, one for some 32 bytes, outnumber the rows that carry them
+            assert size / 32 > 15 * n * buckets
+
+
+def test_sizes_are_measured(spark):
+    docs = spark.createDataFrame([(i, "abc") for i in range(10)], "doc_id long, text string")
+    assert blocks.text_bytes(docs.crossJoin(spark.range(3).withColumnRenamed("id", "x"))) == 90 and blocks.text_bytes(docs.limit(0)) == 0
