@@ -4,23 +4,28 @@ Tokens are tagged O, B or I (outside, begin, inside of a secret) from their shap
 words and features of the whole file; Viterbi gives the best tags.  The model is trained here, by
 maximum likelihood on generated lines with known tags (a bounded, seeded sample; no corpus row).
 
-Most tokens are plain words.  The trained weights prove that such a token is O on every best path
-(its largest possible score for B or I, over all contexts and files and with the most favourable
-transitions, is below its score for O), so best paths fall apart at them and only the runs of other
-tokens are decoded.  If the weights do not prove it, every token is decoded; results are the same.
+Most tokens are plain words.  ``plain_reach()`` derives from the fitted weights alone how far a best path can
+stay away from O over plain tokens: between two O's never, next to other tokens for fewer than K of them (a
+path that does so longer is improved by O's).  So best paths fall apart at runs of 2 K - 1 plain tokens, and
+only the other tokens with K - 1 plain neighbours on each side are decoded.  Plain words that follow a cue, a
+setting sign or a quote count as other tokens.  If the weights give no K, every token is decoded; results are
+the same (asserted in the tests).
 
 Spans of fixed rules (assignments, access ids, hex strings; see RULES) always stay; the field's spans
 are added where they do not lie inside of one.
 
 Defined cases: null or empty text has no spans; a null doc_id stays null; repeated rows are scanned
-each; other columns are ignored; an empty table gives no rows.  Very long texts are scanned whole.
+each; other columns are ignored; an empty table gives no rows.  Very long texts are scanned whole, with the
+tokens of undecided paths in memory only.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
-import math
+import heapq
+import itertools
 import random
 import re
 
@@ -39,38 +44,43 @@ KINDS = (*RULES, "crf")
 #: Any assignment holds one of these in its lower-cased text, and one of these signs.
 _HINT = re.compile(r"passw|secret|token|api_?key")
 
+#: The score of a step that cannot be.
+NEVER = -1e6
+
 SPANS = "array<struct<kind:string,start:long,end:long>>"
 OUT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 TAGS = 3  # O, B, I
 #: Words before a value that announce one; fixed values.
-CUES = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "key", "credential", "auth", "bearer")
-TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]+|[^\sA-Za-z0-9+/_.=-]+")
-#: A token that is not a plain word or sign has one of these.
-_MARK = re.compile(r"[0-9+/_=]")
+CUES = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "key", "credential", "credentials", "auth", "authorization", "bearer", "passphrase")
+TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]+")
+#: A token that is not a plain word has one of these.
+_MARK = re.compile(r"[0-9+/_=]|[a-z][A-Z]|[A-Za-z][-.]+[A-Za-z]")
+#: In front of a plain word that counts as another token: a cue, a sign that sets a value, or a quote.
+_LEAD = re.compile(rf"""(?:[:=>"'`(]|(?:{"|".join(sorted(CUES, key=len, reverse=True))})(?![A-Za-z_]))[\x20\t"'`(]*""", re.IGNORECASE)
 _INSIDE = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
 
 #: Features of a token by its shape; the first two are those of plain tokens.
-SHAPES = ("word", "sign", "short_number", "number", "dotted_number", "phone", "hex_short", "hex_long", "upper_digit", "mixed_short", "mixed_long", "path_or_name", "padded")
-BEFORE = ("cue", "setting_sign", "quote", "word", "other", "edge")
+SHAPES = ("word", "long_word", "short_number", "number", "dotted_number", "phone", "hex_short", "hex_long", "upper_digit", "mixed_short", "mixed_long", "path_or_name", "padded", "odd_case", "joined_words")
+PLAIN = 2
+BEFORE = ("cue", "cue_word", "setting_sign", "quote", "word", "other", "edge")
 AFTER = ("quote", "word", "other", "edge")
 FILE = ("has_cue", "signs", "digits")
+LONG_WORD = 8
 
 
 def shape(t: str) -> int:
-    if not _MARK.search(t):
-        return 0 if t[0] in _INSIDE else 1
     core = t.strip("=.-_")
+    if not _MARK.search(t) or not core:
+        return int(len(core) >= LONG_WORD)
     digits = sum(c.isdigit() for c in core)
-    if t[0] not in _INSIDE or not core:
-        return 1
     if re.fullmatch(r"[0-9]+", core):
         return 2 if len(core) < 10 else 3
     if re.fullmatch(r"[0-9]+([.,:/-][0-9]+)+", core):
         return 4
     if re.fullmatch(r"\+?[0-9-]+", core):
         return 5
-    if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", core):
+    if digits and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", core):
         return 6 if len(core) < 16 else 7
     if re.fullmatch(r"[A-Z0-9]+", core) and digits and len(core) >= 16:
         return 8
@@ -78,7 +88,11 @@ def shape(t: str) -> int:
         return 9 if len(core) < 16 else 10
     if len(core) >= 24 and digits >= 3 and re.search("[A-Z]", core) and re.search("[a-z]", core):
         return 10
-    return 12 if t.endswith("=") and len(core) >= 16 and digits else 11
+    if t.endswith("=") and len(core) >= 16 and digits:
+        return 12
+    if re.fullmatch("[A-Za-z]+", core):
+        return 13 if len(core) >= 12 and len(re.findall("[a-z][A-Z]", core)) >= 2 else int(len(core) >= LONG_WORD)
+    return 14 if len(core) >= 12 and re.fullmatch("[A-Za-z]+(?:[-._][A-Za-z]+)+", core) else 11
 
 
 def before(text: str, start: int) -> int:
@@ -86,16 +100,16 @@ def before(text: str, start: int) -> int:
     head = text[max(0, start - 40) : start]
     bare = head.rstrip(" \t")
     if not bare or bare.endswith("\n"):
-        return 5
+        return 6
     unquoted = bare.rstrip("\"'`(")
     sign = unquoted.rstrip(" ")
     if sign.endswith((":", "=", ">")):
         word = re.search(r"([A-Za-z_]+)[\"']?\s*[:=>]+$", sign)
-        return 0 if word and any(c in word[1].lower() for c in CUES) else 1
+        return 0 if word and any(c in word[1].lower() for c in CUES) else 2
     last = re.search(r"([A-Za-z_]+)$", sign)
-    if last and any(last[1].lower().endswith(c) for c in CUES):
-        return 0
-    return 2 if len(unquoted) < len(bare) else 3 if last else 4
+    if last and last[1].lower() in CUES:
+        return 1
+    return 3 if len(unquoted) < len(bare) else 4 if last else 5
 
 
 def after(text: str, end: int) -> int:
@@ -113,24 +127,42 @@ def file_features(text: str) -> np.ndarray:
     return np.array([bool(_HINT.search(text.lower())), min(1.0, 20 * signs / n), min(1.0, 5 * len(re.findall("[0-9]", text)) / n)], float)
 
 
-WIDTH = len(SHAPES) + len(BEFORE) + len(AFTER) + len(FILE) * len(SHAPES)
+WIDTH = len(SHAPES) * (1 + len(FILE) + len(BEFORE)) + len(BEFORE) + len(AFTER)
 
 
 def features(kind: int, prev: int, nxt: int, file: np.ndarray) -> np.ndarray:
+    """Shape, what precedes, what follows, shape with each file feature, and shape with what precedes."""
+    s, b, a, f = len(SHAPES), len(BEFORE), len(AFTER), len(FILE)
     x = np.zeros(WIDTH)
-    x[kind] = x[len(SHAPES) + prev] = x[len(SHAPES) + len(BEFORE) + nxt] = 1
-    at = len(SHAPES) + len(BEFORE) + len(AFTER) + kind * len(FILE)
-    x[at : at + len(FILE)] = file
+    x[kind] = x[s + prev] = x[s + b + nxt] = 1
+    at = s + b + a
+    x[at + kind * f : at + (kind + 1) * f] = file
+    x[at + s * f + kind * b + prev] = 1
     return x
 
 
+def parts(w: np.ndarray):
+    """The weights by what they belong to: shape, before, after, shape x file, shape x before (each x tag)."""
+    s, b, a, f = len(SHAPES), len(BEFORE), len(AFTER), len(FILE)
+    cut = np.cumsum([s, b, a, s * f])
+    own = np.split(w, cut)
+    return own[0], own[1], own[2], own[3].reshape(s, f, TAGS), own[4].reshape(s, b, TAGS)
+
+
+def score_table(w: np.ndarray, file: np.ndarray) -> list:
+    """Scores of the tags of a file's tokens, by shape, before and after."""
+    shape_, before_, after_, by_file, both = parts(w)
+    table = (shape_ + np.einsum("sft,f->st", by_file, file))[:, None, None] + before_[:, None] + after_ + both[:, :, None]
+    return table.tolist()
+
+
 # ---------------------------------------------------------------- training
 
 
 def _random_secret(r: random.Random) -> list[str]:
     alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     pick = lambda s, n: "".join(r.choice(s) for _ in range(n))
-    kind = r.randrange(7)
+    kind = r.randrange(10)
     alnum = alnum if kind != 4 else alnum + "0123456789" * 2
     if kind == 0:
         return [pick("0123456789abcdef", r.choice((24, 32, 40, 64)))]
@@ -144,7 +176,14 @@ def _random_secret(r: random.Random) -> list[str]:
         return [pick(alnum, r.randrange(20, 40))]
     if kind == 5:  # several lines or words of one key
         return [pick(alnum + "+/", 64) for _ in range(r.randrange(2, 4))]
-    return [pick(alnum, r.randrange(8, 16)) + "9x2"]
+    if kind == 6:
+        return [pick(alnum, r.randrange(8, 16)) + "9x2"]
+    if kind == 7:  # letters of both cases
+        return [pick(alnum[:52], r.randrange(20, 40)) + "aB"]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    if kind == 8:
+        return [r.choice("-._").join(pick(letters, r.randrange(4, 8)) for _ in range(r.randrange(3, 5)))]
+    return [pick(letters, r.randrange(LONG_WORD, 16))]
 
 
 def _training_text(r: random.Random) -> tuple[str, list[tuple[int, int]]]:
@@ -155,14 +194,18 @@ def _training_text(r: random.Random) -> tuple[str, list[tuple[int, int]]]:
         lambda: f"{word()}.{number(2)}@mail{number(1)}.example.org", lambda: ".".join(str(r.randrange(256)) for _ in range(4)), lambda: f"{number(4)}-{number(2)}-{number(2)}",
         lambda: f"v{number(1)}.{number(1)}.{number(2)}", lambda: f"https://www.example.org/{word()}/{number(4)}", lambda: f"{word()}_{word()}", lambda: f"{number(2)}:{number(2)}",
         lambda: f"{word()}***", lambda: f"{word()} = {number(3)}", lambda: f'{word()}: "{word()}"', lambda: f"#{number(6)}", lambda: f"{word()}/{word()}", lambda: f"ISBN {number(3)}-{number(10)}",
+        lambda: f"{r.choice(CUES)} {word()}", lambda: f"{word()} {r.choice(CUES)}s {word()}", lambda: f"the {r.choice(CUES)} {word()} {word()}", lambda: f'"{word()}-{word()}"', lambda: f"{word()}-{word()}-{word()}",
+        lambda: f"{r.choice(CUES)}: {word()[:6]}", lambda: f"{word().title()}{word().title()}", lambda: f"({word()}) {word()}", lambda: f"{word()}: {word()}{word()}", lambda: f"e.g. {word()}.{word()}",
     )
     text, spans = " ".join(word() for _ in range(r.randrange(0, 6))), []
     for _ in range(r.randrange(1, 4)):
         text += r.choice((" ", " ", "\n"))
         if r.random() < 0.5:
             secret = _random_secret(r)
-            if len(secret) == 1 and len(secret[0]) < 20 or r.random() < 0.7:
-                text += r.choice(CUES[:9]) + r.choice((" = ", ": ", "=", " := ", "\": \"", " = \"", ": '"))
+            if secret[0].isalpha() and secret[0] != secret[0].lower() and r.random() < 0.4:
+                text += r.choice(("Bearer ", "bearer ", "token "))
+            elif len(secret) == 1 and (len(secret[0]) < 20 or not re.search("[0-9]", secret[0])) or r.random() < 0.7:
+                text += r.choice(CUES) + r.choice((" = ", ": ", "=", " := ", "\": \"", " = \"", ": '", " => "))
             for i, s in enumerate(secret):
                 text += r.choice((" ", "\n")) * bool(i)
                 spans.append((len(text), len(text) + len(s), bool(i)))
@@ -186,7 +229,7 @@ def _training_set(n: int, seed: int, longest: int = 24):
         for j, m in enumerate(tokens):
             x[i, j] = features(shape(m[0]), before(text, m.start()), after(text, m.end()), file)
             for a, b, inside in spans:
-                if a < m.end() and m.start() < b:
+                if a < m.end() and m.start() < b:  # a token may hold its cue and sign as well
                     y[i, j] = 2 if inside or m.start() > a else 1
     return x, y, size
 
@@ -197,7 +240,7 @@ def _log_sum(a: np.ndarray, axis: int) -> np.ndarray:
 
 
 @functools.lru_cache(2)
-def train(n: int = 500, seed: int = 11, steps: int = 120, l2: float = 2e-4):
+def train(n: int = 900, seed: int = 11, steps: int = 150, l2: float = 1e-4):
     """Weights (features x tags) and transitions (tags x tags) by forward-backward and Adam."""
     x, y, size = _training_set(n, seed)
     n, longest, _ = x.shape
@@ -228,35 +271,105 @@ def train(n: int = 500, seed: int = 11, steps: int = 120, l2: float = 2e-4):
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.99 * second[k] + 0.01 * g * g
             value += 0.15 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
-    t[0, 2] = -1e6  # an I needs a B or I before it
-    w[:2, 1:] = -30.0  # a plain word or sign is no secret, whatever announces it
+    t[0, 2] = NEVER  # an I needs a B or I before it
     return w, t
 
 
-def plain_is_outside(w: np.ndarray, t: np.ndarray) -> bool:
-    """Whether no best path can tag a plain token other than O, whatever stands around it."""
-    gain = 2 * (max(t[a, b] for a in range(TAGS) for b in (1, 2) if t[a, b] > -1e5) - min(t[a, b] for a in range(TAGS) for b in range(TAGS) if t[a, b] > -1e5))
-    s, b, f = len(SHAPES), len(BEFORE), len(FILE)
-    worst = -math.inf
-    for kind in (0, 1):
-        for tag in (1, 2):
-            d = w[:, tag] - w[:, 0]
-            at = s + b + len(AFTER) + kind * f
-            worst = max(worst, d[kind] + d[s : s + b].max() + d[s + b : s + b + len(AFTER)].max() + np.maximum(d[at : at + f], 0).sum())
-    return worst + gain < 0
-
-
-def viterbi(scores: np.ndarray, t: np.ndarray) -> list[int]:
-    """Best tags of a run between two O's (or the ends of the text, which count as O)."""
-    best, back = t[0] + scores[0], []
-    for s in scores[1:]:
-        way = best[:, None] + t
-        back.append(way.argmax(0))
-        best = way.max(0) + s
-    tags = [int((best + t[:, 0]).argmax())]
-    for b in reversed(back):
-        tags.append(int(b[tags[-1]]))
-    return tags[::-1]
+def plain_reach(w: np.ndarray, t: np.ndarray) -> tuple[frozenset[int], int | None]:
+    """The classes of `before` in which a plain token may be other than O between O's, and the least K such that
+    a best path stays away from O over fewer than K plain tokens of the other classes in a row; K is None where
+    the weights do not show one.  File features lie between 0 and 1."""
+    shape_, before_, after_, by_file, both = parts(w)
+    scores = shape_[:PLAIN, None, None] + before_[:, None] + after_ + both[:PLAIN, :, None]  # shape, before, after, tag
+    over = lambda tag, other: (scores[..., tag] - scores[..., other] + np.minimum(by_file[:PLAIN, :, tag] - by_file[:PLAIN, :, other], 0).sum(1)[:, None, None]).min((0, 2))  # noqa: E731  least, by class
+    margin = np.minimum(over(0, 1), over(0, 2))
+    within = t[1:, 1:].max()  # best step between B and I
+    best_out = max(t[1, 0], t[2, 0])
+    # a stretch of plain tokens between O's: the first is B, each further one costs its margin and a step
+    between = margin + 2 * t[0, 0] - t[0, 1] - best_out
+    open_ = frozenset(np.flatnonzero((between <= 0) | (margin + t[0, 0] - within < 0)).tolist())
+    closed = [c for c in range(len(BEFORE)) if c not in open_]
+    if open_ - {0, 1, 2, 3} or not closed:  # such tokens are not found by what leads to them
+        return open_, None
+    step = margin[closed].min() + t[0, 0] - within
+    change = min(0.0, over(1, 2)[closed].min())  # the last of them as B instead of I
+    enter = min(t[a, 0] - max(t[a, x] for x in (1, 2)) for a in range(TAGS))
+    leave = min(t[1, b] - max(t[x, b] for x in (1, 2)) for b in range(TAGS))
+    fixed = margin[closed].min() + enter + leave + t[0, 1] - within + change  # one token, both ends, and the step back to B
+    for k in range(2, 13):
+        if fixed + (k - 2) * step > 0:
+            return open_, k
+    return open_, None
+
+
+class Decoder:
+    """Viterbi over a run of tokens between two O's (or the ends of the text, which count as O).  Paths are
+    decided as soon as all of them agree, so that a run of any length needs little memory."""
+
+    def __init__(self, t: list, found: list, every: int = 2048):
+        self.t, self.found, self.every = t, found, every
+        self.best, self.back, self.spans = None, [], []
+
+    def add(self, a: int, b: int, scores) -> None:
+        t = self.t
+        if self.best is None:
+            self.best = [t[0][x] + scores[x] for x in range(TAGS)]
+        else:
+            o, p, q = self.best
+            best, back = [], []
+            for x in range(TAGS):
+                u, v, w = o + t[0][x], p + t[1][x], q + t[2][x]
+                if u >= v and u >= w:
+                    best.append(u + scores[x])
+                    back.append(0)
+                elif v >= w:
+                    best.append(v + scores[x])
+                    back.append(1)
+                else:
+                    best.append(w + scores[x])
+                    back.append(2)
+            self.best = best
+            self.back.append(back)
+        self.spans.append((a, b))
+        if len(self.spans) >= self.every and len(self.spans) % self.every == 0:
+            self._settle()
+
+    def _settle(self) -> None:
+        now, n = {0, 1, 2}, len(self.spans) - 1
+        while n > 0 and len(now) > 1:
+            now, n = {self.back[n - 1][x] for x in now}, n - 1
+        if len(now) == 1:
+            self._emit(n, now.pop())
+            self.back, self.spans = self.back[n + 1 :], self.spans[n + 1 :]
+
+    def _emit(self, n: int, tag: int) -> None:
+        """Tags of tokens 0 to n, the last of them known."""
+        tags = [tag]
+        for i in range(n, 0, -1):
+            tags.append(self.back[i - 1][tags[-1]])
+        for (a, b), x in zip(self.spans, reversed(tags), strict=False):
+            if x == 1:
+                self.found.append([a, b])
+            elif x == 2:
+                self.found[-1][1] = b
+
+    def close(self) -> None:
+        if self.spans:
+            end = [s + self.t[x][0] for x, s in enumerate(self.best)]
+            self._emit(len(self.spans) - 1, end.index(max(end)))
+
+
+def viterbi(scores, t, every: int = 2048) -> list[int]:
+    """Best tags of a run."""
+    found: list = []
+    run = Decoder(np.asarray(t).tolist(), found, every)
+    for i, s in enumerate(np.asarray(scores).tolist()):
+        run.add(i, i + 1, s)
+    run.close()
+    tags = [0] * len(scores)
+    for a, b in found:
+        tags[a:b] = [1] + [2] * (b - a - 1)
+    return tags
 
 
 # ---------------------------------------------------------------- scanning
@@ -272,48 +385,61 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def _marked_tokens(text: str):
-    """Tokens with a mark, i.e. those that are not plain, found from their marks."""
-    end = 0
-    for m in _MARK.finditer(text):
-        if m.start() >= end:
-            start = m.start()
-            while start > end and text[start - 1] in _INSIDE:
-                start -= 1
-            end = m.end()
-            while end < len(text) and text[end] in _INSIDE:
-                end += 1
-            yield start, end
-
-
-def field_spans(text: str, w: np.ndarray, t: np.ndarray, pruned: bool) -> list[tuple[int, int]]:
-    """Secrets by the field: B I* spans, end exclusive."""
-    tokens = list(_marked_tokens(text) if pruned else (m.span() for m in TOKEN.finditer(text)))
-    if not tokens:
+def _other_places(text: str):
+    """Places, in order, that make the token that holds them, or starts there, another one than plain."""
+    marks, leads = (m.start() for m in _MARK.finditer(text)), (m.end() for m in _LEAD.finditer(text))
+    return heapq.merge(marks, leads)
+
+
+def field_spans(text: str, w: np.ndarray, t: np.ndarray, open_: frozenset = frozenset(), k: int | None = None) -> list[tuple[int, int]]:
+    """Secrets by the field: B I* spans, end exclusive.  open_ and k are those of plain_reach()."""
+    table, found = None, []
+    steps = t.tolist()
+    run, waiting = None, []  # plain tokens that no run has taken yet
+    places = _other_places(text) if k else iter(())
+    place = next(places, None)
+
+    def take(tokens):
+        nonlocal table
+        if table is None:
+            table = score_table(w, file_features(text))
+        for a, b in tokens:
+            run.add(a, b, table[shape(text[a:b])][before(text, a)][after(text, b)])
+
+    if k and place is None:
         return []
-    file = file_features(text)
-    spans, run = [], []
-
-    def decode():
-        scores = np.stack([features(shape(text[a:b]), before(text, a), after(text, b), file) for a, b in run]) @ w
-        for (a, b), tag in zip(run, viterbi(scores, t), strict=True):
-            if tag == 1:
-                spans.append([a, b])
-            elif tag == 2:
-                spans[-1][1] = b
-
-    for a, b in tokens:
-        if run and pruned and text[run[-1][1] : a].strip():
-            decode()
-            run = []
-        run.append((a, b))
-    decode()
-    return [(a, b) for a, b in spans]
-
-
-def all_spans(text: str, w: np.ndarray, t: np.ndarray, pruned: bool) -> list[tuple[str, int, int]]:
+    for m in TOKEN.finditer(text):
+        a, b = m.span()
+        if k:
+            while place is not None and place < a:
+                place = next(places, None)
+            if place is None or place >= b:
+                waiting.append((a, b))
+                if run is None:
+                    if len(waiting) >= k:
+                        del waiting[0]
+                elif len(waiting) > 2 * (k - 1):  # an O is among them: the run ends
+                    take(waiting[: k - 1])
+                    run.close()
+                    run, waiting = None, waiting[len(waiting) - k + 1 :]
+                continue
+        if run is None:
+            run = Decoder(steps, found)
+        take(waiting)
+        take([(a, b)])
+        waiting = []
+    if run is not None:
+        take(waiting)
+        run.close()
+    return [(a, b) for a, b in found]
+
+
+def all_spans(text: str, w: np.ndarray, t: np.ndarray, open_: frozenset, k: int | None) -> list[tuple[str, int, int]]:
     base = base_spans(text)
-    more = [("crf", a, b) for a, b in field_spans(text, w, t, pruned) if not any(s <= a and b <= e for _, s, e in base)]
+    more = [("crf", a, b) for a, b in field_spans(text, w, t, open_, k)]
+    ends, reach = [s for _, s, _ in base], list(itertools.accumulate((e for _, _, e in base), max))
+    # base spans go by start: one holds (a, b) if it starts by a and ends by b or later
+    more = [x for x in more if not ((n := bisect.bisect_right(ends, x[1])) and reach[n - 1] >= x[2])]
     return sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
@@ -321,9 +447,10 @@ def _listed(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
+@functools.lru_cache(1)
 def _model():
     w, t = train()
-    return w, t, plain_is_outside(w, t)
+    return w, t, *plain_reach(w, t)
 
 
 def scan(docs: DataFrame, digest: bool = False) -> DataFrame:
@@ -331,9 +458,8 @@ def scan(docs: DataFrame, digest: bool = False) -> DataFrame:
     model = _model()  # fitted on the driver: a few thousand numbers
 
     def run(batches):
-        w, t, pruned = model
         for batch in batches:
-            found = [all_spans(x.as_py() or "", w, t, pruned) for x in batch.column(1)]
+            found = [all_spans(x.as_py() or "", *model) for x in batch.column(1)]
             if digest:
                 base = [[s for s in f if s[0] != "crf"] for f in found]
                 count = lambda kind: pa.array([sum(s[0] == kind for s in b) for b in base], pa.int64())  # noqa: B023, E731
