@@ -1,9 +1,10 @@
 """Chat formatting by token-level assembly (operator 9).
 
-Every turn is ``header text </turn>\\n``.  Texts are encoded by themselves; headers and the turn's end
+Every turn is ``header text \\n</turn>\\n``.  Texts are encoded by themselves; headers and the turn's end
 are reserved ids above the vocabulary, spliced between, so no text can spell a control token.  In the
 formatted string the same control strings are kept apart by escapes: in a text, each control string
-gets one more backslash before the backslashes that already precede it, and reading takes one away.
+gets one more backslash before the backslashes that already precede it, and reading takes one away.  The
+template's own control strings stand at the beginning of a line, so no text's last backslash precedes one.
 A turn's place in its conversation and the loss mask (the tokens of assistant texts) are prefix sums of
 segment lengths.
 
@@ -19,9 +20,9 @@ comes first; turns with equal numbers go by role, then text; repeated rows count
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,8 @@ from .bpe import PATTERN, encoder, vocabulary
 CONTROL = ("### System: ", "### User: ", "### Assistant: ", "### Role: ", "<|text|>", "</turn>")
 ROLES = {"system": 0, "user": 1, "assistant": 2}
 OTHER, TEXT, END = 3, 4, 5
-CLOSE = CONTROL[END] + "\n"
+CLOSE = f"\n{CONTROL[END]}\n"
+SPLIT = f"\n{CONTROL[TEXT]}"
 _CONTROL = "|".join(map(re.escape, CONTROL))
 _PLAIN = re.compile(rf"(\\*)({_CONTROL})")
 _ESCAPED = re.compile(rf"\\(\\*)({_CONTROL})")
@@ -43,16 +45,16 @@ DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss
 
 
 def escape(text: str) -> str:
-    return _PLAIN.sub(r"\\\1\2", text)
+    return _PLAIN.sub(r"\\\1\2", text) if "###" in text or "</turn>" in text or "<|text|>" in text else text
 
 
 def unescape(text: str) -> str:
-    return _ESCAPED.sub(r"\1\2", text)
+    return _ESCAPED.sub(r"\1\2", text) if "\\" in text else text
 
 
 def formatted(role: str, text: str) -> str:
     """The turn as a string."""
-    head = CONTROL[ROLES[role]] if role in ROLES else CONTROL[OTHER] + escape(role) + CONTROL[TEXT]
+    head = CONTROL[ROLES[role]] if role in ROLES else CONTROL[OTHER] + escape(role) + SPLIT
     return head + escape(text) + CLOSE
 
 
@@ -62,28 +64,41 @@ def read_string(turn: str) -> tuple[str, str]:
     body = turn[len(first) : -len(CLOSE)]
     if first != CONTROL[OTHER]:
         return next(r for r, i in ROLES.items() if CONTROL[i] == first), unescape(body)
-    at = next(m.end() for m in re.finditer(rf"(?<!\\){re.escape(CONTROL[TEXT])}", body))
-    return unescape(body[: at - len(CONTROL[TEXT])]), unescape(body[at:])
+    role, text = body.split(SPLIT, 1)
+    return unescape(role), unescape(text)
 
 
-def turn_tokens(encode, first_reserved: int, role: str, text: str) -> tuple[list[int], int, int]:
-    """Ids of a turn, and where its text's tokens begin and end, by prefix sums of the segments."""
+def read_conversation(text: str) -> list[tuple[str, str]]:
+    """Role and text of all turns of a formatted conversation; only a turn's end spells CLOSE."""
+    return [read_string(turn + CLOSE) for turn in text.split(CLOSE)[:-1]]
+
+
+def turn_tokens(encode, first_reserved: int, role: str, text: str) -> tuple[list[int], int, int, int]:
+    """Ids of a turn, where its text's tokens begin and end, by prefix sums of the segments, and the length of its
+    string."""
+    said = escape(text)
     if role in ROLES:
-        segments = [[first_reserved + ROLES[role]]]
+        segments, chars = [[first_reserved + ROLES[role]]], len(CONTROL[ROLES[role]])
     else:
-        segments = [[first_reserved + OTHER], encode(escape(role)), [first_reserved + TEXT]]
-    segments += [encode(escape(text)), [first_reserved + END]]
-    sums = np.cumsum([len(s) for s in segments])
-    return [i for s in segments for i in s], int(sums[-3]), int(sums[-2])
+        name = escape(role)
+        segments, chars = [[first_reserved + OTHER], encode(name), [first_reserved + TEXT]], len(CONTROL[OTHER]) + len(name) + len(SPLIT)
+    segments += [encode(said), [first_reserved + END]]
+    sums = list(itertools.accumulate(map(len, segments)))
+    return list(itertools.chain.from_iterable(segments)), sums[-3], sums[-2], chars + len(said) + len(CLOSE)
+
 
+_ROLE_OF = {i: r for r, i in ROLES.items()}
 
-def read_tokens(decode, first_reserved: int, ids: list[int]) -> tuple[str, str]:
-    """Role and text of a turn, from its ids."""
+
+def read_tokens(decode, first_reserved: int, ids: list[int], begin: int = 0, end: int = 0) -> tuple[str, str]:
+    """Role and text of a turn, from its ids; the text by the loss mask's span [begin, end) where that is one."""
     head = ids[0] - first_reserved
     if head == OTHER:
         at = ids.index(first_reserved + TEXT)
-        return unescape(decode(ids[1:at])), unescape(decode(ids[at + 1 : -1]))
-    return next(r for r, i in ROLES.items() if i == head), unescape(decode(ids[1:-1]))
+        role, rest = unescape(decode(ids[1:at])), slice(at + 1, -1)
+    else:
+        role, rest = _ROLE_OF[head], slice(1, -1)
+    return role, unescape(decode(ids[slice(begin, end) if end > begin else rest]))
 
 
 def format_turns(conversations: DataFrame, path: str, pattern: str = PATTERN) -> DataFrame:
@@ -98,11 +113,11 @@ def format_turns(conversations: DataFrame, path: str, pattern: str = PATTERN) ->
         for batch in batches:
             ids, begin, end, chars = [], [], [], []
             for role, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                own, a, b = turn_tokens(coder.encode_ordinary, first, role, text)
+                own, a, b, n = turn_tokens(coder.encode_ordinary, first, role, text)
                 ids.append(own)
                 begin.append(a)
                 end.append(b if role == "assistant" else a)
-                chars.append(len(formatted(role, text)))
+                chars.append(n)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(begin, pa.int32()), pa.array(end, pa.int32()), pa.array(chars, pa.int64())], names=["conv_id", "turn", "ids", "loss_start", "loss_end", "chars"])
 
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
@@ -119,11 +134,10 @@ def read_turns(turns: DataFrame, path: str, pattern: str = PATTERN) -> DataFrame
         first = coder.max_token_value + 1
         decode = lambda ids: coder.decode_bytes(ids).decode()
         for batch in batches:
-            rows = batch.to_pydict()
-            said = [read_tokens(decode, first, ids) for ids in rows["ids"]]
-            text = [unescape(decode(ids[a:b])) if b > a else t for (_, t), ids, a, b in zip(said, rows["ids"], rows["loss_start"], rows["loss_end"], strict=True)]
+            every = [batch.column(i).to_pylist() for i in (2, 3, 4)]
+            said = [read_tokens(decode, first, ids, a, b) for ids, a, b in zip(*every, strict=True)]
             loss = [r == "assistant" for r, _ in said]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([r for r, _ in said], pa.string()), pa.array(text, pa.string()), pa.array(loss), pa.array(map(len, rows["ids"]), pa.int64()), batch.column(5)], names=["conv_id", "turn", "role", "text", "loss", "n_tokens", "chars"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([r for r, _ in said], pa.string()), pa.array([t for _, t in said], pa.string()), pa.array(loss), pa.array(map(len, every[0]), pa.int64()), batch.column(5)], names=["conv_id", "turn", "role", "text", "loss", "n_tokens", "chars"])
 
     return turns.mapInArrow(run, READ)
 

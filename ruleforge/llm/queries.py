@@ -133,7 +133,7 @@ ORACLE_SQL: dict[str, str] = {
           SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
           UNION ALL SELECT -7, t, CASE t WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) AS r(t)),
         e AS (
-          SELECT *, length(regexp_replace(text, '(\\*)(### System: |### User: |### Assistant: |### Role: |<\|text\|>|</turn>)', '\\\1\2', 'g')) + 8
+          SELECT *, length(regexp_replace(text, '(\\*)(### System: |### User: |### Assistant: |### Role: |<\|text\|>|</turn>)', '\\\1\2', 'g')) + 9
             + length(CASE role WHEN 'system' THEN '### System: ' WHEN 'user' THEN '### User: ' WHEN 'assistant' THEN '### Assistant: ' END) AS chars FROM c)
         SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
           CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,

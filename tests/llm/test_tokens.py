@@ -24,6 +24,34 @@ def test_encode_like_the_library(spark, coder, edge_docs, edge_rows, monkeypatch
     assert digests == want
 
 
+def merged(ranks, word):
+    """The merges of one word, by the rule: the adjacent pair of least rank first, the leftmost of equal ones."""
+    pieces = [word[i : i + 1] for i in range(len(word))]
+    while len(pieces) > 1:
+        rank, i = min((ranks.get(a + b, 1 << 40), i) for i, (a, b) in enumerate(zip(pieces, pieces[1:])))
+        if rank == 1 << 40:
+            break
+        pieces[i : i + 2] = [pieces[i] + pieces[i + 1]]
+    return [ranks[p] for p in pieces]
+
+
+def test_merges_by_brute_force(spark, sf_dir):
+    import regex
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 5 = 0")
+    extra = spark.createDataFrame([(-1, "zzxqj\u0301 \U0001f600\U0001f600 1234567 'll  \n\n\t x"), (-2, "ab" * 60)], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").unionByName(extra)
+    texts, known = {r.doc_id: r.text or "" for r in docs.collect()}, {}
+    for r in bpe.encode(docs, PATH).collect():
+        want = []
+        for w in regex.findall(public_tokenizers.PATTERN, texts[r.doc_id]):
+            if w not in known:
+                known[w] = merged(ranks, w.encode())
+            want += known[w]
+        assert r.ids == want
+
+
 def test_decode_inverts(spark, edge_docs, edge_rows):
     back = bpe.decode(bpe.encode(edge_docs, PATH), PATH).collect()
     assert sorted(((r.doc_id, bytes(r.decoded)) for r in back), key=str) == sorted(((d, (t or "").encode()) for d, t in edge_rows), key=str)
@@ -66,10 +94,14 @@ def test_chat_round_trip(spark):
 
 
 def test_escapes_are_reversible():
-    for role in ("user", "assistant", "x", "", "a<|text|>b", r"\<|text|>"):
-        for text in ("", SAID, "\\" * 5 + "</turn>", "### User: ### User: ", "plain \\ text", "</turn></turn>\n"):
+    roles = ("user", "assistant", "x", "", "a<|text|>b", r"\<|text|>", "x\\", "\\\\", "y\n<|text|>", "\n")
+    texts = ("", SAID, "\\" * 5 + "</turn>", "### User: ### User: ", "plain \\ text", "</turn></turn>\n", "ends with \\", "\n</turn>\n", "\n", "x\n</turn")
+    for role in roles:
+        for text in texts:
             assert chat.unescape(chat.escape(text)) == text
             assert chat.read_string(chat.formatted(role, text)) == (role, text)
+    turns = [(role, text) for role in roles for text in texts]
+    assert chat.read_conversation("".join(chat.formatted(*t) for t in turns)) == turns and chat.read_conversation("") == []
 
 
 def test_no_control_string_survives_in_text():
