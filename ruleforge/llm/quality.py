@@ -4,12 +4,13 @@ A document is a bag of passages.  Every passage is encoded (numbers about its ch
 repetition, then one hidden layer); gated attention weighs the passages, and the weighted passage
 representation is scored.  Only documents have labels: the attention is learned through them.
 
-The model is fitted on the driver from at most ``SAMPLE`` labelled documents with at most ``BAG``
-passages each, spread evenly over the text (documented bounds; the sample is the rows with the least
-hash of doc_id).  Scoring encodes every passage of every document.
+The model is fitted on the driver from a bounded sample of labelled rows: those with the least hash of doc_id,
+at most ``SAMPLE`` of them and only as many as hold ``PASSAGES`` passages together (documented bounds).  Each
+takes part with all its passages.  Scoring encodes every passage of every document.
 
 Defined cases: null or empty text is a bag of one empty passage and gets a score too; a null doc_id is
-scored and not held out; labels that are null or not 0 or 1 teach nothing, repeated ones count each;
+scored and not held out; labels that are null or not 0 or 1 teach nothing, repeated ones count each; of rows
+with equal doc_id one teaches (that with the least hash of its text);
 without labels of both kinds every score is the share of label 1 (0.5 without labels); repeated rows
 are scored each; other columns are no input of a score; an empty table gives no rows.
 """
@@ -18,12 +19,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks as B
 
-SAMPLE, BAG = 3000, 32
+SAMPLE, PASSAGES = 3000, 40_000
 #: A passage ends with the first word after this many bytes.
 PASSAGE = 600
 HIDDEN, GATE, STEPS, RATE, DECAY = 16, 8, 250, 0.02, 1e-4
@@ -121,25 +122,30 @@ class Attention:
         z = np.add.reduceat(a[:, None] * h, at, axis=0)
         return h, v, u, a, z, 1 / (1 + np.exp(-np.clip(z @ p["c"] + p["d"][0], -30, 30))), at
 
+    def gradient(self, x: np.ndarray, owner: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean weighted cross entropy by every parameter."""
+        p = self.p
+        h, v, u, a, z, score, at = self.forward(x, owner, len(y))
+        d = weight * (score - y) / len(y)
+        dz = (d[:, None] * p["c"])[owner]
+        da = (dz * h).sum(1)
+        ds = a * (da - np.add.reduceat(a * da, at)[owner])
+        dv, du = ds[:, None] * p["w"] * u * (1 - v * v), ds[:, None] * p["w"] * v * u * (1 - u)
+        dh = (a[:, None] * dz + dv @ p["V"].T + du @ p["U"].T) * (1 - h * h)
+        return {"A": self.scaled(x).T @ dh, "b": dh.sum(0), "V": h.T @ dv, "U": h.T @ du, "w": (v * u).T @ ds, "c": z.T @ d, "d": np.array([d.sum()])}
+
     def fit(self, x: np.ndarray, owner: np.ndarray, y: np.ndarray) -> Attention:
         self.constant = float(y.mean()) if len(y) else 0.5
         if len(np.unique(y)) < 2:
             return self
         self.constant = None
         self.mean, self.scale = x.mean(0).astype(float), x.std(0).astype(float) + 1e-3
-        p, n = self.p, len(y)
+        p = self.p
         weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
         weight = 0.5 * weight + 0.5  # half way to balance, so that 0.5 stays near the even odds
         first, second = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
         for step in range(1, STEPS + 1):
-            h, v, u, a, z, score, at = self.forward(x, owner, n)
-            d = weight * (score - y) / n
-            dz = (d[:, None] * p["c"])[owner]
-            da = (dz * h).sum(1)
-            ds = a * (da - np.add.reduceat(a * da, at)[owner])
-            dv, du = ds[:, None] * p["w"] * u * (1 - v * v), ds[:, None] * p["w"] * v * u * (1 - u)
-            dh = (a[:, None] * dz + dv @ p["V"].T + du @ p["U"].T) * (1 - h * h)
-            g = {"A": self.scaled(x).T @ dh, "b": dh.sum(0), "V": h.T @ dv, "U": h.T @ du, "w": (v * u).T @ ds, "c": z.T @ d, "d": np.array([d.sum()])}
+            g = self.gradient(x, owner, y, weight)
             for k in p:
                 grad = g[k] + DECAY * p[k]
                 first[k] = 0.9 * first[k] + 0.1 * grad
@@ -160,23 +166,23 @@ def held_out(doc_id="doc_id"):
 def _pool(batches):
     for batch in batches:
         x, owner = _features(batch.column(0))
-        rows = []
-        for d in range(batch.num_rows):
-            own = x[np.searchsorted(owner, d) : np.searchsorted(owner, d + 1)]
-            if len(own) > BAG:
-                own = own[np.linspace(0, len(own) - 1, BAG).astype(int)]
-            rows.append(own.astype("<f4").tobytes())
-        yield pa.record_batch([batch.column(1), pa.array(rows, pa.binary())], names=["quality", "x"])
+        bound = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+        rows = [x[a:b].astype("<f4").tobytes() for a, b in zip(bound, bound[1:], strict=False)]
+        yield pa.record_batch([batch.column(1), batch.column(2), pa.array(np.diff(bound), pa.int64()), pa.array(rows, pa.binary())], names=["quality", "place", "passages", "x"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Attention:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, passages: int = PASSAGES) -> Attention:
     """The model from a bounded sample of the labelled rows that are not held out."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     usable = usable.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out())
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "quality", "doc_id")  # `sample` pairs of numbers
-    rows = rows.mapInArrow(_pool, "quality int, x binary").orderBy("x", "quality").limit(4 * sample).collect()
+    wanted = texts.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")  # `sample` numbers at most
+    one = wanted.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least")).select("doc_id", "least.text")
+    rows = one.join(F.broadcast(chosen), "doc_id").select("text", "quality", F.struct(F.xxhash64("doc_id"), "doc_id", "quality").alias("place"))
+    rows = rows.mapInArrow(_pool, "quality int, place struct<h:long,doc_id:long,quality:int>, passages long, x binary")
+    upto = F.sum("passages").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0))  # `sample` rows at most
+    rows = rows.withColumn("upto", upto).where(F.col("upto") <= passages).orderBy("place").select("quality", "x").collect()
     bags = [np.frombuffer(r.x, "<f4").reshape(-1, N_FEATURES) for r in rows]
     y = np.array([r.quality for r in rows], float)
     x = np.concatenate(bags) if bags else np.zeros((0, N_FEATURES), np.float32)

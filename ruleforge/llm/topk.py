@@ -1,7 +1,9 @@
 """Exact top-k search by columnar branch-and-bound (operator 5).
 
 Query rows and candidate rows are dealt to the cells of a grid, so that neither side has to fit in one
-place: a cell holds a bounded block of queries and a bounded block of candidates.  In a cell the
+place: a cell holds a bounded block of queries and a bounded block of candidates.  The cells of the first
+block of candidates are searched first; the k-th best score that each query finds there goes with it into all
+other cells as a bound that no result may fall below.  In a cell the
 candidates lie in vertical layout, one array per dimension.  For each query the dimensions are taken
 in blocks, heaviest first; a candidate's score so far plus (or minus) the product of both remaining
 masses bounds its final score from above (below), so candidates whose upper bound is below the k-th
@@ -13,7 +15,8 @@ Scores are exact integers: float64 holds every partial sum while the largest pos
 
 Defined cases: a vector that is null or has a null or non-finite component takes no part, nor has a
 null id; vectors meet only vectors of their own length (an empty one scores 0 with another empty one);
-rows with the query's vec_id are its own; further repeated ids are separate candidates; fewer than k
+a query is a vec_id, and rows with it are its own; if several rows have it, the k best are taken of the pairs
+of each of them with every candidate; candidates with equal ids are separate rows; fewer than k
 candidates are all returned; other columns are ignored; an empty table gives no rows.
 """
 
@@ -26,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import checkpoint
+
 QUERY_BLOCK = 2048
 CANDIDATE_BLOCK = 8192
 DIMENSIONS = 8
@@ -33,6 +38,8 @@ SCALE = 256
 LONG = (1 << 63) - 1
 
 FOUND = "query_id long, query_row long, vec_id long, score long"
+#: A bound that excludes nothing.
+NONE = -LONG - 1
 
 
 def _matrix(column) -> tuple[np.ndarray, np.ndarray]:
@@ -51,8 +58,9 @@ def _mass(m: np.ndarray, blocks: list[np.ndarray]) -> np.ndarray:
     return np.sqrt(left) * (1 + 1e-12)
 
 
-def best_of_cell(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int):
-    """For each query the positions and scores of its k best rows, branch-and-bound by dimensions."""
+def best_of_cell(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, least: np.ndarray):
+    """For each query the positions and scores of its k best rows that score `least` or more, branch-and-bound by
+    dimensions."""
     n, d = rows.shape
     weight = np.abs(rows).mean(0) * np.abs(queries).mean(0) if n and len(queries) else np.zeros(d)
     order = np.argsort(-weight, kind="stable")
@@ -68,16 +76,14 @@ def best_of_cell(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, i
         return
     vertical = np.ascontiguousarray(rows.T)
     row_mass, query_mass = _mass(rows, blocks), _mass(queries, blocks)
-    for q, own, mass in zip(queries, query_ids, query_mass, strict=True):
-        alive = np.flatnonzero(ids != own)
+    for q, own, mass, known in zip(queries, query_ids, query_mass, least.astype(float), strict=True):
+        alive = np.flatnonzero((ids != own) & (row_mass[:, 0] * mass[0] + 1e-6 >= known)) if blocks else np.flatnonzero(ids != own)
         so_far = np.zeros(len(alive))
         for j, b in enumerate(blocks):
             part = vertical[b] if len(alive) == n else vertical[np.ix_(b, alive)]
             so_far = so_far + q[b] @ part
-            if len(alive) <= k:
-                continue
             slack = row_mass[alive, j + 1] * mass[j + 1] + 1e-6
-            floor = np.partition(so_far - slack, len(alive) - k)[len(alive) - k]
+            floor = max(known, np.partition(so_far - slack, len(alive) - k)[len(alive) - k]) if len(alive) > k else known
             keep = so_far + slack >= floor
             if not keep.all():
                 alive, so_far = alive[keep], so_far[keep]
@@ -95,7 +101,8 @@ def _cell(k: int):
             ids = np.array(rows.column("vec_id").to_pylist(), np.int64)[fine]
             own = np.array(queries.column("vec_id").to_pylist(), np.int64)[ok]
             row = np.array(queries.column("row").to_pylist(), np.int64)[ok]
-            for i, (at, score) in enumerate(best_of_cell(q, own, c, ids, k)):
+            least = np.array(queries.column("least").to_pylist(), np.int64)[ok]
+            for i, (at, score) in enumerate(best_of_cell(q, own, c, ids, k, least)):
                 out += [(int(own[i]), int(row[i]), int(v), int(s)) for v, s in zip(ids[at], score, strict=True)]
         return pa.table([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], names=["query_id", "query_row", "vec_id", "score"])
 
@@ -108,12 +115,26 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     asked = F.pmod("vec_id", F.lit(every)) == 0
     n, n_asked = base.agg(F.count("*"), F.count(F.when(asked, 1))).first()
     across, down = max(1, math.ceil(n_asked / QUERY_BLOCK)), max(8, math.ceil(n / CANDIDATE_BLOCK))
-    base = base.withColumn("size", F.size("vector")).withColumn("row", F.xxhash64("vec_id", "vector"))
+    base = base.withColumn("size", F.size("vector"))
     deal = lambda column, m: F.pmod(F.xxhash64(column, F.lit(17)), F.lit(m)).cast("int")
-    queries = base.where(asked).select("size", "vec_id", "row", "vector", deal("row", across).alias("across"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("down"))
-    queries = queries.dropDuplicates(["row", "vec_id", "down"])
+    row = F.xxhash64("vec_id", "vector")  # rows of a query that are alike find the same
+    queries = base.where(asked).groupBy("size", "vec_id", "vector").agg(F.count("*").alias("times")).withColumn("row", row).withColumn("across", deal("row", across))
     rows = base.select("size", "vec_id", "vector", deal("vec_id", down).alias("down"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("across"))
     cell = ("size", "across", "down")
-    found = queries.groupBy(*cell).cogroup(rows.groupBy(*cell)).applyInArrow(_cell(k), FOUND)
-    rank = F.row_number().over(Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id"))
+
+    def search(asking: DataFrame, among: DataFrame, cells: int) -> DataFrame:
+        """A task for each cell or so: adaptive execution would put them into a few by their bytes."""
+        parts = min(cells, 100_000)
+        asking = asking.select(*[F.col(c).alias(c) for c in asking.columns])  # both sides stem from one table
+        return asking.repartition(parts, *cell).groupBy(*cell).cogroup(among.repartition(parts, *cell).groupBy(*cell)).applyInArrow(_cell(k), FOUND)
+
+    first = checkpoint(search(queries.withColumn("down", F.lit(0)).withColumn("least", F.lit(NONE)), rows.where("down = 0"), across))
+    known = first.groupBy("query_id", "query_row").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(NONE)).alias("least"))
+    bounded = queries.join(known, (F.col("vec_id") == F.col("query_id")) & (F.col("row") == F.col("query_row")), "left").select("size", "vec_id", "row", "vector", "across", F.coalesce("least", F.lit(NONE)).alias("least"))
+    others = bounded.withColumn("down", F.explode(F.sequence(F.lit(1), F.lit(down - 1))))
+    found = first.union(search(others, rows.where("down > 0"), across * (down - 1)))
+    # at most k rows of a cell for each row of a query; a query's rows that are alike count each
+    times = queries.where("times > 1").select(F.col("vec_id").alias("query_id"), F.col("row").alias("query_row"), "times")
+    found = found.join(times, ["query_id", "query_row"], "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.coalesce("times", F.lit(1)), F.lit(k)).cast("int"))))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

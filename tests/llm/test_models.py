@@ -74,12 +74,44 @@ def test_labels_of_held_out_rows_teach_nothing(spark, edge_docs):
     assert quality.fit(edge_docs, labels).constant == 0.5
 
 
-def test_attention_gradient():
+def test_attention_gradient(monkeypatch):
+    """The first step of the fit goes along the numerical gradient of the weighted loss."""
     r = np.random.default_rng(3)
     x, owner, y = r.normal(size=(9, quality.N_FEATURES)), np.array([0, 0, 0, 1, 1, 2, 2, 2, 2]), np.array([1.0, 0, 1])
-    model = quality.Attention().fit(x, owner, y)
-    assert ((model.score(x, owner, 3) >= 0.5) == (y == 1)).all()
-    assert np.allclose(np.add.reduceat(model.forward(x, owner, 3)[3], [0, 3, 5]), 1)
+    model = quality.Attention()
+    model.mean, model.scale, model.constant = x.mean(0), x.std(0) + 1e-3, None
+    weight = 0.5 * np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) + 0.5
+    grad = model.gradient(x, owner, y, weight)
+
+    def loss():
+        p = model.forward(x, owner, 3)[5]
+        return -(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).mean()
+
+    for name, value in model.p.items():
+        flat = value.reshape(-1)
+        for i in r.choice(len(flat), min(6, len(flat)), replace=False):
+            was, e = flat[i], 1e-5
+            flat[i] = was + e
+            up = loss()
+            flat[i] = was - e
+            down = loss()
+            flat[i] = was
+            assert abs((up - down) / (2 * e) - grad[name].reshape(-1)[i]) < 1e-6, name
+    fitted = quality.Attention().fit(x, owner, y)
+    assert ((fitted.score(x, owner, 3) >= 0.5) == (y == 1)).all()
+    assert np.allclose(np.add.reduceat(fitted.forward(x, owner, 3)[3], [0, 3, 5]), 1)
+
+
+def test_fit_takes_whole_documents_up_to_its_bound(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality.Attention, "fit", lambda self, x, owner, y: seen.append((len(x), len(y))) or self)
+    docs = spark.createDataFrame([(i, "some words here " * 400) for i in range(30)] + [(3, "other")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    quality.fit(docs, labels)
+    quality.fit(docs, labels, passages=60)
+    (all_passages, n), (some, few) = seen
+    held = spark.range(30).select(F.col("id").alias("doc_id")).where(quality.held_out()).count()
+    assert n == 30 - held and all_passages >= 11 * (n - 1) and some <= 60 and 4 <= few < n
 
 
 # ---------------------------------------------------------------- decontamination

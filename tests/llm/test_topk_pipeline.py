@@ -27,6 +27,22 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(df.limit(0)).collect() == []
 
 
+def test_rows_of_one_query_id(spark):
+    """A query is a vec_id: its best are taken of the pairs of all its rows, as its SQL does."""
+    import duckdb
+    from ruleforge.llm.queries import ORACLE_SQL
+
+    r = random.Random(2)
+    rows = [(i, [r.choice((-1.0, 0.5, 1.0)) for _ in range(6)]) for i in range(60)]
+    rows += [(50, rows[50][1]), (0, [1.0] * 6), (7, rows[7][1]), (7, [0.25] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    import pyarrow as pa
+
+    embeddings = pa.table({"vec_id": pa.array([i for i, _ in rows], pa.int64()), "embedding": pa.array([v for _, v in rows], pa.list_(pa.float32()))})  # noqa: F841  read by name
+    want = duckdb.sql(ORACLE_SQL["op5_exact_top_k"]).fetchall()
+    assert sorted(map(tuple, topk.top_k(df).collect())) == sorted(want) and len(want) == 10
+
+
 def test_large_components(spark):
     rows = [(0, [1e12] * 4), (1, [1e12, -1e12, 3.0, 0.0]), (2, [1.0] * 4), (50, [2e9] * 4)]
     assert sorted(map(tuple, topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()))[0][:3] == (0, 1, 50)
@@ -56,7 +72,7 @@ def test_pipeline(spark, sf_dir):
             rejected = {r.doc_id for r in quality.score(spark.read.parquet(f"{sf_dir}/documents.parquet"), model).where("score < 0.5").collect()}
             assert set(before) - set(after) == rejected and rejected
         if name == "near_duplicates":
-            groups = brute.jaccard(list(before.items()))
+            groups = brute.jaccard(list(before.items()), 5, 80)
             assert set(after) == {d for d, n, c in groups if c == d}
         if name == "decontamination":
             items = [r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
@@ -84,6 +100,34 @@ def test_near_duplicates_by_five_words(spark):
     assert kept == {d for d, n, c in brute.jaccard(rows, 5, 80) if c == d} == {1, 3}
 
 
+ODD = [(1, "one two three " * 40, "de", "s", 9), (1, "one two three " * 40, "de", "s", 9), (2, None, None, None, None), (None, "", "en", "s", 0), (None, None, "en", "s", 0), (3, " \n\t", "en", "s", 3), (4, "x" * 100_000, "en", "s", 1), (5, "pwd = opensesame " + "word " * 30_000, "en", "s", 2)]
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows, columns with clashing names, and empty tables."""
+    import corpus_pipeline as C
+
+    docs = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit("x") for c in ("block", "key", "row", "score_of_quality", "lost_id", "spans")})
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (None, 1, 1), (4, 0, 0)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, "a benchmark passage that stands in no document"), (2, None)], "item_id long, text string")
+    for name, rows, marks, bench in (("odd", docs, labels, items), ("empty", docs.limit(0), labels.limit(0), items.limit(0))):
+        sf = f"{tmp_path}/{name}"
+        rows.write.parquet(f"{sf}/documents.parquet")
+        marks.write.parquet(f"{sf}/labels.parquet")
+        bench.write.parquet(f"{sf}/benchmark.parquet")
+        now = spark.read.parquet(f"{sf}/documents.parquet")
+        for stage_name, stage in C.STAGES[:-1]:
+            after = graph.written(stage(spark, now, sf))
+            assert after.columns == now.columns and after.schema == now.schema, stage_name
+            before, left = [r.doc_id for r in now.collect()], [r.doc_id for r in after.collect()]
+            if stage_name in ("decontamination", "secrets"):
+                assert sorted(before, key=str) == sorted(left, key=str)
+            if stage_name == "near_duplicates" and 1 in before:
+                assert left.count(1) == 1 and set(left) == set(before) and left.count(None) == before.count(None)
+            now = after
+        assert C.STAGES[-1][1](spark, now, sf).count() == now.count() == C.run(spark, sf).count()
+
+
 def test_every_query_runs(spark, sf_dir):
     from ruleforge.llm.queries import QUERIES
 
