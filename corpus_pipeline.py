@@ -3,6 +3,12 @@
 quality classifier -> n-gram Jaccard join -> benchmark decontamination -> secret scans -> byte-level BPE.
 Each stage is a function of (spark, docs, sf_dir); its result is written as Parquet and read again as the
 next one's docs.  All but the last return the columns of documents.
+
+Defined cases, of every stage: null and empty texts are documents like others (the classifier scores them; they
+are near duplicates of nothing, hold no item and no secret, and have no tokens); very long texts are worked on
+whole; a null doc_id stays null; of rows alike in doc_id and text the near-duplicate stage keeps one (if they
+have words), the others all; columns other than doc_id and text, whatever their names, pass through; empty
+tables give no rows, and without labels or items nothing is rejected.
 """
 
 from __future__ import annotations
