@@ -30,7 +30,7 @@ LEAST_BLOCKS, MOST_BLOCKS = 16, 4096
 #: Beyond MOST_BLOCKS blocks grow up to this size, then their number grows again.
 LARGEST_BLOCK = 64 << 20
 #: Bytes of text whose entries meet in a bucket, while there are few buckets, and at most.
-BUCKET_BYTES, LARGEST_BUCKET = 16 << 20, 1 << 30
+BUCKET_BYTES, LARGEST_BUCKET = 4 << 20, 1 << 30
 MOST_BUCKETS = 1024
 #: Texts are worked on in pieces of about this many bytes.
 PIECE = 1 << 20
@@ -52,10 +52,10 @@ def n_blocks(size: int, block_bytes: int = BLOCK_BYTES) -> int:
     return max(min(max(math.ceil(size / block_bytes), LEAST_BLOCKS), MOST_BLOCKS), math.ceil(size / LARGEST_BLOCK))
 
 
-def n_buckets(size: int) -> int:
+def n_buckets(size: int, bucket_bytes: int = BUCKET_BYTES) -> int:
     """Number of buckets that the entries of a text of so many bytes meet in.  A block sends a row to each, so
     there are far fewer buckets than blocks: rows of the exchange stay few against the entries in them."""
-    return max(min(max(math.ceil(size / BUCKET_BYTES), LEAST_BLOCKS), MOST_BUCKETS), math.ceil(size / LARGEST_BUCKET))
+    return max(min(max(math.ceil(size / bucket_bytes), LEAST_BLOCKS), MOST_BUCKETS), math.ceil(size / LARGEST_BUCKET))
 
 
 def blocked(df: DataFrame, n: int, key: str = "doc_id") -> DataFrame:

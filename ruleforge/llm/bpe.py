@@ -201,7 +201,7 @@ def encode(docs: DataFrame, path: str, pattern: str = PATTERN, digest: bool = Fa
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(vocabulary(path))
-    buckets = B.n_buckets(B.text_bytes(source))
+    buckets = B.n_buckets(B.text_bytes(source), 16 << 20)
     split = source.mapInArrow(_splitter(pattern, buckets), WORDS_SCHEMA).repartition(buckets * 2, "key")
     encoded = split.groupBy("key").applyInArrow(_encode_words(ranks, pattern), IDS_SCHEMA).repartition(buckets * 2, "block")
     return split.groupBy("key").cogroup(encoded.groupBy("block")).applyInArrow(_assemble(ranks, digest), DIGESTS if digest else IDS)

@@ -22,7 +22,7 @@ row of 100 bytes for any.  Each is sent once per block (with the least doc_id),
 third of all documents costs one entry per block, not one per document.
 
 Blocks are parsed apart, since no task could hold one dictionary of a whole corpus; between blocks contexts
-and strings meet by two fingerprints with different bases, 128 bits in all.
+and strings meet by fingerprints with different bases, of 160 and 96 bits in all.
 
 Defined cases: null text is empty; texts shorter than 100 bytes lose nothing; a null doc_id comes after
 every other; rows with equal doc_id do not remove each other's bytes; other columns are ignored; an
@@ -82,7 +82,7 @@ class Contexts:
         self.doc = np.searchsorted(offsets, self.low, "right") - 1
         shape = ((self.trigger - self.low) * 256 + (self.trigger - self.high)).astype(np.uint64)
         self.key = self.roll(self.low, self.high + length) ^ B.mix(shape + np.uint64(1))
-        self.check = B.Rolling(raw, 4)(self.low, self.high + length)
+        self.check = (B.Rolling(raw, 4)(self.low, self.high + length) >> np.uint64(32)).astype(np.uint32)
         # every string of a context has this much of the text from the trigger on
         self.head = self.roll(self.trigger, self.trigger + length - reach + 1)
 
@@ -97,7 +97,7 @@ def block_contexts(raw: np.ndarray, offsets: np.ndarray, length: int, reach: int
         parts.append((c.trigger + begin, c.low + begin, c.high + begin, c.doc + first, c.key, c.check, c.head))
         triggers.append(c.triggers + begin)
     if not parts:
-        return [np.zeros(0, t) for t in (np.int64,) * 4 + (np.uint64,) * 3 + (np.int64,)]
+        return [np.zeros(0, t) for t in (np.int64,) * 4 + (np.uint64, np.uint32, np.uint64, np.int64)]
     return [np.concatenate(x) for x in (*zip(*parts, strict=True), triggers)]
 
 
@@ -149,9 +149,10 @@ def _strings_elsewhere(keys, row, columns):
 def _rows(raw: np.ndarray, start: np.ndarray, size: np.ndarray, reverse: bool = False) -> np.ndarray:
     """Bytes [start, start + size), or those backwards from start, as rows padded with 0."""
     i = np.arange(max(int(size.max(initial=0)), 1))
-    inside = i < size[:, None]
-    at = np.where(inside, start[:, None] - 1 - i if reverse else start[:, None] + i, 0)
-    return np.where(inside, raw[at], 0).astype(np.uint8)
+    at = start[:, None] - 1 - i if reverse else start[:, None] + i
+    out = raw[np.clip(at, 0, len(raw) - 1, out=at)]
+    out[i >= size[:, None]] = 0
+    return out
 
 
 def _sorted_distinct(rows: np.ndarray, size: np.ndarray):
@@ -287,14 +288,15 @@ def edge_strings(raw, offsets, edge, triggers, trigger, low, high, doc, order, l
     repeat = np.empty(len(kind), bool)
     o = order[d]
     repeat[by] = (o[by] > o[first][run]) | ~(new | B.first_of_runs(run, d[by])) if len(by) else False
-    key, check = np.zeros(len(first), np.uint64), np.zeros(len(first), np.uint64)
+    key, check = np.zeros(len(first), np.uint64), np.zeros(len(first), np.uint32)
     at = start[first]
     by_start = np.argsort(at, kind="stable")
     for _, _, begin, end, stop in B.stretches(offsets, length - 1):
         mine = by_start[np.searchsorted(at[by_start], begin) : np.searchsorted(at[by_start], end)]
         if len(mine):
-            for out, seed in ((key, 7), (check, 8)):
-                out[mine] = B.Rolling(raw[begin:stop], seed)(at[mine] - begin, at[mine] - begin + length)
+            own = at[mine] - begin
+            key[mine] = B.Rolling(raw[begin:stop], 7)(own, own + length)
+            check[mine] = B.Rolling(raw[begin:stop], 8)(own, own + length) >> np.uint64(32)
     by_key = np.lexsort((check, key))
     place = np.empty(len(first), np.int64)
     place[by_key] = np.arange(len(first))
@@ -364,9 +366,9 @@ def removed_bytes(docs: DataFrame, length: int = LENGTH, reach: int = REACH, wit
         return pa.table(out, names=names)
 
     by_block = text.groupBy("block")
-    one = by_block.applyInArrow(ask_contexts, B.EXCHANGE_SCHEMA).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(B.resolver((np.uint64, np.uint64, np.int64), _contexts_elsewhere, 1), B.ANSWER_SCHEMA)
+    one = by_block.applyInArrow(ask_contexts, B.EXCHANGE_SCHEMA).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(B.resolver((np.uint64, np.uint32, np.int64), _contexts_elsewhere, 1), B.ANSWER_SCHEMA)
     one = one.repartition(n, "block")
     two = by_block.cogroup(one.groupBy("block")).applyInArrow(ask_strings, B.EXCHANGE_SCHEMA)
-    two = two.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(B.resolver((np.uint64, np.int64), _strings_elsewhere, 2), B.ANSWER_SCHEMA)
+    two = two.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(B.resolver((np.uint32, np.int64), _strings_elsewhere, 2), B.ANSWER_SCHEMA)
     said = one.unionByName(two.repartition(n, "block"))
     return by_block.cogroup(said.groupBy("block")).applyInArrow(finish, schema)
