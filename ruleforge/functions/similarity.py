@@ -329,44 +329,27 @@ def sift4(a: str, b: str, reach: int = 5, limit: float = 0, tokens="characters",
 
 # ---------------------------------------------------------------- vectors of metrics
 
+#: The order of the sixteen: fixed values.
 NAMES16 = ("cosine1", "damerau", "jaccard2", "overlap3", "jaro_winkler", "levenshtein", "lcs", "metric_lcs", "ngram2", "normalized_levenshtein", "osa", "overlap2", "qgram2", "dice2", "weighted_levenshtein", "overlap1")
 
 
-def vector16(a: str, b: str) -> list[float]:
-    """Sixteen similarities in the order of NAMES16; zeros if either string is empty."""
-    if not a or not b:
-        return [0.0] * len(NAMES16)
-    n, m = max(len(a), len(b)), len(a) + len(b)
-    edit = 1 - levenshtein(a, b) / n
-    return [
-        cosine(a, b, 1), 1 - damerau(a, b) / n, jaccard(a, b, 2), overlap_coefficient(a, b, 3), jaro_winkler(a, b), edit, 1 - lcs_distance(a, b) / m, 1 - metric_lcs(a, b),
-        1 - ngram_distance(a, b, 2, compat=True), edit, 1 - optimal_string_alignment(a, b) / n, overlap_coefficient(a, b, 2), 1 - qgram(a, b, 2) / n, sorensen_dice(a, b, 2), edit, overlap_coefficient(a, b, 1),
-    ]
-
+#: Measures that no built-in function gives; a vector fetches all it needs of them in one call.
+PROGRAMS = {"damerau": damerau, "jaro_winkler": jaro_winkler, "lcs": lcs_distance, "ngram": functools.partial(ngram_distance, n=2, compat=True), "osa": optimal_string_alignment, "osa_compat": functools.partial(optimal_string_alignment, compat=True)}
 
-def vector15(a: str, b: str) -> list[float]:
-    """Fifteen measures for scaling and clustering without labels: similarities as they are, distances
-    negated."""
-    return [
-        cosine(a, b, 1), -damerau(a, b), jaccard(a, b, 1) - 1, jaro_winkler(a, b), jaro_winkler(a, b), -levenshtein(a, b), -lcs_distance(a, b), -metric_lcs(a, b), -ngram_distance(a, b, 2, compat=True),
-        1 - levenshtein(a, b) / max(len(a), len(b), 1), -optimal_string_alignment(a, b, compat=True), overlap_coefficient(a, b, 3) - 1, -qgram(a, b, 1), sorensen_dice(a, b, 2), -weighted_levenshtein(a, b),
-    ]
 
-
-def vector2(a: str, b: str) -> list[float]:
-    return [-levenshtein(a, b), -lcs_distance(a, b)] if a and b else [0.0, 0.0]
+def token_similarities(x: str, y: str) -> list[float]:
+    """Four similarities of two tokens, by edits, Jaro-Winkler, common subsequence and aligned edits; blank tokens
+    are alike or not at all."""
+    if not (x and y):
+        return 4 * [float(x == y)]
+    share = lambda d, n: 1 - d / n
+    longest = max(map(len, (x, y)))
+    return [share(levenshtein(x, y), longest), jaro_winkler(x, y), share(lcs_distance(x, y), len(x) + len(y)), share(optimal_string_alignment(x, y), longest)]
 
 
 def vector4(a: list[str], b: list[str]) -> list[float]:
-    """Four similarities for every pair of tokens: all 1 if both are empty, all 0 if one is."""
-    out: list[float] = []
-    for x, y in zip(a, b, strict=False):
-        if not x or not y:
-            out += [1.0 if x == y else 0.0] * 4
-            continue
-        n = max(len(x), len(y))
-        out += [1 - levenshtein(x, y) / n, jaro_winkler(x, y), 1 - lcs_distance(x, y) / (len(x) + len(y)), 1 - optimal_string_alignment(x, y) / n]
-    return out
+    """token_similarities() of all pairs of tokens at the same place."""
+    return [v for pair in zip(a, b, strict=False) for v in token_similarities(*pair)]
 
 
 # ---------------------------------------------------------------- as functions of columns
@@ -390,13 +373,70 @@ def metric(name: str, **options):
     return run
 
 
+def programs(*names: str):
+    """A function of two string columns that gives an array of the named PROGRAMS' values."""
+    chosen = [PROGRAMS[n] for n in names]
+
+    @F.pandas_udf("array<double>")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return _over_pairs(lambda x, y: [float(f(x, y)) for f in chosen], a, b)
+
+    return run
+
+
+def _vector16(a: Column, b: Column) -> Column:
+    longest, both = F.greatest(F.length(a), F.length(b)), F.length(a) + F.length(b)
+    names = ("damerau", "jaro_winkler", "lcs", "ngram", "osa")
+    found = programs(*names)(a, b)
+    slow = {n: found[i] for i, n in enumerate(names)}
+    edit = 1 - levenshtein_column(a, b) / longest
+    common = (both - slow["lcs"]) / 2  # length of the common subsequence
+    values = (
+        cosine_column(a, b, 1), 1 - slow["damerau"] / longest, jaccard_column(a, b, 2), overlap_column(a, b, 3), slow["jaro_winkler"], edit, 1 - slow["lcs"] / both, common / longest,
+        1 - slow["ngram"], edit, 1 - slow["osa"] / longest, overlap_column(a, b, 2), 1 - qgram_column(a, b, 2) / longest, dice_column(a, b, 2), edit, overlap_column(a, b, 1),
+    )
+    blank = (a == "") | (b == "")
+    return F.array(*[F.when(blank, 0.0).otherwise(v.cast("double")) for v in values])
+
+
+def _vector15(a: Column, b: Column) -> Column:
+    names = ("damerau", "jaro_winkler", "lcs", "ngram", "osa_compat")
+    found = programs(*names)(a, b)
+    slow = {n: found[i] for i, n in enumerate(names)}
+    edits, longest = levenshtein_column(a, b), F.greatest(F.length(a), F.length(b), F.lit(1))
+    distance = F.greatest(F.length(a), F.length(b))
+    metric_lcs_ = F.when(distance == 0, 0.0).otherwise(1 - (F.length(a) + F.length(b) - slow["lcs"]) / 2 / distance)
+    values = (
+        cosine_column(a, b, 1), -slow["damerau"], jaccard_column(a, b, 1) - 1, slow["jaro_winkler"], slow["jaro_winkler"], -edits, -slow["lcs"], -metric_lcs_, -slow["ngram"],
+        1 - edits / longest, -slow["osa_compat"], overlap_column(a, b, 3) - 1, -qgram_column(a, b, 1), dice_column(a, b, 2), -edits,
+    )
+    return F.array(*[v.cast("double") for v in values])
+
+
+def _vector2(a: Column, b: Column) -> Column:
+    blank = (a == "") | (b == "")
+    values = (-levenshtein_column(a, b), -programs("lcs")(a, b)[0])
+    return F.array(*[F.when(blank, 0.0).otherwise(v.cast("double")) for v in values])
+
+
 def vector(width: int = 16):
-    """A function of two string columns that gives an array of measures."""
-    f = {16: vector16, 15: vector15, 2: vector2}[width]
+    """A function of two string columns that gives an array of measures, in a fixed order.
+
+    16: similarities in the order of NAMES16, zeros if either string is empty.  15: for scaling and clustering
+    without labels, similarities as they are and distances negated.  2: edits and common subsequence, negated.
+    Null on either side gives null.  Sets and edits are built-in functions; the rest comes from one call.
+    """
+    make = {16: _vector16, 15: _vector15, 2: _vector2}[width]
+    return lambda a, b: F.when(a.isNull() | b.isNull(), F.lit(None)).otherwise(make(a, b))
+
+
+def token_vector():
+    """A function of two columns of token arrays that gives vector4() of each pair."""
 
     @F.pandas_udf("array<double>")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return _over_pairs(f, a, b)
+        known = functools.lru_cache(100_000)(token_similarities)
+        return pd.Series([None if x is None or y is None else [v for pair in zip(x, y, strict=False) for v in known(*pair)] for x, y in zip(a, b, strict=True)], dtype=object)
 
     return run
 

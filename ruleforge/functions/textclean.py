@@ -23,7 +23,7 @@ def clean_sentence(c: Column) -> Column:
 
 def remove_signs(c: Column) -> Column:
     """Only letters, digits and Chinese characters stay, and whatever separates two runs of digits."""
-    other = r"[^\x{4e00}-\x{9fff}0-9a-zA-Z]+"
+    other = r"[^\x{4e00}-\x{9fff}0-9a-zA-Z]+"  # fixed value: what counts as a sign
     return F.regexp_replace(c, rf"([0-9]+{other}[0-9]+)|{other}", "$1")
 
 

@@ -66,7 +66,7 @@ def predicate_support(left: DataFrame, a: str, right: DataFrame, b: str) -> Data
     """Support of one equality by itself: the sum of products of frequencies, self-pairs included."""
     f1 = histogram(left, a).select("value", F.col("n").alias("n1"))
     f2 = histogram(right, b).select("value", F.col("n").alias("n2"))
-    return f1.join(f2, "value").agg(F.coalesce(F.sum(F.col("n1").cast(BIG) * F.col("n2")), F.lit(0)).cast("long").alias("support"))
+    return f1.join(f2, "value").agg(F.coalesce(F.sum(F.col("n1").cast(BIG) * F.col("n2")), F.lit(0)).cast(BIG).alias("support"))
 
 
 def _pairs(n0: Column, n1: Column, nb: Column) -> Column:
@@ -102,7 +102,7 @@ def count_rules(df: DataFrame, body: Body, rhs: list[Predicate]) -> DataFrame:
         whole = whole & (F.col(f"g_{v}") == 1)
     n0, n1, nb = F.col("n0"), F.col("n1"), F.col("nb")
     with_partner = lambda n, other, both: F.when(other >= 2, n).when(other == 1, n - both).otherwise(0)
-    of = lambda c, when: F.coalesce(F.sum(F.when(when, c)), F.lit(0)).cast("long")
+    of = lambda c, when: F.coalesce(F.sum(F.when(when, c)), F.lit(0)).cast(BIG)
     totals = groups.agg(
         of(_pairs(n0, n1, nb), whole).alias("support_x"), of(with_partner(n0, n1, nb), whole).alias("rows0"), of(with_partner(n1, n0, nb), whole).alias("rows1"),
         *[of(_pairs(n0, n1, nb), (F.col(f"g_{v}") == 0) & F.col(v).isNotNull()).alias(f"p_{v}") for v in values],
@@ -130,13 +130,13 @@ def count_across(left: DataFrame, right: DataFrame, body: Body, rhs: list[Predic
             part = df.where(_present(df, own) & _meets(df, body, v)).groupBy(*[F.col(c).alias(k) for c, k in zip(own, names, strict=True)])
             sides.append(part.agg(F.count("*").alias(f"n{v}")))
         joined = sides[0].join(sides[1], names)
-        total = joined.agg(F.coalesce(F.sum(F.col("n0").cast(BIG) * F.col("n1")), F.lit(0)).cast("long").alias("n"))
+        total = joined.agg(F.coalesce(F.sum(F.col("n0").cast(BIG) * F.col("n1")), F.lit(0)).cast(BIG).alias("n"))
         if same:
             itself = _present(left, [c for p in pairs for c in p]) & _meets(left, body, 0) & _meets(left, body, 1)
             for a, b in pairs:
                 itself = itself & (F.col(a) == F.col(b))
             own_pairs = left.where(itself).agg(F.count("*").alias("own"))
-            total = total.join(F.broadcast(own_pairs)).select((F.col("n") - F.col("own")).alias("n"))  # one row each
+            total = total.join(F.broadcast(own_pairs)).select((F.col("n") - F.col("own")).cast(BIG).alias("n"))  # one row each
         return total
 
     def partnered(v: int, extra: Predicate | None = None) -> DataFrame:
@@ -154,7 +154,7 @@ def count_across(left: DataFrame, right: DataFrame, body: Body, rhs: list[Predic
                 itself = itself & (F.col(a) == F.col(b))
         partner = other.where(_present(other, theirs) & _meets(other, body, 1 - v)).groupBy(*[F.col(c).alias(k) for c, k in zip(theirs, names, strict=True)]).agg(F.count("*").alias("n"))
         rows = own.where(ok).select(*[F.col(c).alias(k) for c, k in zip(mine, names, strict=True)], F.coalesce(itself, F.lit(False)).cast("int").alias("itself"))
-        return rows.join(partner, names).where(F.col("n") > F.col("itself")).agg(F.count("*").alias("rows"))
+        return rows.join(partner, names).where(F.col("n") > F.col("itself")).agg(F.count("*").cast(BIG).alias("rows"))
 
     one_row = lambda a, b: a.join(F.broadcast(b))  # noqa: E731  both have one row
     base = one_row(one_row(counted(None).select(F.col("n").alias("support_x")), partnered(0).toDF("rows0")), partnered(1).toDF("rows1"))
@@ -173,18 +173,150 @@ def with_confidence(counts: DataFrame) -> DataFrame:
     """Adds confidence (support over pairs, or over rows for a constant) and violations."""
     unary = ~F.col("rhs").rlike(r"\.t0\..*\.t1\.|\.t1\..*\.t0\.")
     base = F.when(unary, F.col("rows0")).otherwise(F.col("support_x"))
-    return counts.withColumn("confidence", F.when(base > 0, F.round(F.col("support") / base, 9)).otherwise(F.lit(0.0))).withColumn("violations", base - F.col("support"))
+    share = F.col("support").cast("double") / base.cast("double")
+    return counts.withColumn("confidence", F.when(base > 0, F.round(share, 9)).otherwise(F.lit(0.0))).withColumn("violations", (base - F.col("support")).cast(BIG))
 
 
-def count_many(df: DataFrame, candidates: dict[tuple[Predicate, ...], list[Predicate]]) -> DataFrame:
-    """count_rules for many X of one level in one plan; column x holds X's number."""
-    out = None
-    for i, (lhs, rhs) in enumerate(candidates.items()):
-        part = count_rules(df, Body.of(lhs), rhs).withColumn("x", F.lit(i))
-        out = part if out is None else out.unionByName(part)
+def as_longs(counts: DataFrame) -> DataFrame:
+    """Counters as longs; under ANSI rules a count beyond them is an error, not another number."""
+    return counts.select(*[F.col(f.name).cast("long").alias(f.name) if f.dataType.typeName() == "decimal" else F.col(f.name) for f in counts.schema])
+
+
+#: Grouping sets of one pass; a level with more takes several.
+MOST_SETS = 120
+
+
+def count_level(df: DataFrame, candidates: dict[tuple[Predicate, ...], list[Predicate]]) -> dict[tuple[int, str], dict]:
+    """Counters of all right-hand sides of all X of a level, X by number: (X, rhs) -> support_x, support, rows0, rows1.
+
+    Keys compare a column with itself.  One pass: the projected rows are expanded into the key sets of all X,
+    with and without each right-hand side's column, and counted by grouping sets; X with equal constants share
+    measures.  A group of any size is one row after partial aggregation.
+    """
+    bodies = [Body.of(lhs) for lhs in candidates]
+    out: dict[tuple[int, str], dict] = {}
+    part, sets = [], set()
+    for x, (body, rhs) in enumerate(zip(bodies, candidates.values(), strict=True)):
+        keys = frozenset(a for a, _ in body.keys)
+        own = {keys} | {keys | {p.left.column} for p in rhs if not p.is_constant}
+        if part and len(sets | own) > MOST_SETS:
+            out |= _count_sets(df, part, sets)
+            part, sets = [], set()
+        part.append((x, body, keys, rhs))
+        sets |= own
+    return out | _count_sets(df, part, sets) if part else out
+
+
+def _count_sets(df: DataFrame, part: list, sets: set[frozenset[str]]) -> dict[tuple[int, str], dict]:
+    columns = sorted({c for s in sets for c in s})
+    fixed = sorted({body.constants for _, body, _, _ in part}, key=str)
+    unary = sorted({p for *_, rhs in part for p in rhs if p.is_constant}, key=str)
+    rows = df.select(
+        *[F.when(_present(df, [c]), F.col(c)).alias(f"k{i}") for i, c in enumerate(columns)],
+        *[_meets(df, Body((), f), v).cast("int").alias(f"c{v}_{j}") for j, f in enumerate(fixed) for v in (0, 1)],
+        *[F.coalesce(compare(F.col(p.left.column), p.op, F.lit(p.constant)), F.lit(False)).cast("int").alias(f"u{m}") for m, p in enumerate(unary)],
+    )
+    key = {c: f"k{i}" for i, c in enumerate(columns)}
+    measures = []
+    for j in range(len(fixed)):
+        c0, both = F.col(f"c0_{j}"), F.col(f"c0_{j}") * F.col(f"c1_{j}")
+        measures += [F.sum(c0).alias(f"n0_{j}"), F.sum(f"c1_{j}").alias(f"n1_{j}"), F.sum(both).alias(f"nb_{j}")]
+        measures += [e for m in range(len(unary)) for e in (F.sum(c0 * F.col(f"u{m}")).alias(f"u_{j}_{m}"), F.sum(both * F.col(f"u{m}")).alias(f"v_{j}_{m}"))]
+    all_keys = [F.col(k) for k in key.values()]
+    groups = rows.groupingSets([[F.col(key[c]) for c in sorted(s)] for s in sorted(sets, key=sorted)], *all_keys).agg(F.grouping_id().alias("gid"), *measures)
+    whole = F.lit(True)  # no null among the columns of the set
+    for i, k in enumerate(key.values()):
+        whole = whole & (F.col(k).isNotNull() | F.col("gid").bitwiseAND(1 << len(columns) - 1 - i).cast("boolean"))
+    with_partner = lambda n, other, both: F.when(other >= 2, n).when(other == 1, n - both).otherwise(0)
+    totals = []
+    for j in range(len(fixed)):
+        n0, n1, nb = (F.col(f"{n}_{j}") for n in ("n0", "n1", "nb"))
+        totals += [F.sum(_pairs(n0, n1, nb)).alias(f"p_{j}"), F.sum(with_partner(n0, n1, nb)).alias(f"r0_{j}"), F.sum(with_partner(n1, n0, nb)).alias(f"r1_{j}")]
+        totals += [F.sum(with_partner(F.col(f"u_{j}_{m}"), n1, F.col(f"v_{j}_{m}"))).alias(f"s_{j}_{m}") for m in range(len(unary))]
+    found = {r.gid: r for r in groups.where(whole).groupBy("gid").agg(*totals).collect()}  # a row for each set
+    gid = lambda s: sum(1 << len(columns) - 1 - i for i, c in enumerate(columns) if c not in s)
+    value = lambda s, name: int(found[gid(s)][name] or 0) if gid(s) in found else 0
+    out = {}
+    for x, body, keys, rhs in part:
+        j = fixed.index(body.constants)
+        base = {"support_x": value(keys, f"p_{j}"), "rows0": value(keys, f"r0_{j}"), "rows1": value(keys, f"r1_{j}")}
+        for p in rhs:
+            n = value(keys, f"s_{j}_{unary.index(p)}") if p.is_constant else value(keys | {p.left.column}, f"p_{j}")
+            out[x, str(p)] = {**base, "support": n}
     return out
 
 
+def count_pairs(tables: tuple[DataFrame, DataFrame], tids: tuple[str, str], lhs: Iterable[Predicate], rhs: list[Predicate], same: bool, scored: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The same for any X over two tuple variables: columns of two tables, order comparisons, scored predicates.
+
+    Without scored predicates each side is grouped by the columns that matter and only groups meet, on all
+    equalities of X as one hash key; rows paired with themselves are taken off.  With them, their pairs are
+    the start, and fetch the columns of both sides.  X has an equality or a scored predicate.
+    """
+    lhs = list(lhs)
+    plain = [p.canonical() for p in lhs if not p.is_scored]
+    heads = [p.canonical() for p in rhs]
+    if not any(p.is_scored or p.right and p.op == "==" for p in lhs):
+        raise ValueError("X needs an equality or a scored predicate")
+    need = [sorted({o.column for p in (*plain, *heads) for o in (p.left, p.right) if o and o.variable == v}) for v in (0, 1)]
+    if same:
+        need = [sorted({*need[0], *need[1]})] * 2
+    text = [{f.name for f in t.schema if f.dataType.typeName() == "string"} for t in tables]
+    name = lambda o, side=None: F.col(f"{'ab'[o.variable if side is None else side]}_{o.column}")
+
+    def says(p: Predicate, side: int | None = None) -> Column:
+        """The predicate over columns a_* (t0) and b_* (t1), or both on one side for a row by itself."""
+        ok = present(name(p.left, side), p.left.column in text[p.left.variable])
+        right = F.lit(p.constant) if p.is_constant else name(p.right, side)
+        if p.right:
+            ok = ok & present(right, p.right.column in text[p.right.variable])
+        return F.coalesce(ok & compare(name(p.left, side), p.op, right), F.lit(False))
+
+    def every(predicates, side: int | None = None) -> Column:
+        ok = F.lit(True)
+        for p in predicates:
+            ok = ok & says(p, side)
+        return ok
+
+    columns = [[F.col(c).alias(f"{'ab'[v]}_{c}") for c in need[v]] for v in (0, 1)]
+    pairs = [p for p in plain if p.right]
+    one_sided = [[p for p in plain if p.is_constant and p.left.variable == v] for v in (0, 1)]
+    own = None
+    if len(plain) < len(lhs):
+        first, *others = [scored[str(p)].select("tid0", "tid1").distinct() for p in lhs if p.is_scored]
+        for o in others:
+            first = first.join(o, ["tid0", "tid1"], "left_semi")
+        sides = [tables[v].select(F.col(tids[v]).alias(f"tid{v}"), *columns[v]).where(every(one_sided[v])) for v in (0, 1)]
+        joined = first.join(sides[0], "tid0").join(sides[1], "tid1").where(every(pairs))
+        joined = (joined.where("tid0 <> tid1") if same else joined).withColumns({"n0": F.lit(1).cast(BIG), "n1": F.lit(1).cast(BIG), "itself": F.lit(0)})
+        left = ["tid0"]
+    else:
+        sides = [tables[v].select(*columns[v]).where(every(one_sided[v])).groupBy(*[f"{'ab'[v]}_{c}" for c in need[v]]).agg(F.count("*").cast(BIG).alias(f"n{v}")) for v in (0, 1)]
+        equal_ = [p for p in pairs if p.op == "=="]
+        on = F.lit(True)
+        for p in equal_:
+            on = on & (name(p.left) == name(p.right))
+        joined = sides[0].join(sides[1], on).where(every(pairs))
+        itself = every(plain, 0) if same else F.lit(False)
+        joined = joined.withColumn("itself", itself.cast("int"))
+        left = [f"a_{c}" for c in need[0]]
+        if same:
+            rows = tables[0].select(*columns[0])
+            own = rows.where(every(plain, 0)).agg(F.count("*").alias("own"), *[F.count(F.when(says(p, 0), 1)).alias(f"own{i}") for i, p in enumerate(heads) if p.right])
+    n = (F.col("n0") * F.col("n1")).cast(BIG)
+    of = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast(BIG)
+    totals = joined.agg(of(n).alias("support_x"), *[of(F.when(says(p), n)).alias(f"s{i}") for i, p in enumerate(heads) if p.right])
+    unary = [(i, p) for i, p in enumerate(heads) if p.is_constant]
+    with_left = joined.groupBy(*left).agg(F.first("n0").alias("n0"), (F.sum("n1") - F.first("itself")).alias("partners"), *[F.first(says(p)).alias(f"u{i}") for i, p in unary])
+    rows0 = with_left.where("partners > 0").agg(of(F.col("n0")).alias("rows0"), *[of(F.when(F.col(f"u{i}"), F.col("n0"))).alias(f"s{i}") for i, _ in unary])
+    totals = totals.join(F.broadcast(rows0))  # one row each
+    if own is not None:
+        totals = totals.join(F.broadcast(own))
+        totals = totals.withColumns({"support_x": (F.col("support_x") - F.col("own")).cast(BIG), **{f"s{i}": (F.col(f"s{i}") - F.col(f"own{i}")).cast(BIG) for i, p in enumerate(heads) if p.right}})
+    entries = F.array(*[F.struct(F.lit(str(p)).alias("rhs"), F.col(f"s{i}").alias("support")) for i, p in enumerate(rhs)])
+    return totals.select(F.explode(entries).alias("e"), "support_x", "rows0").select("e.rhs", "support_x", "e.support", "rows0", F.lit(None).cast(BIG).alias("rows1"))
+
+
 def order_support(left: DataFrame, a: str, right: DataFrame, b: str) -> DataFrame:
     """op, n for all six comparisons of t0.a with t1.b, over all pairs (self-pairs included).
 
@@ -204,7 +336,7 @@ def order_support(left: DataFrame, a: str, right: DataFrame, b: str) -> DataFram
     n0, n1, less, total = (F.col(c).cast(BIG) for c in ("n0", "n1", "less", "total"))
     more = total - less - n1
     counts = {"==": n1, "<>": total - n1, "<": more, "<=": more + n1, ">": less, ">=": less + n1}  # t0's value against t1's
-    sums = rows.agg(*[F.coalesce(F.sum(n0 * c), F.lit(0)).cast("long").alias(f"c{i}") for i, c in enumerate(counts.values())])
+    sums = rows.agg(*[F.coalesce(F.sum(n0 * c), F.lit(0)).cast(BIG).alias(f"c{i}") for i, c in enumerate(counts.values())])
     return sums.select(F.explode(F.array(*[F.struct(F.lit(op).alias("op"), F.col(f"c{i}").alias("n")) for i, op in enumerate(counts)])).alias("e")).select("e.*")
 
 
@@ -216,7 +348,7 @@ def scored_support(pairs: DataFrame) -> DataFrame:
 def column_association(df: DataFrame, lhs: list[str], rhs: str) -> DataFrame:
     """Unordered pairs that agree on lhs, and on lhs and rhs, from group sizes."""
     ok = df.where(_present(df, [*lhs, rhs]))
-    half = lambda d, cols: d.groupBy(*cols).agg(F.count("*").alias("_size")).agg(F.coalesce(F.sum(F.col("_size").cast(BIG) * (F.col("_size") - 1) / 2), F.lit(0)).cast("long").alias("s"))
+    half = lambda d, cols: d.groupBy(*cols).agg(F.count("*").alias("_size")).agg(F.coalesce(F.sum(F.col("_size").cast(BIG) * (F.col("_size") - 1) / 2), F.lit(0)).cast(BIG).alias("s"))
     x, both = half(ok, lhs), half(ok, [*lhs, rhs])
     out = x.select(F.col("s").alias("support_x")).join(F.broadcast(both.select(F.col("s").alias("support"))))  # one row each
     return out.withColumn("confidence", F.when(F.col("support_x") > 0, F.round(F.col("support") / F.col("support_x"), 9)).otherwise(F.lit(0.0)))

@@ -114,6 +114,32 @@ def join_path(tables: dict[str, DataFrame], keys: list[ForeignKey], path: tuple[
     return out
 
 
+def join_graph(tables: dict[str, DataFrame], keys: list[ForeignKey], start: str, tids: dict[str, str]) -> DataFrame:
+    """Full outer join of the row ids of all tables that foreign keys reach from start, breadth first; only ids
+    and key columns are read, only ids (table__tid) come out."""
+    usable = [k for k in keys if k.table in tables and k.other in tables]
+    wanted = {t: {tids[t]} | {k.column for k in usable if k.table == t} | {k.other_column for k in usable if k.other == t} for t in tables}
+    side = lambda t: tables[t].select(*[F.col(c).alias(f"{t}__{c}") for c in sorted(wanted[t])])
+    out, seen, now = side(start), [start], [start]
+    while now:
+        after = []
+        for t in now:
+            for k in usable:
+                new = k.other if k.table == t else k.table if k.other == t else None
+                if new is None or new in seen:
+                    continue
+                out = out.join(side(new), F.col(f"{k.table}__{k.column}") == F.col(f"{k.other}__{k.other_column}"), "full_outer")
+                seen.append(new)
+                after.append(new)
+        now = after
+    return out.select(*[F.col(f"{t}__{tids[t]}") for t in seen])
+
+
+def affordable(support: int, rows: int, most: float = 0.1) -> bool:
+    """Whether pairs of one table may be built: not if there are more than a share of all n * n - n."""
+    return support <= most * (rows * rows - rows)
+
+
 def joint_tuples(left: DataFrame, key: str, right: DataFrame, other: str, tid: str) -> DataFrame:
     """For each tuple of left, the tuples of right that its key names."""
     pairs = left.select(key).distinct().join(right, F.col(key) == F.col(other))
@@ -145,12 +171,18 @@ def candidate_pairs(tokens: DataFrame, rid: str, token: str, least: float, short
     return sized.withColumn("jaccard", F.round(share, 9)).where(share >= least).select("a", "b", "shared", "jaccard")
 
 
-def most_selective(tables: dict[str, DataFrame], predicates: list[Predicate]) -> list[tuple[Predicate, int]]:
-    """Equalities between tuples by their own support, smallest first (one job)."""
+def most_selective(tables: dict[str, DataFrame], predicates: list[Predicate], most: float | None = None) -> list[tuple[Predicate, int]]:
+    """Equalities between tuples by their own support, smallest first (one job).  most: refuses, by an error, where
+    even the first one gives more than that share of all pairs of its table."""
     parts = []
     for i, p in enumerate(predicates):
         f1 = histogram(tables[p.left.relation], p.left.column).select(F.col("value"), F.col("n").alias("n1"))
         f2 = histogram(tables[p.right.relation], p.right.column).select("value", F.col("n").alias("n2"))
-        parts.append(f1.join(f2, "value").agg(F.coalesce(F.sum(F.col("n1") * F.col("n2")), F.lit(0)).alias("n")).withColumn("i", F.lit(i)))
+        parts.append(f1.join(f2, "value").agg(F.coalesce(F.sum(F.col("n1").cast("decimal(38,0)") * F.col("n2")), F.lit(0)).alias("n")).withColumn("i", F.lit(i)))
     rows = reduce(DataFrame.unionByName, parts).collect() if parts else []  # a row for each predicate
-    return sorted(((predicates[r.i], int(r.n)) for r in rows), key=lambda x: (x[1], str(x[0])))
+    found = sorted(((predicates[r.i], int(r.n)) for r in rows), key=lambda x: (x[1], str(x[0])))
+    if most is not None and found and len(found[0][0].relations) == 1:
+        n = tables[found[0][0].left.relation].count()
+        if not affordable(found[0][1] - n, n, most):
+            raise ValueError(f"{found[0][0]} alone gives {found[0][1]} pairs of {n} rows")
+    return found

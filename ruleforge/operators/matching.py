@@ -8,6 +8,9 @@ from pyspark.ml.feature import MinMaxScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .shared import components
 
 
 def _sum(c: Column) -> Column:
@@ -114,40 +117,47 @@ def match_labels(pairs: DataFrame, vector: str = "similarities", seed: int = 1,
     return model.transform(data).withColumn("match", F.col("prediction") == int(np.argmax(means))).withColumn("probability", vector_to_array("probability")).drop("features", "raw", "prediction")
 
 
-def scored_pairs(pairs: DataFrame, scorer, a: str, b: str, threshold: float) -> DataFrame:
-    """Pairs that a pluggable scorer (a function of two columns) puts above threshold."""
-    return pairs.withColumn("score", scorer(F.col(a), F.col(b))).where(F.col("score") > threshold)
+def autoencoder_labels(pairs: DataFrame, vector: str = "similarities", hidden: int = 2, sample: int = 2000, seed: int = 1) -> DataFrame:
+    """Adds match by a deep mixture: vectors are standardised and coded by a small autoencoder, and a two-part
+    Gaussian mixture is fitted to the code beside its reconstruction error; the part whose vectors are larger on
+    average matches.  The autoencoder is fitted on the driver from a bounded sample; all rows are coded."""
+    import pyarrow as pa
+
+    from ..plans.models import Network
+
+    data = pairs.where(F.col(vector).isNotNull())
+    some = data.select(vector).orderBy(F.xxhash64(vector, F.lit(seed)), vector).limit(sample).collect()  # bounded
+    x = np.array([r[0] for r in some], float)
+    mean, scale = (x.mean(0), x.std(0) + 1e-6) if len(x) else (0.0, 1.0)
+    width = x.shape[1] if len(x) else 1
+    net = Network.random([width, 8, hidden, 8, width], seed=seed)
+    if len(x):
+        net.fit((x - mean) / scale, (x - mean) / scale, 300, 0.01)
+    kinds = T.StructType([*data.schema.fields, T.StructField("features_", T.ArrayType(T.DoubleType()))])
 
+    def run(batches):
+        for batch in batches:
+            own = batch.column(batch.schema.get_field_index(vector)).to_pylist()
+            z = (np.array(own, float).reshape(len(own), width) - mean) / scale
+            layers = net.run(z) if len(own) else [np.zeros((0, hidden))] * 5
+            error = np.sqrt(((layers[-1] - z) ** 2).mean(1)) if len(own) else np.zeros(0)
+            coded = np.column_stack([layers[2], error]).tolist()
+            yield pa.record_batch([*batch.columns, pa.array(coded, pa.list_(pa.float64()))], names=[*batch.schema.names, "features_"])
 
-def entity_ids(pairs: DataFrame, a: str, b: str, rounds: int = 50) -> DataFrame:
-    """node, eid: rows connected by labelled pairs share an id, the least of them.
+    coded = data.mapInArrow(run, kinds).withColumn("features", array_to_vector("features_")).drop("features_")
+    found = GaussianMixture(k=2, seed=seed, featuresCol="features").fit(coded).transform(coded)
+    sizes = {r.prediction: r.size for r in found.groupBy("prediction").agg(F.avg(_sum(F.col(vector)) / F.size(vector)).alias("size")).collect()}  # two rows
+    return found.withColumn("match", F.col("prediction") == max(sizes, key=sizes.get, default=0)).drop("features", "probability", "prediction")
 
-    Every round sends labels along the edges and then along the labels themselves, both as aggregates.
-    """
-    edges = pairs.select(F.col(a).alias("x"), F.col(b).alias("y")).union(pairs.select(F.col(b), F.col(a))).distinct()
-    labels = edges.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("eid")).withColumnRenamed("x", "node")
-    seen = None
-    for _ in range(rounds):
-        near = edges.join(labels, edges.y == labels.node).groupBy("x").agg(F.min("eid").alias("near"))
-        new = labels.join(near, labels.node == near.x).select("node", F.least("eid", "near").alias("eid"))
-        jump = new.select(F.col("node").alias("eid"), F.col("eid").alias("further"))
-        labels = settled(new.join(jump, "eid", "left").select("node", F.coalesce(F.least("further", "eid"), F.col("eid")).alias("eid")))
-        now = labels.agg(F.sum(F.xxhash64("node", "eid").cast("decimal(38,0)"))).first()[0]
-        if now == seen:
-            return labels
-        seen = now
-    raise RuntimeError("entity ids did not settle")
 
+def scored_pairs(pairs: DataFrame, scorer, a: str, b: str, threshold: float) -> DataFrame:
+    """Pairs that a pluggable scorer (a function of two columns) puts above threshold."""
+    return pairs.withColumn("score", scorer(F.col(a), F.col(b))).where(F.col("score") > threshold)
 
-def settled(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the folder that the cluster names."""
-    import tempfile
 
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+def entity_ids(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """node, eid: rows connected by labelled pairs share an id, the least of them."""
+    return components(pairs.select(F.col(a).alias("a"), F.col(b).alias("b"))).select("node", F.col("component").alias("eid"))
 
 
 def idf_keep(df: DataFrame, tid: str, tokens: Column, keep: int) -> DataFrame:
@@ -162,6 +172,21 @@ def idf_keep(df: DataFrame, tid: str, tokens: Column, keep: int) -> DataFrame:
     return best.groupBy(tid).agg(F.concat_ws(" ", F.transform(F.sort_array(F.collect_list(F.struct("place", "token"))), lambda x: x["token"])).alias("summary"))
 
 
+def augmented(c: Column, tid: Column, kind: str, seed: int = 1) -> Column:
+    """A text of words changed in one place that a draw from the row and the seed names: drop (a word goes), swap (it
+    changes places with the next), append (it is said again), trim (the words from there on go).  A text of one word
+    stays as it is."""
+    words = F.split(c, " ")
+    n = F.size(words)
+    at = (F.pmod(F.xxhash64(tid, F.lit(kind), F.lit(seed)), F.greatest(n - F.lit(int(kind == "swap")), F.lit(1))) + 1).cast("int")
+    head, word, tail = F.slice(words, F.lit(1), at - 1), F.array(F.get(words, at - 1)), F.slice(words, at + 1, F.greatest(n, F.lit(1)))
+    made = {
+        "drop": lambda: F.concat(head, tail), "append": lambda: F.concat(head, word, word, tail), "trim": lambda: F.concat(head, word),
+        "swap": lambda: F.concat(head, F.array(F.get(words, at)), word, F.slice(words, at + 2, F.greatest(n, F.lit(1)))),
+    }[kind]()
+    return F.when(n > 1, F.array_join(made, " ")).otherwise(c)
+
+
 def inject_kinds(c: Column) -> Column:
     """Marks of numbers and codes in a text, so that a pair model sees them."""
     return F.regexp_replace(c, r"\b([0-9][0-9A-Za-z.-]*)\b", "[NUM] $1 [/NUM]")

@@ -214,6 +214,20 @@ def column_predicates(relation: str, columns: dict[str, str], other: str | None
     return found
 
 
+def pair_predicates(pairs: Iterable[tuple[str, str, str, str, bool, bool]], text_columns: set[tuple[str, str]], keys: Iterable[tuple[str, str, str, str]] = ()) -> list[Predicate]:
+    """Predicates of t0 and t1 from column pairs (left, a, right, b, joinable, comparable): == and <> where columns
+    are joinable, order comparisons for comparable numbers, and an equality each way for every foreign key."""
+    found = []
+    for left, a, right, b, joinable, comparable in pairs:
+        ops = OPERATORS[:2] if joinable else ()
+        if comparable and not {(left, a), (right, b)} & text_columns:
+            ops = (*ops, *OPERATORS[2:])
+        found += [Predicate(Operand(left, 0, a), op, Operand(right, 1, b)) for op in ops]
+    for left, a, right, b in keys:
+        found += [Predicate(Operand(left, 0, a), "==", Operand(right, 1, b)), Predicate(Operand(right, 0, b), "==", Operand(left, 1, a))]
+    return list(dict.fromkeys(found))
+
+
 def constant_predicates(relation: str, constants: dict[str, list], ordered: bool = False) -> list[Predicate]:
     """== on t0 and t1 for every constant; <= and >= on t0 if ordered."""
     found = []

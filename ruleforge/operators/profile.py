@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.ml.clustering import KMeans
@@ -9,7 +10,7 @@ from pyspark.ml.feature import MinMaxScaler, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .counting import _present, histogram
+from .counting import BIG, _present, histogram
 
 LONG_TEXT, NUMBER_TEXT = r"^[+-]?[0-9]+$", r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
@@ -80,7 +81,7 @@ def overlap(left: DataFrame, a: str, right: DataFrame, b: str) -> DataFrame:
 def shared_pairs(left: DataFrame, a: str, right: DataFrame, b: str) -> DataFrame:
     """Sum over common values of the product of their counts."""
     f1 = histogram(left, a).select("value", F.col("n").alias("n1"))
-    return f1.join(histogram(right, b).select("value", F.col("n").alias("n2")), "value").agg(F.coalesce(F.sum(F.col("n1") * F.col("n2")), F.lit(0)).alias("pairs"))
+    return f1.join(histogram(right, b).select("value", F.col("n").alias("n2")), "value").agg(F.coalesce(F.sum(F.col("n1").cast(BIG) * F.col("n2")), F.lit(0)).cast(BIG).alias("pairs"))
 
 
 def joinable(left: DataFrame, a: str, right: DataFrame, b: str, least: float = 0.3) -> DataFrame:
@@ -97,20 +98,45 @@ def comparable(left: DataFrame, a: str, right: DataFrame, b: str, least: float =
     return out.withColumn("comparable", (F.col("mean_ratio") > least) & (F.col("std_ratio") > least))
 
 
-def column_pairs(tables: dict[str, DataFrame], least: float = 0.3) -> list[tuple[str, str, str, str]]:
-    """Pairs of columns of different tables that joinable() accepts, found with one job for each pair of
-    tables (the histograms of all their columns of one type are joined at once)."""
-    names, found = sorted(tables), []
-    for i, x in enumerate(names):
-        for y in names[i + 1 :]:
-            parts = []
-            for a in tables[x].schema:
-                for b in tables[y].schema:
-                    if a.dataType == b.dataType and a.dataType.typeName() != "array":
-                        parts.append(joinable(tables[x], a.name, tables[y], b.name, least).select(F.lit(a.name).alias("a"), F.lit(b.name).alias("b"), "joinable"))
-            if parts:
-                found += [(x, r.a, y, r.b) for r in reduce(DataFrame.unionByName, parts).where("joinable").collect()]
-    return found
+def column_pairs(tables: dict[str, DataFrame], least: float = 0.3, scored: Iterable[tuple[str, str, str, str]] = ()) -> DataFrame:
+    """left, a, right, b, joinable, comparable: pairs of columns, of one table or two, that predicates may compare.
+
+    A column goes with itself.  Columns of different tables are joinable if they have one type and enough of a's
+    values are b's; numeric ones are comparable if means and deviations are alike; a pair with a scored predicate is
+    joinable.  One pass for all profiles (means, deviations), one for all histograms: overlaps come from a join of
+    the values of all columns of one type, so no pair of columns costs a job of its own.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    columns = [(t, f.name, f.dataType) for t in sorted(tables) for f in tables[t].schema if f.dataType.typeName() not in ("array", "map", "struct", "binary")]
+    numeric = {"integer", "long", "short", "byte", "float", "double", "decimal"}
+    stats, values = [], []
+    for t in sorted(tables):
+        own = [(c, k) for x, c, k in columns if x == t]
+        row = tables[t].agg(*[m for i, (c, k) in enumerate(own) if k.typeName() in numeric for m in (F.avg(c).alias(f"m{i}"), F.stddev_pop(c).alias(f"s{i}"))] or [F.lit(0).alias("none")])
+        entries = [F.struct(F.lit(t).alias("table"), F.lit(c).alias("name"), F.lit(k.simpleString()).alias("kind"), *([F.col(f"m{i}").cast("double").alias("mean"), F.col(f"s{i}").cast("double").alias("std")] if k.typeName() in numeric else [F.lit(None).cast("double").alias("mean"), F.lit(None).cast("double").alias("std")])) for i, (c, k) in enumerate(own)]
+        stats.append(row.select(F.explode(F.array(*entries)).alias("e")).select("e.*"))
+        entry = [F.struct(F.lit(c).alias("name"), F.lit(k.simpleString()).alias("kind"), F.when(_present(tables[t], [c]), F.col(c)).cast("string").alias("value")) for c, k in own]
+        values.append(tables[t].select(F.explode(F.array(*entry)).alias("e")).select(F.lit(t).alias("table"), "e.*"))
+    counts = reduce(DataFrame.unionByName, values).where("value is not null").groupBy("table", "name", "kind", "value").agg(F.count("*").alias("n"))
+    x = counts.select(F.col("table").alias("left"), F.col("name").alias("a"), "kind", "value", "n")
+    y = counts.select(F.col("table").alias("right"), F.col("name").alias("b"), "kind", "value", F.col("n").alias("m"))
+    # the share is over a's values: common ones meet in the join, the others only count
+    common = x.join(y, ["kind", "value"]).where(F.col("left") < F.col("right")).groupBy("left", "a", "right", "b").agg(F.sum(F.least("n", "m")).alias("both"), F.sum(F.greatest("n", "m") - F.col("n")).alias("more"))
+    total = counts.groupBy(F.col("table").alias("left"), F.col("name").alias("a")).agg(F.sum("n").alias("total"))
+    share = common.join(total, ["left", "a"]).select("left", "a", "right", "b", (F.col("both") / (F.col("total") + F.col("more"))).alias("overlap"))
+    profile = reduce(DataFrame.unionByName, stats)  # a row a column
+    p, q = (profile.select(*[F.col(c).alias(f"{c}{i}") for c in profile.columns]) for i in (0, 1))
+    pairs = p.join(F.broadcast(q), (F.col("table0") < F.col("table1")) | (F.col("table0") == F.col("table1")) & (F.col("name0") <= F.col("name1")))
+    ratio = lambda u, v: F.when(F.greatest(F.abs(u), F.abs(v)) == 0, 1.0).otherwise(F.least(F.abs(u), F.abs(v)) / F.greatest(F.abs(u), F.abs(v)))
+    numbers = F.col("mean0").isNotNull() & F.col("mean1").isNotNull()  # least() and greatest() pass over nulls
+    alike = numbers & (ratio(F.col("mean0"), F.col("mean1")) > least) & (ratio(F.col("std0"), F.col("std1")) > least)
+    given = spark.createDataFrame([(*x, True) for x in scored], "left string, a string, right string, b string, given boolean")
+    named = pairs.select(F.col("table0").alias("left"), F.col("name0").alias("a"), F.col("table1").alias("right"), F.col("name1").alias("b"), "kind0", "kind1", alike.alias("alike"))
+    out = named.join(share, ["left", "a", "right", "b"], "left").join(F.broadcast(given), ["left", "a", "right", "b"], "left")
+    itself = (F.col("left") == F.col("right")) & (F.col("a") == F.col("b"))
+    joinable_ = itself | F.coalesce(F.col("given"), F.lit(False)) | (F.col("left") != F.col("right")) & (F.col("kind0") == F.col("kind1")) & F.coalesce(F.col("overlap") > least, F.lit(False))
+    out = out.withColumn("joinable", joinable_).withColumn("comparable", F.coalesce("alike", F.lit(False)))
+    return out.where("joinable or comparable").select("left", "a", "right", "b", "joinable", "comparable")
 
 
 # ---------------------------------------------------------------- constants
@@ -148,13 +174,19 @@ def numeric_constants(df: DataFrame, column: str, k: int = 4, interval_percent:
     vectors = VectorAssembler(inputCols=["v"], outputCol="raw").transform(values)
     scaled = MinMaxScaler(inputCol="raw", outputCol="features").fit(vectors).transform(vectors)
     model = KMeans(k=k, seed=seed, maxIter=20).fit(scaled)
-    bounds = model.transform(scaled).groupBy(F.col("prediction").alias("cluster")).agg(F.min("v").alias("least"), F.max("v").alias("largest"))
+    bounds = cluster_ranges(model.transform(scaled), "prediction", ["v"]).select(F.col("least_v").alias("least"), F.col("largest_v").alias("largest"))
     ends = bounds.select(F.col("least").alias("value")).union(bounds.select("largest")).distinct()  # 2 k rows
     span = ends.agg(((F.max("value") - F.min("value")) * interval_percent / 100).alias("step"))
     gap = F.col("value") - F.lag("value").over(Window.orderBy("value"))
     return ends.withColumn("gap", gap).join(F.broadcast(span)).where(F.col("gap").isNull() | (F.col("gap") >= F.col("step"))).select(F.lit(column).alias("column"), "value")
 
 
+def cluster_ranges(df: DataFrame, cluster: str, columns: list[str]) -> DataFrame:
+    """Least and largest value of each column in each cluster, and its rows."""
+    measures = [m for c in columns for m in (F.min(c).alias(f"least_{c}"), F.max(c).alias(f"largest_{c}"))]
+    return df.groupBy(cluster).agg(*measures, F.count("*").alias("n"))
+
+
 def null_patterns(df: DataFrame, columns: list[str], k: int = 2, seed: int = 1) -> DataFrame:
     """Rows clustered by which columns are missing: cluster, n, and the columns filled in half of it."""
     flags = df.select(*[(~_present(df, [c])).cast("double").alias(c) for c in columns])
@@ -189,13 +221,17 @@ def evidence(df: DataFrame, tid: str, columns: list[str], block: str) -> DataFra
 
     others = [c for c in columns if c != block]
     sets = [tuple(s) for r in range(len(others) + 1) for s in combinations(others, r)]
-    ok = df.where(_present(df, [block]))
-    parts = []
-    for s in sets:
-        group = ok.where(_present(df, s)).groupBy(block, *s).agg(F.count("*").alias("_size"))
-        parts.append(group.agg(F.coalesce(F.sum(F.col("_size") * (F.col("_size") - 1)), F.lit(0)).alias("agree")).withColumn("mask", F.lit(sum(1 << others.index(c) for c in s))))
-    at_least = reduce(DataFrame.unionByName, parts)  # a row for each set of columns
+    # one pass: all sets of columns are grouping sets of the projected rows
+    rows = df.where(_present(df, [block])).select(block, *[F.when(_present(df, [c]), F.col(c)).alias(c) for c in others])
+    groups = rows.groupingSets([[F.col(c) for c in (block, *s)] for s in sets], *[F.col(c) for c in (block, *others)]).agg(F.count("*").cast(BIG).alias("_size"), F.grouping_id().alias("_gid"))
+    whole = F.lit(True)
+    mask = F.lit(0)
+    for i, c in enumerate(others):
+        out = F.col("_gid").bitwiseAND(1 << len(others) - 1 - i).cast("boolean")
+        whole = whole & (F.col(c).isNotNull() | out)
+        mask = mask + F.when(out, 0).otherwise(1 << i)
+    at_least = groups.where(whole).groupBy(mask.alias("mask")).agg(F.sum(F.col("_size") * (F.col("_size") - 1)).cast(BIG).alias("agree"))
     upper = at_least.select(F.col("mask").alias("upper"), "agree")
     sign = F.when(F.bit_count(F.col("upper").bitwiseXOR(F.col("mask"))) % 2 == 0, 1).otherwise(-1)
-    exact = at_least.select("mask").join(F.broadcast(upper), F.col("upper").bitwiseAND(F.col("mask")) == F.col("mask")).groupBy("mask").agg(F.sum(sign * F.col("agree")).alias("n"))
+    exact = at_least.select("mask").join(F.broadcast(upper), F.col("upper").bitwiseAND(F.col("mask")) == F.col("mask")).groupBy("mask").agg(F.sum(sign * F.col("agree")).cast("long").alias("n"))
     return exact.where("n > 0")

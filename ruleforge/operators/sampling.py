@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .counting import _present
+from .shared import checkpoint
 
 
 def draw(seed: int, *columns: str) -> Column:
@@ -16,15 +17,18 @@ def draw(seed: int, *columns: str) -> Column:
     return F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
 
 
-def uniform(df: DataFrame, ratio: float, tid: str, seed: int = 1) -> DataFrame:
-    """Exactly floor(ratio * n) rows without replacement: those with the least draws.
+#: Cells of the histogram that finds a cut, and rows of a value that are numbered together.
+CELLS, SALTS = 1 << 14, 32
+
+
+def uniform(df: DataFrame, ratio: float, tid: str, seed: int = 1, by: Column | None = None) -> DataFrame:
+    """Exactly floor(ratio * n) rows without replacement: those with the least draws (by, if given).
 
     The cut is found from a histogram of the draws, so no task sorts all rows; only the rows in the
     histogram's last cell are ranked.
     """
-    cells = 1 << 14
-    rows = df.withColumn("_draw", draw(seed, tid)).withColumn("_cell", F.floor(F.col("_draw") * cells).cast("int"))
-    counts = rows.groupBy("_cell").agg(F.count("*").alias("n"))  # at most `cells` rows
+    rows = df.withColumn("_draw", draw(seed, tid) if by is None else by).withColumn("_cell", F.floor(F.col("_draw") * CELLS).cast("int"))
+    counts = rows.groupBy("_cell").agg(F.count("*").alias("n"))  # at most CELLS rows
     upto = F.sum("n").over(Window.orderBy("_cell"))
     want = df.agg(F.floor(F.lit(ratio) * F.count("*")).alias("want"))
     cut = counts.withColumn("upto", upto).join(F.broadcast(want)).where(F.col("upto") >= F.col("want")).agg(F.min(F.struct("_cell", (F.col("want") - F.col("upto") + F.col("n")).alias("left"))).alias("cut"))
@@ -42,28 +46,68 @@ def random_walks(df: DataFrame, tid: str, columns: list[str], ratio: float, step
     """Walks over tuples that share values: a start tuple, then `steps` times an attribute, chosen with a
     weight of how many tuples share the value, and a tuple of the same value.
 
-    All walks take a step together.  A partner is the row whose number within the value's group is drawn;
-    numbers come from a window over the group.  Results are the distinct tuples visited.
+    All walks take a step together.  A partner is the row whose number within the value's group is drawn.
+    Results are the distinct tuples visited.
     """
     at = uniform(df, ratio, tid, seed).select(tid)
-    visited = at
-    sized = []
-    for c in columns:
-        group = Window.partitionBy(c)
-        sized.append(df.where(_present(df, [c])).select(tid, F.lit(c).alias("attribute"), F.col(c).cast("string").alias("value"), F.row_number().over(group.orderBy(F.xxhash64(tid, F.lit(seed)), tid)).alias("number"), F.count("*").over(group).alias("size")))
-    places = reduce(DataFrame.unionByName, sized)
+    places, visited = _numbered(df, tid, columns, seed), at
     for step in range(steps):
-        mine = at.withColumnRenamed(tid, "_at").join(places.withColumnRenamed(tid, "_at"), "_at").where("size > 1")
-        # a weighted choice: the greatest u ** (1 / weight)
-        key = F.log(draw(seed + 31 * step + 7, "_at", "attribute") + F.lit(1e-12)) / F.col("size")
-        chosen = mine.withColumn("_k", key).groupBy("_at").agg(F.max(F.struct("_k", "attribute", "value", "number", "size")).alias("c")).select("_at", "c.attribute", "c.value", "c.number", "c.size")
-        other = F.floor(draw(seed + 31 * step + 13, "_at", "value") * (F.col("size") - 1)) + 1
-        target = chosen.select("attribute", "value", (other + F.when(other >= F.col("number"), 1).otherwise(0)).alias("number"))
-        at = target.join(places, ["attribute", "value", "number"]).select(tid).distinct()
+        at = _walk(at, places, tid, seed + 31 * step)
         visited = visited.union(at)
     return df.join(visited.distinct(), tid, "left_semi")
 
 
+def walk_sample(df: DataFrame, tid: str, columns: list[str], ratio: float, rounds: int = 64, seed: int = 1) -> DataFrame:
+    """floor(ratio * n) tuples (one at least) that random walks visit: walks start at a tenth of them and go on, step
+    by step, until enough are visited; of the last step's tuples those with the least draws are kept."""
+    places = checkpoint(_numbered(df, tid, columns, seed))
+    want = max(1, int(ratio * df.count()))
+    start = checkpoint(uniform(df, ratio / 10, tid, seed).select(tid))
+    at = start if start.count() else checkpoint(uniform(df, 1.0, tid, seed).select(tid).orderBy(draw(seed, tid), tid).limit(1))
+    visited, n = at, at.count()
+    for step in range(rounds):
+        if n >= want:
+            break
+        at = checkpoint(_walk(at, places, tid, seed + 31 * step))
+        new = checkpoint(at.join(visited, tid, "left_anti"))
+        found = new.count()
+        if n + found > want:
+            new, found = checkpoint(uniform(new, (want - n) / found + 1e-9, tid, seed)), want - n
+        visited, n = checkpoint(visited.union(new)), n + found
+        # where walks meet or end, others start
+        if found * 10 < want - n:
+            rest = df.select(tid).join(visited, tid, "left_anti")
+            at = checkpoint(at.union(uniform(rest, ratio / 10, tid, seed + step + 1)).distinct())
+    return df.join(visited, tid, "left_semi")
+
+
+def _numbered(df: DataFrame, tid: str, columns: list[str], seed: int) -> DataFrame:
+    """tid, attribute, value, number, size: every row's place among the rows of equal value, in an order of draws.
+    The rows of one value are numbered in SALTS parts, which the sizes of the parts before them put together, so a
+    value that a third of all rows have is no single task's."""
+    entry = [F.struct(F.lit(c).alias("attribute"), F.when(_present(df, [c]), F.col(c)).cast("string").alias("value")) for c in columns]
+    rows = df.select(tid, F.explode(F.array(*entry)).alias("e")).select(tid, "e.attribute", "e.value").where("value is not null")
+    rows = rows.withColumn("salt", F.floor(draw(seed, tid) * SALTS).cast("int"))
+    sizes = rows.groupBy("attribute", "value", "salt").agg(F.count("*").alias("_n"))
+    of_value = Window.partitionBy("attribute", "value")
+    before = F.coalesce(F.sum("_n").over(of_value.orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("attribute", "value", "salt", before.alias("before"), F.sum("_n").over(of_value).alias("size"))
+    within = F.row_number().over(Window.partitionBy("attribute", "value", "salt").orderBy(draw(seed, tid), tid))
+    return rows.withColumn("within", within).join(offsets, ["attribute", "value", "salt"]).select(tid, "attribute", "value", (F.col("before") + F.col("within")).alias("number"), "size")
+
+
+def _walk(at: DataFrame, places: DataFrame, tid: str, seed: int) -> DataFrame:
+    """One step of all walks: an attribute, chosen with a weight of how many tuples share the value, and another
+    tuple of that value."""
+    mine = at.withColumnRenamed(tid, "_at").join(places.withColumnRenamed(tid, "_at"), "_at").where("size > 1")
+    # a weighted choice: the greatest u ** (1 / weight)
+    key = F.log(draw(seed + 7, "_at", "attribute") + F.lit(1e-12)) / F.col("size")
+    chosen = mine.withColumn("_k", key).groupBy("_at").agg(F.max(F.struct("_k", "attribute", "value", "number", "size")).alias("c")).select("_at", "c.attribute", "c.value", "c.number", "c.size")
+    other = F.floor(draw(seed + 13, "_at", "value") * (F.col("size") - 1)) + 1
+    target = chosen.select("attribute", "value", (other + F.when(other >= F.col("number"), 1).otherwise(0)).alias("number"))
+    return target.join(places, ["attribute", "value", "number"]).select(tid).distinct()
+
+
 def cluster_ranked(df: DataFrame, tid: str, vector: str, cluster: str, ratio: float) -> DataFrame:
     """In each cluster the share of tuples with the greatest sum of cosine distances to the others.
 
@@ -77,8 +121,19 @@ def cluster_ranked(df: DataFrame, tid: str, vector: str, cluster: str, ratio: fl
     size = df.groupBy(cluster).agg(F.count("*").alias("_n"))
     dot = F.aggregate(F.zip_with("_unit", "_total", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
     ranked = unit.join(total, cluster).join(size, cluster).withColumn("_distance", F.round(F.col("_n") - dot, 9))
+    # the cut of each cluster comes from a histogram of its distances; only the cell it falls into is ranked
+    low, high = F.min("_distance").alias("_low"), F.max("_distance").alias("_high")
+    ranked = ranked.join(ranked.groupBy(cluster).agg(low, high), cluster)
+    cell = F.coalesce(F.floor(F.try_divide(F.col("_high") - F.col("_distance"), F.col("_high") - F.col("_low")) * 4096), F.lit(0))
+    ranked = ranked.withColumn("_cell", cell).withColumn("_keep", F.greatest(F.lit(1), F.floor(F.col("_n") * ratio)))
+    upto = F.sum("_m").over(Window.partitionBy(cluster).orderBy("_cell"))
+    cells = ranked.groupBy(cluster, "_cell", "_keep").agg(F.count("*").alias("_m")).withColumn("_upto", upto)  # at most 4,097 of a cluster
+    cut = cells.where("_upto >= _keep").groupBy(cluster).agg(F.min(F.struct("_cell", (F.col("_keep") - F.col("_upto") + F.col("_m")).alias("left"))).alias("_cut"))
+    marked = ranked.join(cut, cluster)
+    inside = marked.where(F.col("_cell") < F.col("_cut._cell"))
     place = F.row_number().over(Window.partitionBy(cluster).orderBy(F.desc("_distance"), tid))
-    return ranked.withColumn("_place", place).where(F.col("_place") <= F.greatest(F.lit(1), F.floor(F.col("_n") * ratio))).select(*df.columns)
+    edge = marked.where(F.col("_cell") == F.col("_cut._cell")).withColumn("_place", place).where(F.col("_place") <= F.col("_cut.left"))
+    return inside.select(*df.columns).union(edge.select(*df.columns))
 
 
 def rounds(df: DataFrame, ratio: float, tid: str, n: int, run) -> DataFrame:

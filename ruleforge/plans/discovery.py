@@ -1,8 +1,10 @@
 """Level-wise discovery of rules, and recovery of their constants.
 
-The lattice lives on the driver: candidates are a few thousand small objects.  The data never does: each
-level's candidates with the same X share one aggregate (see counting.py), several X share one job, and a
-job returns one row of counters for each candidate.
+The lattice lives on the driver: candidates are a few thousand small objects.  The data never does.  All X of a
+level that compare columns of one table with themselves share one pass over it (grouping sets, see counting.py);
+X across tables or columns, with order comparisons or scored predicates, are counted from groups or from the
+scored pairs, and X over three tuple variables from semi-joined chains, all of a kind in one job.  A job returns
+one row of counters for each candidate.
 """
 
 from __future__ import annotations
@@ -15,9 +17,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.counting import BIG, Body, _present, count_many, count_rules, with_confidence
+from ..operators.counting import BIG, Body, _present, as_longs, count_level, count_pairs, count_rules, with_confidence
 from ..operators.joins import chain
-from ..operators.predicates import Predicate, column_predicates, compare, constant_predicates
+from ..operators.predicates import Predicate, column_predicates, compare, constant_predicates, present
 from .rules import Rule, as_table
 
 #: Weights of support, confidence, diversity, shortness and a subjective score.
@@ -47,10 +49,9 @@ class Interest:
     def score(self, r: Rule) -> float:
         return self._sum(r.support, r.confidence, [*r.lhs, r.rhs], len(r.lhs), self.subjective(r))
 
-    def bound(self, support: int, lhs: Iterable[Predicate], rhs: Predicate) -> float:
-        """No rule with a left-hand side around lhs scores more."""
-        lhs = list(lhs)
-        return self._sum(support, 1.0, [], len(lhs), 1.0) + self.weights[2] * (1 / 100)
+    def bound(self, support: int, size: int) -> float:
+        """No rule of at most this support, and of a left-hand side of this size at least, scores more."""
+        return self._sum(support, 1.0, [], size, 1.0)
 
     def count(self, rules: Iterable[Rule]) -> None:
         for r in rules:
@@ -67,6 +68,11 @@ class Search:
     valid: dict[Predicate, list[frozenset]] = field(default_factory=dict)
     failed: dict[Predicate, list[frozenset]] = field(default_factory=dict)
     rules: list[Rule] = field(default_factory=list)
+    #: What happened at each level: sets, candidates (set and right-hand side), passes and jobs over the data, and
+    #: what each kind of pruning took away.
+    log: list[dict] = field(default_factory=list)
+    #: Every counted candidate: X, right-hand side, counters.
+    counted: list[tuple[frozenset, Predicate, dict]] = field(default_factory=list)
 
     def open(self, lhs: frozenset, rhs: Predicate) -> bool:
         """Neither implied by a shorter valid rule nor below a candidate without support."""
@@ -74,97 +80,243 @@ class Search:
 
 
 def compatible(lhs: frozenset[Predicate]) -> bool:
-    """One constant for each variable and column."""
+    """One constant for each variable and column, one comparison for each pair of operands, and one relation for
+    each variable."""
     places = [(p.left.variable, p.left.column) for p in lhs if p.is_constant]
-    return len(places) == len(set(places))
+    pairs = [(p.left, p.right, p.model) for p in lhs if p.right]
+    relations = {(o.variable, o.relation) for p in lhs for o in (p.left, p.right) if o}
+    return len(places) == len(set(places)) and len(pairs) == len(set(pairs)) and len({v for v, _ in relations}) == len(relations)
+
+
+def linked(lhs: Iterable[Predicate]) -> bool:
+    """t0 and t1 are compared, and every further variable is compared with one that is reached."""
+    pairs = [p.variables for p in lhs if p.right]
+    reached, used = {0}, {v for p in lhs for v in p.variables}
+    while more := [v for v in pairs if v & reached and not v <= reached]:
+        reached = reached.union(*more)
+    return frozenset((0, 1)) in pairs and used <= reached
+
+
+def groupable(lhs: Iterable[Predicate]) -> bool:
+    """Group sizes of one table give all counts: columns are compared with themselves, by equality."""
+    return all(p.is_constant or (p.op == "==" and not p.is_scored and p.variables == {0, 1} and p.left.relation == p.right.relation and p.left.column == p.right.column) for p in lhs)
 
 
 def countable(lhs: frozenset[Predicate], rhs: Predicate) -> bool:
-    """X compares the tuples at least once; a right-hand side is on t0 or on the pair, and says nothing
-    about a column that a constant of X already fixes."""
-    if not any(p.right for p in lhs) or rhs.is_constant and rhs.left.variable != 0:
+    """X compares the tuples at least once; a right-hand side is on t0 or on the pair, of X's relations, and says
+    nothing about a column that a constant of X already fixes."""
+    if not linked(lhs) or rhs.is_constant and rhs.left.variable != 0:
+        return False
+    relation = {o.variable: o.relation for p in lhs for o in (p.left, p.right) if o}
+    if any(relation.get(o.variable) != o.relation for o in (rhs.left, rhs.right) if o):
+        return False
+    keyed = any(p.right and p.variables == {0, 1} and (p.op == "==" or p.is_scored) for p in lhs)
+    if not keyed and (rhs.is_constant or rhs.op != "==" or sum(p.right is not None for p in lhs) > 1):
+        return False  # one order comparison may stand alone, where the right-hand side is a key
+    if any(p.right and (p.left, p.right) == (rhs.left, rhs.right) for p in lhs):
         return False
     fixed = {p.left.column for p in lhs if p.is_constant}
     return not (rhs.is_constant and (rhs.left.column in fixed or any(p.right and p.left.column == rhs.left.column for p in lhs)))
 
 
 def expand(level: list[frozenset], kept: set[frozenset]) -> list[frozenset]:
-    """Sets of one more predicate, all of whose subsets of this size were kept (all-constant sets and sets
-    with a contradiction of constants are no subsets to look for)."""
+    """Sets of one more predicate, all of whose subsets of this size were kept (all-constant sets, sets that leave
+    a variable unlinked and sets with a contradiction of constants are no subsets to look for)."""
     out = set()
     singles = sorted({p for s in level for p in s}, key=str)
     for s in level:
         for p in singles:
-            if p in s:
+            if p in s or not p.variables <= {0, 1}.union(*(q.variables for q in s)):
                 continue
             t = s | {p}
-            if t not in out and compatible(t) and all(u in kept or not any(q.right for q in u) for u in (t - {q} for q in t)):
+            if t not in out and compatible(t) and all(u in kept or not linked(u) for u in (t - {q} for q in t)):
                 out.add(t)
     return sorted(out, key=lambda s: sorted(map(str, s)))
 
 
-def discover(
-    df: DataFrame, relation: str, columns: list[str], constants: dict[str, list] | None = None, support: int = 1, confidence: float = 0.9, levels: int = 3, top: int | None = None,
-    constant_rhs: bool = False, per_job: int = 24, weights: tuple[float, ...] = WEIGHTS, listed: set[tuple[str, str]] | None = None, prune: Callable[[frozenset, Predicate], bool] | None = None, confidence_filter: bool = False,
-) -> list[Rule]:
-    """Minimal rules over two tuples of one table with enough support and confidence, best first.
+def by_template(lhs: frozenset, rhs: Predicate, valid: dict[Predicate, list[frozenset]]) -> bool:
+    """Whether a valid rule with constants covers the candidate's template: its comparisons are among the
+    candidate's, and it fixes every column that the candidate fixes, whatever the values.  Recovery finds the
+    others."""
+    place = lambda p: (p.left.variable, p.left.column)
+    pairs, fixed = {p for p in lhs if p.right}, {place(p) for p in lhs if p.is_constant}
+    return any(any(p.is_constant for p in s) and {p for p in s if p.right} <= pairs and fixed <= {place(p) for p in s if p.is_constant} for s in valid.get(rhs, ()))
+
+
+@dataclass
+class Source:
+    """The tables of a search, their row ids, and the pairs (tid0, tid1) of scored predicates by text."""
+
+    tables: dict[str, DataFrame]
+    tids: dict[str, str]
+    scored: dict[str, DataFrame] = field(default_factory=dict)
+
+    def count(self, todo: dict[frozenset, list[Predicate]], log: dict) -> dict[tuple[frozenset, Predicate], dict]:
+        """Counters of all candidates of a level."""
+        out: dict[tuple[frozenset, Predicate], dict] = {}
+        grouped: dict[str, dict] = {}
+        other: list[tuple[frozenset, list[Predicate]]] = []
+        for s, rhs in sorted(todo.items(), key=lambda kv: sorted(map(str, kv[0]))):
+            plain = [p for p in rhs if groupable(s) and groupable([p])]
+            if plain:
+                grouped.setdefault(next(p for p in s if p.right).left.relation, {})[s] = plain
+            if len(plain) < len(rhs):
+                other.append((s, [p for p in rhs if p not in plain]))
+        for relation, part in grouped.items():
+            sets = list(part)
+            counts = count_level(self.tables[relation], {tuple(sorted(s, key=str)): part[s] for s in sets})
+            out |= {(s, p): counts[x, str(p)] for x, s in enumerate(sets) for p in part[s]}
+            log["jobs"] += 1
+        log["passes"] += len(grouped) + len(other)
+        for i in range(0, len(other), 16):
+            some = other[i : i + 16]
+            rows = None
+            for x, (s, rhs) in enumerate(some):
+                one = self._pairs(s, rhs).withColumn("x", F.lit(x))
+                rows = one if rows is None else rows.unionByName(one)
+            log["jobs"] += 1
+            by = {(r.x, r.rhs): r for r in rows.collect()}  # one row a candidate
+            for x, (s, rhs) in enumerate(some):
+                for p in rhs:
+                    r = by[x, str(p)]
+                    out[s, p] = {"support_x": int(r.support_x), "support": int(r.support), "rows0": int(r.rows0)}
+        return out
+
+    def _pairs(self, lhs: frozenset, rhs: list[Predicate]) -> DataFrame:
+        relation = {o.variable: o.relation for p in lhs for o in (p.left, p.right) if o}
+        if len(relation) > 2:
+            names = [relation[v] for v in range(len(relation))]
+            return count_chain([self.tables[n] for n in names], [self.tids[n] for n in names], sorted(lhs, key=str), rhs)
+        pair, tids = (self.tables[relation[0]], self.tables[relation[1]]), (self.tids[relation[0]], self.tids[relation[1]])
+        same = relation[0] == relation[1]
+        if any(p.right and (p.op == "==" or p.is_scored) for p in lhs):
+            return count_pairs(pair, tids, sorted(lhs, key=str), rhs, same, self.scored)
+        # one order comparison: all its pairs from the sorted histograms, and those of the right-hand side by its key
+        from ..operators.counting import order_support
+
+        p = next(p for p in lhs if p.right)
+        out = None
+        for q in rhs:
+            both = count_pairs(pair, tids, [*sorted(lhs, key=str), q], [q], same, self.scored).select("support", "rows0")
+            sides = [pair[v].where(reduce_and([self._holds(c, pair[v]) for c in lhs if c.is_constant and c.left.variable == v])) for v in (0, 1)]
+            total = order_support(sides[0], p.left.column, sides[1], p.right.column).where(F.col("op") == p.op).select(F.col("n").alias("support_x"))
+            if same:
+                own = [self._holds(c, pair[0]) for c in lhs if c.is_constant] + [_present(pair[0], [p.left.column, p.right.column]), compare(F.col(p.left.column), p.op, F.col(p.right.column))]
+                itself = pair[0].where(reduce_and(own)).agg(F.count("*").alias("own"))
+                total = total.join(F.broadcast(itself)).select((F.col("support_x") - F.col("own")).cast(BIG).alias("support_x"))  # one row each
+            part = total.join(F.broadcast(both)).select(F.lit(str(q)).alias("rhs"), "support_x", "support", F.lit(0).cast(BIG).alias("rows0"), F.lit(None).cast(BIG).alias("rows1"))
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    @staticmethod
+    def _holds(p: Predicate, table: DataFrame):
+        return present(F.col(p.left.column), table.schema[p.left.column].dataType.typeName() == "string") & compare(F.col(p.left.column), p.op, F.lit(p.constant))
+
+
+def reduce_and(conditions: list):
+    out = F.lit(True)
+    for c in conditions:
+        out = out & c
+    return out
+
+
+def mine(
+    source: Source, pairs: list[Predicate], fixed: list[Predicate], heads: list[Predicate], support: int = 1, confidence: float = 0.9, levels: int = 3, top: int | None = None, variables: int = 2,
+    weights: tuple[float, ...] = WEIGHTS, listed: set[tuple[str, str]] | None = None, prune: Callable[[frozenset, Predicate], bool] | None = None, confidence_filter: bool = False, templates: bool = False,
+    learn: Callable[[frozenset, Predicate, dict], None] | None = None, bounded: bool = True,
+) -> Search:
+    """The search over X of `pairs` (comparisons of t0 and t1, of any tables, any operator, scored or not) and
+    `fixed` (constants on t0 and t1) for rules with right-hand sides `heads`.
 
-    listed: pairs (predicate, right-hand side) that may go together, if given; prune: a learned filter that
-    drops candidates; confidence_filter: candidates whose confidence is hopeless for their level are not
-    expanded.  top: only so many rules, with pruning by the score's upper bound.
+    listed: pairs (predicate, right-hand side) that may go together, if given; prune: a learned filter that drops
+    candidates; learn: called with every counted candidate, e.g. to train that filter; confidence_filter:
+    candidates whose confidence is hopeless for their level are not expanded; templates: right-hand sides that
+    valid rules with constants cover are dropped; top: only so many rules, pruned by the score's upper bound over
+    X's own support (unless bounded is False); variables: X may reach a third tuple variable by an equality.
     """
-    pairs = [p for p in column_predicates(relation, dict.fromkeys(columns, "text")) if p.op == "=="]
-    fixed = constant_predicates(relation, constants or {})
-    heads = pairs + ([p for p in fixed if p.left.variable == 0] if constant_rhs else [])
-    search, interest = Search(support, confidence), Interest(df.count(), weights)
-    level = [frozenset([p]) for p in pairs]
-    kept: set[frozenset] = set(level)
-    if fixed:  # constants join from the second level on
-        level = level + [frozenset([p]) for p in fixed]
+    search = Search(support, confidence)
+    interest = Interest(max(t.count() for t in source.tables.values()), weights)
+    level = [frozenset([p]) for p in pairs] + [frozenset([p]) for p in fixed]
+    edges = [p for p in pairs if p.op == "==" and not p.is_scored]
+    open_heads: dict[frozenset, frozenset] = {}
     for depth in range(1, levels + 1):
+        log = {"level": depth, "sets": len(level), "candidates": 0, "passes": 0, "jobs": 0, "by_support": 0, "valid": 0, "by_parents": 0, "by_bound": 0, "by_filter": 0, "by_confidence": 0, "by_template": 0}
         todo = {}
         for lhs in level:
-            rhs = [p for p in heads if countable(lhs, p) and search.open(lhs, p) and (listed is None or all((str(q), str(p)) in listed for q in lhs)) and not (prune and prune(lhs, p))]
+            # a set's right-hand sides are those that all its subsets left open
+            parents = [(lhs, open_heads[u] | {p for p in heads if not countable(u, p)}) for u in (lhs - {q} for q in lhs) if u in open_heads]
+            allowed = shared_heads(parents)[lhs] if parents else frozenset(heads)
+            rhs = []
+            for p in heads:
+                if not countable(lhs, p):
+                    continue
+                if p not in allowed or not search.open(lhs, p):
+                    log["by_parents"] += 1
+                elif listed is not None and not all((str(q), str(p)) in listed for q in lhs) or prune and prune(lhs, p):
+                    log["by_filter"] += 1
+                elif templates and by_template(lhs, p, search.valid):
+                    log["by_template"] += 1
+                else:
+                    rhs.append(p)
             if rhs:
                 todo[lhs] = rhs
-        found, alive = [], set()
-        for lhs, counts in counted(df, todo, per_job):
-            total = counts[0]["support_x"] if counts else 0
+        counts = source.count(todo, log)
+        log["candidates"] = len(counts)
+        alive, reach = set(), {}
+        for lhs, rhs in todo.items():
+            total = max(counts[lhs, p]["support_x"] for p in rhs)
+            reach[lhs] = max([total] + [counts[lhs, p]["rows0"] * interest.n_rows for p in rhs if p.is_constant])
             if total >= support:
                 alive.add(lhs)
-            hopeful = False
-            for rhs, c in zip(todo[lhs], counts, strict=True):
-                n = c["support"] * (interest.n_rows if rhs.is_constant else 1)
+            hopeful, left = False, set()
+            for p in rhs:
+                c = counts[lhs, p]
+                base = c["rows0"] if p.is_constant else c["support_x"]
+                c["confidence"] = round(c["support"] / base, 9) if base else 0.0
+                c["violations"] = base - c["support"]
+                search.counted.append((lhs, p, c))
+                if learn:
+                    learn(lhs, p, c)
+                n = c["support"] * (interest.n_rows if p.is_constant else 1)
                 if n < support:
-                    search.failed.setdefault(rhs, []).append(lhs)
+                    search.failed.setdefault(p, []).append(lhs)
+                    log["by_support"] += 1
                 elif c["confidence"] >= confidence:
-                    search.valid.setdefault(rhs, []).append(lhs)
-                    found.append(Rule.of(lhs, rhs, support=int(n), confidence=float(c["confidence"]), violations=int(c["violations"])))
+                    search.valid.setdefault(p, []).append(lhs)
+                    search.rules.append(Rule.of(lhs, p, support=n, confidence=c["confidence"], violations=c["violations"]))
+                    log["valid"] += 1
                 else:
+                    left.add(p)
                     hopeful = hopeful or c["confidence"] >= CONFIDENCE_BY_LEVEL.get(depth, 0.1)
-            if confidence_filter and not hopeful:
+            open_heads[lhs] = frozenset(left)
+            if confidence_filter and not hopeful and lhs in alive:
                 alive.discard(lhs)
-        search.rules += found
-        if top is not None and len(search.rules) >= top:
-            ranked = best(search.rules, interest, top)
-            floor = ranked[-1].score
-            alive = {s for s in alive if interest.bound(interest.n_rows**2, s, heads[0]) >= floor}
-        kept = alive if depth > 1 else alive | {s for s in level if not any(p.right for p in s)}
-        level = expand([s for s in level if s in kept], kept)
+                log["by_confidence"] += 1
+        if top is not None and bounded and len(search.rules) >= top:
+            floor = best(search.rules, interest, top)[-1].score
+            hopeless = {s for s in alive if interest.bound(reach[s], len(s) + 1) < floor}
+            log["by_bound"], alive = len(hopeless), alive - hopeless
+        search.log.append(log)
+        # sets that no right-hand side could be counted for yet only wait for a comparison
+        waiting = {s for s in level if s not in todo and (depth == 1 or any(p.right for p in s)) and not any(countable(s, p) for p in heads)}
+        kept = alive | waiting
+        wider = [t for s in sorted(alive, key=lambda s: sorted(map(str, s))) for t in with_new_variable(s, edges, variables) if compatible(t)] if depth < levels else []
+        level = list(dict.fromkeys(expand([s for s in level if s in kept], kept) + wider))
         if not level:
             break
-    return best(search.rules, interest, top)
+    search.rules = best(search.rules, interest, top)
+    return search
 
 
-def counted(df: DataFrame, todo: dict[frozenset, list[Predicate]], per_job: int):
-    """(X, counters of its right-hand sides) for all candidates, `per_job` X to a job."""
-    items = sorted(todo.items(), key=lambda kv: sorted(map(str, kv[0])))
-    for i in range(0, len(items), per_job):
-        part = {tuple(sorted(s, key=str)): r for s, r in items[i : i + per_job]}
-        rows = with_confidence(count_many(df, part)).collect()  # one row of counters a candidate
-        by = {(r.x, r.rhs): r for r in rows}
-        for x, (s, r) in enumerate(items[i : i + per_job]):
-            yield s, [by[x, str(p)] for p in r]
+def discover(
+    df: DataFrame, relation: str, columns: list[str], constants: dict[str, list] | None = None, support: int = 1, confidence: float = 0.9, levels: int = 3, top: int | None = None, constant_rhs: bool = False, **options,
+) -> list[Rule]:
+    """Minimal rules over two tuples of one table by equality, with enough support and confidence, best first.
+    Options are those of mine()."""
+    pairs = [p for p in column_predicates(relation, dict.fromkeys(columns, "text")) if p.op == "=="]
+    fixed = constant_predicates(relation, constants or {})
+    heads = pairs + ([p for p in fixed if p.left.variable == 0] if constant_rhs else [])
+    return mine(Source({relation: df}, {}), pairs, fixed, heads, support, confidence, levels, top, **options).rules
 
 
 def best(rules: list[Rule], interest: Interest, top: int | None = None) -> list[Rule]:
@@ -181,32 +333,42 @@ def evaluate(df: DataFrame, rules: list[tuple[list[Predicate], Predicate]]) -> D
     """rule number, support_x, support, confidence of given rules, in one plan."""
     out = None
     for i, (lhs, rhs) in enumerate(rules):
-        part = with_confidence(count_rules(df, Body.of(lhs), [rhs])).withColumn("rule", F.lit(i))
+        part = as_longs(with_confidence(count_rules(df, Body.of(lhs), [rhs]))).withColumn("rule", F.lit(i))
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def count_chain(tables: list[DataFrame], tids: list[str], lhs: list[Predicate], rhs: list[Predicate]) -> DataFrame:
+    """rhs, support_x, support, rows0 of rules over three or more tuple variables: pairs (t0, t1) for which rows of
+    the other variables exist, and those of them that satisfy each right-hand side."""
+    side = lambda v: tables[v].select(F.col(tids[v]).alias(f"tid{v}"), *[F.when(_present(tables[v], [c]), F.col(c)).alias(f"y{v}_{c}") for c in sorted({o.column for p in rhs for o in (p.left, p.right) if o and o.variable == v})])
+    rows = chain(tables, tids, lhs).join(side(0), "tid0").join(side(1), "tid1")
+    value = lambda o: F.col(f"y{o.variable}_{o.column}")
+    holds = [compare(value(p.left), p.op, F.lit(p.constant) if p.is_constant else value(p.right)) for p in rhs]
+    by_row = rows.groupBy("tid0").agg(F.count("*").alias("n"), *[(F.max(h.cast("int")) if p.is_constant else F.count(F.when(h, 1))).alias(f"s{i}") for i, (p, h) in enumerate(zip(rhs, holds, strict=True))])
+    of = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast(BIG)
+    totals = by_row.agg(of("n").alias("support_x"), F.count("*").cast(BIG).alias("rows0"), *[of(f"s{i}").alias(f"s{i}") for i in range(len(rhs))])
+    entries = F.array(*[F.struct(F.lit(str(p)).alias("rhs"), F.col(f"s{i}").alias("support")) for i, p in enumerate(rhs)])
+    return totals.select(F.explode(entries).alias("e"), "support_x", "rows0").select("e.rhs", "support_x", "e.support", "rows0", F.lit(None).cast(BIG).alias("rows1"))
+
+
 def evaluate_chain(tables: list[DataFrame], tids: list[str], lhs: list[Predicate], rhs: Predicate) -> DataFrame:
-    """support_x, support, confidence of a rule over three or more tuple variables: pairs (t0, t1) for which
-    rows of the other variables exist, and those of them that satisfy the right-hand side."""
-    pairs = chain(tables, tids, lhs)
-    side = lambda v, c: tables[v].select(F.col(tids[v]).alias(f"tid{v}"), F.when(_present(tables[v], [c]), F.col(c)).alias(f"y{v}"))
-    rows = pairs.join(side(0, rhs.left.column), "tid0")
-    if rhs.right:
-        rows = rows.join(side(1, rhs.right.column), "tid1")
-        ok = compare(F.col("y0"), rhs.op, F.col("y1"))
-    else:
-        rows = rows.dropDuplicates(["tid0"])
-        ok = compare(F.col("y0"), rhs.op, F.lit(rhs.constant))
-    out = rows.agg(F.count("*").alias("support_x"), F.count(F.when(ok, 1)).alias("support"))
-    return out.withColumn("confidence", F.coalesce(F.round(F.try_divide("support", "support_x"), 9), F.lit(0.0)))
+    """support_x, support, confidence of one rule over three or more tuple variables."""
+    out = as_longs(with_confidence(count_chain(tables, tids, lhs, [rhs])))
+    return out.select("rows0" if rhs.is_constant else "support_x", "support", "confidence").toDF("support_x", "support", "confidence")
 
 
 def with_new_variable(lhs: frozenset, edges: Iterable[Predicate], most: int) -> list[frozenset]:
     """X with an edge from one of its tuple variables to a new one, if `most` variables allow it."""
-    used = sorted({v for p in lhs for v in p.variables})
-    new = max(used) + 1
-    return [] if new >= most else [lhs | {p.at(v, new)} for p in edges if p.right for v in used]
+    relation = {o.variable: o.relation for p in lhs for o in (p.left, p.right) if o}
+    new = max(relation) + 1
+    if new >= most or not all(p.is_constant or p.op == "==" and not p.is_scored for p in lhs):
+        return []
+    found = []
+    for p in edges:
+        for q in dict.fromkeys((p, p.mirrored())):
+            found += [lhs | {q.at(v, new)} for v in sorted(relation) if q.left.relation == relation[v]]
+    return list(dict.fromkeys(found))
 
 
 def shared_heads(vertices: Iterable[tuple[frozenset, frozenset]]) -> dict[frozenset, frozenset]:
@@ -270,29 +432,46 @@ def recover(df: DataFrame, keys: Iterable[str], fixed0: Iterable[str], fixed1: I
     return out.where((F.col("support") >= support) & (F.col("confidence") >= confidence))
 
 
-def recover_head(df: DataFrame, keys: Iterable[str], fixed: Iterable[str], rhs: str, support: int, confidence: float) -> DataFrame:
-    """For a right-hand side t0.rhs == constant with the constant free: for every binding of t0's constants,
-    the most frequent value among rows with a partner (ties: the least), if it is frequent enough."""
-    keys, fixed = list(keys), list(fixed)
+def recover_head(df: DataFrame, keys: Iterable[str], fixed: Iterable[str], rhs: str, support: int, confidence: float, fixed1: Iterable[str] = ()) -> DataFrame:
+    """For a right-hand side t0.rhs == constant with the constant free: for every binding of the constants of t0
+    and t1, the most frequent value among rows t0 with such a partner (ties: the least), if it is frequent enough.
+    """
+    keys, fixed, fixed1 = list(keys), list(fixed), list(fixed1)
+    names, others = [f"c0_{c}" for c in fixed], [f"c1_{c}" for c in fixed1]
     rows = df.where(_present(df, [*keys, *fixed]))
-    partners = df.where(_present(df, keys)).groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1")
-    names = [f"c0_{c}" for c in fixed]
-    own = rows.join(partners, keys, "left_semi").select(*[F.col(c).alias(n) for c, n in zip(fixed, names, strict=True)], F.when(_present(df, [rhs]), F.col(rhs)).alias("value"))
-    counts = own.groupBy(*names, "value").agg(F.count("*").alias("support"))
-    total = F.sum("support").over(Window.partitionBy(*names))
-    rank = F.row_number().over(Window.partitionBy(*names).orderBy(F.col("value").isNull(), F.desc("support"), "value"))
+    own = [F.when(_present(df, [c]), F.col(c)).alias(f"_own_{c}") for c in fixed1]
+    value = F.when(_present(df, [rhs]), F.col(rhs)).alias("value")
+    left = rows.groupBy(*keys, *[F.col(c).alias(n) for c, n in zip(fixed, names, strict=True)], *own, value).agg(F.count("*").alias("_n0"))
+    partners = df.where(_present(df, [*keys, *fixed1])).groupBy(*keys, *[F.col(c).alias(n) for c, n in zip(fixed1, others, strict=True)]).agg(F.count("*").alias("_n1"))
+    itself = reduce_and([F.coalesce(F.col(f"_own_{c}") == F.col(n), F.lit(False)) for c, n in zip(fixed1, others, strict=True)])
+    met = left.join(partners, keys).where(F.col("_n1") > itself.cast("int"))
+    counts = met.groupBy(*names, *others, "value").agg(F.sum("_n0").alias("support"))
+    total = F.sum("support").over(Window.partitionBy(*names, *others))
+    rank = F.row_number().over(Window.partitionBy(*names, *others).orderBy(F.col("value").isNull(), F.desc("support"), "value"))
     found = counts.withColumn("rows0", total).withColumn("_r", rank).where("_r = 1 and value is not null").drop("_r")
     found = found.withColumn("confidence", F.round(F.col("support") / F.col("rows0"), 9))
     return found.where((F.col("support") >= support) & (F.col("confidence") >= confidence))
 
 
 def recover_rules(df: DataFrame, relation: str, rules: list[Rule], support: int, confidence: float) -> DataFrame:
-    """For rules found on a sample: each distinct template with its bindings on the full table."""
-    out = None
-    for keys, f0, f1, rhs in dict.fromkeys(template(r) for r in rules if r.rhs.right and any(p.is_constant for p in r.lhs)):
-        part = recover(df, keys, f0, f1, rhs.left.column, support, confidence)
+    """lhs, rhs, support, confidence, origin: all rules that the templates of rules found on a sample, constants
+    freed, give on the full table (also those whose right-hand side is a constant), and beside them the rules of
+    the sample that are not among these, with their measures there."""
+    schema = "lhs array<string>, rhs string, support long, confidence double, origin string"
+    out = df.sparkSession.createDataFrame([([str(p) for p in r.lhs], str(r.rhs), int(r.support), float(r.confidence), "sample") for r in rules], schema)
+    free = lambda p: p if p.right else Predicate(p.left, p.op, constant=None)
+    parts = None
+    for keys, f0, f1, rhs in dict.fromkeys((*template(r)[:3], free(r.rhs)) for r in rules if any(p.is_constant for p in (*r.lhs, r.rhs)) and all(p.is_constant or p.left.column == p.right.column for p in r.lhs)):
+        column = rhs.left.column
+        if rhs.right:
+            part, head = recover(df, keys, f0, f1, column, support, confidence), F.lit(str(rhs))
+        else:
+            part, head = recover_head(df, keys, f0, column, support, confidence, f1), F.concat(F.lit(f"{relation}.t0.{column} == "), F.col("value").cast("string"))
         text = lambda cs, v: [F.concat(F.lit(f"{relation}.t{v}.{c} == "), F.col(f"c{v}_{c}").cast("string")) for c in cs]
-        lhs = F.array(*[F.lit(f"{relation}.t0.{k} == {relation}.t1.{k}") for k in keys], *text(f0, 0), *text(f1, 1))
-        part = part.select(lhs.alias("lhs"), F.lit(str(rhs)).alias("rhs"), "support", "confidence")
-        out = part if out is None else out.unionByName(part)
-    return df.sparkSession.createDataFrame([], "lhs array<string>, rhs string, support long, confidence double") if out is None else out
+        lhs = F.array_sort(F.array(*[F.lit(f"{relation}.t0.{k} == {relation}.t1.{k}") for k in keys], *text(f0, 0), *text(f1, 1)))
+        part = part.select(lhs.alias("lhs"), head.alias("rhs"), F.col("support").cast("long").alias("support"), "confidence", F.lit("recovered").alias("origin"))
+        parts = part if parts is None else parts.unionByName(part)
+    if parts is None:
+        return out
+    again = parts.select(F.col("lhs").alias("_lhs"), F.col("rhs").alias("_rhs"))
+    return parts.unionByName(out.join(again, (F.array_sort("lhs") == F.col("_lhs")) & (F.col("rhs") == F.col("_rhs")), "left_anti"))

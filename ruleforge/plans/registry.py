@@ -74,10 +74,10 @@ def _(t):
     return R.inferred_types(t.customer)
 
 
-@query("OP007_declared_types", "SELECT p_partkey, CAST(p_size AS DOUBLE) AS p_size, CAST(p_retailprice AS VARCHAR) = CAST(p_retailprice AS VARCHAR) AS is_text FROM part")
+@query("OP007_declared_types", "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, CAST(p_size AS DOUBLE) AS p_size, TRY_CAST(regexp_extract(p_brand, '[0-9]+') AS BIGINT) AS code, CAST(NULL AS BIGINT) AS p_brand FROM part")
 def _(t):
-    d = R.declared(t.part.select("p_partkey", "p_size", "p_retailprice"), {"p_partkey": "bigint", "p_size": "double", "p_retailprice": "varchar(20)"})
-    return d.select("p_partkey", "p_size", (F.col("p_retailprice") == F.col("p_retailprice")).alias("is_text"))
+    d = t.part.select("p_partkey", "p_size", F.regexp_extract("p_brand", "[0-9]+", 0).alias("code"), "p_brand")
+    return R.declared(d, {"p_partkey": "varchar(20)", "p_size": "double", "code": "int", "p_brand": "bigint"})
 
 
 @query("OP020_comparison_predicates", """SELECT op, CAST(count(*) AS BIGINT) AS n FROM (
@@ -85,7 +85,7 @@ def _(t):
     CASE WHEN a.n_regionkey <= b.n_regionkey THEN '<=' END, CASE WHEN a.n_regionkey > b.n_regionkey THEN '>' END, CASE WHEN a.n_regionkey >= b.n_regionkey THEN '>=' END]) AS op
   FROM nation a, nation b) WHERE op IS NOT NULL GROUP BY op""")
 def _(t):
-    return C.order_support(t.nation, "n_regionkey", t.nation, "n_regionkey")
+    return C.as_longs(C.order_support(t.nation, "n_regionkey", t.nation, "n_regionkey"))
 
 
 @query("OP021_constant_predicates", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice >= 300000")
@@ -183,8 +183,8 @@ def _(t):
 
 @query("OP046_foreign_key_full_outer_join", "SELECT c_custkey AS customer__c_custkey, n_nationkey AS nation__n_nationkey, r_regionkey AS region__r_regionkey FROM customer FULL JOIN nation ON c_nationkey = n_nationkey FULL JOIN region ON n_regionkey = r_regionkey")
 def _(t):
-    path = ("customer", "nation", "region")
-    return J.join_path({n: getattr(t, n) for n in path}, KEYS, path, "full_outer", {"customer": ["c_custkey"], "nation": ["n_nationkey"], "region": ["r_regionkey"]})
+    tables = {n: getattr(t, n) for n in ("customer", "nation", "region")}
+    return J.join_graph(tables, KEYS, "customer", {"customer": "c_custkey", "nation": "n_nationkey", "region": "r_regionkey"})
 
 
 @query("OP047_foreign_key_left_join", "SELECT c_custkey AS customer__c_custkey, o_orderkey AS orders__o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey")
@@ -222,10 +222,9 @@ def _(t):
     return J.candidate_pairs(_tokens(t), "item_id", "token", 0.0).select("a", "b", "shared")
 
 
-@query("OP052_joint_tuples", "SELECT o_custkey AS key, list_sort(list(l_linenumber)) AS partners, CAST(count(*) AS BIGINT) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey")
+@query("OP052_joint_tuples", "SELECT c_nationkey, list_sort(list(s_suppkey)) AS partners, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT c_nationkey FROM customer) JOIN supplier ON s_nationkey = c_nationkey GROUP BY 1")
 def _(t):
-    per = t.orders.select(F.col("o_custkey").alias("key"), "o_orderkey").join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"))
-    return per.groupBy("key").agg(F.sort_array(F.collect_list("l_linenumber")).alias("partners"), F.count("*").alias("n"))
+    return J.joint_tuples(t.customer, "c_nationkey", t.supplier, "s_nationkey", "s_suppkey")
 
 
 # ---------------------------------------------------------------- counting
@@ -238,7 +237,7 @@ def _(t):
 
 @query("OP061_predicate_support", "SELECT CAST(count(*) AS BIGINT) AS support FROM customer, supplier WHERE c_nationkey = s_nationkey")
 def _(t):
-    return C.predicate_support(t.customer, "c_nationkey", t.supplier, "s_nationkey")
+    return C.as_longs(C.predicate_support(t.customer, "c_nationkey", t.supplier, "s_nationkey"))
 
 
 _PAIRS = "FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderstatus = b.o_orderstatus WHERE a.o_orderkey <> b.o_orderkey"
@@ -249,37 +248,37 @@ _PAIRS = "FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_order
   CAST(count(*) - count(*) FILTER (a.o_orderpriority = b.o_orderpriority) AS BIGINT) AS violations {_PAIRS}""")
 def _(t):
     body = C.Body.of([C.equal("orders", "o_custkey"), C.equal("orders", "o_orderstatus")])
-    return C.with_confidence(C.count_rules(t.orders, body, [C.equal("orders", "o_orderpriority")])).withColumn("violations", F.col("violations").cast("long"))
+    return C.as_longs(C.with_confidence(C.count_rules(t.orders, body, [C.equal("orders", "o_orderpriority")])))
 
 
 @query("OP063_many_heads_one_pass", """SELECT rhs, CAST(count(*) AS BIGINT) AS support FROM (SELECT unnest([CASE WHEN a.o_orderstatus = b.o_orderstatus THEN 'orders.t0.o_orderstatus == orders.t1.o_orderstatus' END, CASE WHEN a.o_orderpriority = b.o_orderpriority THEN 'orders.t0.o_orderpriority == orders.t1.o_orderpriority' END]) AS rhs
   FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey WHERE a.o_orderkey <> b.o_orderkey) WHERE rhs IS NOT NULL GROUP BY rhs""")
 def _(t):
-    return C.count_rules(t.orders, C.Body.of([C.equal("orders", "o_custkey")]), [C.equal("orders", "o_orderstatus"), C.equal("orders", "o_orderpriority")]).select("rhs", "support")
+    return C.count_rules(t.orders, C.Body.of([C.equal("orders", "o_custkey")]), [C.equal("orders", "o_orderstatus"), C.equal("orders", "o_orderpriority")]).select("rhs", "support").transform(C.as_longs)
 
 
 @query("OP064_constant_head", """WITH x AS (SELECT DISTINCT a.o_orderkey, a.o_orderpriority p FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey WHERE a.o_orderkey <> b.o_orderkey AND a.o_orderstatus = 'F' AND b.o_orderstatus = 'O')
   SELECT CAST(count(*) FILTER (p = '1-URGENT') AS BIGINT) AS support, CAST(count(*) AS BIGINT) AS rows0 FROM x""")
 def _(t):
     body = C.Body.of([C.equal("orders", "o_custkey"), C.is_value("orders", "o_orderstatus", "F"), C.is_value("orders", "o_orderstatus", "O", 1)])
-    return C.count_rules(t.orders, body, [C.is_value("orders", "o_orderpriority", "1-URGENT")]).select("support", "rows0")
+    return C.count_rules(t.orders, body, [C.is_value("orders", "o_orderpriority", "1-URGENT")]).select("support", "rows0").transform(C.as_longs)
 
 
 @query("OP065_one_sided_constants", "SELECT CAST(count(*) AS BIGINT) AS support_x, CAST(count(*) FILTER (a.o_orderpriority = b.o_orderpriority) AS BIGINT) AS support FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey WHERE a.o_orderkey <> b.o_orderkey AND a.o_orderstatus = 'F' AND b.o_orderpriority = '1-URGENT'")
 def _(t):
     body = C.Body.of([C.equal("orders", "o_custkey"), C.is_value("orders", "o_orderstatus", "F"), C.is_value("orders", "o_orderpriority", "1-URGENT", 1)])
-    return C.count_rules(t.orders, body, [C.equal("orders", "o_orderpriority")]).select("support_x", "support")
+    return C.count_rules(t.orders, body, [C.equal("orders", "o_orderpriority")]).select("support_x", "support").transform(C.as_longs)
 
 
 @query("OP066_cross_relation_rule", "SELECT CAST(count(*) AS BIGINT) AS support_x, CAST(count(*) FILTER (c_acctbal = s_acctbal) AS BIGINT) AS support, CAST(count(DISTINCT c_custkey) AS BIGINT) AS rows0, CAST(count(DISTINCT s_suppkey) AS BIGINT) AS rows1 FROM customer JOIN supplier ON c_nationkey = s_nationkey")
 def _(t):
-    return C.count_across(t.customer, t.supplier, C.Body.of([C.equal("customer", "c_nationkey", "supplier", "s_nationkey")]), [C.equal("customer", "c_acctbal", "supplier", "s_acctbal")]).select("support_x", "support", "rows0", "rows1")
+    return C.count_across(t.customer, t.supplier, C.Body.of([C.equal("customer", "c_nationkey", "supplier", "s_nationkey")]), [C.equal("customer", "c_acctbal", "supplier", "s_acctbal")]).select("support_x", "support", "rows0", "rows1").transform(C.as_longs)
 
 
 @query("OP068_rows_with_partners", "SELECT CAST(count(DISTINCT a.event_id) AS BIGINT) AS rows0, CAST(count(DISTINCT b.event_id) AS BIGINT) AS rows1 FROM events a JOIN events b ON a.user_id = b.user_id WHERE a.event_id <> b.event_id AND a.event_type = 'click'")
 def _(t):
     body = C.Body.of([C.equal("events", "user_id"), C.is_value("events", "event_type", "click")])
-    return C.count_rules(t.events, body, [C.equal("events", "event_type")]).select("rows0", "rows1")
+    return C.count_rules(t.events, body, [C.equal("events", "event_type")]).select("rows0", "rows1").transform(C.as_longs)
 
 
 @query("OP069_frequent_constants", """SELECT 'o_orderpriority' AS "column", o_orderpriority AS value, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 2 HAVING count(*) * 100.0 / (SELECT count(*) FROM orders) > 10 AND count(*) * 100.0 / (SELECT count(*) FROM orders) < 40
@@ -309,9 +308,14 @@ def _(t):
     return R.few_values(t.region, ["r_name", "r_regionkey"])
 
 
+@query("OP074b_ranges_of_clusters", """SELECT 'p_brand' AS "column", p_brand AS cluster, min(p_size) AS least, max(p_size) AS largest, CAST(count(*) AS BIGINT) AS n FROM part GROUP BY 2""")
+def _(t):
+    return R.cluster_ranges(t.part, "p_brand", ["p_size"]).select(F.lit("p_brand").alias("column"), F.col("p_brand").alias("cluster"), F.col("least_p_size").alias("least"), F.col("largest_p_size").alias("largest"), "n")
+
+
 @query("OP074_shared_cardinality", "SELECT CAST(count(*) AS BIGINT) AS pairs FROM part, lineitem WHERE p_size = l_quantity")
 def _(t):
-    return R.shared_pairs(t.part.select(F.col("p_size").cast("double").alias("p_size")), "p_size", t.lineitem, "l_quantity")
+    return C.as_longs(R.shared_pairs(t.part.select(F.col("p_size").cast("double").alias("p_size")), "p_size", t.lineitem, "l_quantity"))
 
 
 @query("OP075_evidence_sets", "SELECT CAST((CASE WHEN a.o_orderstatus = b.o_orderstatus THEN 1 ELSE 0 END) + (CASE WHEN a.o_orderpriority = b.o_orderpriority THEN 2 ELSE 0 END) AS INTEGER) AS mask, CAST(count(*) AS BIGINT) AS n FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey WHERE a.o_orderkey <> b.o_orderkey GROUP BY 1")
@@ -342,13 +346,38 @@ def _(t):
 
 # ---------------------------------------------------------------- similarity
 
-_NAMES = "WITH n AS (SELECT DISTINCT p_name AS s FROM part), p AS (SELECT x.s AS a, y.s AS b FROM n x JOIN n y ON x.s < y.s AND substr(x.s, 1, 1) = substr(y.s, 1, 1))"
+#: Pairs of distinct names that share a gram of two characters: all that any of the measures finds alike.
+_NAMES = """WITH RECURSIVE n AS (SELECT DISTINCT p_name AS s FROM part), g AS (SELECT DISTINCT s, unnest([substr(s, CAST(i AS INTEGER), 2) FOR i IN range(1, length(s))]) AS gram FROM n),
+  p AS (SELECT DISTINCT x.s AS a, y.s AS b FROM g x JOIN g y ON x.gram = y.gram AND x.s < y.s)"""
 
 
 def _names(t):
     n = t.part.select(F.col("p_name").alias("s")).distinct()
-    x, y = n.select(F.col("s").alias("a")), n.select(F.col("s").alias("b"))
-    return x.join(y, (F.substring("a", 1, 1) == F.substring("b", 1, 1)) & (F.col("a") < F.col("b")))
+    grams = n.select("s", F.explode(F.array_distinct(S.shingles(F.col("s"), 2))).alias("gram"))
+    x, y = grams.select(F.col("s").alias("a"), "gram"), grams.select(F.col("s").alias("b"), "gram")
+    return x.join(y, "gram").where("a < b").select("a", "b").distinct()
+
+
+def _table_sql(start: str, cell: str) -> str:
+    """SQL of a distance by its dynamic program, a row of the table at a time.  `start` is the row of no
+    characters of a; `cell` the value at place j before insertions (j - k each) are weighed, from r (the row before),
+    rr (the one before that), x = a's i-th character."""
+    return f"""{_NAMES}, d AS (SELECT a, b, 0 AS i, {start} AS r, {start} AS rr FROM p
+  UNION ALL SELECT a, b, i + 1, [list_min([(CASE WHEN k = 0 THEN i + 1.0 ELSE {cell} END) + (j - k) FOR k IN range(0, j + 1)]) FOR j IN range(0, length(b) + 1)], r FROM d WHERE i < length(a))"""
+
+
+#: Characters are counted from 1, places of rows from 0; k is a place of b.
+_SAME = "(CASE WHEN substr(a, i + 1, 1) = substr(b, CAST(k AS INTEGER), 1) THEN 0 ELSE 1 END)"
+_START = "[CAST(j AS DOUBLE) FOR j IN range(0, length(b) + 1)]"
+#: Edits without replacement: the distance by the longest common subsequence.
+_LCS = _table_sql(_START, f"least(r[k + 1] + 1, r[k] + 2 * {_SAME})")
+_OSA = _table_sql(_START, f"least(r[k + 1] + 1, r[k] + {_SAME}, CASE WHEN i > 0 AND k > 1 AND substr(a, i + 1, 1) = substr(b, CAST(k AS INTEGER) - 1, 1) AND substr(a, i, 1) = substr(b, CAST(k AS INTEGER), 1) THEN rr[k - 1] + {_SAME} ELSE 1e9 END)")
+#: Grams of two: the first one begins with padding, which agrees and weighs nothing.
+_GRAM = """(CASE WHEN i = 0 AND k = 1 THEN (CASE WHEN substr(a, 1, 1) = substr(b, 1, 1) THEN 0.0 ELSE 1.0 END)
+  ELSE ((CASE WHEN i > 0 AND k > 1 AND substr(a, i, 1) = substr(b, CAST(k AS INTEGER) - 1, 1) THEN 0 ELSE 1 END) + (CASE WHEN substr(a, i + 1, 1) = substr(b, CAST(k AS INTEGER), 1) THEN 0 ELSE 1 END)) / 2.0 END)"""
+_NGRAM = _table_sql(_START, f"least(r[k + 1] + 1, r[k] + {_GRAM})")
+_LAST = "r[length(b) + 1]"
+_PREFIX = "len(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: substr(a, 1, CAST(i AS INTEGER)) = substr(b, 1, CAST(i AS INTEGER))))"
 
 
 def _shingle_sql(k: int) -> str:
@@ -357,16 +386,16 @@ def _shingle_sql(k: int) -> str:
 
 
 _MET = {
-    "OP100_cosine": ("cosine", lambda: S.cosine_column(F.col("a"), F.col("b"), 2), None),
+    "OP100_cosine": ("cosine", lambda: S.cosine_column(F.col("a"), F.col("b"), 2), f"{_shingle_sql(2)} SELECT a, b, round(list_sum([len(list_filter(xs, lambda v: v = s)) * len(list_filter(ys, lambda v: v = s)) FOR s IN list_intersect(x, y)]) / sqrt(list_sum([len(list_filter(xs, lambda v: v = s)) ** 2 FOR s IN x])) / sqrt(list_sum([len(list_filter(ys, lambda v: v = s)) ** 2 FOR s IN y])), 9) AS measure FROM z"),
     "OP101_damerau": ("damerau", lambda: S.metric("damerau")(F.col("a"), F.col("b")), f"{_NAMES} SELECT a, b, CAST(damerau_levenshtein(a, b) AS DOUBLE) AS measure FROM p"),
     "OP102_jaccard": ("jaccard", lambda: S.jaccard_column(F.col("a"), F.col("b"), 2), f"{_shingle_sql(2)} SELECT a, b, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 9) AS measure FROM z"),
-    "OP103_jaro_winkler": ("jaro_winkler", lambda: S.metric("jaro_winkler")(F.col("a"), F.col("b")), None),
+    "OP103_jaro_winkler": ("jaro_winkler", lambda: S.metric("jaro_winkler")(F.col("a"), F.col("b")), f"{_NAMES}, j AS (SELECT a, b, jaro_similarity(a, b) AS j FROM p) SELECT a, b, round(CASE WHEN j > 0.7 THEN j + least(0.1, 1.0 / greatest(length(a), length(b))) * {_PREFIX} * (1 - j) ELSE j END, 9) AS measure FROM j"),
     "OP104_levenshtein": ("levenshtein", lambda: S.levenshtein_column(F.col("a"), F.col("b")).cast("double"), f"{_NAMES} SELECT a, b, CAST(levenshtein(a, b) AS DOUBLE) AS measure FROM p"),
-    "OP105_lcs": ("lcs", lambda: S.metric("lcs_distance")(F.col("a"), F.col("b")), None),
-    "OP106_metric_lcs": ("metric_lcs", lambda: S.metric("metric_lcs")(F.col("a"), F.col("b")), None),
-    "OP107_ngram": ("ngram", lambda: S.metric("ngram_distance")(F.col("a"), F.col("b")), None),
+    "OP105_lcs": ("lcs", lambda: S.metric("lcs_distance")(F.col("a"), F.col("b")), f"{_LCS} SELECT a, b, {_LAST} AS measure FROM d WHERE i = length(a)"),
+    "OP106_metric_lcs": ("metric_lcs", lambda: S.metric("metric_lcs")(F.col("a"), F.col("b")), f"{_LCS} SELECT a, b, round(1 - (length(a) + length(b) - {_LAST}) / 2 / greatest(length(a), length(b)), 9) AS measure FROM d WHERE i = length(a)"),
+    "OP107_ngram": ("ngram", lambda: S.metric("ngram_distance")(F.col("a"), F.col("b")), f"{_NGRAM} SELECT a, b, round({_LAST} / greatest(length(a), length(b)), 9) AS measure FROM d WHERE i = length(a)"),
     "OP108_normalized_levenshtein": ("nl", lambda: S.normalized_levenshtein_column(F.col("a"), F.col("b")), f"{_NAMES} SELECT a, b, round(levenshtein(a, b) / greatest(length(a), length(b)), 9) AS measure FROM p"),
-    "OP109_optimal_string_alignment": ("osa", lambda: S.metric("optimal_string_alignment")(F.col("a"), F.col("b")), None),
+    "OP109_optimal_string_alignment": ("osa", lambda: S.metric("optimal_string_alignment")(F.col("a"), F.col("b")), f"{_OSA} SELECT a, b, {_LAST} AS measure FROM d WHERE i = length(a)"),
     "OP110_overlap_coefficient": ("overlap", lambda: S.overlap_column(F.col("a"), F.col("b"), 3), f"{_shingle_sql(3)} SELECT a, b, round(len(list_intersect(x, y)) / least(len(x), len(y)), 9) AS measure FROM z"),
     "OP111_qgram": ("qgram", lambda: S.qgram_column(F.col("a"), F.col("b"), 2).cast("double"), f"{_shingle_sql(2)} SELECT a, b, CAST(list_sum([abs(len(list_filter(xs, lambda v: v = s)) - len(list_filter(ys, lambda v: v = s))) FOR s IN list_distinct(list_concat(x, y))]) AS DOUBLE) AS measure FROM z"),
     "OP113_sorensen_dice": ("dice", lambda: S.dice_column(F.col("a"), F.col("b"), 2), f"{_shingle_sql(2)} SELECT a, b, round(2 * len(list_intersect(x, y)) / (len(x) + len(y)), 9) AS measure FROM z"),
@@ -382,9 +411,16 @@ def _(t):
     return _names(t).select("a", "b", S.vector(16)(F.col("a"), F.col("b")).alias("similarities"))
 
 
-@query("OP117_refined_measures", f"{_NAMES} SELECT a, b, CAST(-levenshtein(a, b) AS DOUBLE) AS edit FROM p")
+@query("OP117_refined_measures", f"{_LCS} SELECT a, b, CAST(-levenshtein(a, b) AS DOUBLE) AS edit, -{_LAST} AS lcs FROM d WHERE i = length(a)")
 def _(t):
-    return _names(t).select("a", "b", S.vector(2)(F.col("a"), F.col("b"))[0].alias("edit"))
+    both = S.vector(2)(F.col("a"), F.col("b"))
+    return _names(t).select("a", "b", both.alias("m")).select("a", "b", F.col("m")[0].alias("edit"), F.col("m")[1].alias("lcs"))
+
+
+@query("OP117b_measures_of_tokens")
+def _(t):
+    words = lambda c: F.split(c, " ")
+    return _names(t).select("a", "b", S.token_vector()(words(F.col("a")), words(F.col("b"))).alias("similarities"))
 
 
 @query("OP118_fifteen_measures")
@@ -465,31 +501,126 @@ def _(t):
     return R.comparable(t.customer, "c_acctbal", t.supplier, "s_acctbal")
 
 
-@query("OP143_predicate_space")
+@query("OP143b_predicate_space")
 def _(t):
     found = P.column_predicates("part", {"p_brand": "text", "p_size": "number"}, ordered=True) + P.constant_predicates("part", {"p_brand": ["Brand#11"]}, ordered=True)
     return t.spark.createDataFrame([(i, str(p), str(p.inverse()), str(p.symmetric())) for i, p in enumerate(found)], "number int, predicate string, inverse string, symmetric string")
 
 
+# ---------------------------------------------------------------- the search, and all candidates by SQL
+
+
+def every_candidate(table: str, columns: list[str], constants: dict[str, list], levels: int) -> tuple[str, int]:
+    """SQL for the counts of all candidates (X, right-hand side) of a search over one table: mask, lhs, rhs, level,
+    support_x, support, confidence (CTE `c`), n (its rows).  X holds equalities of columns and constants; each
+    candidate is counted by its own grouping."""
+    from itertools import combinations
+
+    pairs = [C.equal(table, c) for c in columns]
+    fixed = P.constant_predicates(table, constants)
+    every = pairs + [p for p in fixed if p.op == "=="]
+    parts = []
+    for size in range(1, levels + 1):
+        for lhs in combinations(every, size):
+            if not any(p.right for p in lhs) or not D.compatible(frozenset(lhs)):
+                continue
+            mask = sum(1 << every.index(p) for p in lhs)
+            keys = [p.left.column for p in lhs if p.right]
+            meets = lambda v, lhs=lhs: " AND ".join([f"{p.left.column} = '{p.constant}'" for p in lhs if p.is_constant and p.left.variable == v]) or "true"
+            pairs_of = lambda by, meets=meets: f"(SELECT coalesce(sum(n0 * n1 - nb), 0) FROM (SELECT count(*) FILTER ({meets(0)}) AS n0, count(*) FILTER ({meets(1)}) AS n1, count(*) FILTER ({meets(0)} AND {meets(1)}) AS nb FROM {table} GROUP BY {', '.join(by)}))"
+            texts = ", ".join("'" + str(p).replace("'", "''") + "'" for p in sorted(lhs, key=str))
+            for rhs in pairs:
+                if rhs not in lhs:
+                    parts.append(f"SELECT {mask} AS mask, [{texts}] AS lhs, '{rhs}' AS rhs, {size} AS level, {pairs_of(keys)} AS support_x, {pairs_of([*keys, rhs.left.column])} AS support")
+    return f"WITH z AS ({' UNION ALL '.join(parts)}), c AS (SELECT mask, lhs, rhs, level, CAST(support_x AS BIGINT) AS support_x, CAST(support AS BIGINT) AS support, CASE WHEN support_x > 0 THEN round(support / support_x, 9) ELSE 0.0 END AS confidence, (SELECT count(*) FROM {table}) AS n FROM z)", len(every)
+
+
+def minimal_rules(candidates: str, support: int, confidence: float) -> str:
+    """CTE `r` over `c`: the valid candidates without a valid one inside."""
+    return f"{candidates}, v AS (SELECT *, round(0.4 * support / n / sqrt(n) + 0.2 * confidence + 0.2 / (100 + 1e-5) + 0.1 / level, 9) AS score FROM c WHERE support >= {support} AND confidence >= {confidence}), r AS (SELECT * FROM v WHERE NOT EXISTS (SELECT 1 FROM v w WHERE w.rhs = v.rhs AND w.mask <> v.mask AND (w.mask & v.mask) = w.mask))"
+
+
+_ORDER_COLUMNS = ["o_custkey", "o_orderstatus", "o_orderpriority"]
+_ORDER_CONSTANTS = {"o_orderstatus": ["F", "O"]}
+_ORDER_RULES = minimal_rules(every_candidate("orders", _ORDER_COLUMNS, _ORDER_CONSTANTS, 3)[0], 100, 0.19)
+_RULE = "lhs, rhs, CAST(level AS INTEGER) AS level, support, confidence, score"
+#: The line of a rule, as its text form has it.
+_LINE = "'Rule : [REE: orders ^ orders ^ ' || array_to_string(lhs, '  ') || ' -> ' || rhs || '], supp: ' || support || ', conf:' || format('{:.9g}', confidence)"
+
+
 def _rules(t, **options):
-    constants = {"o_orderstatus": ["F", "O"]}
-    return D.discover(t.orders, "orders", ["o_custkey", "o_orderstatus", "o_orderpriority"], constants=constants, support=100, confidence=0.19, levels=3, **options)
+    return D.discover(t.orders, "orders", _ORDER_COLUMNS, constants=_ORDER_CONSTANTS, support=100, confidence=0.19, levels=3, **options)
+
+
+def _as_rows(t, rules):
+    return U.as_table(t.spark, rules).drop("rule")
+
+
+@query("OP167_discover_rules", f"{_ORDER_RULES} SELECT {_RULE} FROM r")
+def _(t):
+    return _as_rows(t, _rules(t))
+
+
+@query("OP080_top_rules", f"{_ORDER_RULES} SELECT {_RULE} FROM r ORDER BY score DESC, {_LINE} LIMIT 5")
+def _(t):
+    return _as_rows(t, _rules(t, top=5))
+
+
+_TWO_TABLES = [C.equal("customer", "c_nationkey"), C.equal("customer", "c_mktsegment"), C.equal("customer", "c_nationkey", "supplier", "s_nationkey"), P.parse("customer.t0.c_acctbal <= supplier.t1.s_acctbal")]
+
+
+def _joined_sql(condition: str, head: str, lhs: list[str], rhs: str, tables: str = "customer a, supplier b", row: str = "a.c_custkey", hit: str = "count(*)") -> str:
+    texts = ", ".join(f"'{x}'" for x in lhs)
+    return f"SELECT [{texts}] AS lhs, '{rhs}' AS rhs, CAST(count(*) AS BIGINT) AS support_x, CAST({hit} FILTER ({head}) AS BIGINT) AS support FROM {tables} WHERE {condition}"
+
+
+_NATION, _BALANCE, _SEGMENT = (str(p) for p in (_TWO_TABLES[2], _TWO_TABLES[3], _TWO_TABLES[1]))
 
 
-@query("OP167_discover_rules")
+@query("OP167b_rules_over_two_tables", " UNION ALL ".join([
+    _joined_sql("a.c_nationkey = b.s_nationkey", "a.c_acctbal <= b.s_acctbal", [_NATION], _BALANCE), _joined_sql("a.c_acctbal <= b.s_acctbal", "a.c_nationkey = b.s_nationkey", [_BALANCE], _NATION),
+    _joined_sql("a.c_nationkey = b.c_nationkey AND a.c_custkey <> b.c_custkey", "a.c_mktsegment = b.c_mktsegment", [str(_TWO_TABLES[0])], _SEGMENT, "customer a, customer b"),
+    _joined_sql("a.c_mktsegment = b.c_mktsegment AND a.c_custkey <> b.c_custkey", "a.c_nationkey = b.c_nationkey", [_SEGMENT], str(_TWO_TABLES[0]), "customer a, customer b")]))
 def _(t):
-    return U.as_table(t.spark, _rules(t))
+    source = D.Source({"customer": t.customer, "supplier": t.supplier}, {"customer": "c_custkey", "supplier": "s_suppkey"})
+    found = D.mine(source, _TWO_TABLES, [], _TWO_TABLES, 1, 1.1, 1)
+    return t.spark.createDataFrame([(sorted(map(str, x)), str(y), c["support_x"], c["support"]) for x, y, c in found.counted], "lhs array<string>, rhs string, support_x long, support long")
+
+
+_NEAR = P.parse("similar('levenshtein', supplier.t0.s_name, supplier.t1.s_name, 0.9)")
+_NEAR_SQL = "a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey AND levenshtein(a.s_name, b.s_name) <= 2"
+
+
+@query("OP167c_scored_and_ordered_rules", " UNION ALL ".join([
+    _joined_sql(_NEAR_SQL, "a.s_acctbal < b.s_acctbal", [str(_NEAR).replace("'", "''")], "supplier.t0.s_acctbal < supplier.t1.s_acctbal", "supplier a, supplier b"), _joined_sql(_NEAR_SQL, "a.s_nationkey = b.s_nationkey", [str(_NEAR).replace("'", "''")], "supplier.t0.s_nationkey == supplier.t1.s_nationkey", "supplier a, supplier b"),
+    _joined_sql(_NEAR_SQL + " AND a.s_acctbal < b.s_acctbal", "a.s_nationkey = b.s_nationkey", [str(_NEAR).replace("'", "''"), "supplier.t0.s_acctbal < supplier.t1.s_acctbal"], "supplier.t0.s_nationkey == supplier.t1.s_nationkey", "supplier a, supplier b")]))
+def _(t):
+    s = t.supplier
+    near = s.alias("x").join(s.alias("y"), (F.col("x.s_nationkey") == F.col("y.s_nationkey")) & (F.col("x.s_suppkey") < F.col("y.s_suppkey"))).where(S.levenshtein_column(F.col("x.s_name"), F.col("y.s_name")) <= 2)
+    source = D.Source({"supplier": s}, {"supplier": "s_suppkey"}, {str(_NEAR): near.select(F.col("x.s_suppkey").alias("tid0"), F.col("y.s_suppkey").alias("tid1"))})
+    nation, less = C.equal("supplier", "s_nationkey"), P.parse("supplier.t0.s_acctbal < supplier.t1.s_acctbal")
+    found = D.mine(source, [_NEAR, less], [], [nation, less], 0, 1.1, 2)
+    return t.spark.createDataFrame([(sorted(map(str, x)), str(y), c["support_x"], c["support"]) for x, y, c in found.counted if _NEAR in x], "lhs array<string>, rhs string, support_x long, support long")
+
 
+_CHAIN_LHS = ["supplier.t0.s_nationkey == customer.t1.c_nationkey"]
 
-@query("OP080_top_rules")
+
+@query("OP154_third_tuple_variable", """WITH p AS (SELECT DISTINCT s_suppkey, c_custkey, s_acctbal, c_acctbal FROM supplier JOIN customer ON s_nationkey = c_nationkey),
+  e AS (SELECT 'supplier.t0.s_nationkey == customer.t2.c_nationkey' AS edge, (SELECT count(*) FROM supplier a JOIN customer b ON a.s_nationkey = b.c_nationkey WHERE EXISTS (SELECT 1 FROM customer c WHERE c.c_nationkey = a.s_nationkey AND c.c_custkey <> b.c_custkey)) AS n
+    UNION ALL SELECT 'customer.t1.c_nationkey == supplier.t2.s_nationkey', (SELECT count(*) FROM supplier a JOIN customer b ON a.s_nationkey = b.c_nationkey WHERE EXISTS (SELECT 1 FROM supplier c WHERE c.s_nationkey = b.c_nationkey AND c.s_suppkey <> a.s_suppkey)))
+  SELECT list_sort(['supplier.t0.s_nationkey == customer.t1.c_nationkey', edge]) AS lhs, CAST(n AS BIGINT) AS support_x FROM e""")
 def _(t):
-    return U.as_table(t.spark, _rules(t, top=5))
+    edge, head = P.parse(_CHAIN_LHS[0]), P.parse("supplier.t0.s_acctbal < customer.t1.c_acctbal")
+    source = D.Source({"supplier": t.supplier, "customer": t.customer}, {"supplier": "s_suppkey", "customer": "c_custkey"})
+    found = D.mine(source, [edge], [], [head], 0, 1.1, 2, variables=3)
+    return t.spark.createDataFrame([(sorted(map(str, x)), c["support_x"]) for x, _, c in found.counted if len(x) == 2], "lhs array<string>, support_x long")
 
 
 @query("OP092_rule_difference")
 def _(t):
     sample = A.uniform(t.orders, 0.3, "o_orderkey", seed=7)
-    some = D.discover_table(sample, "orders", ["o_custkey", "o_orderstatus", "o_orderpriority"], support=10, confidence=0.19, levels=2)
+    some = D.discover_table(sample, "orders", _ORDER_COLUMNS, support=10, confidence=0.19, levels=2)
     return U.compare(some, U.as_table(t.spark, _rules(t)))
 
 
@@ -532,7 +663,7 @@ def _(t):
 
 @query("OP177_column_association", "SELECT CAST(count(*) AS BIGINT) AS support_x, CAST(count(*) FILTER (a.p_type = b.p_type) AS BIGINT) AS support, round(count(*) FILTER (a.p_type = b.p_type) / count(*), 9) AS confidence FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey")
 def _(t):
-    return C.column_association(t.part, ["p_brand"], "p_type")
+    return C.as_longs(C.column_association(t.part, ["p_brand"], "p_type"))
 
 
 @query("OP178_rule_texts")
@@ -567,9 +698,11 @@ def _(t):
 # ---------------------------------------------------------------- samples and matching
 
 
-@query("OP190_uniform_sample", "SELECT CAST(floor(0.1 * count(*)) AS BIGINT) AS n FROM orders")
+@query("OP190_uniform_sample", """WITH d AS (SELECT *, row_number() OVER (ORDER BY CAST('0x' || substr(md5('1:' || o_orderkey), 1, 13) AS BIGINT), o_orderkey) AS r, count(*) OVER () AS n FROM orders)
+  SELECT o_orderkey, o_custkey FROM d WHERE r <= floor(0.1 * n)""")
 def _(t):
-    return A.uniform(t.orders, 0.1, "o_orderkey").agg(F.count("*").alias("n"))
+    by = F.conv(F.substring(F.md5(F.concat(F.lit("1:"), F.col("o_orderkey").cast("string"))), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+    return A.uniform(t.orders.select("o_orderkey", "o_custkey"), 0.1, "o_orderkey", by=by)
 
 
 @query("OP191_sample_with_replacement")
@@ -579,7 +712,7 @@ def _(t):
 
 @query("OP192_random_walks")
 def _(t):
-    return A.random_walks(t.orders.select("o_orderkey", "o_custkey", "o_orderpriority"), "o_orderkey", ["o_custkey", "o_orderpriority"], 0.05, 2)
+    return A.walk_sample(t.orders.select("o_orderkey", "o_custkey", "o_orderpriority"), "o_orderkey", ["o_custkey", "o_orderpriority"], 0.1)
 
 
 @query("OP194_position_lists", "SELECT c_mktsegment AS value, list_sort(list(c_custkey)) AS tids, CAST(count(*) AS BIGINT) AS n FROM customer GROUP BY 1")
@@ -639,15 +772,22 @@ def _(t):
     return M.match_labels(pairs).select("a", "b", "match")
 
 
+@query("OP205b_matched_pairs_autoencoder")
+def _(t):
+    pairs = _names(t).select("a", "b", S.vector(16)(F.col("a"), F.col("b")).alias("similarities"))
+    return M.autoencoder_labels(pairs).select("a", "b", "match")
+
+
 @query("OP206_matched_pairs_scaled")
 def _(t):
     pairs = _names(t).select("a", "b", S.vector(15)(F.col("a"), F.col("b")).alias("similarities"))
     return M.match_labels(pairs, scale=True).select("a", "b", "match")
 
 
-@query("OP207_scored_by_plugin")
+@query("OP207_scored_by_plugin", f"{_NAMES}, m AS (SELECT a, b, 1 - levenshtein(a, b) / greatest(length(a), length(b)) AS score FROM p) SELECT a, b, round(score, 9) AS score FROM m WHERE score > 0.5")
 def _(t):
-    return M.scored_pairs(_names(t), S.metric("jaro_winkler"), "a", "b", 0.8)
+    scorer = lambda a, b: 1 - S.normalized_levenshtein_column(a, b)  # noqa: E731  any function of two columns
+    return M.scored_pairs(_names(t), scorer, "a", "b", 0.5).withColumn("score", F.round("score", 9))
 
 
 @query("OP208_summaries")
@@ -655,6 +795,16 @@ def _(t):
     return M.idf_keep(t.benchmark, "item_id", T.split_words(F.lower("text")), 10)
 
 
+@query("OP208b_marked_kinds", "SELECT item_id, regexp_replace(text, '\\b([0-9][0-9A-Za-z.-]*)\\b', '[NUM] \\1 [/NUM]', 'g') AS marked FROM benchmark")
+def _(t):
+    return t.benchmark.select("item_id", M.inject_kinds(F.col("text")).alias("marked"))
+
+
+@query("OP208c_augmented")
+def _(t):
+    return t.benchmark.select("item_id", *[M.augmented(F.col("text"), F.col("item_id"), k).alias(k) for k in ("drop", "swap", "append", "trim")])
+
+
 @query("OP218_rule_pairs")
 def _(t):
     return A.random_pairs(t.nation.select(F.col("n_nationkey").alias("id")), "id", 40)

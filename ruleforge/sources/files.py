@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,10 +81,9 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     return both.select("predicate", F.trim(F.get("p", 0)).cast("long").alias("tid0"), F.trim(F.get("p", 1)).cast("long").alias("tid1")).where("tid0 < tid1").distinct()
 
 
-def write_evidence(evidence: Iterable[tuple[Iterable[Predicate], int]], path: str) -> None:
-    """Lines ``predicate;predicate;...SUPPcount``."""
-    with open(path, "w") as f:
-        f.writelines(f"{';'.join(sorted(map(str, found)))}SUPP{n}\n" for found, n in evidence)
+def write_evidence(evidence: DataFrame, path: str) -> None:
+    """predicates (array), n as lines ``predicate;predicate;...SUPPcount``."""
+    evidence.select(F.concat(F.array_join(F.array_sort("predicates"), ";"), F.lit("SUPP"), F.col("n").cast("string")).alias("value")).write.mode("overwrite").text(path)
 
 
 def read_evidence(spark: SparkSession, path: str) -> DataFrame:

@@ -8,6 +8,7 @@ from ruleforge.operators import counting as C
 from ruleforge.operators import joins as J
 from ruleforge.operators import profile as R
 from ruleforge.operators.predicates import Operand, Predicate
+from ruleforge.operators.predicates import pair_predicates as P_pairs
 
 
 @pytest.fixture(scope="module")
@@ -53,7 +54,7 @@ def test_supports_against_pairs(table, rows, lhs):
         assert g.rows0 == len({a[0] for a, _ in found}) and g.rows1 == len({b[0] for _, b in found})
         want = len({a[0] for a, b in found if ok(h, a, b)}) if h.is_constant else sum(ok(h, a, b) for a, b in found)
         assert g.support == want
-        base = g.rows0 if h.is_constant else g.support_x
+        base = int(g.rows0 if h.is_constant else g.support_x)
         assert g.confidence == pytest.approx(want / base if base else 0, abs=1e-8)
 
 
@@ -95,7 +96,43 @@ def test_profiles(spark, table):
     assert R.prefix(table, 0.0, "id").count() == 1 and [r.id for r in R.prefix(table, 0.2, "id").orderBy("id").collect()] == list(range(8))
     codes = [(r.value, r.code) for r in R.sorted_dictionary(table, "k").orderBy("code").collect()]
     assert codes == [("a", 1), ("b", 2), ("c", 3)]
-    assert R.column_pairs({"t": table.select("m"), "u": table.select("m")}) == [("t", "m", "u", "m")]
+    u = spark.createDataFrame([(1, "x"), (2, "y"), (None, "")], "m int, s string")
+    found = {(r.left, r.a, r.right, r.b): (r.joinable, r.comparable) for r in R.column_pairs({"t": table.select("m", "y"), "u": u}, scored=[("t", "y", "u", "s")]).collect()}
+    assert found["t", "m", "t", "m"] == (True, True) and found["t", "y", "t", "y"] == (True, False) and found["t", "y", "u", "s"][0] and ("t", "m", "u", "s") not in found
+    keys = [("t", "m", "u", "m")]
+    texts = {str(p) for p in P_pairs([("t", "m", "u", "m", True, True), ("t", "y", "u", "s", True, True)], {("t", "y"), ("u", "s")}, keys)}
+    assert {"t.t0.m <= u.t1.m", "t.t0.y <> u.t1.s", "u.t0.m == t.t1.m"} <= texts and "t.t0.y < u.t1.s" not in texts
+
+
+def test_a_level_in_one_pass(table):
+    """Grouping sets give what each X gives by itself."""
+    heads = [C.equal("t", "y"), C.equal("t", "m"), C.is_value("t", "y", "x")]
+    sets = {tuple(lhs): heads for lhs in BODIES[:4]}
+    got = C.count_level(table, sets)
+    for x, lhs in enumerate(sets):
+        for r in C.count_rules(table, C.Body.of(lhs), heads).collect():
+            assert got[x, r.rhs] == {"support_x": r.support_x, "support": r.support, "rows0": r.rows0, "rows1": r.rows1}
+
+
+def test_counts_beyond_longs(spark):
+    """Sums stay decimals: three groups of 2**32 pairs' worth of rows are no overflow."""
+    from pyspark.sql import functions as F
+
+    big = spark.range(3).select(F.lit(3_100_000_000).cast(C.BIG).alias("n0"), F.lit(3_100_000_000).cast(C.BIG).alias("n1"))
+    assert int(big.agg(F.sum(C._pairs(F.col("n0"), F.col("n1"), F.lit(0)))).first()[0]) == 3 * 3_100_000_000**2
+    with pytest.raises(Exception):
+        C.as_longs(big.agg(F.sum(C._pairs(F.col("n0"), F.col("n1"), F.lit(0))).alias("n"))).collect()
+
+
+def test_join_graph_and_guard(spark):
+    a, b, c = (spark.createDataFrame(rows, schema) for rows, schema in (([(1, 10), (2, 20)], "id long, b long"), ([(10, 100), (30, 300)], "id long, c long"), ([(100, "x"), (400, "y")], "id long, name string")))
+    keys = [J.ForeignKey("a", "b", "b", "id"), J.ForeignKey("b", "c", "c", "id")]
+    out = J.join_graph({"a": a, "b": b, "c": c}, keys, "a", {"a": "id", "b": "id", "c": "id"})
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, 10, 100), (2, None, None), (None, 30, None), (None, None, 400)], key=str)
+    same = spark.createDataFrame([(i, 1) for i in range(20)], "id long, v long")
+    with pytest.raises(ValueError):
+        J.most_selective({"t": same}, [C.equal("t", "v")], 0.1)
+    assert J.affordable(10, 100) and not J.affordable(2000, 100)
 
 
 def test_blocks_and_candidates(spark):

@@ -91,13 +91,143 @@ def test_recovered_rules_hold_on_all_rows(table):
     same = C.equal("t", "n")
     with_constants = [U.Rule.of([same, C.is_value("t", "y", "x")], C.equal("t", "k")), U.Rule.of([same, C.is_value("t", "y", "x"), C.is_value("t", "k", "a", 1)], C.equal("t", "y"))]
     assert D.recover_rules(table, "t", [], 1, 0.5).collect() == []
-    assert D.recover_rules(table, "t", with_constants, 1, 0.2).count() > 2
-    for r in D.recover_rules(table, "t", with_constants, 1, 0.2).collect():
+    plain = U.Rule.of([same], C.equal("t", "k"), support=7, confidence=0.5)
+    found = D.recover_rules(table, "t", [*with_constants, plain], 1, 0.2).collect()
+    assert len(found) > 3 and [(r.lhs, r.support) for r in found if r.origin == "sample"] == [(["t.t0.n == t.t1.n"], 7)]
+    for r in (r for r in found if r.origin == "recovered"):
         lhs = [P.parse(x) for x in r.lhs]
         lhs = [C.is_value("t", p.left.column, int(p.constant), p.left.variable) if p.is_constant and p.left.column == "n" else p for p in lhs]
         assert C.count_rules(table, C.Body.of(lhs), [P.parse(r.rhs)]).first().support == r.support
 
 
+@pytest.mark.parametrize("fixed0, fixed1", [(["y"], []), ([], ["y"]), (["k"], ["k"])])
+def test_recovered_constant_heads_against_pairs(table, rows, fixed0, fixed1):
+    at = {"k": 1, "n": 2, "y": 3}
+    head = "k" if "y" in fixed0 + fixed1 else "y"
+    names = [f"c0_{x}" for x in fixed0] + [f"c1_{x}" for x in fixed1]
+    got = {tuple(r[c] for c in names): (r.value, r.support, r.rows0) for r in D.recover_head(table, ["n"], fixed0, head, 1, 0.0, fixed1).collect()}
+    met = {}
+    for a, b in itertools.permutations(rows, 2):
+        if a[2] == b[2]:
+            met.setdefault(tuple(a[at[c]] for c in fixed0) + tuple(b[at[c]] for c in fixed1), set()).add(a)
+    for key, own in met.items():
+        counts = {}
+        for a in own:
+            counts[a[at[head]]] = counts.get(a[at[head]], 0) + 1
+        value = min(counts, key=lambda v: (-counts[v], v))
+        assert got[key] == (value, counts[value], len(own))
+    assert set(got) == set(met)
+    rule = U.Rule.of([C.equal("t", "n"), *[C.is_value("t", c, "x", 0) for c in fixed0], *[C.is_value("t", c, "x", 1) for c in fixed1]], C.is_value("t", head, "a"))
+    assert D.recover_rules(table, "t", [rule], 1, 0.0).where("origin = 'recovered'").count() == len(got)
+
+
+def holds(p, tuples, at, scored):
+    if p.is_scored:
+        return (tuples[0][0], tuples[1][0]) in scored
+    value = lambda o: tuples[o.variable][at[o.relation][o.column]]
+    a, b = value(p.left), p.constant if p.is_constant else value(p.right)
+    return a not in (None, "") and b not in (None, "") and {"==": a == b, "<>": a != b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[p.op]
+
+
+def brute_counts(data, at, lhs, rhs, scored):
+    """support_x, support, rows0 over explicit tuples of all variables."""
+    relation = {o.variable: o.relation for p in lhs for o in (p.left, p.right) if o}
+    pairs, hits, rows0, rows_hit = set(), set(), set(), set()
+    for tuples in itertools.product(*[data[relation[v]] for v in range(len(relation))]):
+        if any(relation[i] == relation[j] and tuples[i][0] == tuples[j][0] for i in range(len(tuples)) for j in range(i)):
+            continue
+        if all(holds(p, tuples, at, scored) for p in lhs):
+            pairs.add((tuples[0][0], tuples[1][0]))
+            rows0.add(tuples[0][0])
+            if holds(rhs, tuples, at, scored):
+                hits.add((tuples[0][0], tuples[1][0]))
+                rows_hit.add(tuples[0][0])
+    return len(pairs), len(rows_hit) if rhs.is_constant else len(hits), len(rows0)
+
+
+def test_search_over_tables_operators_and_variables(spark):
+    """Two tables, order comparisons, a scored predicate, constants and a third variable: every counted candidate
+    has the counts of explicit tuples, every rule is valid and minimal, and nothing valid is missed."""
+    r = random.Random(6)
+    data = {
+        "a": [(i, r.choice("xyz"), r.choice((1, 2, 3, None)), r.choice(("p", "q", ""))) for i in range(9)],
+        "b": [(i, r.choice("xyz"), r.choice((1, 2, 3)), r.choice("pq")) for i in range(7)],
+    }
+    at = {"a": {"id": 0, "k": 1, "n": 2, "s": 3}, "b": {"id": 0, "k": 1, "n": 2, "s": 3}}
+    tables = {t: spark.createDataFrame(rows, "id long, k string, n int, s string") for t, rows in data.items()}
+    scored = {(i, j) for i in range(9) for j in range(7) if r.random() < 0.5}
+    near = P.parse("similar('m', a.t0.s, b.t1.s, 0.5)")
+    source = D.Source(tables, {"a": "id", "b": "id"}, {str(near): spark.createDataFrame(sorted(scored), "tid0 long, tid1 long")})
+    pairs = [C.equal("a", "k"), C.equal("a", "s"), C.equal("a", "k", "b", "k"), C.equal("a", "s", "b", "s"), C.equal("a", "n", "b", "n"), P.parse("a.t0.n <= b.t1.n"), P.parse("a.t0.n < a.t1.n"), near]
+    fixed = [C.is_value("a", "s", "p"), C.is_value("b", "s", "q", 1)]
+    heads = [C.equal("a", "k"), C.equal("a", "k", "b", "k"), C.equal("a", "s", "b", "s"), C.is_value("a", "k", "x")]
+    found = D.mine(source, pairs, fixed, heads, support=2, confidence=0.4, levels=2, variables=3)
+    kinds = set()
+    for lhs, rhs, c in found.counted:
+        assert (c["support_x"] if not rhs.is_constant else None, c["support"], c["rows0"] if rhs.is_constant else None) == tuple(
+            v if k != (0 if rhs.is_constant else 2) else None for k, v in enumerate(brute_counts(data, at, sorted(lhs, key=str), rhs, scored))
+        ), (lhs, rhs)
+        kinds |= {"three" if len({v for p in lhs for v in p.variables}) == 3 else "", "scored" if near in lhs else "", "order" if any(p.op != "==" for p in lhs) else "", "cross" if any(len(p.relations) == 2 for p in lhs) else "", "constant" if rhs.is_constant else ""}
+    assert kinds >= {"three", "scored", "order", "cross", "constant"}
+    valid = {(frozenset(x.lhs), x.rhs) for x in found.rules}
+    assert valid and not any(y == q and x < p for x, y in valid for p, q in valid)
+    n_rows = max(map(len, data.values()))
+    for size in (1, 2):
+        for lhs in map(frozenset, itertools.combinations(pairs + fixed, size)):
+            for rhs in heads:
+                if D.compatible(lhs) and D.countable(lhs, rhs):
+                    x, n, rows0 = brute_counts(data, at, lhs, rhs, scored)
+                    total = n * (n_rows if rhs.is_constant else 1)
+                    base = rows0 if rhs.is_constant else x
+                    if x >= 2 and total >= 2 and n / base >= 0.4:
+                        assert any(p <= lhs and q == rhs for p, q in valid), (lhs, rhs)
+
+
+def test_pruning_by_the_bound_changes_no_result(table):
+    pairs = [C.equal("t", c) for c in COLUMNS]
+    fixed = P.constant_predicates("t", {"y": ["x", "y", "z", "w"], "k": ["a", "b"]})
+    run = lambda bounded: D.mine(D.Source({"t": table}, {}), pairs, fixed, pairs, 1, 0.45, 3, 2, bounded=bounded, weights=(0.0, 0.1, 0.0, 5.0, 0.0))
+    some, every = run(True), run(False)
+    assert [str(r) for r in some.rules] == [str(r) for r in every.rules]
+    assert sum(x["by_bound"] for x in some.log) > 0 and len(some.counted) < len(every.counted)
+
+
+def test_a_level_is_one_job(table):
+    pairs = [C.equal("t", c) for c in COLUMNS]
+    found = D.mine(D.Source({"t": table}, {}), pairs, P.constant_predicates("t", {"y": ["x", "w"]}), pairs, 1, 0.99, 3)
+    assert [x["jobs"] for x in found.log] == [1] * len(found.log) and max(x["candidates"] for x in found.log) > 10
+
+
+def test_online_filter_prunes_within_the_search(table):
+    pairs = [C.equal("t", c) for c in COLUMNS]
+    fixed = P.constant_predicates("t", {"y": ["x", "w"], "k": ["a", "b", "c"]})
+    online = N.OnlineFilter(N.Vocabulary(pairs + fixed), 60, 0.8)
+    found = D.mine(D.Source({"t": table}, {}), pairs, fixed, pairs, 60, 0.95, 3, learn=online.learn, prune=online.prune)
+    assert online.trained and sum(x["by_filter"] for x in found.log) > 0
+    assert {str(r) for r in found.rules} <= {str(r) for r in D.mine(D.Source({"t": table}, {}), pairs, fixed, pairs, 60, 0.95, 3).rules}
+
+
+def test_templates_drop_covered_candidates():
+    k, y, head = C.equal("t", "k"), C.is_value("t", "y", "x"), C.equal("t", "n")
+    valid = {head: [frozenset([k, y])]}
+    assert D.by_template(frozenset([k, C.is_value("t", "y", "other")]), head, valid) and not D.by_template(frozenset([k, C.is_value("t", "n", 1)]), head, valid)
+    assert not D.by_template(frozenset([k]), C.equal("t", "y"), valid) and not D.by_template(frozenset([head, y]), head, {head: [frozenset([k])]})
+
+
+def test_trainers():
+    words = N.Vocabulary([C.equal("t", c) for c in COLUMNS])
+    a, b, c = words.predicates
+    net = N.train_filter(words, [([a], c, "FAILURE"), ([b], c, "SUCCESS"), ([a, b], c, "FAILURE"), ([b], a, "SUCCESS")])
+    prune = N.expansion_filter(net, words)
+    assert prune([a], c) and not prune([b], c)
+    r = N.np.random.default_rng(1)
+    tokens = {w: r.normal(size=4) for p in words.predicates for w in N.EmbeddingScore.words_of(p)}
+    score = N.EmbeddingScore(tokens, r.normal(size=(4, 4)), r.normal(size=8))
+    wanted = [(([a], c), ([b], c)), (([a], b), ([c], b))]
+    score.fit(wanted)
+    assert all(score(*x) > score(*y) for x, y in wanted)
+
+
 def test_text_round_trips(table):
     for text in ("t.t0.a == t.t1.b", "t.t0.a <= 5", "similar('cosine', t.t0.a, u.t1.b, 0.9)"):
         assert str(P.parse(text)) == text
@@ -157,6 +287,15 @@ def test_samples(table):
     assert s.count() == 12 and {r.id for r in s.collect()} == {r.id for r in A.uniform(table, 0.4, "id", 3).collect()} != {r.id for r in A.uniform(table, 0.4, "id", 4).collect()}
     walk = A.random_walks(table, "id", ["k", "n"], 0.1, 3)
     assert 3 <= walk.count() <= 12 and walk.columns == table.columns
+    for ratio in (0.05, 0.4, 0.9):
+        found = [r.id for r in A.walk_sample(table, "id", ["k", "n"], ratio).collect()]
+        assert len(found) == len(set(found)) == max(1, int(ratio * 30))
+    places = A._numbered(table, "id", ["k", "n"], 1).collect()
+    for attribute in "kn":
+        by = {}
+        for r in (r for r in places if r.attribute == attribute):
+            by.setdefault((r.value, r.size), []).append(r.number)
+        assert all(sorted(v) == list(range(1, n + 1)) for (_, n), v in by.items()) and sum(map(len, by.values())) == 30
     pairs = A.random_pairs(table, "id", 50).collect()
     assert len(pairs) == 50 and all(p.left_id < p.right_id for p in pairs)
 
@@ -195,7 +334,7 @@ def test_files(spark, table, tmp_path):
     assert [tuple(r) for r in files.read_constants(spark, put("c", "t->k;a;==\n")).collect()] == [("t", "k", "a", "==")]
     pairs = files.read_pairs(spark, put("ml", "ML;t->k;t->k;1;2;5;4;\nML#cosine@0.9(t->k;t->k):3|4;4|3;\n")).collect()
     assert {(r.predicate, r.tid0, r.tid1) for r in pairs} == {("ML;t->k;t->k", 1, 2), ("ML#cosine@0.9(t->k;t->k)", 3, 4)}
-    files.write_evidence([([C.equal("t", "k")], 7)], str(tmp_path / "ev"))
+    files.write_evidence(spark.createDataFrame([([str(C.equal("t", "k"))], 7)], "predicates array<string>, n long"), str(tmp_path / "ev"))
     assert [(r.predicates, r.n) for r in files.read_evidence(spark, str(tmp_path / "ev")).collect()] == [(["t.t0.k == t.t1.k"], 7)]
     assert files.read_vocabulary(spark, put("voc", "t.t0.k == a\n")) == [P.parse("t.t0.k == a")]
     labels = files.read_labels(spark, put("labels.csv", "a,b,c,d\nt,1,t,2\nt,1,t,2\nt,2,u,1\n"))

@@ -34,7 +34,8 @@ def test_known_values():
     assert S.sift4("", "abc") == 3 and S.sift4("abc", "abc") == 0 and S.sift4("This is the first string", "And this is another string") == 11
     assert S.sift4("a b c", "a x c", tokens="words") == 1
     assert S.weighted_levenshtein("ab", "b", delete=lambda c: 5.0) == 5 and S.qgram("ABCD", "ABCE", 2) == 2
-    assert S.vector16("", "x") == [0.0] * 16 and len(S.vector16("ab", "abc")) == len(S.NAMES16) and len(S.vector15("ab", "ac")) == 15
+    assert S.sift4("Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "Amet Lorm ispum dolor sit amet, consetetur adixxxpiscing elit.", 10) == 12
+    assert S.sift4("abcdef", "badcfe", limit=2) == 2 and S.sift4("aab", "aba", swap_cost=lambda i, j: 3) >= S.sift4("aab", "aba")
     assert S.vector4(["a", "", ""], ["a", "", "b"]) == [1.0] * 8 + [0.0] * 4
 
 
@@ -49,6 +50,37 @@ def test_axioms(a, b):
     assert S.lcs_length(a, b) == slow_lcs(a, b)
 
 
+def plain_vectors(a, b):
+    """The vectors of measures by the plain functions, one after the other."""
+    n, m = max(len(a), len(b)), len(a) + len(b)
+    edit = 1 - S.levenshtein(a, b) / max(n, 1)
+    sixteen = [0.0] * 16 if not a or not b else [
+        S.cosine(a, b, 1), 1 - S.damerau(a, b) / n, S.jaccard(a, b, 2), S.overlap_coefficient(a, b, 3), S.jaro_winkler(a, b), edit, 1 - S.lcs_distance(a, b) / m, 1 - S.metric_lcs(a, b), 1 - S.ngram_distance(a, b, 2, compat=True), edit,
+        1 - S.optimal_string_alignment(a, b) / n, S.overlap_coefficient(a, b, 2), 1 - S.qgram(a, b, 2) / n, S.sorensen_dice(a, b, 2), edit, S.overlap_coefficient(a, b, 1),
+    ]
+    fifteen = [
+        S.cosine(a, b, 1), -S.damerau(a, b), S.jaccard(a, b, 1) - 1, S.jaro_winkler(a, b), S.jaro_winkler(a, b), -S.levenshtein(a, b), -S.lcs_distance(a, b), -S.metric_lcs(a, b), -S.ngram_distance(a, b, 2, compat=True), edit,
+        -S.optimal_string_alignment(a, b, compat=True), S.overlap_coefficient(a, b, 3) - 1, -S.qgram(a, b, 1), S.sorensen_dice(a, b, 2), -S.weighted_levenshtein(a, b),
+    ]
+    return sixteen, fifteen, [-S.levenshtein(a, b), -S.lcs_distance(a, b)] if a and b else [0.0, 0.0]
+
+
+def test_vectors_equal_plain(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("ab c") for _ in range(r.randrange(0, 9)))
+    pairs = [(word(), word()) for _ in range(120)] + [("", ""), ("", "x"), ("abcabc", "abcabc"), (None, "a"), ("a", None)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    a, b = F.col("a"), F.col("b")
+    words = lambda c: F.split(c, " ")
+    for row in df.select("a", "b", S.vector(16)(a, b).alias("s"), S.vector(15)(a, b).alias("f"), S.vector(2)(a, b).alias("t"), S.token_vector()(words(a), words(b)).alias("w")).collect():
+        if row.a is None or row.b is None:
+            assert row.s is None and row.f is None and row.t is None and row.w is None
+        else:
+            for got, want in zip((row.s, row.f, row.t), plain_vectors(row.a, row.b)):
+                assert got == pytest.approx(want, abs=1e-9), (row.a, row.b)
+            assert row.w == pytest.approx(S.vector4(row.a.split(" "), row.b.split(" ")))
+
+
 def test_columns_equal_plain(spark):
     r = random.Random(1)
     pairs = [("".join(r.choice("ab c") for _ in range(r.randrange(0, 9))), "".join(r.choice("ab c") for _ in range(r.randrange(0, 9)))) for _ in range(80)] + [(None, "a"), ("a", None)]
@@ -104,3 +136,24 @@ def test_matching(spark):
     text = spark.createDataFrame([(1, "the red fox"), (2, "the blue fox"), (3, "the 42 end")], "id long, s string")
     assert {r.id: r.summary for r in M.idf_keep(text, "id", T.split_words(F.col("s")), 1).collect()} == {1: "red", 2: "blue", 3: "42"}
     assert text.select(M.inject_kinds(F.col("s"))).collect()[2][0] == "the [NUM] 42 [/NUM] end"
+
+
+def test_augmented_texts(spark):
+    df = spark.createDataFrame([(i, "one two three four five") for i in range(40)] + [(99, "single"), (100, None)], "id long, t string")
+    kinds = ("drop", "swap", "append", "trim")
+    for r in df.select("id", "t", *[M.augmented(F.col("t"), F.col("id"), k).alias(k) for k in kinds]).collect():
+        if r.id >= 99:
+            assert all(r[k] == r.t for k in kinds)
+            continue
+        words = r.t.split(" ")
+        assert len(r.drop.split(" ")) == 4 and set(r.drop.split(" ")) < set(words)
+        assert sorted(r.swap.split(" ")) == sorted(words) and sum(a != b for a, b in zip(r.swap.split(" "), words)) == 2
+        assert len(r.append.split(" ")) == 6 and list(dict.fromkeys(r.append.split(" "))) == words
+        assert words[: len(r.trim.split(" "))] == r.trim.split(" ")
+
+
+def test_autoencoder_labels(spark):
+    r = random.Random(4)
+    rows = [(i, [(0.9 if i % 4 == 0 else 0.1) + r.gauss(0, 0.03) for _ in range(6)]) for i in range(200)]
+    found = M.autoencoder_labels(spark.createDataFrame(rows, "id long, similarities array<double>")).select("id", "match").collect()
+    assert sum(x.match == (x.id % 4 == 0) for x in found) >= 190
