@@ -1,28 +1,14 @@
-"""Shared state between executors, and connected components over a table of links."""
+"""Shared state between executors: the library's folder, checkpoints and components, and written tables."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
+from ..operators.shared import checkpoint, components, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a temporary one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    set_by_hand = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return set_by_hand.get() if set_by_hand.isDefined() else tempfile.mkdtemp(prefix="checkpoints-")
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+__all__ = ["checkpoint", "components", "shared_dir", "written"]
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -30,31 +16,3 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/written-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """links (a long, b long) as (node, component), component being the least node reachable.
-
-    Alternating large-star and small-star steps: every step rewires links towards the least neighbour,
-    by an aggregate and a join, so that no node's neighbours are ever gathered in one row.  Nodes
-    without links are not listed.
-    """
-    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    edges = checkpoint(edges)
-    seen = None
-    for _ in range(rounds):
-        # large star: each node's larger neighbours go to its least one (itself included)
-        both = edges.union(edges.select("b", "a"))
-        least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = edges.join(least, edges.b == least.u).select(edges.a, F.col("m").alias("b"))
-        # small star: each node and its smaller neighbours go to its least one
-        small = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-        moved = large.join(small, large.a == small.u).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = checkpoint(moved.union(small.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct())
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
