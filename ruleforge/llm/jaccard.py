@@ -12,10 +12,14 @@ every pair with ``100 * c >= percent * (s + t - c)`` links; linking each member
 keeps all these connections, since a pair qualifies only if both qualify with the smallest.
 
 *Heavy sets*: a pair that links shares one of the rarest ``s - ceil(s * percent / 100) + 1`` shingles of
-each.  Classes connected by such shingles form candidate groups.  Within a group every set scans the
-inverted lists of its shingles, which counts its exact overlap with all others at once; a group beyond
-``CELL`` shingles is split into blocks, and pairs of blocks are separate tasks.  Only a spanning forest
-of the links leaves a task, never all pairs.
+each.  Classes connected by such shingles form candidate groups.  Within a group sets scan the inverted lists
+of their shingles, which counts a set's exact overlap with all others at once.  Only which sets hang together
+matters, so a group first gets a *core*: a set and all that link with it (and with further sets of the core).
+Pairs inside of the core need no look; the sets outside scan the lists of all.  A group beyond ``SPREAD`` shingles
+finds its core by rounds of one comparison for each set, spread over tasks, and then its outside and all its sets
+are split into blocks of at most ``CELL``; pairs of blocks are separate tasks.  So a group of near copies that holds a third of all
+sets costs a few passes over it and the scans of the sets outside of its core.  Only a spanning forest of the
+links leaves a task, never all pairs.
 
 The boundary is the one with the least estimated cost over the sizes that occur.  Sets between
 boundary * percent/100 and the boundary take part on both sides, so no pair of a light and a heavy set
@@ -43,8 +47,8 @@ from .graph import checkpoint, components, written
 WIDTH, PERCENT = 4, 85
 #: The odd base of the shingles' fingerprints.
 BASE = 0x5851F42D4C957F2D
-#: Shingles in a cell's block: 16 MB of fingerprints.
-CELL = 2_000_000
+#: Shingles in a task's block of a group, 8 MB of fingerprints, and of a group beyond which tasks share it.
+CELL, SPREAD = 1_000_000, 50_000
 #: Sizes among which the boundary is sought, and the cost of a heavy shingle against a light subset.
 LARGEST_LIGHT, HEAVY_COST = 24, 8
 #: Up to so many pairs of numbers (some 40 MB) are broadcast to find documents; more are joined by shuffle.
@@ -213,9 +217,13 @@ def _tokens(batches):
         yield pa.record_batch([pa.array(cat(keys)), pa.array(cat(tokens))], names=["key", "token"])
 
 
-def cell_links(left, right, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between two lists of (key, size, shingles), or within one (right
-    None): every set scans the inverted lists of its shingles."""
+def cell_links(left, right, percent: int, core: frozenset = frozenset()) -> list[tuple[int, int]]:
+    """A spanning forest of the links between two lists of (key, size, shingles), or within one (right None): sets
+    scan the inverted lists of their shingles.  core: keys that hang together already.
+
+    Within one list, sets that hang together with the first one need no scan of their own once the others had
+    theirs: of two sets without a scan both do so.
+    """
     rows = left if right is None else right
     owner = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
     token = np.concatenate([r[2] for r in rows]) if rows else np.zeros(0, np.int64)
@@ -224,6 +232,8 @@ def cell_links(left, right, percent: int) -> list[tuple[int, int]]:
     sizes = np.array([r[1] for r in rows], np.int64)
     # every key has one root; a second side of the same keys joins the same forest
     parent = {r[0]: r[0] for r in itertools.chain(left, right or ())}
+    inside = [k for k in parent if k in core]
+    parent.update(dict.fromkeys(inside, min(inside, default=0)))
 
     def root(k):
         while parent[k] != k:
@@ -231,58 +241,118 @@ def cell_links(left, right, percent: int) -> list[tuple[int, int]]:
         return k
 
     out = []
-    for i, (key, size, own) in enumerate(left):
+
+    def scan(key, size, own):
         low, high = np.searchsorted(token, own, "left"), np.searchsorted(token, own, "right")
         n = high - low
         end = np.cumsum(n)
         hit = owner[np.repeat(low - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
         overlap = np.bincount(hit, minlength=len(rows))
-        ok = 100 * overlap >= percent * (size + sizes - overlap)
-        if right is None:
-            ok[: i + 1] = False
-        for j in np.flatnonzero(ok & (overlap > 0)).tolist():
+        for j in np.flatnonzero((100 * overlap >= percent * (size + sizes - overlap)) & (overlap > 0)).tolist():
             a, b = root(key), root(rows[j][0])
             if a != b:
                 parent[max(a, b)] = min(a, b)
                 out.append((key, rows[j][0]))
+
+    if right is not None:
+        for r in left:
+            scan(*r)
+        return out
+    for r in left[:1]:
+        scan(*r)
+    # a few more of the first one's links widen what needs no scan
+    for r in [r for r in left[1:] if root(r[0]) == root(left[0][0])][:: max(1, len(left) // 4)]:
+        scan(*r)
+    for r in left[1:]:
+        if root(r[0]) != root(left[0][0]):
+            scan(*r)
     return out
 
 
 def _cells(percent: int):
     def run(table: pa.Table) -> pa.Table:
         B.trim()
-        rows: dict[tuple, dict[int, list]] = {}
-        for group, i, j, mine, key, size, live in zip(*(table.column(c).to_pylist() for c in ("group", "i", "j", "mine", "key", "n_shingles", "live")), strict=True):
-            rows.setdefault((group, i, j), {}).setdefault(mine, []).append((key, size, np.frombuffer(live, "<i8")))
+        rows: dict[tuple, dict[bool, list]] = {}
+        core: dict[tuple, set] = {}
+        for group, i, j, outside, in_core, key, size, live in zip(*(table.column(c).to_pylist() for c in ("group", "i", "j", "outside", "in_core", "key", "n_shingles", "live")), strict=True):
+            rows.setdefault((group, i, j), {}).setdefault(outside, []).append((key, size, np.frombuffer(live, "<i8")))
+            if in_core:
+                core.setdefault((group, i, j), set()).add(key)
         found = []
-        for (_, i, j), sides in rows.items():
-            if i == j:
-                found += cell_links(sides.get(i, []), None, percent)
-            elif i in sides and j in sides:
-                found += cell_links(sides[i], sides[j], percent)
+        for cell, sides in rows.items():
+            if cell[1] < 0:  # a whole group
+                found += cell_links(sides[False], None, percent)
+            elif True in sides and False in sides:
+                found += cell_links(sides[True], sides[False], percent, frozenset(core.get(cell, ())))
         return pa.table([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
     return run
 
 
-def heavy_links(classes: DataFrame, least_size: int, percent: int, cell: int = CELL) -> DataFrame:
+def _near_pivot(percent: int):
+    """Of rows with their group's pivot: component, key, pivot where the two sets link."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for n, own, m, pivot in zip(*(batch.column(i).to_pylist() for i in (2, 3, 5, 6)), strict=True):
+                both = len(np.intersect1d(np.frombuffer(own, "<i8"), np.frombuffer(pivot, "<i8"), assume_unique=True))
+                keep.append(100 * both >= percent * (n + m - both))
+            yield pa.record_batch([c.filter(pa.array(keep, pa.bool_())) for c in (batch.column(0), batch.column(1), batch.column(4))], names=["component", "key", "pivot"])
+
+    return run
+
+
+#: Rounds that widen the core of a large group, and parts that its comparisons are dealt to.
+ROUNDS, SALTS = 3, 64
+
+
+def cores(large: DataFrame, percent: int, rounds: int = ROUNDS) -> DataFrame:
+    """component, key, pivot: the cores of large groups, each key with the set it links with.  A round compares
+    every set outside of the core with one pivot of its group; the first pivot is any set, later ones are sets of
+    the core.  A group's sets are dealt to SALTS tasks, to each of which its pivot goes."""
+    salt = F.pmod(F.xxhash64("key", F.lit(23)), F.lit(SALTS)).cast("int")
+    large = large.withColumn("salt", salt)
+    core = None
+    for r in range(rounds):
+        among = large if core is None else large.join(core.select("component", "key"), ["component", "key"], "left_semi")
+        chosen = among.groupBy("component").agg(F.min(F.struct(F.xxhash64("key", F.lit(r)), "key")).alias("least")).select("component", F.col("least.key").alias("key"))
+        pivots = among.join(chosen, ["component", "key"]).select("component", F.col("key").alias("pivot"), F.col("n_shingles").alias("pivot_size"), F.col("live").alias("pivot_live"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        outside = large if core is None else large.join(core.select("component", "key"), ["component", "key"], "left_anti")
+        met = outside.join(pivots, ["component", "salt"]).select("component", "key", "n_shingles", "live", "pivot", "pivot_size", "pivot_live")
+        new = met.mapInArrow(_near_pivot(percent), "component long, key long, pivot long")
+        core = checkpoint(new if core is None else core.union(new))
+    return core
+
+
+def heavy_links(classes: DataFrame, least_size: int, percent: int, cell: int = CELL, spread: int = SPREAD) -> DataFrame:
     rows = classes.where(F.col("n_shingles") >= least_size)
     tokens = rows.select("key", "prefix", "live").mapInArrow(_tokens, "key long, token long")
     centre = tokens.groupBy("token").agg(F.min("key").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
     near = tokens.join(centre, "token").select(F.col("key").alias("a"), "b").where("a <> b").distinct()
     group = components(near)
     sized = rows.join(group, rows.key == group.node).select("component", "key", "n_shingles", "live")
-    weight = sized.groupBy("component").agg(F.sum(F.octet_length("live") / 8).alias("w"))
-    weight = weight.select("component", F.ceil(F.col("w") / cell).cast("int").alias("blocks"))
-    dealt = sized.join(weight, "component").withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.withColumn("other", other).select(
-        F.col("component").alias("group"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "key", "n_shingles", "live", "blocks"
-    )
+    weight = checkpoint(sized.groupBy("component").agg(F.sum(F.octet_length("live") / 8).alias("weight")))
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # small groups share tasks; the cells of a split one are dealt apart
-    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("group"), F.lit(8 * parts))).otherwise(F.xxhash64("group", "i", "j"))
-    return dealt.withColumn("task", task).drop("blocks").groupBy("task").applyInArrow(_cells(percent), "a long, b long")
+    cells, schema = _cells(percent), "a long, b long"
+    small = sized.join(weight.where(F.col("weight") <= spread), "component").select(F.col("component").alias("group"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(False).alias("outside"), F.lit(False).alias("in_core"), "key", "n_shingles", "live")
+    links = small.withColumn("task", F.pmod(F.xxhash64("group"), F.lit(8 * parts))).groupBy("task").applyInArrow(cells, schema)
+    split = weight.where(F.col("weight") > spread)
+    if split.isEmpty():
+        return links
+    large = checkpoint(sized.join(split, "component"))
+    core = cores(large.drop("weight"), percent)
+    marked = large.join(core.select("component", "key", F.lit(True).alias("inside")), ["component", "key"], "left").withColumn("in_core", F.coalesce("inside", F.lit(False))).drop("inside")
+    outside_weight = marked.where(~F.col("in_core")).groupBy("component").agg(F.sum(F.octet_length("live") / 8).alias("outside_weight"))
+    dealt = marked.join(outside_weight, "component").withColumn("down", F.ceil(F.col("outside_weight") / cell).cast("int")).withColumn("across", F.ceil(F.col("weight") / F.least(F.greatest("outside_weight", F.lit(spread)), F.lit(cell))).cast("int"))
+    place = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    names = ("group", "i", "j", "outside", "in_core", "key", "n_shingles", "live")
+    one = dealt.where(~F.col("in_core")).select(F.col("component").alias("group"), place("down").alias("i"), every("across").alias("j"), F.lit(True).alias("outside"), "in_core", "key", "n_shingles", "live")
+    other = dealt.select(F.col("component").alias("group"), every("down").alias("i"), place("across").alias("j"), F.lit(False).alias("outside"), "in_core", "key", "n_shingles", "live")
+    both = one.select(*names).unionByName(other.select(*names)).withColumn("task", F.xxhash64("group", "i", "j"))
+    within = core.where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b"))
+    return links.union(within).union(both.groupBy("task").applyInArrow(cells, schema))
 
 
 # ---------------------------------------------------------------- the operator

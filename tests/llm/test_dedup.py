@@ -2,7 +2,7 @@ import random
 
 import brute
 import pytest
-from ruleforge.llm import blocks, jaccard, substring_dedup, suffix_dedup
+from ruleforge.llm import blocks, graph, jaccard, substring_dedup, suffix_dedup
 
 key = lambda r: tuple((x is not None, x) for x in r)
 
@@ -63,20 +63,46 @@ def test_keep_one(spark, edge_docs, edge_rows):
     assert len([1 for d, t in found if t == edge_rows[0][1]]) == 1
 
 
-def test_cells_split_groups(spark):
-    """A group larger than a cell gives the same links."""
-    r = random.Random(2)
+def near_copies(r, n, changes):
     base = [f"w{i}" for i in range(60)]
-    rows = []
-    for d in range(80):
+    for d in range(n):
         w = list(base)
-        for _ in range(2):
+        for _ in range(r.choice(changes)):
             w[r.randrange(60)] = f"u{r.randrange(10**6)}"
-        rows.append((d, " ".join(w)))
+        yield d, " ".join(w)
+
+
+@pytest.mark.parametrize("changes", [(2,), (1, 2, 3, 4), (0, 1, 5)])
+def test_cells_split_groups(spark, changes):
+    """A group larger than a cell gives the same links, through its core and the sets outside of it."""
+    rows = list(near_copies(random.Random(2), 80, changes))
     sets = jaccard.document_sets(spark.createDataFrame(rows, "doc_id long, text string"))
-    classes = sets.where("prefix > 0")
-    whole, split = ({(min(x), max(x)) for x in map(tuple, jaccard.components(jaccard.heavy_links(classes, 1, 60, cell)).collect())} for cell in (10**6, 300))
-    assert whole == split and whole
+    classes = graph.written(sets.where("prefix > 0"))
+    for percent in (60, 75):
+        whole, split = ({(min(x), max(x)) for x in map(tuple, jaccard.components(jaccard.heavy_links(classes, 1, percent, cell, cell)).collect())} for cell in (10**6, 300))
+        assert whole == split and whole
+
+
+def test_scans_stop_at_the_core():
+    """Links within one list: those of all pairs, though not every set scans."""
+    import numpy as np
+
+    r = random.Random(3)
+    for _ in range(40):
+        rows = [(k, 12, np.array(sorted(r.sample(range(r.choice((16, 30))), 12)), np.int64)) for k in range(25)]
+        want = list(range(25))
+        for a in rows:
+            for b in rows:
+                both = len(set(a[2].tolist()) & set(b[2].tolist()))
+                if 100 * both >= 70 * (24 - both):
+                    x, y = want[a[0]], want[b[0]]
+                    want = [min(x, y) if v in (x, y) else v for v in want]
+        got = list(range(25))
+        for a, b in jaccard.cell_links(rows, None, 70):
+            x, y = got[a], got[b]
+            assert x != y
+            got = [min(x, y) if v in (x, y) else v for v in got]
+        assert got == want
 
 
 def test_boundary_follows_cost():
