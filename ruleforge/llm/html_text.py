@@ -1,14 +1,14 @@
 """Main text of web pages by a tree-structured graphical model (operator 2).
 
 A page becomes a tree of its block elements, with the runs of text in them as leaves.  Every node is
-content or not.  Node potentials come from the element's kind, the words of its class, id and role, and
-its text; every parent-child edge has a potential for the four pairs of labels.  Sum-product messages
+content or not.  Node potentials come from the element's kind, the words of its class, id and role, its
+text and its place among its siblings; every parent-child edge has a potential for the four pairs of labels.  Sum-product messages
 passed upward, then downward, give each node's exact content marginal; leaves at 0.5 or more are the
 text.  Messages go level by level through all trees of a batch at once.
 
 The potentials are trained by maximum likelihood (its gradient is a difference of marginals) from pages
 with known labels.  No table labels pages, so they are generated: a bounded, seeded set of page layouts,
-each with its labels.
+each with its labels; a good part of them name nothing (plain divisions, tables), and names may mislead.
 
 Defined cases: null or empty html, and a page without content, gives an empty text and 0 characters; a
 null page_id or url stays null; repeated rows are read each; other columns are ignored; an empty table
@@ -18,6 +18,7 @@ space inside a block is a space.
 
 from __future__ import annotations
 
+import collections
 import functools
 import html
 import random
@@ -31,6 +32,10 @@ from pyspark.sql import functions as F
 OUT = "page_id long, url string, text string, n_chars long"
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.DOTALL)
+#: Where no tag is closed any more, only an unfinished comment is no text.
+OPEN_COMMENT = re.compile(r"<!--.*\Z", re.DOTALL)
+#: What the small print of a page says; fixed values.
+LEGAL = re.compile(r"©|copyright|rights reserved|alle rechte|tous droits|derechos reservados|impressum|privacy", re.IGNORECASE)
 NAMED = re.compile(r"""(?:^|\s)(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 
 #: Kinds of block elements; what is in no list is inline.  Fixed values of the markup language.
@@ -82,7 +87,15 @@ class Page:
         self.size, self.linked, self.marks, self.sign = [0], [0], [0], [0]
         self.texts, self.leaves = [], []
         stack, pending, anchors, linked = [(0, "html")], [], 0, 0
-        at = 0
+        # how many elements of a name are open, in all and since the innermost list or table
+        total, scopes = collections.Counter(), [collections.Counter()]
+        at, last = 0, source.rfind(">")
+
+        def pop() -> str:
+            _, name = stack.pop()
+            total[name] -= 1
+            scopes.pop() if name in SCOPE else scopes[-1].subtract((name,))
+            return name
 
         def flush():
             nonlocal linked
@@ -90,14 +103,14 @@ class Page:
                 text = " ".join(html.unescape("".join(pending)).split())
                 pending.clear()
                 if text:
-                    self._add(stack[-1][0], LEAF, NO_HINTS, len(text), min(linked, len(text)), sum(map(text.count, ".,;:!?")), int("©" in text or "opyright" in text))
+                    self._add(stack[-1][0], LEAF, NO_HINTS, len(text), min(linked, len(text)), sum(map(text.count, ".,;:!?")), int(bool(LEGAL.search(text))))
                     self.leaves.append(len(self.parent) - 1)
                     self.texts.append(text)
             linked = 0
 
         n = len(source)
         while at < n:
-            m = TAG.search(source, at)
+            m = TAG.search(source, at) if at <= last else OPEN_COMMENT.search(source, at)  # without a ">" there is no tag
             piece = source[at : m.start() if m else n]
             if piece:
                 pending.append(piece)
@@ -106,6 +119,8 @@ class Page:
             if not m:
                 break
             at = m.end()
+            if m.re is OPEN_COMMENT:
+                break
             name = (m[2] or m[5] or "").lower()
             if not name:
                 continue
@@ -125,27 +140,26 @@ class Page:
                 continue
             flush()
             if closing:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][1] == name:
-                        del stack[i:]
-                        break
+                while total[name] and pop() != name:
+                    pass
                 continue
             anchors = 0
             if name in ("html", "body"):
                 continue
             if stack[-1][1] == "p":
-                stack.pop()
-            ends = CLOSES.get(name)
-            if ends:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][1] in SCOPE:
-                        break
-                    if stack[i][1] in ends:
-                        del stack[i:]
-                        break
+                pop()
+            ends = CLOSES.get(name, ())
+            if any(scopes[-1][e] for e in ends):
+                while pop() not in ends:
+                    pass
             self._add(stack[-1][0], kind, hints(attributes) if attributes else NO_HINTS, 0, 0, 0, 0)
             if name != "hr" and not attributes.endswith("/"):
                 stack.append((len(self.parent) - 1, name))
+                total[name] += 1
+                if name in SCOPE:
+                    scopes.append(collections.Counter())
+                else:
+                    scopes[-1][name] += 1
         flush()
 
     def _add(self, parent, kind, hint, size, linked, marks, sign):
@@ -186,24 +200,48 @@ class Forest:
         one_hot[np.arange(self.n), kind] = 1
         full = np.maximum(size, 1)
         is_leaf = (kind == LEAF).astype(float)
-        measures = np.stack([np.ones(self.n), np.log1p(size) / 5, linked / full, 10 * marks / full, np.minimum(sign, 1), size / total, (ahead - ahead[root]) / total, np.log1p(leaves) / 2, is_leaf * linked / full, is_leaf * np.log1p(size) / 5, is_leaf * np.minimum(sign, 1), (size == 0).astype(float)], 1)
+        up = np.maximum(self.parent, 0)
+        at = np.arange(self.n)
+        headings = (kind == KIND_OF["h1"]).astype(float)
+        for level in reversed(self.levels[1:]):
+            np.add.at(headings, self.parent[level], headings[level])
+        # the largest sibling, and the first and last child of each element
+        child = np.flatnonzero(self.parent >= 0)
+        largest, first, final = np.zeros(self.n), np.full(self.n, self.n), np.zeros(self.n, np.int64)
+        np.maximum.at(largest, self.parent[child], size[child])
+        np.minimum.at(first, self.parent[child], child)
+        np.maximum.at(final, self.parent[child], child)
+        below = np.isin(kind, [KIND_OF[t] for t in ("p", "h1", "li", "td")])  # elements that mostly hold text itself
+        box = np.isin(kind, [KIND_OF[t] for t in ("div", "td", "ul", "table", "li")]).astype(float)  # elements that hold others
+        measures = np.stack([
+            np.ones(self.n), np.log1p(size) / 5, linked / full, 10 * marks / full, np.minimum(sign, 1), size / total, (ahead - ahead[root]) / total, np.log1p(leaves) / 2, is_leaf * linked / full,
+            is_leaf * np.log1p(size) / 5, is_leaf * np.minimum(sign, 1), (size == 0).astype(float), size / np.maximum(largest[up], 1), size[up] / total, (first[up] == at).astype(float), (final[up] == at).astype(float),
+            np.minimum(headings, 3) / 2, is_leaf * (size < 40), (headings == 0) * (linked / full > 0.5), is_leaf * np.minimum(headings[up], 1), (size / total > 0.5).astype(float),
+            (headings[up] > 0) * size[up] / total, (size / total < 0.1) * (headings == 0) * (kind != LEAF), (kind == KIND_OF["td"]) * size / total,
+            box * (headings == 0) * (headings[up] > 0), box * (headings == 0) * (size < 0.5 * largest[up]), box * (headings > 0) * (size == largest[up]),
+        ], 1)
         # edges by their child: a leaf, an element of no claim, one that names itself a frame or insert, one
-        # that names itself content
-        apart = hint[:, 1:-1].any(1) | np.isin(kind, [KIND_OF[t] for t in ("nav", "header", "footer", "aside", "form")])
-        claims = (kind == KIND_OF["article"]) | (hint[:, 0] > 0)
+        # that names itself content.  A paragraph's names say little, and an article has a header of its own.
+        named_apart = hint[:, 1:-1].any(1) & ~below
+        apart = named_apart | np.isin(kind, [KIND_OF[t] for t in ("nav", "footer", "aside", "form")])
+        claims = (kind == KIND_OF["article"]) | (hint[:, 0] > 0) & ~below
+        header = kind == KIND_OF["header"]
         # below an element that names itself content, with none between that names itself apart
         inside = claims & ~apart
         for level in self.levels[1:]:
             inside[level] |= inside[self.parent[level]] & ~apart[level]
+        apart |= header & ~inside
         claimed = np.zeros(self.n, bool)
         np.logical_or.at(claimed, root, inside)
         outside = claimed[root] & ~inside
-        self.x = np.concatenate([one_hot, hint, measures, np.stack([inside, outside], 1)], 1)
+        unclaimed = ~claimed[root]
+        own_names = np.concatenate([hint * ~below[:, None], hint * below[:, None]], 1)
+        self.x = np.concatenate([one_hot, own_names, measures, measures * unclaimed[:, None], np.stack([inside, outside], 1)], 1)
         self.edge = np.where(kind == LEAF, 0, np.where(apart, 2, np.where(claims, 3, 1)))
         self.leaf = np.flatnonzero(kind == LEAF)
 
 
-N_FEATURES = LEAF + 1 + len(HINTS) + 1 + 14
+N_FEATURES = LEAF + 1 + 2 * (len(HINTS) + 1) + 2 * 27 + 2
 EDGES = 4
 
 
@@ -242,8 +280,8 @@ def _words(r: random.Random, n: int) -> str:
     return " ".join("".join(r.choice(parts) for _ in range(r.randrange(1, 4))) + r.choice(("", "", "", "", ".", ",")) for _ in range(n))
 
 
-def training_page(r: random.Random) -> str:
-    """A page of a random layout; every content block holds _MARK."""
+def training_page(r: random.Random, unnamed: bool | None = None) -> str:
+    """A page of a random layout; every content block holds _MARK.  unnamed: whether its parts name themselves."""
     pick, some = r.choice, lambda p: r.random() < p
     link = lambda: f'<a href="/{r.randrange(999)}">{_words(r, r.randrange(1, 5))}</a>'
     links = lambda: "".join(f"<li>{link()}</li>" for _ in range(r.randrange(2, 8)))
@@ -266,7 +304,18 @@ def training_page(r: random.Random) -> str:
 
     name = lambda *options: (lambda c: f' {pick(("class", "id"))}="{c}"' if c else "")(pick(options))
 
+    bare = some(0.4) if unnamed is None else unnamed  # a page that names nothing
+    if bare:
+        name = lambda *options: ""
+    # names that say nothing about a paragraph of the article
+    odd = lambda: f' class="{pick(("more-text", "message", "lead", "meta", "note", "x1", "first", "ad-free", "share-quote", "intro", "related-work"))}"' if some(0.08) else ""
+
     def junk() -> str:
+        if bare and some(0.7):
+            return pick((
+                lambda: f"<div>{prose(1, 14)}</div>", lambda: f"<div>{link()} {link()} {link()}</div>", lambda: f"<div><p>{prose(2, 14)}</p><button>ok</button></div>", lambda: f"<ul>{links()}</ul>",
+                lambda: f"<div><b>{_words(r, 2)}</b><ul>{links()}</ul></div>", lambda: f"<div>{link()}<br>{prose(1, 10)}</div>",
+            ))()
         return pick((
             lambda: f"<div{name('ad', 'ads', 'advert', 'banner', 'promo', 'sponsored', 'ad-box')}>{prose(1, 25)}</div>",
             lambda: f"<div{name('cookie-notice', 'notice', 'consent', 'popup', 'alert')}><p>{prose(3, 30)}</p>{pick(('', '<button>ok</button>'))}</div>",
@@ -284,13 +333,14 @@ def training_page(r: random.Random) -> str:
 
     def block() -> str:
         return pick((
-            *[lambda: f"<p>{content()}</p>"] * 6, lambda: f"<p>{content(1, 4)}</p>", lambda: f"<h2>{content(1, 8)}</h2>", lambda: f"<p><b>{content(1, 30)}<br>",
+            *[lambda: f"<p{odd()}>{content()}</p>"] * 6, lambda: f"<p>{content(1, 4)}</p>", lambda: f"<h2{odd()}>{content(1, 8)}</h2>", lambda: f"<p><b>{content(1, 30)}<br>",
             lambda: "<ul>" + "".join(f"<li>{content(2, 20)}</li>" for _ in range(r.randrange(1, 5))) + "</ul>", lambda: f"<blockquote><p>{content()}</p></blockquote>",
             lambda: f"<div>{content()}</div>", lambda: f"<figure><img src=x><figcaption>{content(2, 12)}</figcaption></figure>", lambda: f"<pre>{content(3, 20)}</pre>",
             lambda: f"<table><tr><td>{content(1, 5)}</td><td>{content(1, 5)}</td></tr></table>",
         ))()
 
-    body = [f"<h1>{content(1, 12)}</h1>"] if some(0.85) else []
+    title = f"<h1>{content(1, 12)}</h1>"
+    body = [pick((title, title, title, f"<header>{title}</header>"))] if some(0.85) else []
     for _ in range(pick((0, 1, 1, 2, 3, 4, 6, 8, 12, 20))):
         body.append(block())
         if some(0.06):
@@ -299,6 +349,10 @@ def training_page(r: random.Random) -> str:
         body = [pick((lambda: f"<h1>{content(1, 4)}</h1>", lambda: f"<p>{content(1, 12)}</p>", lambda: f"<h1>{content(1, 4)}</h1><p>{content(1, 12)}</p>"))()]
     inside = "".join(body) + (comments() if some(0.12) else "")
     tag, attribute = pick((("article", ""), ("article", ""), ("article", name("post", "entry", "story")), ("main", ""), ("div", name("content", "article", "post-content", "entry-content", "main")), ("section", name("content", "article-body", "story"))))
+    if bare and some(0.75):
+        tag, attribute = "div", ""
+        if not inside.startswith("<h1") and some(0.7):
+            inside = f"{title}<p>{content(20, 60)}</p>{inside}"
     main = f"<{tag}{attribute}>{inside}</{tag}>"
     if some(0.2):
         main = f"<{(t := pick(('main', 'div', 'section')))}>{main}</{t}>"
@@ -310,6 +364,17 @@ def training_page(r: random.Random) -> str:
     after = [junk() for _ in range(r.randrange(0, 2))] + ([comments()] if some(0.35) else [])
     r.shuffle(after)
     foot = pick((lambda: f"<footer>&copy; {link()} &middot; {prose(1, 20)}</footer>", lambda: f"<footer><p>{prose(1, 20)}</p></footer>", lambda: f"<div{name('footer', 'copyright', 'legal')}>Copyright {prose(1, 10)}</div>", lambda: ""))()
+    if bare and some(0.5):
+        legal = lambda: pick((f"All rights reserved {r.randrange(1990, 2030)}", f"&copy; {r.randrange(1990, 2030)} {_words(r, 2)}", f"Copyright {_words(r, 3)}", f"{link()} | {link()} | {link()}"))
+        side, advert = pick((f"<ul>{links()}</ul>", f"{link()}<br>{link()}<br>{link()}", f"<p>{link()}</p><p>{link()}</p>")), prose(2, 16)
+        inner = main if some(0.5) else inside
+        if some(0.5):  # a table as a frame
+            cells = [f"<td>{side}</td>", f"<td>{inner}</td>", *([f"<td>{advert}</td>"] if some(0.6) else [])]
+            if some(0.3):
+                cells.reverse()
+            return f"<html><body><table><tr>{''.join(cells)}</tr>{f'<tr><td>{legal()}</td></tr>' if some(0.5) else ''}</table></body></html>"
+        top = pick((f"<div>{_words(r, 2)}</div>", f"<div>{link()} {link()} {link()} {link()}</div>", ""))
+        return f"<html><body>{top}<div>{side}</div><div>{inner}</div>{f'<div>{advert}</div>' if some(0.4) else ''}<div>{legal()}</div></body></html>"
     if some(0.25):  # next to nothing but the article
         before, after = before[: r.randrange(2)], after[: r.randrange(2)]
         if some(0.5):
@@ -337,7 +402,7 @@ def labelled(pages: list[Page]) -> np.ndarray:
 
 
 @functools.lru_cache(2)
-def train(n: int = 500, seed: int = 23, steps: int = 150, l2: float = 1e-4):
+def train(n: int = 800, seed: int = 23, steps: int = 180, l2: float = 1e-4):
     """Node weights and edge potentials from n generated pages."""
     r = random.Random(seed)
     pages = [Page(training_page(r)) for _ in range(n)]

@@ -23,14 +23,49 @@ def test_marginals_against_enumeration():
     assert np.allclose(html_text.marginals(forest, w, e)[0], content / total)
 
 
+def layouts(n, unnamed):
+    """Exactly right pages, and the mean F1 of their blocks, over unseen layouts."""
+    w, e = html_text.train()
+    r, right, shared = random.Random(991), 0, []
+    for _ in range(n):
+        s = html_text.training_page(r, unnamed)
+        want = [t.replace(html_text._MARK, "") for t in html_text.Page(s).texts if html_text._MARK in t]
+        got = html_text.texts([s.replace(html_text._MARK, "")], w, e)[0]
+        right += got.split() == " ".join(want).split()
+        x, y = set(got.split("\n")), set(want)
+        shared.append(2 * len(x & y) / max(len(x) + len(y), 1))
+    return right, np.mean(shared)
+
+
 def test_unseen_layouts():
+    assert layouts(150, False)[0] >= 140
+    right, f1 = layouts(150, True)  # pages whose parts name nothing
+    assert right >= 100 and f1 >= 0.85
+
+
+PLAIN_DIVS = "<html><body><div><a href=x>Home</a> <a href=y>News</a> <a href=z>More</a></div><div><h1>Storm hits the coast</h1><p>A heavy storm hit the coast on Monday, and many houses lost their roofs.</p><p>Nobody was hurt, the mayor said.</p></div><div>All rights reserved 2020</div></body></html>"
+TABLE = "<html><body><table><tr><td><a href=1>Home</a><br><a href=2>Sports</a></td><td><h1>Storm hits</h1><p>A heavy storm hit the coast on Monday, and many houses lost their roofs.</p><p>Nobody was hurt, the mayor said.</p></td><td>Buy our new shoes, now cheaper!</td></tr></table></body></html>"
+OWN_HEADER = "<html><body><nav><a href=1>Home</a></nav><article><header><h1>Storm hits</h1></header><p class='more-text'>A heavy storm hit the coast on Monday.</p><p class=message>Nobody was hurt, the mayor said.</p><p>Repairs will take some weeks.</p></article><footer>Copyright us</footer></body></html>"
+
+
+def test_layouts_by_hand():
     w, e = html_text.train()
-    r, right = random.Random(991), 0
-    for _ in range(150):
-        s = html_text.training_page(r)
-        want = "\n".join(t.replace(html_text._MARK, "") for t in html_text.Page(s).texts if html_text._MARK in t)
-        right += html_text.texts([s.replace(html_text._MARK, "")], w, e)[0].split() == want.split()
-    assert right >= 140
+    storm = "A heavy storm hit the coast on Monday, and many houses lost their roofs."
+    assert html_text.texts([PLAIN_DIVS, TABLE, OWN_HEADER], w, e) == [
+        f"Storm hits the coast\n{storm}\nNobody was hurt, the mayor said.",
+        f"Storm hits\n{storm}\nNobody was hurt, the mayor said.",
+        "Storm hits\nA heavy storm hit the coast on Monday.\nNobody was hurt, the mayor said.\nRepairs will take some weeks.",
+    ]
+
+
+def test_parsing_is_linear():
+    import time
+
+    for source in ('<a "' * 100_000, "<div>" * 50_000 + "</p>" * 50_000, "<ul><li><ul>" + "<div>" * 50_000 + "<li></li>" * 50_000, "<!--" * 100_000, "<div '" * 100_000 + ">"):
+        began = time.process_time()
+        html_text.Page(source)
+        assert time.process_time() - began < 5
+    assert html_text.Page("a <!-- b").texts == ["a"] and html_text.Page("a < b").texts == ["a < b"] and html_text.Page("x <a").texts == ["x <a"]
 
 
 def test_pages_of_the_table(spark, sf_dir):
