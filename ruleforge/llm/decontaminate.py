@@ -18,11 +18,12 @@ bytes).  It is found in three steps:
    fewer grams of five bytes in common than k edits can leave (a lossless filter); for the others the item's exact
    edit distance to the best part of the document's text around the window decides.
 
-Exact copies are all found, by the fingerprint of an item's first ``SHORT`` bytes at every byte.  Items
-under ``SHORT`` bytes are looked up exactly only, as whole word sequences (characters of scripts without
-blanks count as words).  Documents are read once and
-never shuffled.  Items are broadcast in chunks of at most ``CHUNK`` bytes; a larger benchmark takes
-several passes.
+Exact copies are all found, by the fingerprint of an item's first ``SHORT`` bytes at every byte.  Items under
+``SHORT`` bytes have no windows: of one with room for k edits, cut into k + 1 pieces, some piece stands unchanged in
+every copy, so the grams that begin the pieces find all copies (without loss) and the exact edit distance decides.
+Items too short for an edit are looked up exactly, as whole word sequences (characters of scripts without
+blanks count as words).  Documents are read once and never shuffled.  Items are read and broadcast in chunks of at
+most ``CHUNK`` bytes; a larger benchmark takes several passes.
 
 Defined cases: null or empty texts (also items without a letter or digit) match nothing; null ids stay
 null; repeated documents and items are reported each; other columns are ignored; an empty table on
@@ -305,9 +306,25 @@ class Matcher:
         self.heads = np.array(sorted(self.long), np.uint64)
         self.head_hit = np.zeros(1 << _BITS, bool)
         self.head_hit[(self.heads >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+        #: Items without room for an edit, by size; the pieces of other short ones by the code of their first gram;
+        #: and those whose pieces are smaller than a gram, which every document is held against.
         self.short: dict[int, dict[bytes, list[int]]] = {}
+        self.pieces: dict[int, list[tuple[int, int]]] = {}
+        self.scanned: list[int] = []
         for i in np.flatnonzero((size > 0) & (size < SHORT)).tolist():
-            self.short.setdefault(len(self.items[i]), {}).setdefault(self.items[i], []).append(i)
+            item = self.items[i]
+            k = int(share * len(item))
+            if not k:
+                self.short.setdefault(len(item), {}).setdefault(item, []).append(i)
+            elif len(item) // (k + 1) < GRAM:
+                self.scanned.append(i)
+            else:
+                codes = grams_of(np.frombuffer(item, np.uint8)) >> np.uint32(32 - _BITS)
+                for j in range(k + 1):
+                    at = j * len(item) // (k + 1)
+                    self.pieces.setdefault(int(codes[at]), []).append((i, at))
+        self.piece_hit = np.zeros(1 << _BITS, bool)
+        self.piece_hit[list(self.pieces)] = True
 
     def matches(self, column) -> list[tuple[int, int, int]]:
         """(row, item, distance) for every item that a row's text holds."""
@@ -347,6 +364,22 @@ class Matcher:
                 d = best_distance(want, data[low:high])
                 if d <= k:
                     best[doc, item] = min(d, best.get((doc, item), d))
+        if self.pieces:
+            codes = grams >> np.uint32(32 - _BITS)
+            some = np.flatnonzero(self.piece_hit[codes])
+            for at, code, doc in zip(some.tolist(), codes[some].tolist(), (np.searchsorted(begins, some, "right") - 1).tolist(), strict=True):
+                for item, offset in self.pieces[code]:
+                    want = self.items[item]
+                    if data.startswith(want[offset : offset + GRAM], at):
+                        k = int(self.share * len(want))
+                        *_, low, high = self._within((doc, item, at - offset - k, at - offset + len(want) + k, 0), begins)
+                        if (d := best_distance(want, data[low:high])) <= k:
+                            best[doc, item] = min(d, best.get((doc, item), d))
+        for item in self.scanned:
+            want = self.items[item]
+            for doc, (low, high) in enumerate(zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)):
+                if (d := best_distance(want, data[low : high - 1])) <= int(self.share * len(want)):
+                    best[doc, item] = d
         if self.short:
             edge = edges(text)
             start = np.flatnonzero((text > 32) & (edge | np.concatenate([[True], text[:-1] <= 32])))
@@ -384,15 +417,16 @@ class Matcher:
         return doc, item, max(int(begins[doc]), low), min(int(begins[doc + 1]) - 1, high)
 
 
-def _chunks(benchmark: DataFrame) -> list[list[tuple]]:
-    """The items in chunks of at most CHUNK bytes, each small enough to broadcast."""
+def _chunks(benchmark: DataFrame):
+    """The items in chunks of at most CHUNK bytes, each small enough to broadcast; one at a time is read."""
     source = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     # at most one window for an ASCII word's last eight bytes and for every other character
     windows = F.length(F.regexp_replace("text", "[!-~]{1,8}(?![!-~])", "."))
     total, most = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum(windows), F.lit(0))).first()
     n = max(1, math.ceil(2 * total / CHUNK), math.ceil(most / WINDOWS))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [[(r.item_id, r.text) for r in source.where(part == i).orderBy("item_id", "text").collect()] for i in range(n)]
+    for i in range(n):
+        yield [(r.item_id, r.text) for r in source.where(part == i).orderBy("item_id", "text").collect()]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:

@@ -260,6 +260,54 @@ def test_recall_at_the_largest_distance_by_size():
         assert sum((i, i) in got for i in range(n)) >= 0.9 * n, low
 
 
+def test_short_items_with_edits():
+    """Items under SHORT bytes: every copy within a tenth of the length is found, and nothing else."""
+    r = random.Random(16)
+    letters = "abcdefgh "
+    items = [" ".join("".join(r.choice(letters) for _ in range(n)).split()) for n in range(10, 32) for _ in range(3)]
+    rows = []
+    for t in items:
+        for k in (0, 1, 2, 3, 4):
+            rows.append("x " + " ".join(r.choice(items)[:4] for _ in range(4)) + " " + edited(r, t, k) + " and more of it")
+    texts, wanted = plain(rows), plain(items)
+    want = {(d, i): n for d, x in enumerate(texts) for i, t in enumerate(wanted) if len(t) >= 10 and (n := dp_distance(t, x)) <= int(decontaminate.SHARE * len(t))}
+    got = found_in(items, rows)
+    assert {k: v for k, v in got.items() if len(wanted[k[1]]) >= 10} == want and len(want) > 150
+    # with more edits allowed pieces get smaller than a gram: such items are held against every text
+    matcher = decontaminate.Matcher(list(enumerate(["abcdefghijkl"])), 0.3)
+    assert matcher.scanned == [0] and {(d, k) for d, _, k in matcher.matches(pa.array(["xx abXdeXghiXkl yy", "abcdefghijkl", "nothing"]))} == {(0, 3), (1, 0)}
+
+
+def test_chunks_are_read_one_at_a_time(spark, monkeypatch):
+    items = spark.createDataFrame([(i, f"item number {i} of the benchmark, with some words {i * i}") for i in range(40)], "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "CHUNK", 1000)
+    chunks = decontaminate._chunks(items)
+    first = next(chunks)
+    assert 0 < len(first) < 40 and len(first) + sum(map(len, chunks)) == 40
+    docs = spark.createDataFrame([(1, "so: item number 7 of the benchmark, with some words 49!"), (2, "none")], "doc_id long, text string")
+    assert (1, 7, 0) in [(r.doc_id, r.item_id, r.distance) for r in decontaminate.contaminated(docs, items).collect()] and decontaminate.remove_contaminated(docs, items).count() == 1
+
+
+def test_recall_by_share_of_edits():
+    """Each share of edits by itself, over words of three scripts and lengths."""
+    r = random.Random(21)
+    kinds = {
+        "short words": lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(2, 9))), "long words": lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(30, 60))),
+        "cyrillic": lambda: "".join(chr(r.randrange(0x0430, 0x0450)) for _ in range(r.randrange(4, 12))),
+    }
+    for kind, word in kinds.items():
+        items = [" ".join(word() for _ in range(5 if kind == "long words" else 20)) for _ in range(60)]
+        for share in (0.0, 0.05, 0.08, 0.1):
+            if kind == "cyrillic":  # an edit of a character is one or two of its bytes
+                copies = [edited(r, t, int(share * len(plain([t])[0])) // 2) for t in items]
+            else:
+                copies = [at_distance(r, plain([t])[0], int(share * len(plain([t])[0]))).decode() for t in items]
+            rows = [f"{word()} {word()} {c} {word()} {word()}" for c in copies]
+            got, texts, wanted = found_in(items, rows), plain(rows), plain(items)
+            there = [i for i in range(60) if decontaminate.best_distance(wanted[i], texts[i]) <= int(decontaminate.SHARE * len(wanted[i]))]
+            assert sum((i, i) in got for i in there) >= 0.9 * len(there) and len(there) >= 40, (kind, share)
+
+
 def test_decontamination_edges(spark, edge_docs, edge_rows, no_docs):
     shared = edge_rows[4][1].split("\n")[1]
     items = spark.createDataFrame([(1, shared), (1, shared), (2, None), (3, ""), (4, "..."), (None, "one two  THREE!"), (6, "absent words here")], "item_id long, text string").withColumn("doc_id", F.lit(0))
