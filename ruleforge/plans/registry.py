@@ -192,7 +192,11 @@ def _(t):
     return J.join_path({"customer": t.customer, "orders": t.orders}, KEYS, ("customer", "orders"), "left_outer", {"customer": ["c_custkey"], "orders": ["o_orderkey"]})
 
 
-@query("OP048_foreign_key_paths")
+_STEPS = ", ".join(f"('{k.table}', '{k.other}')" for k in KEYS)
+
+
+@query("OP048_foreign_key_paths", f"""WITH RECURSIVE s(a, b) AS (VALUES {_STEPS}), n AS (SELECT DISTINCT unnest([a, b]) AS v FROM s), p AS (SELECT [v] AS path FROM n UNION ALL SELECT list_append(path, b) FROM p JOIN s ON a = path[-1] WHERE len(path) < 4 AND NOT list_contains(path, b))
+  SELECT array_to_string(path, ' > ') AS path, CAST(len(path) AS INTEGER) AS n_tables FROM p""")
 def _(t):
     return t.spark.createDataFrame([(" > ".join(p), len(p)) for p in J.key_paths(KEYS, 4)], "path string, n_tables int")
 
@@ -666,7 +670,13 @@ def _(t):
     return C.as_longs(C.column_association(t.part, ["p_brand"], "p_type"))
 
 
-@query("OP178_rule_texts")
+_AS_SQL = "[regexp_replace(replace(replace(x, 'orders.', ''), ' == ', ' = '), '^(t[01][.]\\w+) = (\\w+)$', '\\1 = ''\\2''') FOR x IN {}]"
+_PAIR_IDS = "SELECT t0.o_orderkey AS tid0, t1.o_orderkey AS tid1"
+_WHERE = f"' FROM orders t0, orders t1 WHERE ' || array_to_string({_AS_SQL.format('lhs')}, ' AND ') || ' AND t0.o_orderkey <> t1.o_orderkey AND NOT coalesce(' || array_to_string({_AS_SQL.format('[rhs]')}, '') || ', false)'"
+
+
+@query("OP178_rule_texts", f"""{_ORDER_RULES} SELECT {_LINE} AS rule, '{_PAIR_IDS}' || {_WHERE} AS check_sql,
+  '{_PAIR_IDS}, t0.' || regexp_extract(rhs, 't0[.](\\w+)', 1) || ' AS found, t1.' || regexp_extract(rhs, 't1[.](\\w+)', 1) || ' AS wanted' || {_WHERE} AS correct_sql FROM r""")
 def _(t):
     rules = _rules(t)
     return t.spark.createDataFrame([(str(r), r.check_sql("o_orderkey"), r.correct_sql("o_orderkey")) for r in rules], "rule string, check_sql string, correct_sql string")
@@ -750,18 +760,31 @@ def _(t):
     return J.candidate_pairs(_tokens(t), "item_id", "token", 0.05)
 
 
+#: Planes of a table, and tables, that give nearest() a recall over 0.95 on the embeddings (see the tests).
+NEAREST_PLANES = (6, 16)
+
+
 @query("OP202_nearest_by_hashing")
 def _(t):
-    planes = M.hyperplanes(8, 6, 64)
+    planes = M.hyperplanes(*NEAREST_PLANES, 64)
     return M.nearest(t.embeddings, t.embeddings.where("vec_id % 50 = 0"), "vec_id", "embedding", planes, 5, probe=True)
 
 
-@query("OP203_hash_buckets")
+def _signs_sql(planes, table: int) -> str:
+    """SQL for the signature of a table: signs of the projections as bits."""
+    return " + ".join(f"CASE WHEN list_inner_product(CAST(embedding AS DOUBLE[]), [{', '.join(repr(float(x)) for x in plane)}]) > 0 THEN {1 << i} ELSE 0 END" for i, plane in enumerate(planes[table]))
+
+
+def _buckets_sql(planes) -> str:
+    return " UNION ALL ".join(f'SELECT vec_id, {i} AS "table", CAST({_signs_sql(planes, i)} AS BIGINT) AS bucket FROM embeddings' for i in range(len(planes)))
+
+
+@query("OP203_hash_buckets", _buckets_sql(M.hyperplanes(12, 4, 64)))
 def _(t):
     return M.buckets(t.embeddings, "vec_id", "embedding", M.hyperplanes(12, 4, 64))
 
 
-@query("OP204_superbit_signatures")
+@query("OP204_superbit_signatures", f"SELECT vec_id, [{', '.join(_signs_sql(M.superbit(8, 2, 64), i) for i in range(2))}] AS signature FROM embeddings")
 def _(t):
     return t.embeddings.select("vec_id", M.signatures(F.col("embedding"), M.superbit(8, 2, 64)).alias("signature"))
 
@@ -790,7 +813,9 @@ def _(t):
     return M.scored_pairs(_names(t), scorer, "a", "b", 0.5).withColumn("score", F.round("score", 9))
 
 
-@query("OP208_summaries")
+@query("OP208_summaries", """WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\f\\r\\x0B]+'), lambda x: x <> '') AS ws FROM benchmark), k AS (SELECT item_id, unnest(ws) AS token, unnest(range(0, len(ws))) AS place FROM w), d AS (SELECT token, count(DISTINCT item_id) AS df FROM k GROUP BY 1),
+  f AS (SELECT item_id, token, count(*) AS tf, min(place) AS place FROM k GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY tf * ln((SELECT count(*) FROM benchmark) / df) DESC, place) AS rank FROM f JOIN d USING (token))
+  SELECT item_id, string_agg(token, ' ' ORDER BY place) AS summary FROM r WHERE rank <= 10 GROUP BY 1""")
 def _(t):
     return M.idf_keep(t.benchmark, "item_id", T.split_words(F.lower("text")), 10)
 

@@ -18,7 +18,7 @@ from ..sources import files
 from . import discovery as D
 from . import models as N
 from . import rules as U
-from .registry import _LINE, _ORDER_COLUMNS, _ORDER_CONSTANTS, _ORDER_RULES, _RULE, KEYS, Tables, _as_rows, _names, every_candidate, minimal_rules, query
+from .registry import _LINE, _ORDER_COLUMNS, _ORDER_CONSTANTS, _ORDER_RULES, _RULE, KEYS, Tables, _as_rows, _buckets_sql, _names, every_candidate, minimal_rules, query
 
 
 def scratch(t: Tables) -> str:
@@ -339,6 +339,15 @@ def _levels(t, **options):
     return t.spark.createDataFrame([tuple(x.values()) for x in found.log], ", ".join(f"{k} long" for k in found.log[0]))
 
 
+@query("OP152_work_units", f"{_EVERY} SELECT lhs, rhs FROM c WHERE level <= 2 UNION ALL SELECT ['orders.t0.o_custkey == orders.t1.o_custkey'], 'orders.t0.o_orderstatus == ' || v FROM (VALUES ('F'), ('O')) AS w(v) UNION ALL SELECT ['orders.t0.o_orderpriority == orders.t1.o_orderpriority'], 'orders.t0.o_orderstatus == ' || v FROM (VALUES ('F'), ('O')) AS w(v) UNION ALL SELECT ['orders.t0.o_custkey == orders.t1.o_custkey', 'orders.t0.o_orderpriority == orders.t1.o_orderpriority'], 'orders.t0.o_orderstatus == ' || v FROM (VALUES ('F'), ('O')) AS w(v) UNION ALL SELECT list_sort([k, 'orders.t1.o_orderstatus == ' || v]), 'orders.t0.o_orderstatus == ' || u FROM (VALUES ('F'), ('O')) AS w(v), (VALUES ('F'), ('O')) AS x(u), (VALUES ('orders.t0.o_custkey == orders.t1.o_custkey'), ('orders.t0.o_orderpriority == orders.t1.o_orderpriority')) AS y(k) WHERE false")
+def _(t):
+    pairs, fixed = [C.equal("orders", c) for c in _ORDER_COLUMNS], P.constant_predicates("orders", _ORDER_CONSTANTS)
+    level = [frozenset([p]) for p in pairs + fixed]
+    sets = level + D.expand(level, set(level))
+    heads = pairs + [p for p in fixed if p.left.variable == 0]
+    return t.spark.createDataFrame([(sorted(map(str, s)), str(p)) for s in sets for p in heads if p not in s and D.countable(s, p)], "lhs array<string>, rhs string")
+
+
 @query("OP151_first_level", f"{_EVERY} SELECT DISTINCT lhs, support_x FROM c WHERE level = 1")
 def _(t):
     found = _order_search(t, levels=1)
@@ -382,13 +391,6 @@ def _(t):
     return t.spark.createDataFrame([tuple(x.values()) for x in found.log], ", ".join(f"{k} long" for k in found.log[0])).select("level", "candidates", "by_template", "valid")
 
 
-@query("OP152_work_units")
-def _(t):
-    heads = [C.equal("orders", c) for c in ("o_custkey", "o_orderstatus")] + [C.is_value("orders", "o_orderpriority", "1-URGENT")]
-    sets = [frozenset([C.equal("orders", "o_custkey")]), frozenset([C.equal("orders", "o_custkey"), C.is_value("orders", "o_orderstatus", "F")])]
-    return t.spark.createDataFrame([(" & ".join(sorted(map(str, s))), [str(p) for p in heads if D.countable(s, p) and p not in s]) for s in sets], "lhs string, heads array<string>")
-
-
 @query("OP093_shared_heads", "SELECT 'orders.t0.o_orderpriority == orders.t1.o_orderpriority' AS heads")
 def _(t):
     a, b, c = (C.equal("orders", x) for x in ("o_custkey", "o_orderstatus", "o_orderpriority"))
@@ -625,6 +627,6 @@ def _(t):
     return U.as_table(t.spark, D.discover(t.orders, "orders", ["o_custkey", "o_orderstatus", "o_orderpriority"], support=1, confidence=0.1, levels=2, prune=prune))
 
 
-@query("OP202b_superbit_buckets")
+@query("OP202b_superbit_buckets", _buckets_sql(M.superbit(16, 2, 64)))
 def _(t):
     return M.buckets(t.embeddings, "vec_id", "embedding", M.superbit(16, 2, 64))

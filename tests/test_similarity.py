@@ -157,3 +157,23 @@ def test_autoencoder_labels(spark):
     rows = [(i, [(0.9 if i % 4 == 0 else 0.1) + r.gauss(0, 0.03) for _ in range(6)]) for i in range(200)]
     found = M.autoencoder_labels(spark.createDataFrame(rows, "id long, similarities array<double>")).select("id", "match").collect()
     assert sum(x.match == (x.id % 4 == 0) for x in found) >= 190
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_recall_of_nearest_by_hashing(spark, sf):
+    """Against brute force, with the registered planes."""
+    import numpy as np
+    from ruleforge.plans import registry
+
+    rows = spark.read.parquet(f"/root/testdata/sf{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, m = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    got = {}
+    for r in registry.queries()["OP202_nearest_by_hashing"](spark, f"/root/testdata/sf{sf}").collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    right = wanted = 0
+    for i in np.flatnonzero(ids % 50 == 0):
+        order = [j for j in np.argsort(-(m @ m[i]), kind="stable") if j != i][:5]
+        right += len(got.get(int(ids[i]), set()) & set(ids[order].tolist()))
+        wanted += 5
+    assert right >= 0.93 * wanted, right / wanted
