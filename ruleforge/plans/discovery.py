@@ -424,11 +424,11 @@ def recover(df: DataFrame, keys: Iterable[str], fixed0: Iterable[str], fixed1: I
         own = own.groupBy(*[F.col(c).alias(f"c0_{c}") for c in fixed0], *[F.col(c).alias(f"c1_{c}") for c in fixed1]).agg(F.count("*").alias("own"))
         bindings = [f"c0_{c}" for c in fixed0] + [f"c1_{c}" for c in fixed1]
         total = joined.groupBy(*bindings).agg(F.sum(F.col("n0").cast(BIG) * F.col("n1")).alias("all"))
-        return total.join(own, bindings, "left").select(*bindings, (F.col("all") - F.coalesce("own", F.lit(0))).cast("long").alias(name))
+        return total.join(own, bindings, "left").select(*bindings, (F.col("all") - F.coalesce("own", F.lit(0))).cast(BIG).alias(name))
 
     bindings = [f"c0_{c}" for c in fixed0] + [f"c1_{c}" for c in fixed1]
     out = pairs([], "support_x").join(pairs([rhs], "support"), bindings)
-    out = out.withColumn("confidence", F.round(F.try_divide("support", "support_x"), 9))
+    out = out.withColumn("confidence", F.round(F.try_divide(F.col("support").cast("double"), F.col("support_x").cast("double")), 9))
     return out.where((F.col("support") >= support) & (F.col("confidence") >= confidence))
 
 

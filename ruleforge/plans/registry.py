@@ -650,7 +650,7 @@ def _(t):
 @query("OP172_recovered_constants", """WITH p AS (SELECT a.o_orderstatus AS c0_o_orderstatus, b.o_orderstatus AS c1_o_orderstatus, a.o_orderpriority = b.o_orderpriority AS eq FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey WHERE a.o_orderkey <> b.o_orderkey)
   SELECT c0_o_orderstatus, c1_o_orderstatus, CAST(count(*) AS BIGINT) AS support_x, CAST(count(*) FILTER (eq) AS BIGINT) AS support, round(count(*) FILTER (eq) / count(*), 9) AS confidence FROM p GROUP BY 1, 2 HAVING count(*) FILTER (eq) >= 50 AND round(count(*) FILTER (eq) / count(*), 9) >= 0.1""")
 def _(t):
-    return D.recover(t.orders, ["o_custkey"], ["o_orderstatus"], ["o_orderstatus"], "o_orderpriority", 50, 0.1)
+    return C.as_longs(D.recover(t.orders, ["o_custkey"], ["o_orderstatus"], ["o_orderstatus"], "o_orderpriority", 50, 0.1))
 
 
 @query("OP173_recovered_head_constants", """WITH r AS (SELECT * FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1)), c AS (SELECT o_orderstatus, o_orderpriority AS value, count(*) AS support FROM r GROUP BY 1, 2), k AS (SELECT *, sum(support) OVER (PARTITION BY o_orderstatus) AS rows0, row_number() OVER (PARTITION BY o_orderstatus ORDER BY support DESC, value) AS rn FROM c)
@@ -689,7 +689,7 @@ def _(t):
 
 @query("OP179b_violating_groups", "SELECT c_nationkey, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT c_mktsegment) AS BIGINT) AS n_values, CAST((SELECT count(*) FROM customer x JOIN customer y ON x.c_nationkey = y.c_nationkey WHERE x.c_mktsegment <> y.c_mktsegment AND x.c_nationkey = c.c_nationkey) AS BIGINT) AS conflicts FROM customer c GROUP BY 1 HAVING count(DISTINCT c_mktsegment) > 1")
 def _(t):
-    return U.violating_groups(t.customer, ["c_nationkey"], "c_mktsegment")
+    return C.as_longs(U.violating_groups(t.customer, ["c_nationkey"], "c_mktsegment"))
 
 
 @query("OP180_entity_ids", """WITH RECURSIVE e AS (SELECT a.s_suppkey AS x, b.s_suppkey AS y FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey AND abs(a.s_acctbal - b.s_acctbal) < 2000), r AS (SELECT x AS node, x AS near FROM e UNION SELECT r.node, e.y FROM r JOIN e ON r.near = e.x)

@@ -459,7 +459,7 @@ def _(t):
 @query("OP174_recovered_one_sided", """WITH p AS (SELECT a.o_orderstatus AS c0_o_orderstatus, a.o_orderpriority = b.o_orderpriority AS eq FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey WHERE a.o_orderkey <> b.o_orderkey)
   SELECT c0_o_orderstatus, CAST(count(*) AS BIGINT) AS support_x, CAST(count(*) FILTER (eq) AS BIGINT) AS support, round(count(*) FILTER (eq) / count(*), 9) AS confidence FROM p GROUP BY 1 HAVING count(*) FILTER (eq) >= 50""")
 def _(t):
-    return D.recover(t.orders, ["o_custkey"], ["o_orderstatus"], [], "o_orderpriority", 50, 0.0)
+    return C.as_longs(D.recover(t.orders, ["o_custkey"], ["o_orderstatus"], [], "o_orderpriority", 50, 0.0))
 
 
 @query("OP175_recovered_from_sample", """WITH p AS (SELECT a.o_orderstatus AS s, b.o_orderstatus AS t, a.o_orderkey AS k, a.o_orderpriority AS y, a.o_orderpriority = b.o_orderpriority AS eq FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey WHERE a.o_orderkey <> b.o_orderkey),

@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.counting import Body, _meets, _present
+from ..operators.counting import BIG, Body, _meets, _present
 from ..operators.predicates import Predicate, parse
 
 
@@ -127,8 +127,8 @@ def violating_groups(df: DataFrame, keys: list[str], rhs: str) -> DataFrame:
     come from two aggregates, so a hot group costs no pairs."""
     rows = df.where(_present(df, [*keys, rhs]))
     by_value = rows.groupBy(*keys, rhs).agg(F.count("*").alias("_size"))
-    n, same = F.sum("_size"), F.sum(F.col("_size") * (F.col("_size") - 1))
-    return by_value.groupBy(*keys).agg(n.alias("n_rows"), F.count("*").alias("n_values"), (n * (n - 1) - same).alias("conflicts")).where("n_values > 1")
+    n, same = F.sum("_size").cast(BIG), F.sum(F.col("_size").cast(BIG) * (F.col("_size") - 1))
+    return by_value.groupBy(*keys).agg(n.alias("n_rows"), F.count("*").alias("n_values"), (n * (n - 1) - same).cast(BIG).alias("conflicts")).where("n_values > 1")
 
 
 def constant_violations(df: DataFrame, lhs: list[Predicate], rhs: Predicate, tid: str) -> DataFrame:
