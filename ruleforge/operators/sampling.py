@@ -58,26 +58,30 @@ def random_walks(df: DataFrame, tid: str, columns: list[str], ratio: float, step
 
 
 def walk_sample(df: DataFrame, tid: str, columns: list[str], ratio: float, rounds: int = 64, seed: int = 1) -> DataFrame:
-    """floor(ratio * n) tuples (one at least) that random walks visit: walks start at a tenth of them and go on, step
-    by step, until enough are visited; of the last step's tuples those with the least draws are kept."""
+    """floor(ratio * n) tuples (one at least) that random walks visit: walks start at half of them and go on, step by
+    step; where walks meet or end, others start, again at half of what is missing.  Of the last step's tuples those
+    with the least draws are kept."""
+    total = df.count()
+    want = max(1, int(ratio * total))
     places = checkpoint(_numbered(df, tid, columns, seed))
-    want = max(1, int(ratio * df.count()))
-    start = checkpoint(uniform(df, ratio / 10, tid, seed).select(tid))
-    at = start if start.count() else checkpoint(uniform(df, 1.0, tid, seed).select(tid).orderBy(draw(seed, tid), tid).limit(1))
-    visited, n = at, at.count()
+    start = lambda rows, n, share, s: checkpoint(uniform(rows.select(tid), max(0.0, (n * share + 1) / max(total, 1)), tid, s))
+    visited = at = start(df, want, 0.5, seed)
+    n = at.count()
     for step in range(rounds):
         if n >= want:
             break
-        at = checkpoint(_walk(at, places, tid, seed + 31 * step))
-        new = checkpoint(at.join(visited, tid, "left_anti"))
+        new = checkpoint(_walk(at, places, tid, seed + 31 * step).join(visited, tid, "left_anti"))
         found = new.count()
+        if found < (want - n) / 4:
+            rest = df.select(tid).join(visited, tid, "left_anti").join(new, tid, "left_anti")
+            more = (want - n - found) * 0.5 + 1
+            new = checkpoint(new.union(uniform(rest, min(1.0, more / max(total - n - found, 1)), tid, seed + step + 1)))
+            found = new.count()
         if n + found > want:
-            new, found = checkpoint(uniform(new, (want - n) / found + 1e-9, tid, seed)), want - n
-        visited, n = checkpoint(visited.union(new)), n + found
-        # where walks meet or end, others start
-        if found * 10 < want - n:
-            rest = df.select(tid).join(visited, tid, "left_anti")
-            at = checkpoint(at.union(uniform(rest, ratio / 10, tid, seed + step + 1)).distinct())
+            new, found = checkpoint(uniform(new, (want - n + 0.5) / found, tid, seed)), want - n
+        visited, at, n = checkpoint(visited.union(new)), new, n + found
+    if n > want:
+        visited = uniform(visited, (want + 0.5) / n, tid, seed)
     return df.join(visited, tid, "left_semi")
 
 
