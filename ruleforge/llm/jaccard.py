@@ -47,8 +47,9 @@ from .graph import checkpoint, components, written
 WIDTH, PERCENT = 4, 85
 #: The odd base of the shingles' fingerprints.
 BASE = 0x5851F42D4C957F2D
-#: Shingles in a task's block of a group, 8 MB of fingerprints, and of a group beyond which tasks share it.
-CELL, SPREAD = 1_000_000, 8_000
+#: Shingles in a task's block of a group, 8 MB of fingerprints, and of a group beyond which tasks share it; a set
+#: counts as PER_SET shingles more than it has.
+CELL, SPREAD, PER_SET = 1_000_000, 8_000, 16
 #: Sizes among which the boundary is sought, and the cost of a heavy shingle against a light subset.
 LARGEST_LIGHT, HEAVY_COST = 24, 8
 #: Up to so many pairs of numbers (some 40 MB) are broadcast to find documents; more are joined by shuffle.
@@ -332,7 +333,7 @@ def heavy_links(classes: DataFrame, least_size: int, percent: int, cell: int = C
     near = tokens.join(centre, "token").select(F.col("key").alias("a"), "b").where("a <> b").distinct()
     group = components(near)
     sized = rows.join(group, rows.key == group.node).select("component", "key", "n_shingles", "live")
-    weight = checkpoint(sized.groupBy("component").agg(F.sum(F.octet_length("live") / 8).alias("weight")))
+    weight = checkpoint(sized.groupBy("component").agg(F.sum(F.octet_length("live") / 8 + PER_SET).alias("weight")))
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells, schema = _cells(percent), "a long, b long"
     small = sized.join(weight.where(F.col("weight") <= spread), "component").select(F.col("component").alias("group"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(False).alias("outside"), F.lit(False).alias("in_core"), "key", "n_shingles", "live")
@@ -343,7 +344,7 @@ def heavy_links(classes: DataFrame, least_size: int, percent: int, cell: int = C
     large = checkpoint(sized.join(split, "component"))
     core = cores(large.drop("weight"), percent)
     marked = large.join(core.select("component", "key", F.lit(True).alias("inside")), ["component", "key"], "left").withColumn("in_core", F.coalesce("inside", F.lit(False))).drop("inside")
-    outside_weight = marked.where(~F.col("in_core")).groupBy("component").agg(F.sum(F.octet_length("live") / 8).alias("outside_weight"))
+    outside_weight = marked.where(~F.col("in_core")).groupBy("component").agg(F.sum(F.octet_length("live") / 8 + PER_SET).alias("outside_weight"))
     dealt = marked.join(outside_weight, "component").withColumn("down", F.ceil(F.col("outside_weight") / cell).cast("int")).withColumn("across", F.ceil(F.col("weight") / F.least(F.greatest("outside_weight", F.lit(spread)), F.lit(cell))).cast("int"))
     place = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
