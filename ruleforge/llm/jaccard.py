@@ -48,7 +48,7 @@ WIDTH, PERCENT = 4, 85
 #: The odd base of the shingles' fingerprints.
 BASE = 0x5851F42D4C957F2D
 #: Shingles in a task's block of a group, 8 MB of fingerprints, and of a group beyond which tasks share it.
-CELL, SPREAD = 1_000_000, 50_000
+CELL, SPREAD = 1_000_000, 1_000_000
 #: Sizes among which the boundary is sought, and the cost of a heavy shingle against a light subset.
 LARGEST_LIGHT, HEAVY_COST = 24, 8
 #: Up to so many pairs of numbers (some 40 MB) are broadcast to find documents; more are joined by shuffle.
