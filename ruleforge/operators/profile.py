@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .counting import BIG, _present, histogram
+from .shared import ranged
 
 LONG_TEXT, NUMBER_TEXT = r"^[+-]?[0-9]+$", r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
@@ -42,15 +43,17 @@ def useful_columns(df: DataFrame, skip: tuple[str, ...] = (), constants: bool =
 
 
 def prefix(df: DataFrame, ratio: float, *order: str) -> DataFrame:
-    """The first ratio of the rows in an order, one at least.  Positions come from a range-partitioned
-    sort and per-partition counts, never from one global window."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    counts = ordered.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # a row a partition
+    """The first ratio of the rows in an order, one at least.  Positions come from range partitions and their
+    counts, never from one global window; only the rows of the partition that the cut falls into are ranked."""
+    rows = ranged(df, *order)
+    counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a partition
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    total = counts.agg(F.greatest(F.lit(1), F.floor(F.lit(ratio) * F.sum("_n"))).alias("_keep"))  # one row
+    marked = rows.join(F.broadcast(before.join(F.broadcast(total)).where("_before < _keep")), "_part")
+    inside = marked.where("_before + _n <= _keep")
     place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_before")
-    total = df.agg(F.greatest(F.lit(1), F.floor(F.lit(ratio) * F.count("*"))).alias("_keep"))  # one row
-    return ordered.join(F.broadcast(before), "_part").withColumn("_place", place).join(F.broadcast(total)).where("_place <= _keep").select(*df.columns)
+    edge = marked.where("_before + _n > _keep").withColumn("_place", place).where("_place <= _keep")
+    return inside.select(*df.columns).union(edge.select(*df.columns))
 
 
 def column_stats(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -198,12 +201,10 @@ def null_patterns(df: DataFrame, columns: list[str], k: int = 2, seed: int = 1)
 def sorted_dictionary(df: DataFrame, column: str) -> DataFrame:
     """value, code: codes in value order over the distinct values.  Codes come from range partitions, so
     no task sorts all values."""
-    values = histogram(df, column).select("value")
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = values.repartitionByRange(parts, "value").withColumn("part", F.spark_partition_id())
-    before = ranged.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("part").orderBy("value"))
-    return ranged.join(F.broadcast(before.select("part", "before")), "part").select("value", (rank + F.col("before")).alias("code"))
+    values = ranged(histogram(df, column).select("value"), "value")
+    before = values.groupBy("_part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy("value"))
+    return values.join(F.broadcast(before.select("_part", "before")), "_part").select("value", (rank + F.col("before")).alias("code"))
 
 
 def position_lists(df: DataFrame, column: str, tid: str) -> DataFrame:

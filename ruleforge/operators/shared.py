@@ -32,6 +32,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def ranged(df: DataFrame, *order: str) -> DataFrame:
+    """df in range partitions of an order, the number of each row's partition in `_part`, written once.
+
+    Bounds come from a sample that every exchange draws anew, and two uses of a plan are two exchanges where they
+    need other columns; so rows and what is counted of each partition must be read from one written copy.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return checkpoint(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """links (a long, b long) as (node, component), component being the least node reachable.
 

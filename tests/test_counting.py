@@ -145,3 +145,13 @@ def test_blocks_and_candidates(spark):
 def test_key_paths():
     keys = [J.ForeignKey("a", "x", "b", "x"), J.ForeignKey("b", "y", "c", "y")]
     assert set(J.key_paths(keys, 2)) == {("a",), ("b",), ("c",), ("a", "b"), ("b", "c")} and ("a", "b", "c") in J.key_paths(keys, 3)
+
+
+def test_prefix_over_range_partitions(spark):
+    """Rows and the counts of their partitions come from one split, whatever columns each needs."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(60_000).select((F.col("id") * 7919 % 60_000).alias("k"), F.col("id").alias("other"), (F.col("id") % 1000 / 8).alias("x"))
+    for ratio in (0.1, 0.37, 0.9):
+        kept = R.prefix(rows, ratio, "k").agg(F.count("*"), F.max("k"), F.countDistinct("k", "other")).first()
+        assert tuple(kept) == (int(ratio * 60_000), int(ratio * 60_000) - 1, int(ratio * 60_000)), ratio
