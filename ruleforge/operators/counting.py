@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .predicates import Operand, Predicate, compare, present
+from .shared import ranged
 
 BIG = "decimal(38,0)"
 
@@ -327,12 +328,11 @@ def order_support(left: DataFrame, a: str, right: DataFrame, b: str) -> DataFram
 
     sides = histogram(left, a).select("value", F.col("n").alias("n0"), F.lit(0).alias("n1")).unionByName(histogram(right, b).select("value", F.lit(0).alias("n0"), F.col("n").alias("n1")))
     both = sides.groupBy("value").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = both.repartitionByRange(parts, "value").withColumn("part", F.spark_partition_id())
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
-    before = ranged.groupBy("part").agg(F.sum("n1").alias("s1")).select("part", F.coalesce(F.sum("s1").over(earlier), F.lit(0)).alias("before"), F.sum("s1").over(Window.orderBy(F.lit(0))).alias("total"))
-    within = F.coalesce(F.sum("n1").over(Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = ranged.withColumn("less", within).join(F.broadcast(before), "part").withColumn("less", F.col("less") + F.col("before"))
+    both = ranged(both, "value")
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    before = both.groupBy("_part").agg(F.sum("n1").alias("s1")).select("_part", F.coalesce(F.sum("s1").over(earlier), F.lit(0)).alias("before"), F.sum("s1").over(Window.orderBy(F.lit(0))).alias("total"))
+    within = F.coalesce(F.sum("n1").over(Window.partitionBy("_part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = both.withColumn("less", within).join(F.broadcast(before), "_part").withColumn("less", F.col("less") + F.col("before"))
     n0, n1, less, total = (F.col(c).cast(BIG) for c in ("n0", "n1", "less", "total"))
     more = total - less - n1
     counts = {"==": n1, "<>": total - n1, "<": more, "<=": more + n1, ">": less, ">=": less + n1}  # t0's value against t1's

@@ -155,3 +155,15 @@ def test_prefix_over_range_partitions(spark):
     for ratio in (0.1, 0.37, 0.9):
         kept = R.prefix(rows, ratio, "k").agg(F.count("*"), F.max("k"), F.countDistinct("k", "other")).first()
         assert tuple(kept) == (int(ratio * 60_000), int(ratio * 60_000) - 1, int(ratio * 60_000)), ratio
+
+
+def test_order_support_over_range_partitions(spark):
+    from pyspark.sql import functions as F
+
+    wide = spark.range(40_000).select((F.col("id") * 7919 % 40_000).alias("a"))
+    some = spark.range(40_000).where("id % 13 = 0").select(F.col("id").alias("b"))
+    got = {r.op: int(r.n) for r in C.order_support(wide, "a", some, "b").collect()}
+    below = sum(range(0, 40_000, 13))
+    n = 40_000 * len(range(0, 40_000, 13))
+    same = len(range(0, 40_000, 13))
+    assert got == {"==": same, "<>": n - same, "<": below, "<=": below + same, ">": n - below - same, ">=": n - below}
