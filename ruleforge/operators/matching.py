@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import MinMaxScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -39,6 +40,11 @@ def distance(a: Column, b: Column, kind: str = "euclidean") -> Column:
     return squared if kind == "squared" else F.sqrt(squared)
 
 
+def _ids(column) -> np.ndarray:
+    """Row ids of an Arrow column; numbers stay numbers, others are objects."""
+    return column.to_numpy() if pa.types.is_integer(column.type) else np.array([*column.to_pylist(), None], object)[:-1]
+
+
 def embedding_matches(df: DataFrame, tid: str, vector: str, threshold: float, block: str) -> DataFrame:
     """Pairs (a < b) of one block whose cosine exceeds threshold."""
     x, y = df.alias("x"), df.alias("y")
@@ -74,8 +80,6 @@ def signatures(vector: Column, planes: np.ndarray) -> Column:
 
 def buckets(df: DataFrame, tid: str, vector: str, planes: np.ndarray) -> DataFrame:
     """tid, table, bucket: projections by one matrix product for each Arrow batch."""
-    import pyarrow as pa
-
     kind = dict(df.dtypes)[tid]
     flat = planes.reshape(-1, planes.shape[-1])
     weights = 1 << np.arange(planes.shape[1], dtype=np.int64)
@@ -92,17 +96,106 @@ def buckets(df: DataFrame, tid: str, vector: str, planes: np.ndarray) -> DataFra
     return df.where(F.col(vector).isNotNull()).select(tid, vector).mapInArrow(run, f"{tid} {kind}, table int, bucket long")
 
 
+#: Rows of a block of queries and of a block of candidates, and pairs that a task scores at once.
+QUERY_ROWS, CANDIDATE_ROWS, SCORED_AT_ONCE = 16_384, 8_192, 1 << 22
+
+
+def _vectors(column, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of an Arrow column as rows of floats, and which of them are whole and finite."""
+    rows = column.combine_chunks() if hasattr(column, "combine_chunks") else column
+    m = np.asarray(rows.flatten().to_numpy(zero_copy_only=False), float).reshape(len(rows), -1) if len(rows) else np.zeros((0, width))
+    if m.shape[1] != width:
+        raise ValueError(f"vectors of {m.shape[1]} components, planes of {width}")
+    return m, np.isfinite(m).all(1)
+
+
+def _distances(q: np.ndarray, c: np.ndarray, kind: str) -> np.ndarray:
+    """distance() of every row of q and every row of c; undefined ones are infinite."""
+    if kind == "cosine":
+        with np.errstate(divide="ignore", invalid="ignore"):
+            d = 1 - q @ c.T / (np.sqrt((q * q).sum(1))[:, None] * np.sqrt((c * c).sum(1)))
+    else:
+        d = np.empty((len(q), len(c)))
+        for i, own in enumerate(q):
+            gap = own - c
+            gap = np.abs(gap) if kind == "l1" else (gap - gap.mean(1, keepdims=True) if kind == "centred" else gap) ** 2
+            d[i] = gap.sum(1)
+        if kind not in ("l1", "squared", "centred"):
+            d = np.sqrt(d)
+    return np.where(np.isfinite(d), np.round(d, 9), np.inf)
+
+
+def _candidates(asked: np.ndarray, stored: np.ndarray, bits: int, probe: bool) -> np.ndarray:
+    """Which rows (codes `stored`, a column a table) each query meets in the buckets it looks into."""
+    met = np.zeros((len(asked), len(stored)), bool)
+    flips = [0, *[1 << i for i in range(bits)]] if probe else [0]
+    for own, codes in zip(asked.T, stored.T, strict=True):
+        order = np.argsort(codes, kind="stable")
+        found, first = np.unique(codes[order], return_index=True)
+        rows = dict(zip(found.tolist(), np.split(order, first[1:]), strict=True))
+        for code in np.unique(own).tolist():
+            bucket = [rows[code ^ f] for f in flips if code ^ f in rows]
+            if bucket:
+                met[np.ix_(np.flatnonzero(own == code), np.concatenate(bucket))] = True
+    return met
+
+
+def _best(query: np.ndarray, distances: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Positions of each query's k least distances, ties by id."""
+    order = np.lexsort((ids, distances, query))
+    q = query[order]
+    place = np.arange(len(q)) - np.searchsorted(q, q)
+    return order[place < k]
+
+
 def nearest(df: DataFrame, queries: DataFrame, tid: str, vector: str, planes: np.ndarray, k: int, kind: str = "cosine", probe: bool = False) -> DataFrame:
-    """For each query the k nearest of its bucket candidates; probe looks into buckets one bit away too."""
+    """For each query the k nearest of its bucket candidates; probe looks into buckets one bit away too.
+
+    Blocks of queries meet blocks of rows.  A task hashes both, looks the buckets of its rows up and scores what it
+    finds there, so pairs are never written; only each query's k best of a block are.  Rows whose vector is
+    null, or has a null or non-finite component, and pairs without a distance take no part.
+    """
     from pyspark.sql import Window
 
-    own = buckets(queries, tid, vector, planes).withColumnRenamed(tid, "query_id")
-    if probe:
-        flips = F.array(F.lit(0), *[F.lit(1 << i) for i in range(planes.shape[1])])
-        own = own.withColumn("flip", F.explode(flips)).withColumn("bucket", F.col("bucket").bitwiseXOR(F.col("flip"))).drop("flip")
-    pairs = own.join(buckets(df, tid, vector, planes), ["table", "bucket"]).select("query_id", tid).distinct().where(F.col("query_id") != F.col(tid))
-    asked = queries.select(F.col(tid).alias("query_id"), F.col(vector).alias("q"))
-    scored = pairs.join(asked, "query_id").join(df.select(tid, vector), tid).select("query_id", tid, F.round(distance(F.col("q"), F.col(vector), kind), 9).alias("distance"))
+    kinds = dict(df.dtypes)
+    width, bits = planes.shape[-1], planes.shape[1]
+    flat, weights = planes.reshape(-1, width), 1 << np.arange(bits, dtype=np.int64)
+    coded = lambda m: ((m @ flat.T).reshape(len(m), *planes.shape[:2]) > 0) @ weights
+
+    def run(key: tuple[pa.Scalar, ...], asked: pa.Table, stored: pa.Table) -> pa.Table:
+        q, fine = _vectors(asked.column("vector"), width)
+        c, whole = _vectors(stored.column("vector"), width)
+        own, ids = _ids(asked.column("id")), _ids(stored.column("id"))
+        q, own, c, ids = q[fine], own[fine], c[whole], ids[whole]
+        at, near, who = np.zeros(0, np.int64), np.zeros(0), ids[:0]
+        floor = np.full(len(q), np.inf)
+        if len(q) and len(c):
+            asked_codes, step = coded(q), max(1, SCORED_AT_ONCE // len(q))
+            for i in range(0, len(c), step):
+                part, names = c[i : i + step], ids[i : i + step]
+                d = np.where(_candidates(asked_codes, coded(part), bits, probe) & (own[:, None] != names).astype(bool), _distances(q, part, kind), np.inf)
+                last = min(k, d.shape[1]) - 1
+                bound = np.minimum(floor, np.partition(d, last, axis=1)[:, last]) if last == k - 1 else floor
+                x, y = np.nonzero((d <= bound[:, None]) & (d < np.inf))
+                at, near, who = np.concatenate([at, x]), np.concatenate([near, d[x, y]]), np.concatenate([who, names[y]])
+                keep = _best(at, near, who, k)
+                at, near, who = at[keep], near[keep], who[keep]
+                full, n = np.unique(at, return_counts=True)
+                ends = np.cumsum(n) - 1
+                floor[full[n == k]] = near[ends[n == k]]
+        id_type = stored.schema.field("id").type
+        return pa.table([pa.array(own[at], id_type), pa.array(who, id_type), pa.array(near, pa.float64())], names=["query_id", tid, "distance"])
+
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col(tid).alias("id"), F.col(vector).alias("vector"))
+    stored = df.where(F.col(vector).isNotNull()).select(F.col(tid).alias("id"), F.col(vector).alias("vector"))
+    across, down = (max(1, -(-t.count() // n)) for t, n in ((asked, QUERY_ROWS), (stored, CANDIDATE_ROWS)))
+    down = max(down, 8)
+    deal = lambda n: F.pmod(F.xxhash64("id", F.lit(29)), F.lit(n)).cast("int")
+    everywhere = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    cells = min(2 * across * down, 100_000)
+    left = asked.select("id", "vector", deal(across).alias("across"), everywhere(down).alias("down")).repartition(cells, "across", "down").groupBy("across", "down")
+    right = stored.select("id", "vector", everywhere(across).alias("across"), deal(down).alias("down")).repartition(cells, "across", "down").groupBy("across", "down")
+    scored = left.cogroup(right).applyInArrow(run, f"query_id {kinds[tid]}, {tid} {kinds[tid]}, distance double")
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", tid))).where(F.col("rank") <= k)
 
 
@@ -121,8 +214,6 @@ def autoencoder_labels(pairs: DataFrame, vector: str = "similarities", hidden: i
     """Adds match by a deep mixture: vectors are standardised and coded by a small autoencoder, and a two-part
     Gaussian mixture is fitted to the code beside its reconstruction error; the part whose vectors are larger on
     average matches.  The autoencoder is fitted on the driver from a bounded sample; all rows are coded."""
-    import pyarrow as pa
-
     from ..plans.models import Network
 
     data = pairs.where(F.col(vector).isNotNull())

@@ -177,3 +177,36 @@ def test_recall_of_nearest_by_hashing(spark, sf):
         right += len(got.get(int(ids[i]), set()) & set(ids[order].tolist()))
         wanted += 5
     assert right >= 0.93 * wanted, right / wanted
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_nearest_keeps_no_pairs(spark, monkeypatch):
+    """Blocks of queries and rows give what all pairs give, no join makes pairs, and what has no distance is not near."""
+    import numpy as np
+
+    m = np.random.default_rng(5).standard_normal((300, 6))
+    m[200:204] = m[3]
+    rows = [(i, v.tolist()) for i, v in enumerate(m)] + [(900, [0.0] * 6), (901, [None] + [1.0] * 5), (902, None)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    planes = M.hyperplanes(4, 5, 6)
+    monkeypatch.setattr(M, "QUERY_ROWS", 9, raising=False)
+    monkeypatch.setattr(M, "CANDIDATE_ROWS", 20, raising=False)
+    monkeypatch.setattr(M, "SCORED_AT_ONCE", 64, raising=False)
+    code = (np.einsum("nd,tbd->ntb", m, planes) > 0) @ (1 << np.arange(4))
+    for kind in ("cosine", "euclidean", "l1"):
+        own = df if kind == "cosine" else df.where("id <> 900")  # zeros have distances, but no cosine
+        out = M.nearest(own, own.where("id % 7 = 3"), "id", "v", planes, 5, kind, probe=True)
+        got = {}
+        for r in out.collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.id, r.distance))
+        assert set(got) == set(range(3, 300, 7))
+        for q, found in got.items():
+            met = [j for j in range(300) if j != q and any((int(a) ^ int(b)).bit_count() <= 1 for a, b in zip(code[q], code[j], strict=True))]
+            d = {"cosine": lambda j, q=q: 1 - m[q] @ m[j] / np.sqrt((m[q] @ m[q]) * (m[j] @ m[j])), "euclidean": lambda j, q=q: np.sqrt(((m[q] - m[j]) ** 2).sum()), "l1": lambda j, q=q: np.abs(m[q] - m[j]).sum()}[kind]
+            want = sorted((round(float(d(j)), 9), j) for j in met)[:5]
+            assert [i for _, i, _ in sorted(found)] == [j for _, j in want]
+            assert [x for *_, x in sorted(found)] == pytest.approx([x for x, _ in want], abs=1e-8)
+    assert "Join" not in plan_of(out)
