@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import GaussianMixture
@@ -40,16 +42,67 @@ def distance(a: Column, b: Column, kind: str = "euclidean") -> Column:
     return squared if kind == "squared" else F.sqrt(squared)
 
 
+#: Rows of a part of a block, and pairs that a task scores at once.
+MATCH_ROWS, MATCHED_AT_ONCE = 16_384, 1 << 21
+
+
 def _ids(column) -> np.ndarray:
     """Row ids of an Arrow column; numbers stay numbers, others are objects."""
     return column.to_numpy() if pa.types.is_integer(column.type) else np.array([*column.to_pylist(), None], object)[:-1]
 
 
 def embedding_matches(df: DataFrame, tid: str, vector: str, threshold: float, block: str) -> DataFrame:
-    """Pairs (a < b) of one block whose cosine exceeds threshold."""
-    x, y = df.alias("x"), df.alias("y")
-    pairs = x.join(y, (F.col(f"x.{block}") == F.col(f"y.{block}")) & (F.col(f"x.{tid}") < F.col(f"y.{tid}")))
-    return pairs.select(F.col(f"x.{tid}").alias("a"), F.col(f"y.{tid}").alias("b"), F.round(cosine(F.col(f"x.{vector}"), F.col(f"y.{vector}")), 6).alias("cosine")).where(F.col("cosine") > threshold)
+    """Pairs (a < b) of one block whose cosine, rounded to six digits, exceeds threshold.
+
+    The parts of a block meet each other, each pair of parts in one task, as products of matrices; the cosines of the
+    pairs that come near the threshold are then summed up term by term.  Vectors meet those of their own length;
+    null vectors, and those with a null component, meet none.
+    """
+    kind = dict(df.dtypes)[tid]
+
+    def matrix(t: pa.Table):
+        rows = t.column("vector").combine_chunks()
+        m = np.asarray(rows.flatten().to_numpy(zero_copy_only=False), float).reshape(len(rows), -1)
+        norm = np.zeros(len(m))
+        for x in m.T:
+            norm = norm + x * x
+        return m, np.sqrt(norm), _ids(t.column("id"))
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches)
+        itself = key[2] == key[3]
+        left = matrix(t.filter(pa.compute.equal(t.column("part"), key[2])))
+        (m, u, a), (n, v, b) = left, left if itself else matrix(t.filter(pa.compute.equal(t.column("part"), key[3])))
+        id_type = t.schema.field("id").type
+        step = max(1, MATCHED_AT_ONCE // max(len(n), 1))
+        for s in range(0, len(m), step):
+            base = s if itself else 0  # a part meets its own rows from here on
+            with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+                near = m[s : s + step] @ n[base:].T / (u[s : s + step, None] * v[base:])
+            x, y = np.nonzero(~(near < threshold - 2e-6))
+            x, y = x + s, y + base
+            ok = (u[x] * v[y] != 0) & (a[x] != b[y]).astype(bool)
+            if itself:
+                ok &= x < y
+            x, y = x[ok], y[ok]
+            dot = np.zeros(len(x))
+            with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+                for p, q in zip(m.T, n.T, strict=True):
+                    dot = dot + p[x] * q[y]
+                found = dot / (u[x] * v[y])
+            turned = (a[x] > b[y]).astype(bool)
+            yield pa.record_batch([pa.array(np.where(turned, b[y], a[x]), id_type), pa.array(np.where(turned, a[x], b[y]), id_type), pa.array(found)], names=["a", "b", "cosine"])
+
+    rows = df.where(F.col(tid).isNotNull() & F.col(block).isNotNull() & F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull()) & (F.size(vector) > 0))
+    rows = rows.select(F.col(tid).alias("id"), F.col(block).alias("block"), F.size(vector).alias("size"), F.col(vector).alias("vector"))
+    parts = rows.groupBy("block", "size").agg(F.ceil(F.count("*") / MATCH_ROWS).cast("int").alias("parts"))
+    cells = int(parts.agg(F.sum(F.col("parts").cast("long") * (F.col("parts") + 1) / 2)).first()[0] or 1)
+    part = F.pmod(F.xxhash64("id", F.lit(31)), F.col("parts")).cast("int")
+    dealt = rows.join(parts, ["block", "size"]).withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("id", "block", "size", "vector", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    key = ("block", "size", "i", "j")
+    found = dealt.repartition(min(2 * cells, 100_000), *key).groupBy(*key).applyInArrow(run, f"a {kind}, b {kind}, cosine double")
+    return found.withColumn("cosine", F.round("cosine", 6)).where(F.col("cosine") > threshold)
 
 
 def hyperplanes(bits: int, tables: int, dimensions: int, seed: int = 1) -> np.ndarray:

@@ -210,3 +210,20 @@ def test_nearest_keeps_no_pairs(spark, monkeypatch):
             assert [i for _, i, _ in sorted(found)] == [j for _, j in want]
             assert [x for *_, x in sorted(found)] == pytest.approx([x for x, _ in want], abs=1e-8)
     assert "Join" not in plan_of(out)
+
+
+def test_embedding_matches_in_parts(spark, monkeypatch):
+    """Parts of a block meet as matrices: no join makes the pairs of a block, and none of them is lost."""
+    import numpy as np
+
+    m = np.random.default_rng(6).standard_normal((260, 4))
+    m[100:120] = m[7]
+    rows = [(i, i % 3, v.tolist()) for i, v in enumerate(m)] + [(900, 0, [0.0] * 4), (901, 0, [None, 1.0, 1.0, 1.0]), (902, 0, None), (903, None, [1.0] * 4), (904, 1, [1.0] * 3), (905, 1, [1.0] * 3)]
+    df = spark.createDataFrame(rows, "id long, g int, v array<double>")
+    monkeypatch.setattr(M, "MATCH_ROWS", 16, raising=False)
+    monkeypatch.setattr(M, "MATCHED_AT_ONCE", 200, raising=False)
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    want = {(i, j): round(float(u[i] @ u[j]), 6) for i in range(260) for j in range(i + 1, 260) if i % 3 == j % 3 and round(float(u[i] @ u[j]), 6) > 0.5} | {(904, 905): 1.0}
+    found = M.embedding_matches(df, "id", "v", 0.5, "g")
+    assert sorted((r.a, r.b, r.cosine) for r in found.collect()) == [(*k, pytest.approx(v, abs=2e-6)) for k, v in sorted(want.items())]
+    assert "x.id" not in plan_of(found) and all("<" not in line for line in plan_of(found).splitlines() if "Join" in line)
