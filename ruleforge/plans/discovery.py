@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..operators.counting import BIG, Body, _present, as_longs, count_level, count_pairs, count_rules, with_confidence
 from ..operators.joins import chain
 from ..operators.predicates import Predicate, column_predicates, compare, constant_predicates, present
+from ..operators.shared import checkpoint, ranged
 from .rules import Rule, as_table
 
 #: Weights of support, confidence, diversity, shortness and a subjective score.
@@ -189,6 +190,8 @@ class Source:
             return count_chain([self.tables[n] for n in names], [self.tids[n] for n in names], sorted(lhs, key=str), rhs)
         pair, tids = (self.tables[relation[0]], self.tables[relation[1]]), (self.tids[relation[0]], self.tids[relation[1]])
         same = relation[0] == relation[1]
+        if any(p.right and p.op != "==" and not p.is_scored for p in rhs) and by_classes([*pair], sorted(lhs, key=str), rhs):
+            return count_classes([*pair], sorted(lhs, key=str), [p.canonical() for p in rhs])
         if any(p.right and (p.op == "==" or p.is_scored) for p in lhs):
             return count_pairs(pair, tids, sorted(lhs, key=str), rhs, same, self.scored)
         # one order comparison: all its pairs from the sorted histograms, and those of the right-hand side by its key
@@ -341,6 +344,8 @@ def evaluate(df: DataFrame, rules: list[tuple[list[Predicate], Predicate]]) -> D
 def count_chain(tables: list[DataFrame], tids: list[str], lhs: list[Predicate], rhs: list[Predicate]) -> DataFrame:
     """rhs, support_x, support, rows0 of rules over three or more tuple variables: pairs (t0, t1) for which rows of
     the other variables exist, and those of them that satisfy each right-hand side."""
+    if by_classes(tables, lhs, rhs):
+        return count_classes(tables, lhs, [p.canonical() for p in rhs])
     side = lambda v: tables[v].select(F.col(tids[v]).alias(f"tid{v}"), *[F.when(_present(tables[v], [c]), F.col(c)).alias(f"y{v}_{c}") for c in sorted({o.column for p in rhs for o in (p.left, p.right) if o and o.variable == v})])
     rows = chain(tables, tids, lhs).join(side(0), "tid0").join(side(1), "tid1")
     value = lambda o: F.col(f"y{o.variable}_{o.column}")
@@ -352,6 +357,113 @@ def count_chain(tables: list[DataFrame], tids: list[str], lhs: list[Predicate],
     return totals.select(F.explode(entries).alias("e"), "support_x", "rows0").select("e.rhs", "support_x", "e.support", "rows0", F.lit(None).cast(BIG).alias("rows1"))
 
 
+def by_classes(tables: list[DataFrame], lhs: list[Predicate], rhs: list[Predicate]) -> bool:
+    """Whether count_classes() gives the counts: two or three variables, t0 and t1 equated in X, X of equalities and
+    constants, and right-hand sides on t0 or on pairs whose values have an order in common."""
+    numbers = {"byte", "short", "integer", "long", "float", "double"}
+
+    def alike(p: Predicate) -> bool:
+        a, b = (tables[o.variable].schema[o.column].dataType for o in (p.left, p.right))
+        return a == b and a.typeName() not in ("array", "map", "struct", "binary") or {a.typeName(), b.typeName()} <= numbers
+
+    plain = all(not p.is_scored and (p.is_constant or p.op == "==") for p in lhs)
+    heads = all(not p.is_scored and (p.left.variable == 0 if p.is_constant else p.variables == {0, 1} and alike(p)) for p in rhs)
+    return len(tables) <= 3 and plain and heads and any(p.variables == {0, 1} for p in lhs)
+
+
+def count_classes(tables: list[DataFrame], lhs: Iterable[Predicate], rhs: list[Predicate]) -> DataFrame:
+    """count_chain() from group sizes.
+
+    Rows fall into classes by the columns that X compares (also those that decide whether a row is its own third
+    one); only classes meet, and a pair of classes counts if the rows of the third table with its values are more than
+    the two themselves.  A right-hand side over the pair is counted from the values of both classes laid in one order,
+    in range partitions, by how many partners come before each: no pairs of rows or of values are built.
+    """
+    edges, fixed = [p for p in lhs if p.right], [p for p in lhs if p.is_constant]
+    text = [{f.name for f in t.schema if f.dataType.typeName() == "string"} for t in tables]
+    same = lambda u, v: u == v or v < len(tables) and tables[u] is tables[v]
+    used = [{o.column for p in lhs for o in (p.left, p.right) if o and o.variable == v} for v in range(len(tables))]
+    need = [sorted(set().union(*(used[w] for w in range(len(tables)) if same(v, w) or same(w, v)))) for v in range(len(tables))]
+    here = lambda v, c, side=None: F.col(f"{'abc'[v if side is None else side]}_{c}")
+
+    def there(v: int, side: int | None = None):
+        """The row holds X's constants of variable v."""
+        return reduce_and([F.coalesce(present(here(v, p.left.column, side), p.left.column in text[v]) & compare(here(v, p.left.column, side), p.op, F.lit(p.constant)), F.lit(False)) for p in fixed if p.left.variable == v])
+
+    def says(p: Predicate, sides: dict[int, int]):
+        """An equality of X, with the columns of each variable taken from a side."""
+        o, q = p.left, p.right
+        a, b = here(o.variable, o.column, sides.get(o.variable)), here(q.variable, q.column, sides.get(q.variable))
+        return F.coalesce(present(a, o.column in text[o.variable]) & present(b, q.column in text[q.variable]) & (a == b), F.lit(False))
+
+    def rows(v: int, *more) -> DataFrame:
+        return tables[v].select(*[F.col(c).alias(f"{'abc'[v]}_{c}") for c in need[v]], *more).where(there(v))
+
+    def key(v: int) -> list[str]:
+        return [f"{'abc'[v]}_{c}" for c in need[v]]
+
+    unary = [(i, p) for i, p in enumerate(rhs) if p.is_constant]
+    own = lambda p: F.coalesce(present(F.col(p.left.column), p.left.column in text[0]) & compare(F.col(p.left.column), p.op, F.lit(p.constant)), F.lit(False)).cast("int")
+    left = rows(0, *[own(p).alias(f"u{i}") for i, p in unary]).groupBy(*key(0)).agg(F.count("*").cast(BIG).alias("n0"), *[F.sum(f"u{i}").cast(BIG).alias(f"u{i}") for i, _ in unary])
+    right = rows(1).groupBy(*key(1)).agg(F.count("*").cast(BIG).alias("n1"))
+    met = lambda ps: reduce_and([here(p.left.variable, p.left.column) == here(p.right.variable, p.right.column) for p in ps])
+    direct = [p for p in edges if p.variables == {0, 1}]
+    pairs = left.join(right, met(direct)).where(reduce_and([says(p, {}) for p in direct]))
+    if len(tables) == 3:
+        third = [p for p in edges if 2 in p.variables]
+        columns = [f"c_{c}" for c in sorted({o.column for p in third for o in (p.left, p.right) if o.variable == 2})]
+        others = rows(2).groupBy(*columns).agg(F.count("*").cast(BIG).alias("n2"))
+        pairs = pairs.join(others, met(third)).where(reduce_and([says(p, {}) for p in third]))
+        for v in (0, 1):
+            if same(v, 2):  # the row itself is no third one
+                itself = there(2, v) & reduce_and([says(p, {2: v}) for p in third])
+                pairs = pairs.withColumn("n2", F.col("n2") - itself.cast("int"))
+        pairs = pairs.where("n2 > 0")
+    alone = reduce_and([here(0, c).eqNullSafe(here(1, c)) for c in need[0]]) if same(0, 1) else F.lit(False)
+    pairs = checkpoint(pairs.select(*key(0), *key(1), "n0", "n1", *[f"u{i}" for i, _ in unary], alone.cast("int").alias("itself")))
+    of = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast(BIG)
+    totals = pairs.agg(of(F.col("n0") * F.col("n1") - F.col("n0") * F.col("itself")).alias("support_x"))
+    by_left = pairs.groupBy(*key(0)).agg(F.first("n0").alias("n0"), F.sum(F.col("n1") - F.col("itself")).alias("partners"), *[F.first(f"u{i}").alias(f"u{i}") for i, _ in unary])
+    totals = totals.join(F.broadcast(by_left.where("partners > 0").agg(of("n0").alias("rows0"), *[of(f"u{i}").alias(f"s{i}") for i, _ in unary])))  # one row each
+    for i, p in enumerate(rhs):
+        if p.right:
+            totals = totals.join(F.broadcast(_head_pairs(tables, p, pairs, rows, key, same(0, 1)).withColumnRenamed("n", f"s{i}")))
+    entries = F.array(*[F.struct(F.lit(str(p)).alias("rhs"), F.col(f"s{i}").alias("support")) for i, p in enumerate(rhs)])
+    return totals.select(F.explode(entries).alias("e"), "support_x", "rows0").select("e.rhs", "support_x", "e.support", "rows0", F.lit(None).cast(BIG).alias("rows1"))
+
+
+def _head_pairs(tables: list[DataFrame], p: Predicate, pairs: DataFrame, rows: Callable, key: Callable, same: bool) -> DataFrame:
+    """n: the pairs of different rows, of the given pairs of classes, that satisfy p."""
+    classes = [*key(0), *key(1)]
+    named = pairs.select(*classes).withColumn("_pair", F.struct(*classes))
+    sides = []
+    for v, o in ((0, p.left), (1, p.right)):
+        values = rows(v, F.when(_present(tables[v], [o.column]), F.col(o.column)).alias("_value")).where("_value is not null").groupBy(*key(v), "_value").agg(F.count("*").cast(BIG).alias("_n"))
+        of_class = named.select(*[F.col(c).alias(f"_{c}") for c in key(v)], "_pair")
+        met = of_class.join(values, reduce_and([F.col(f"_{c}").eqNullSafe(F.col(c)) for c in key(v)]))
+        sides.append(met.select("_pair", "_value", *[(F.col("_n") if v == w else F.lit(0).cast(BIG)).alias(f"_n{w}") for w in (0, 1)]))
+    both = sides[0].unionByName(sides[1]).groupBy("_pair", "_value").agg(F.sum("_n0").cast(BIG).alias("_n0"), F.sum("_n1").cast(BIG).alias("_n1"))
+    if p.op == "==":
+        total = both.agg(F.coalesce(F.sum(F.col("_n0") * F.col("_n1")), F.lit(0)).cast(BIG).alias("n"))
+    else:
+        both = ranged(both, "_pair", "_value")
+        of_pair = Window.partitionBy("_pair")
+        earlier = of_pair.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = both.groupBy("_pair", "_part").agg(F.sum("_n1").cast(BIG).alias("_s")).select("_pair", "_part", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).cast(BIG).alias("_before"), F.sum("_s").over(of_pair).cast(BIG).alias("_all"))
+        within = Window.partitionBy("_pair", "_part").orderBy("_value").rowsBetween(Window.unboundedPreceding, -1)
+        less = both.withColumn("_within", F.coalesce(F.sum("_n1").over(within), F.lit(0)).cast(BIG)).join(parts, ["_pair", "_part"])
+        less = less.withColumn("_less", (F.col("_within") + F.col("_before")).cast(BIG))
+        below, equal_, whole = F.col("_less"), F.col("_n1"), F.col("_all")  # t1's values against t0's
+        partners = {"<>": whole - equal_, "<": whole - below - equal_, "<=": whole - below, ">": below, ">=": below + equal_}[p.op]
+        total = less.agg(F.coalesce(F.sum(F.col("_n0") * partners.cast(BIG)), F.lit(0)).cast(BIG).alias("n"))
+    if not same:
+        return total
+    itself = F.coalesce(_present(tables[0], [p.left.column, p.right.column]) & compare(F.col(p.left.column), p.op, F.col(p.right.column)), F.lit(False))
+    alone = rows(0, itself.alias("_holds")).where("_holds").groupBy(*key(0)).agg(F.count("*").alias("_own"))
+    own = pairs.where("itself = 1").select(*[F.col(c).alias(f"_{c}") for c in key(0)]).join(alone, reduce_and([F.col(f"_{c}").eqNullSafe(F.col(c)) for c in key(0)])).agg(F.coalesce(F.sum("_own"), F.lit(0)).alias("_own"))
+    return total.join(F.broadcast(own)).select((F.col("n") - F.col("_own")).cast(BIG).alias("n"))  # one row each
+
+
 def evaluate_chain(tables: list[DataFrame], tids: list[str], lhs: list[Predicate], rhs: Predicate) -> DataFrame:
     """support_x, support, confidence of one rule over three or more tuple variables."""
     out = as_longs(with_confidence(count_chain(tables, tids, lhs, [rhs])))

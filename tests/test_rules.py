@@ -343,3 +343,43 @@ def test_files(spark, table, tmp_path):
     files.write_rules(spark, rules, str(tmp_path / "rules"))
     assert {str(r) for r in files.read_rules(spark, str(tmp_path / "rules"))} == {str(r) for r in rules}
     assert files.Settings.parse("# x\nsupport=0.1\ntop_k = 5\nother=1\n") == files.Settings(support=0.1, top_k=5)
+
+
+def test_counts_by_classes(spark, monkeypatch):
+    """Chains, and right-hand sides that order a pair, are counted without pairs, as every pair gives them."""
+    import itertools
+    import random
+
+    r = random.Random(8)
+    pick = r.choice
+    ours = [(i, pick(("a", "b", "", None)), pick((1, 2, None)), pick((0.5, 1.5, 2.5, None))) for i in range(24)]
+    theirs = [(i, pick(("a", "b", "c", "")), pick((1, 2, 3)), pick((0.5, 1.0, 2.5))) for i in range(15)]
+    tables = {"o": spark.createDataFrame(ours, "id long, k string, n int, x double"), "c": spark.createDataFrame(theirs, "id long, k string, n int, x double")}
+    rows = {"o": ours, "c": theirs}
+
+    def value(row, c):
+        v = row[("id", "k", "n", "x").index(c)]
+        return None if v == "" else v
+
+    def holds(p, at):
+        x, y = value(at[p.left.variable], p.left.column), p.constant if p.is_constant else value(at[p.right.variable], p.right.column)
+        return x is not None and y is not None and {"==": x == y, "<>": x != y, "<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[p.op]
+
+    monkeypatch.setattr(D, "chain", lambda *a: pytest.fail("pairs were built"))
+    cases = [
+        (("o", "c", "c"), ["o.t0.k == c.t1.k", "c.t1.n == c.t2.n"]), (("o", "o", "c"), ["o.t0.k == o.t1.k", "o.t0.n == c.t2.n", "o.t1.x == c.t2.x"]),
+        (("o", "o", "o"), ["o.t0.k == o.t1.k", "o.t1.n == o.t2.n", "o.t2.x == 1.5"]), (("o", "o", "o"), ["o.t0.k == o.t1.k", "o.t0.n == 1", "o.t0.x == o.t2.x"]), (("o", "o"), ["o.t0.k == o.t1.k"]),
+    ]
+    for names, lhs in cases:
+        lhs = [P.parse(x) for x in lhs]
+        lhs = [P.Predicate(p.left, p.op, constant=float(p.constant) if p.left.column == "x" else int(p.constant)) if p.is_constant else p for p in lhs]
+        heads = [P.parse(f"{names[0]}.t0.{c} {op} {names[1]}.t1.{c}") for c, op in (("x", "<"), ("x", ">="), ("n", "=="), ("n", "<>"), ("x", "<="))] + [C.is_value(names[0], "n", 2)]
+        found = {q.rhs: q for q in D.count_chain([tables[n] for n in names], ["id"] * len(names), lhs, heads).collect()}
+        want = {}
+        for at in itertools.product(*(rows[n] for n in names)):
+            if all(at[u][0] != at[v][0] for u, v in itertools.combinations(range(len(names)), 2) if names[u] == names[v]) and all(holds(p, at) for p in lhs):
+                want[at[0][0], at[1][0]] = at
+        for h in heads:
+            q = found[str(h)]
+            hit = [at for at in want.values() if holds(h, at)]
+            assert (q.support_x, q.rows0, q.support) == (len(want), len({a for a, _ in want}), len({at[0][0] for at in hit}) if h.is_constant else len(hit)), (names, str(h))
