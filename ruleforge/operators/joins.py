@@ -78,6 +78,30 @@ def chain(tables: list[DataFrame], tids: list[str], predicates: Iterable[Predica
     return rows.select(F.col(f"v{a}_{tids[a]}").alias("tid0"), F.col(f"v{b}_{tids[b]}").alias("tid1")).distinct()
 
 
+#: Pairs of a group that one task makes.
+PAIRS_OF_A_TASK = 1 << 20
+
+
+def dealt(rows: DataFrame, partners: DataFrame, key: str, tid: str, size: str) -> DataFrame:
+    """rows joined with the partners of their group; partners (key and others) are repeated for each part of a
+    group's rows, so that a task makes a bounded number of pairs.  size: a partner row's weight in pairs."""
+    sizes = rows.groupBy(key).agg(F.count("*").alias("_rows")).join(partners.groupBy(key).agg(F.sum(size).alias("_partners")), key)
+    sizes = sizes.select(F.col(key).alias("_key"), F.least(F.col("_rows"), F.ceil(F.col("_rows") * F.col("_partners") / PAIRS_OF_A_TASK)).cast("int").alias("_parts"))
+    tasks = min(100_000, 2 * int(sizes.agg(F.sum("_parts")).first()[0] or 1))
+    left = rows.join(sizes, F.col(key) == F.col("_key")).withColumn("_part", F.pmod(F.xxhash64(tid), F.col("_parts")).cast("int")).drop("_key", "_parts")
+    right = partners.join(sizes, F.col(key) == F.col("_key")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_key", "_parts")
+    right = right.select(*[F.col(c).alias(f"{c}_") for c in right.columns])
+    return left.repartition(tasks, key, "_part").join(right.repartition(tasks, f"{key}_", "_part_"), (F.col(key) == F.col(f"{key}_")) & (F.col("_part") == F.col("_part_"))).drop("_part", "_part_", f"{key}_")
+
+
+def group_pairs(df: DataFrame, key: str, tid: str, columns: Iterable[str]) -> DataFrame:
+    """Pairs of rows of one group with tid < tid_: the columns of the first, and of the second with _ behind their
+    names.  A group of any size is many tasks', however few bytes it has."""
+    names = list(dict.fromkeys([key, tid, *columns]))
+    rows = df.select(*names)
+    return dealt(rows, rows.withColumn("_one", F.lit(1)), key, tid, "_one").where(F.col(tid) < F.col(f"{tid}_")).drop("_one_")
+
+
 # ---------------------------------------------------------------- foreign keys
 
 

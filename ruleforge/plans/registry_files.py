@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..operators import counting as C
+from ..operators import joins as J
 from ..operators import matching as M
 from ..operators import predicates as P
 from ..operators import profile as R
@@ -191,8 +192,7 @@ def _(t):
     FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey)
   SELECT a, b, CASE WHEN (CASE WHEN j > 0.7 THEN j + least(0.1, 1.0 / greatest(length(a), length(b))) * k * (1 - j) ELSE j END) >= 0.99 THEN 1 ELSE 0 END AS similar FROM j""")
 def _(t):
-    x, y = t.supplier.alias("x"), t.supplier.alias("y")
-    pairs = x.join(y, (F.col("x.s_nationkey") == F.col("y.s_nationkey")) & (F.col("x.s_suppkey") < F.col("y.s_suppkey"))).select(F.col("x.s_name").alias("a"), F.col("y.s_name").alias("b"))
+    pairs = J.group_pairs(t.supplier, "s_nationkey", "s_suppkey", ["s_name"]).select(F.col("s_name").alias("a"), F.col("s_name_").alias("b"))
     return pairs.select("a", "b", F.when(S.similarity_predicate("jaro-winkler", F.col("a"), F.col("b"), 0.99), 1).otherwise(0).alias("similar"))
 
 

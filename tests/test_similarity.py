@@ -227,3 +227,22 @@ def test_embedding_matches_in_parts(spark, monkeypatch):
     found = M.embedding_matches(df, "id", "v", 0.5, "g")
     assert sorted((r.a, r.b, r.cosine) for r in found.collect()) == [(*k, pytest.approx(v, abs=2e-6)) for k, v in sorted(want.items())]
     assert "x.id" not in plan_of(found) and all("<" not in line for line in plan_of(found).splitlines() if "Join" in line)
+
+
+def test_jaro_winkler_in_batches(spark):
+    """Batches give what single pairs give, to the last bit; groups of pairs are spread over tasks."""
+    from ruleforge.operators import joins as J
+
+    r = random.Random(3)
+    word = lambda letters, most: "".join(r.choice(letters) for _ in range(r.randrange(most)))
+    pairs = [(word(x, n), word(x, n)) for x in ("ab", "abcd é") for n in (3, 12, 70) for _ in range(300)] + [("Supplier#000000017", "Supplier#000000071"), ("a\0", "a"), ("", "")]
+    short = [(x, y) for x, y in pairs if max(len(x), len(y)) <= S.BATCH_LENGTH]
+    assert S.jaro_winkler_batch(*map(list, zip(*short, strict=True))).tolist() == [S.jaro_winkler(x, y) for x, y in short]
+    df = spark.createDataFrame([*pairs, (None, "a"), ("a", None)], "a string, b string")
+    for row in df.select("a", "b", S.metric("jaro_winkler", threshold=0.5)(F.col("a"), F.col("b")).alias("s")).collect():
+        assert row.s == (None if row.a is None or row.b is None else S.jaro_winkler(row.a, row.b, 0.5))
+    rows = spark.range(3000).select(F.col("id"), (F.col("id") % 2).alias("g"), F.col("id").cast("string").alias("name"))
+    made = J.group_pairs(rows, "g", "id", ["name"])
+    assert made.where("id < 40 and id_ < 40").select("g", "id", "name", "id_", "name_").orderBy("id", "id_").collect() == [(i % 2, i, str(i), j, str(j)) for i in range(40) for j in range(i + 2, 40, 2)]
+    tasks = made.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(t["count"] for t in tasks) == 1500 * 1499 and len(tasks) > 2
