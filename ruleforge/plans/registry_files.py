@@ -27,12 +27,12 @@ def scratch(t: Tables) -> str:
     return f"{shared_dir(t.spark).rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
-def lines(t: Tables, rows) -> str:
+def lines(t: Tables, rows, packed: str = "none") -> str:
     """A text file of the rows of a column, or of the given strings in their order."""
     path = scratch(t)
     if isinstance(rows, list):
         rows = t.spark.createDataFrame([(r,) for r in rows], "value string").coalesce(1)
-    rows.write.text(path)
+    rows.write.text(path, compression=packed)
     return path
 
 
@@ -74,16 +74,21 @@ def _(t):
     return files.read_constants(t.spark, lines(t, status.union(t.part.select(F.concat(F.lit("part->p_size;"), F.col("p_size").cast("string"), F.lit(";<="))).distinct())))
 
 
+#: Pairs of a line of a list.
+LISTED = 4096
 _NEIGHBOURS = "FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey"
 
 
 @query("OP009_pair_lists", f"SELECT 'ML;supplier->s_name;supplier->s_name' AS predicate, a.s_suppkey AS tid0, b.s_suppkey AS tid1 {_NEIGHBOURS} UNION ALL SELECT 'ML#cosine@0.9(supplier->s_name;supplier->s_name)', a.s_suppkey, b.s_suppkey {_NEIGHBOURS}")
 def _(t):
-    x, y = t.supplier.alias("x"), t.supplier.alias("y")
-    pairs = x.join(y, (F.col("x.s_nationkey") == F.col("y.s_nationkey")) & (F.col("x.s_suppkey") != F.col("y.s_suppkey")))  # both ways: readers keep one
-    i, j = (F.col(f"{v}.s_suppkey").cast("string") for v in "xy")
-    listed = lambda head, between, tail: pairs.groupBy("x.s_nationkey").agg(F.concat(F.lit(head), F.array_join(F.collect_list(F.concat(i, F.lit(between), j)), ";"), F.lit(tail)).alias("value")).select("value")  # noqa: E731  a nation a line
-    return files.read_pairs(t.spark, lines(t, listed("ML;supplier->s_name;supplier->s_name;", ";", ";").union(listed("ML#cosine@0.9(supplier->s_name;supplier->s_name):", "|", ";"))))
+    rows = t.supplier.select("s_nationkey", "s_suppkey")
+    sizes = rows.groupBy("s_nationkey").agg(F.ceil(F.count("*") / LISTED).alias("pieces"))
+    pieces = rows.join(sizes, "s_nationkey").groupBy("s_nationkey", F.pmod(F.xxhash64("s_suppkey"), "pieces").alias("piece")).agg(F.collect_list("s_suppkey").alias("ids"), F.count("*").alias("n"))
+    made = J.dealt(rows, pieces, "s_nationkey", "s_suppkey", "n")
+    others = made.select("s_suppkey", F.filter("ids_", lambda x: x != F.col("s_suppkey")).alias("ids")).where(F.size("ids") > 0)  # both ways: readers keep one
+    i = F.col("s_suppkey").cast("string")
+    listed = lambda head, between, tail: others.select(F.concat(F.lit(head), F.array_join(F.transform("ids", lambda j: F.concat(i, F.lit(between), j.cast("string"))), ";"), F.lit(tail)).alias("value"))  # noqa: E731  a line for a supplier and LISTED others or so
+    return files.read_pairs(t.spark, lines(t, listed("ML;supplier->s_name;supplier->s_name;", ";", ";").union(listed("ML#cosine@0.9(supplier->s_name;supplier->s_name):", "|", ";")), "gzip"))
 
 
 _MASKS = "SELECT (CASE WHEN a.o_orderstatus = b.o_orderstatus THEN 1 ELSE 0 END) + (CASE WHEN a.o_orderpriority = b.o_orderpriority THEN 2 ELSE 0 END) AS mask, count(*) AS n FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey WHERE a.o_orderkey <> b.o_orderkey GROUP BY 1"

@@ -72,13 +72,15 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     """
     lines = _lines(spark, path)
     head = F.regexp_extract("line", r"^(.*?\)):", 1)
-    named = lines.where(F.col("line").contains("#")).select(head.alias("predicate"), F.explode(F.split(F.regexp_replace("line", r"^.*?\):", ""), ";")).alias("p"))
-    named = named.where("p <> ''").select("predicate", F.split("p", r"\|").alias("p"))
+    pair = lambda i, j: F.struct(F.trim(i).cast("long").alias("tid0"), F.trim(j).cast("long").alias("tid1"))
+    # a line's pairs are one array, so that no row of a pair carries its line along
+    listed = F.filter(F.split(F.regexp_replace("line", r"^.*?\):", ""), ";"), lambda p: p != "")
+    named = lines.where(F.col("line").contains("#")).select(head.alias("predicate"), F.transform(listed, lambda p: pair(F.get(F.split(p, r"\|"), F.lit(0)), F.get(F.split(p, r"\|"), F.lit(1)))).alias("pairs"))
     items = F.split("line", ";")
     plain = lines.where(~F.col("line").contains("#")).select(F.concat_ws(";", F.slice(items, 1, 3)).alias("predicate"), F.filter(F.slice(items, 4, 1 << 30), lambda x: x != "").alias("ids"))
-    plain = plain.where(F.size("ids") > 1).select("predicate", "ids", F.explode(F.sequence(F.lit(0), F.size("ids") - 2, F.lit(2))).alias("i")).select("predicate", F.array(F.get("ids", F.col("i")), F.get("ids", F.col("i") + 1)).alias("p"))
-    both = named.unionByName(plain)
-    return both.select("predicate", F.trim(F.get("p", 0)).cast("long").alias("tid0"), F.trim(F.get("p", 1)).cast("long").alias("tid1")).where("tid0 < tid1").distinct()
+    plain = plain.where(F.size("ids") > 1).select("predicate", F.transform(F.sequence(F.lit(0), F.size("ids") - 2, F.lit(2)), lambda i: pair(F.get("ids", i), F.get("ids", i + 1))).alias("pairs"))
+    both = named.unionByName(plain).select("predicate", F.explode(F.filter("pairs", lambda p: p["tid0"] < p["tid1"])).alias("p"))
+    return both.select("predicate", "p.tid0", "p.tid1").distinct()
 
 
 def write_evidence(evidence: DataFrame, path: str) -> None:

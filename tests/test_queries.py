@@ -42,3 +42,17 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries()) and set(registry.queries()) <= set(e.queries())
+
+
+def test_pair_lists_have_short_lines(spark, duck, monkeypatch):
+    """A nation of any size is many lines, and no pair is lost."""
+    from pyspark.sql import functions as F
+    from ruleforge.plans import registry_files
+
+    paths, write = [], registry_files.lines
+    monkeypatch.setattr(registry_files, "LISTED", 8, raising=False)
+    monkeypatch.setattr(registry_files, "lines", lambda *a: paths.append(write(*a)) or paths[-1])
+    found = registry.queries()["OP009_pair_lists"](spark, "/root/testdata/sf0.01")
+    sql = registry.oracle_sql()["OP009_pair_lists"].replace("supplier a", "'/root/testdata/sf0.01/supplier.parquet' a").replace("supplier b", "'/root/testdata/sf0.01/supplier.parquet' b")
+    assert sorted(map(tuple, found.collect())) == sorted(duck.execute(sql).fetchall())
+    assert spark.read.text(paths[0]).agg(F.max(F.length("value"))).first()[0] < 200
